@@ -214,7 +214,7 @@ def decode_speech_index(speech_index: DataFrame, tables: Mapping[str, DataFrame]
     with empty names last (sorting belongs at the sink)."""
     if "name" in speech_index.columns:
         return speech_index  # already decoded
-    df = decode(speech_index, tables, drop=False)
+    df = decode(speech_index, tables, drop=True, keeps=["person_id"], ignores=["pid"])
     df = df.withColumn("link", fx.wiki_link(F.col("wiki_id"))) \
         .withColumn("speech_link", fx.speech_link(F.col("document_name"), 1, pdf_base_url))
     for col, updates in (value_updates or {}).items():

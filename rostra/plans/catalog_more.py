@@ -1 +1,214 @@
 """Further registered queries (filled in as operators are added)."""
+
+from pyspark.sql import functions as F
+
+from ..model import SQL_CODES, SQL_SPEECH_TOKENS, with_sql
+from ..operators.predicates import token_criteria
+from . import jobs
+from .catalog import corpus, register
+
+PDF_BASE = "https://pdf.example.org/records/"
+
+# Decoded speech columns as SQL over a relation `h` that carries speech index columns.
+SQL_DECODED = f"""
+  pe.name, pa.party_abbrev, pa.party, g.gender, g.gender_abbrev,
+  CASE WHEN pe.wiki_id = 'unknown' THEN 'Okänd' ELSE 'https://www.wikidata.org/wiki/' || pe.wiki_id END AS link,
+  '{PDF_BASE}' || split_part(h.document_name, '-', 2) || '/' || split_part(h.document_name, '_', 1)
+     || '.pdf#page=1' AS speech_link,
+  pe.wiki_id"""
+SQL_DECODE_JOINS = """
+  LEFT JOIN persons pe ON h.person_id = pe.person_id
+  LEFT JOIN party pa ON h.party_id = pa.party_id
+  LEFT JOIN gender g ON h.gender_id = g.gender_id"""
+
+
+# --- E01 KWIC -------------------------------------------------------------------------
+
+@register("E01_kwic", with_sql(SQL_SPEECH_TOKENS, SQL_CODES) + f"""
+, h AS (
+  SELECT st.*, g.P FROM speech_tokens st, unnest(generate_series(1, len(st.lemma))) AS g(P)
+  WHERE st.lemma[g.P] = 'the' AND st.year >= 1980 AND st.year <= 2005
+)
+SELECT array_to_string(list_slice(h.word, greatest(h.P - 2, 1), h.P - 1), ' ') AS left_word,
+       array_to_string(list_slice(h.word, h.P, h.P), ' ') AS node_word,
+       array_to_string(list_slice(h.word, h.P + 1, h.P + 2), ' ') AS right_word,
+       h.year, h.person_id, h.speech_name, h.document_name, h.chamber_abbrev, h.speech_id, h.document_id,
+       {SQL_DECODED}
+FROM h {SQL_DECODE_JOINS}
+ORDER BY h.document_id, h.P LIMIT 200000
+""")
+def q_e01(spark, sf_dir):
+    return jobs.kwic(corpus(spark, sf_dir), "the", lemmatized=True, words_before=2, words_after=2,
+                     cut_off=200_000, criteria=token_criteria(from_year=1980, to_year=2005))
+
+
+@register("E01_kwic_phrase", with_sql(SQL_SPEECH_TOKENS, SQL_CODES) + f"""
+, h AS (
+  SELECT st.*, g.P FROM speech_tokens st, unnest(generate_series(1, len(st.lemma))) AS g(P)
+  WHERE lower(st.word[g.P]) = 'of' AND lower(st.word[g.P + 1]) = 'the' AND st.chamber_abbrev IN ('en')
+)
+SELECT array_to_string(list_slice(h.word, greatest(h.P - 3, 1), h.P - 1), ' ') AS left_word,
+       array_to_string(list_slice(h.word, h.P, h.P + 1), ' ') AS node_word,
+       array_to_string(list_slice(h.word, h.P + 2, h.P + 4), ' ') AS right_word,
+       h.year, h.person_id, h.speech_name, h.document_name, h.chamber_abbrev, h.speech_id, h.document_id,
+       {SQL_DECODED}
+FROM h {SQL_DECODE_JOINS}
+ORDER BY h.document_id, h.P LIMIT 200000
+""")
+def q_e01_phrase(spark, sf_dir):
+    return jobs.kwic(corpus(spark, sf_dir), "of the", lemmatized=False, words_before=3, words_after=3,
+                     criteria=token_criteria(chamber_abbrev=["EN"]))
+
+
+# --- E02 n-grams -----------------------------------------------------------------------
+
+_SQL_E02_HITS = with_sql(SQL_SPEECH_TOKENS) + """
+, h AS (
+  SELECT st.speech_id, st.word, g.P FROM speech_tokens st, unnest(generate_series(1, len(st.word))) AS g(P)
+  WHERE lower(st.word[g.P]) = 'der'
+), win AS (SELECT speech_id, list_slice(word, greatest(P - 1, 1), P + 1) AS w FROM h)
+, ng AS (
+  SELECT speech_id, array_to_string(list_slice(w, i, i + 2), ' ') AS ngram
+  FROM win, unnest(generate_series(1, len(w) - 2)) AS s(i)
+)
+"""
+
+
+@register("E02_ngrams", _SQL_E02_HITS + """
+SELECT ngram, count(*) AS window_count, count(DISTINCT speech_id) AS n_documents
+FROM ng GROUP BY ngram HAVING count(*) >= 2
+""")
+def q_e02(spark, sf_dir):
+    return jobs.ngrams(corpus(spark, sf_dir), "der", n=3, threshold=2)
+
+
+@register("E02_ngram_documents", _SQL_E02_HITS + """
+SELECT DISTINCT ngram, speech_id FROM ng WHERE ngram IN (SELECT ngram FROM ng GROUP BY ngram HAVING count(*) >= 2)
+""")
+def q_e02_docs(spark, sf_dir):
+    return jobs.ngrams(corpus(spark, sf_dir), "der", n=3, threshold=2, documents=True)
+
+
+@register("E02_ngrams_left_aligned", with_sql(SQL_SPEECH_TOKENS) + """
+, h AS (
+  SELECT st.speech_id, st.word, g.P FROM speech_tokens st, unnest(generate_series(1, len(st.lemma))) AS g(P)
+  WHERE st.lemma[g.P] = 'la'
+)
+SELECT array_to_string(list_slice(word, P, P + 2), ' ') AS ngram, count(*) AS window_count,
+       count(DISTINCT speech_id) AS n_documents
+FROM h GROUP BY 1
+""")
+def q_e02_left(spark, sf_dir):
+    return jobs.ngrams(corpus(spark, sf_dir), "la", n=3, threshold=None, search_target="lemma", mode="left-aligned")
+
+
+# --- E04 speeches with words --------------------------------------------------------------
+
+@register("E04_speeches_with_words", with_sql(SQL_SPEECH_TOKENS, SQL_CODES) + f"""
+, f AS (
+  SELECT DISTINCT x.document_id, t.ord, t.token
+  FROM (SELECT document_id, unnest(lemma) AS token FROM speech_tokens WHERE year BETWEEN 1990 AND 2019) x
+  JOIN (VALUES (0, 'und'), (1, 'les'), (2, 'el')) AS t(ord, token) ON x.token = t.token
+), w AS (SELECT document_id, string_agg(token, ',' ORDER BY ord) AS node_word FROM f GROUP BY document_id)
+SELECT h.document_id, h.document_name, h.chamber_abbrev, h.year, h.speech_id, h.speech_name, h.person_id,
+       w.node_word, {SQL_DECODED}
+FROM speech_index h JOIN w USING (document_id) {SQL_DECODE_JOINS}
+""")
+def q_e04(spark, sf_dir):
+    return jobs.speeches_with_words(corpus(spark, sf_dir), ["und", "les", "El"], {"year": (1990, 2019)})
+
+
+# --- E05 word hits -----------------------------------------------------------------------
+
+@register("E05_word_hits", with_sql(SQL_SPEECH_TOKENS) + r"""
+SELECT token, count(*) AS tf FROM (SELECT unnest(lemma) AS token FROM speech_tokens)
+WHERE regexp_full_match(token, 'ver.*')
+GROUP BY token ORDER BY tf DESC, token LIMIT 5
+""")
+def q_e05(spark, sf_dir):
+    return jobs.word_hits(corpus(spark, sf_dir), "ver*", n_hits=5)
+
+
+@register("E05_word_hits_regex", with_sql(SQL_SPEECH_TOKENS) + r"""
+SELECT token, count(*) AS tf FROM (SELECT unnest(lemma) AS token FROM speech_tokens)
+WHERE regexp_matches(token, '^(?:th[a-z]+n)')
+GROUP BY token ORDER BY tf DESC, token LIMIT 10
+""")
+def q_e05_regex(spark, sf_dir):
+    return jobs.word_hits(corpus(spark, sf_dir), "|th[a-z]+n|", n_hits=10)
+
+
+# --- E06 speeches --------------------------------------------------------------------------
+
+@register("E06_speeches", with_sql(SQL_SPEECH_TOKENS, SQL_CODES) + f"""
+SELECT h.document_id, h.document_name, h.chamber_abbrev, h.year, h.speech_id, h.speech_name, h.person_id,
+       {SQL_DECODED}
+FROM speech_index h {SQL_DECODE_JOINS}
+WHERE h.year BETWEEN 1980 AND 1995 AND h.chamber_abbrev IN ('en', 'de') AND h.gender_id IN (1, 2)
+""")
+def q_e06(spark, sf_dir):
+    return jobs.speeches(corpus(spark, sf_dir), {"year": (1980, 1995), "chamber_abbrev": ["en", "de"],
+                                                 "gender_id": [1, 2], "unknown_column": 5, "party_id": None})
+
+
+# --- E09 speakers ---------------------------------------------------------------------------
+
+@register("E09_speakers", with_sql(SQL_CODES) + """
+, sel AS (SELECT * FROM persons WHERE person_id IN (SELECT person_id FROM person_party WHERE party_id IN (1, 2)))
+, lists AS (
+  SELECT pp.person_id, string_agg(DISTINCT pa.party_abbrev, ', ' ORDER BY pa.party_abbrev) AS abbrevs
+  FROM person_party pp LEFT JOIN party pa ON pp.party_id = pa.party_id GROUP BY pp.person_id
+)
+SELECT s.name, coalesce(l.abbrevs, '?') AS party_abbrev, s.year_of_birth, s.year_of_death, s.person_id
+FROM sel s LEFT JOIN lists l ON s.person_id = l.person_id
+""")
+def q_e09(spark, sf_dir):
+    return jobs.speakers(corpus(spark, sf_dir), {"party_id": [1, 2]})
+
+
+@register("E09_speakers_by_chamber", with_sql(SQL_SPEECH_TOKENS, SQL_CODES) + """
+, sel AS (SELECT * FROM persons WHERE person_id IN (SELECT person_id FROM speech_index WHERE lower(chamber_abbrev) = 'fr')
+                                  AND gender_id IN (2))
+, lists AS (
+  SELECT pp.person_id, string_agg(DISTINCT pa.party_abbrev, ', ' ORDER BY pa.party_abbrev) AS abbrevs
+  FROM person_party pp LEFT JOIN party pa ON pp.party_id = pa.party_id GROUP BY pp.person_id
+)
+SELECT s.name, coalesce(l.abbrevs, '?') AS party_abbrev, s.year_of_birth, s.year_of_death, s.person_id
+FROM sel s LEFT JOIN lists l ON s.person_id = l.person_id
+""")
+def q_e09_chamber(spark, sf_dir):
+    return jobs.speakers(corpus(spark, sf_dir), {"chamber_abbrev": ["FR"], "gender_id": [2], "party_id": []})
+
+
+# --- E10 metadata lists -----------------------------------------------------------------------
+
+@register("E10_years", with_sql(SQL_SPEECH_TOKENS) + """
+SELECT min(year) AS min_year, max(year) AS max_year FROM speech_index
+""")
+def q_e10_years(spark, sf_dir):
+    return jobs.metadata_lists(corpus(spark, sf_dir))["years"]
+
+
+@register("E10_parties", with_sql(SQL_CODES) + "SELECT * FROM party ORDER BY sort_order, party")
+def q_e10_parties(spark, sf_dir):
+    return jobs.metadata_lists(corpus(spark, sf_dir))["parties"]
+
+
+@register("E10_chambers", with_sql(SQL_CODES) + "SELECT * FROM chamber WHERE trim(chamber_abbrev) <> ''")
+def q_e10_chambers(spark, sf_dir):
+    return jobs.metadata_lists(corpus(spark, sf_dir))["chambers"]
+
+
+@register("E10_office_types", with_sql(SQL_CODES) + "SELECT * FROM office_type")
+def q_e10_offices(spark, sf_dir):
+    return jobs.metadata_lists(corpus(spark, sf_dir))["office_types"]
+
+
+@register("E10_sub_office_types", with_sql(SQL_CODES) + "SELECT * FROM sub_office_type")
+def q_e10_sub_offices(spark, sf_dir):
+    return jobs.metadata_lists(corpus(spark, sf_dir))["sub_office_types"]
+
+
+@register("E10_genders", with_sql(SQL_CODES) + "SELECT * FROM gender")
+def q_e10_genders(spark, sf_dir):
+    return jobs.metadata_lists(corpus(spark, sf_dir))["genders"]

@@ -90,3 +90,78 @@ def metadata_lists(corpus: Corpus) -> dict[str, DataFrame]:
         "office_types": corpus.office_type,
         "sub_office_types": corpus.sub_office_type,
     }
+
+
+# E01 --------------------------------------------------------------------------------
+
+KWIC_COLUMNS = ["left_word", "node_word", "right_word", "year", "name", "party_abbrev", "party", "gender",
+                "gender_abbrev", "person_id", "link", "speech_name", "speech_link", "document_name",
+                "chamber_abbrev", "speech_id", "wiki_id", "document_id"]
+
+
+def kwic(corpus: Corpus, keywords: str | Sequence[str], *, lemmatized: bool = True, words_before: int = 2,
+         words_after: int = 2, p_show: str = "word", cut_off: int | None = 200_000,
+         criteria: Sequence[Mapping[str, Any]] | None = None) -> DataFrame:
+    """KWIC with speaker/year criteria, lemma search by default, decoded speech
+    columns. The hit cap keeps the first `cut_off` hits in corpus order; decoding runs
+    on the capped hits only."""
+    from ..operators import tokens
+
+    words = keywords.split() if isinstance(keywords, str) else list(keywords)
+    target = "lemma" if lemmatized else "word"
+    pattern = [{"target": target, "value": w} for w in words]
+    keep = ["document_id", "document_name", "speech_id", "speech_name", "year", "chamber_abbrev", "person_id",
+            "gender_id", "party_id"]
+    hits = tokens.kwic(corpus.speech_tokens, pattern, words_before=words_before, words_after=words_after,
+                       p_show=p_show, criteria=criteria, keep=keep, cut_off=cut_off)
+    decoded = codes.decode_speech_index(hits, corpus.code_tables())
+    return decoded.select(*KWIC_COLUMNS)
+
+
+# E02 --------------------------------------------------------------------------------
+
+def ngrams(corpus: Corpus, search_term: str | Sequence[str], *, n: int = 3, threshold: int = 2,
+           search_target: str = "word", display_target: str = "word", mode: str = "sliding",
+           criteria: Sequence[Mapping[str, Any]] | None = None, documents: bool = False) -> DataFrame:
+    """N-grams around a search phrase. With `documents` the long (ngram, speech_id)
+    table is returned instead of the counts."""
+    from ..operators import tokens
+
+    terms = [search_term] if isinstance(search_term, str) else list(search_term)
+    if not terms:
+        raise ValueError("search_term must contain at least one term")
+    pattern = [{"target": search_target, "value": t} for t in terms]
+    context, compile_mode = tokens.n_gram_frame(n, len(pattern), mode)
+    win = tokens.windows(corpus.speech_tokens, pattern, context=context, p_show=display_target, criteria=criteria)
+    if documents:
+        return tokens.ngram_documents(win, n=n, threshold=threshold, mode=compile_mode)
+    return tokens.compile_n_grams(win, n=n, threshold=threshold, mode=compile_mode)
+
+
+# E04 --------------------------------------------------------------------------------
+
+def speeches_with_words(corpus: Corpus, terms: Sequence[str], filter_opts: Mapping[str, Any] | None = None
+                        ) -> DataFrame:
+    """Speeches containing any of the words, with the words found (search-term order)."""
+    from ..operators import tokens
+
+    st = corpus.speech_tokens
+    st = st.where(predicate(st.columns, filter_opts or {}))
+    words = [t.lower() for t in terms if t]  # lemmas are lower case (P10)
+    found = tokens.documents_with_words(st, words)
+    si = predicates.speeches_by_opts(corpus.speech_index, filter_opts)
+    joined = si.join(found, "document_id", "inner")
+    return codes.decode_speech_index(joined, corpus.code_tables())
+
+
+# E05 --------------------------------------------------------------------------------
+
+def word_hits(corpus: Corpus, search: str, n_hits: int = 5) -> DataFrame:
+    """Vocabulary suggestions: the most frequent lemmas matching a literal, a `*`
+    glob or a `|regex|`. The pattern is applied to tokens before they are counted."""
+    from ..operators import dtm
+
+    flat = corpus.speech_tokens.select(F.explode("lemma").alias("token"))
+    cand = dtm.matching_words(flat, [search] if search == search.lower() or "*" in search else [search.lower()])
+    tf = cand.groupBy("token").agg(F.count(F.lit(1)).alias("tf"))
+    return dtm.top_n_words(tf, n_hits)

@@ -25,7 +25,7 @@ def duckdb_connection(sf_dir: str):
 
 
 def _canon(v) -> str:
-    if v is None:
+    if v is None or v is getattr(__import__("pandas"), "NA", None) or type(v).__name__ in ("NAType", "NaTType"):
         return "NULL"
     if isinstance(v, bool):
         return str(v)
