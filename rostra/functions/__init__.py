@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded_broadcast, with_scalars
+
 # Fixed values -----------------------------------------------------------------------
 # Period lengths in years.
 TIME_PERIODS = {"year": 1, "lustrum": 5, "decade": 10}
@@ -107,8 +109,9 @@ def speech_link(document_name: Column, page: Column | int = 1, base_url: str = D
 # F06 ---------------------------------------------------------------------------------
 
 def multiple_replace(text: Column, replace_map: Mapping[str, str], ignore_case: bool = False) -> Column:
-    """Replace many literal strings in one left-to-right scan: one alternation of all
-    keys, longest first; each match is looked up in the map (case-folded if asked)."""
+    """Replace many literal strings (longest key first). Spark has no replacement
+    callback, so this is a chain of literal replacements; it equals one left-to-right
+    pass as long as no replacement contains a key, which is checked."""
     if not replace_map:
         return text
     import re
@@ -145,8 +148,9 @@ def load_term_substitutions(df: DataFrame, default_term: str = MASKED_TERM, voca
 
 
 def substitute_tokens(tokens: DataFrame, substitutions: DataFrame, token_col: str = "token") -> DataFrame:
-    """F06 token level: left join on a (bounded, broadcast) substitution table."""
-    s = F.broadcast(substitutions.select(F.col("term").alias(token_col), "replacement"))
+    """F06 token level: left join on a substitution table (broadcast when its size is
+    within the bound)."""
+    s = bounded_broadcast(substitutions.select(F.col("term").alias(token_col), "replacement"))
     return tokens.join(s, token_col, "left") \
         .withColumn(token_col, F.coalesce("replacement", token_col)).drop("replacement")
 
@@ -192,7 +196,7 @@ def normalize_column(df: DataFrame, col: str, by: Sequence[str] = (), p: int = 1
     else:
         agg = F.pow(F.sum(F.pow(F.abs(col), p)), 1.0 / p)
     norms = df.groupBy(*by).agg(agg.alias("_norm"))
-    joined = df.join(norms, list(by), "inner") if by else df.join(norms.select("_norm"), how="cross")
+    joined = df.join(norms, list(by), "inner") if by else with_scalars(df, norms)
     return joined.withColumn(col, F.when(F.col("_norm") == 0, F.col(col).cast("double"))
                              .otherwise(F.col(col) / F.col("_norm"))).drop("_norm")
 

@@ -38,7 +38,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load_all() -> None:
-    from . import catalog_more  # noqa: F401  (registers the remaining queries)
+    from . import catalog_more, catalog_stats  # noqa: F401  (register the remaining queries)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:

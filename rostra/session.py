@@ -82,3 +82,10 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(max(cores * 2, 2), key)
     return df
+
+
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a single-row aggregate (a total, a count) to every row:
+    a broadcast equi-join on a constant key."""
+    key = "_one_row_key"
+    return df.withColumn(key, F.lit(1)).join(F.broadcast(one_row.withColumn(key, F.lit(1))), key, "inner").drop(key)
