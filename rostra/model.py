@@ -232,6 +232,26 @@ class Corpus:
                         .alias("n_utterances"))
 
 
+    @cached_property
+    def protocol_speech_index(self) -> DataFrame:
+        """Speech index of the protocols: keys, names and speaker attributes by rule."""
+        s = self.protocol_speeches
+        pid, k = F.col("protocol_id"), F.col("speech_no")
+        pname = F.format_string("prot-%d--cv--%06d", F.lit(1970) + pid % 50, pid)
+        return s.select(
+            (pid * 1000 + k).alias("document_id"),
+            F.concat(pname, F.format_string("_%03d", k + 1)).alias("document_name"),
+            pname.alias("protocol_name"),
+            F.format_string("i-c%d-%d", pid, k).alias("speech_id"),
+            "protocol_id", "speech_no", "n_utterances",
+            ((pid + k) % 150).alias("person_id"),
+            ((pid + k) % 3).alias("gender_id"),
+            ((pid * 7 + k) % 30).alias("party_id"),
+            F.when((pid + k) % 7 == 0, F.lit("missing"))
+             .otherwise(F.concat(F.lit("n-"), (pid * 3 + k).cast("string"))).alias("speaker_note_id"),
+        )
+
+
 # ---------------------------------------------------------------------------------
 # The same model as SQL (DuckDB dialect). Concatenate the CTEs a query needs.
 # ---------------------------------------------------------------------------------
@@ -332,6 +352,19 @@ protocol_speeches AS (
   SELECT protocol_id, speech_no, least(2, n_turns - speech_no * 2) AS n_utterances FROM (
     SELECT protocol_id, n_turns, unnest(generate_series(0, (n_turns - 1) // 2)) AS speech_no FROM (
       SELECT conv_id AS protocol_id, max(turn) + 1 AS n_turns FROM conversations GROUP BY conv_id))
+),
+protocol_speech_index AS (
+  SELECT protocol_id * 1000 + speech_no AS document_id,
+         printf('prot-%d--cv--%06d', 1970 + protocol_id % 50, protocol_id) || printf('_%03d', speech_no + 1)
+           AS document_name,
+         printf('prot-%d--cv--%06d', 1970 + protocol_id % 50, protocol_id) AS protocol_name,
+         printf('i-c%d-%d', protocol_id, speech_no) AS speech_id,
+         protocol_id, speech_no, n_utterances,
+         (protocol_id + speech_no) % 150 AS person_id, (protocol_id + speech_no) % 3 AS gender_id,
+         (protocol_id * 7 + speech_no) % 30 AS party_id,
+         CASE WHEN (protocol_id + speech_no) % 7 = 0 THEN 'missing'
+              ELSE 'n-' || CAST(protocol_id * 3 + speech_no AS VARCHAR) END AS speaker_note_id
+  FROM protocol_speeches
 )"""
 
 
