@@ -38,7 +38,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load_all() -> None:
-    from . import catalog_more, catalog_ops, catalog_stats, catalog_text  # noqa: F401  (register the rest)
+    from . import catalog_more, catalog_ops, catalog_ops2, catalog_stats, catalog_text  # noqa: F401
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
