@@ -18,7 +18,7 @@ No lemmatiser or tagger is built: lemma = lower(word), pos = a shape rule.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,7 +100,6 @@ class Corpus:
 
     spark: SparkSession
     sf_dir: str
-    _cache: dict = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
@@ -252,6 +251,35 @@ class Corpus:
         )
 
 
+def prepare_corpus(corpus: Corpus, folder: str) -> None:
+    """Tokenise once and store the speech rows (with token arrays) and the DTM as parquet
+    (S06). The DTM is built from the stored token arrays (no second tokenisation) and
+    sorted within files by document_id."""
+    base = folder.rstrip("/")
+    corpus.speech_tokens.write.mode("overwrite").parquet(f"{base}/speech_tokens")
+    stored = corpus.spark.read.parquet(f"{base}/speech_tokens")  # tokenised once, reused for the DTM
+    dtm = stored.select("document_id", F.explode("lemma").alias("token")) \
+        .groupBy("document_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    dtm.sortWithinPartitions("document_id").write.mode("overwrite").parquet(f"{base}/dtm")
+
+
+class PreparedCorpus(Corpus):
+    """A corpus whose token arrays and DTM are read from a prepared folder (S05); code
+    tables and protocols still come from the driver tables."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, folder: str):
+        super().__init__(spark, sf_dir)
+        self.folder = folder.rstrip("/")
+
+    @cached_property
+    def speech_tokens(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/speech_tokens")
+
+    @cached_property
+    def dtm(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/dtm")
+
+
 # ---------------------------------------------------------------------------------
 # The same model as SQL (DuckDB dialect). Concatenate the CTEs a query needs.
 # ---------------------------------------------------------------------------------

@@ -36,39 +36,77 @@ LN_CLIP = 1e-10
 def vocabulary_ids(tokens: DataFrame, max_size: int = MAX_CO_OCCURRENCE_VOCAB) -> DataFrame:
     """Ids 0..K-1 in token order for a bounded vocabulary (one column `token`).
 
-    The size is checked first; K rows fit in one task by construction."""
-    n = tokens.limit(max_size + 1).count()
-    if n > max_size:
-        raise ValueError(f"vocabulary has more than {max_size} tokens; prune it first (slice_by_n_top / slice_by_tf)")
+    The ids are computed once and checkpointed (K rows in the shared checkpoint folder),
+    then the bound is checked on the stored rows; later uses do not recompute the
+    vocabulary. K rows fit in one task by construction."""
     w = Window.orderBy("token")
-    return tokens.select("token").distinct().withColumn("token_id", (F.row_number().over(w) - 1).cast("int"))
-
-
-def _block_products(k: int, pivots: Sequence[str]):
-    """mapInPandas function: rows (pivots..., ids array, ns array) -> partial upper-triangle sums."""
+    ids = tokens.select("token").distinct().withColumn("token_id", (F.row_number().over(w) - 1).cast("int"))
+    ids = ids.checkpoint(eager=True)
+    if ids.limit(max_size + 1).count() > max_size:
+        raise ValueError(f"vocabulary has more than {max_size} tokens; prune it first (slice_by_n_top / slice_by_tf)")
+    return ids
+
+
+def _upper_triangle(acc: np.ndarray) -> pd.DataFrame:
+    ii, jj = np.nonzero(np.triu(acc, 1))
+    return pd.DataFrame({"w1_id": ii.astype(np.int32), "w2_id": jj.astype(np.int32), "n": acc[ii, jj]})
+
+
+def _accumulate(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, n_rows: int) -> np.ndarray | None:
+    """Σ over rows of x xᵀ for a sparse (row, col, weight) batch: dense K x K with K =
+    largest id present + 1, built in row blocks of bounded size."""
+    if len(cols) == 0:
+        return None
+    k = int(cols.max()) + 1
+    acc = np.zeros((k, k), dtype=np.float64)
+    rows_per_block = max(1, _BLOCK_CELLS // k)
+    order = np.argsort(rows, kind="stable")
+    rows, cols, weights = rows[order], cols[order], weights[order]
+    bounds = np.searchsorted(rows, np.arange(0, n_rows + rows_per_block, rows_per_block))
+    for blk in range(len(bounds) - 1):
+        lo, hi = bounds[blk], bounds[blk + 1]
+        if lo == hi:
+            continue
+        base = blk * rows_per_block
+        x = np.zeros((min(rows_per_block, n_rows - base), k), dtype=np.float64)
+        np.add.at(x, (rows[lo:hi] - base, cols[lo:hi]), weights[lo:hi])
+        acc += x.T @ x
+    return acc
+
+
+def _flatten(lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter((len(v) for v in lists), dtype=np.int64, count=len(lists))
+    flat = np.concatenate([np.asarray(v) for v in lists]) if lengths.sum() else np.empty(0)
+    return np.repeat(np.arange(len(lists)), lengths), flat
+
+
+def _block_products(pivots: Sequence[str], token_index: dict[str, int] | None = None):
+    """mapInPandas function: rows (pivots..., ids, ns) - or (pivots..., toks) with a token
+    index - to partial upper-triangle sums per pivot value, one product per row block."""
 
     def run(batches):
         for pdf in batches:
             if pdf.empty:
                 continue
-            groups = pdf.groupby(list(pivots), sort=False, dropna=False).indices if pivots else {(): np.arange(len(pdf))}
+            groups = pdf.groupby(list(pivots), sort=False, dropna=False).indices if pivots \
+                else {(): np.arange(len(pdf))}
             for key, idx in groups.items():
                 key = key if isinstance(key, tuple) else (key,)
-                acc = np.zeros((k, k), dtype=np.float64)
-                rows_per_block = max(1, _BLOCK_CELLS // max(k, 1))
-                for s in range(0, len(idx), rows_per_block):
-                    part = idx[s:s + rows_per_block]
-                    x = np.zeros((len(part), k), dtype=np.float64)
-                    for r, i in enumerate(part):
-                        ids = np.asarray(pdf["ids"].iat[i], dtype=np.int64)
-                        if len(ids):
-                            np.add.at(x[r], ids, np.asarray(pdf["ns"].iat[i], dtype=np.float64))
-                    acc += x.T @ x
-                ii, jj = np.nonzero(np.triu(acc, 1))
-                if len(ii) == 0:
+                if token_index is None:
+                    rows, cols = _flatten(pdf["ids"].to_numpy()[idx])
+                    _, weights = _flatten(pdf["ns"].to_numpy()[idx])
+                    cols = cols.astype(np.int64)
+                    weights = weights.astype(np.float64)
+                else:
+                    rows, toks = _flatten(pdf["toks"].to_numpy()[idx])
+                    cols = pd.Series(toks, dtype=object).map(token_index).to_numpy(dtype=np.int64)
+                    weights = np.ones(len(cols))
+                acc = _accumulate(rows, cols, weights, len(idx))
+                if acc is None:
+                    continue
+                out = _upper_triangle(acc)
+                if out.empty:
                     continue
-                out = pd.DataFrame({"w1_id": ii.astype(np.int32), "w2_id": jj.astype(np.int32),
-                                    "n": acc[ii, jj]})
                 for name, value in zip(pivots, key if pivots else ()):
                     out[name] = value
                 yield out
@@ -76,28 +114,50 @@ def _block_products(k: int, pivots: Sequence[str]):
     return run
 
 
+def _name_pairs(ttm: DataFrame, ids: DataFrame, pivots: Sequence[str]) -> DataFrame:
+    names = F.broadcast(ids)
+    return ttm.join(names.select(F.col("token_id").alias("w1_id"), F.col("token").alias("w1")), "w1_id") \
+        .join(names.select(F.col("token_id").alias("w2_id"), F.col("token").alias("w2")), "w2_id") \
+        .select(*pivots, "w1", "w2", "n")
+
+
+def _pair_schema(pivot_fields) -> T.StructType:
+    return T.StructType([T.StructField("w1_id", T.IntegerType()), T.StructField("w2_id", T.IntegerType()),
+                         T.StructField("n", T.DoubleType()), *pivot_fields])
+
+
 def co_occurrence(dtm: DataFrame, vocab: DataFrame, pivots: Sequence[str] = (), index: DataFrame | None = None
                   ) -> DataFrame:
-    """J12 (M05 with pivots): Σ_d n(d,w1)·n(d,w2) for w1 < w2 over the tokens of `vocab`.
-
-    dtm: (document_id, token, n); with pivots, `index` supplies them per document.
+    """J12 (M05 with pivots) on a stored DTM: Σ_d n(d,w1)·n(d,w2) for w1 < w2 over the
+    tokens of `vocab`. dtm: (document_id, token, n); with pivots, `index` supplies them.
     Result: (pivots..., w1, w2, n) with w1 < w2 in token order."""
     ids = vocabulary_ids(vocab)
-    k = ids.count()
     cells = dtm.join(F.broadcast(ids), "token", "inner")
     if pivots:
         cells = cells.join(index.select("document_id", *pivots), "document_id", "inner")
     docs = cells.groupBy("document_id", *pivots).agg(
         F.collect_list("token_id").alias("ids"), F.collect_list(F.col("n").cast("double")).alias("ns"))
-    pivot_fields = [f for f in docs.schema.fields if f.name in pivots]
-    schema = T.StructType([T.StructField("w1_id", T.IntegerType()), T.StructField("w2_id", T.IntegerType()),
-                           T.StructField("n", T.DoubleType()), *pivot_fields])
-    partial = docs.select(*pivots, "ids", "ns").mapInPandas(_block_products(k, list(pivots)), schema)
+    schema = _pair_schema([f for f in docs.schema.fields if f.name in pivots])
+    partial = docs.select(*pivots, "ids", "ns").mapInPandas(_block_products(list(pivots)), schema)
     ttm = partial.groupBy(*pivots, "w1_id", "w2_id").agg(F.sum("n").alias("n"))
-    names = F.broadcast(ids)
-    return ttm.join(names.select(F.col("token_id").alias("w1_id"), F.col("token").alias("w1")), "w1_id") \
-        .join(names.select(F.col("token_id").alias("w2_id"), F.col("token").alias("w2")), "w2_id") \
-        .select(*pivots, "w1", "w2", "n")
+    return _name_pairs(ttm, ids, pivots)
+
+
+def co_occurrence_from_tokens(speeches: DataFrame, vocab: DataFrame, array_col: str = "lemma",
+                              pivots: Sequence[str] = ()) -> DataFrame:
+    """J12 straight from token arrays (one row per speech): no shuffle before the final
+    K x K aggregation. The bounded vocabulary (checked: at most MAX_CO_OCCURRENCE_VOCAB
+    tokens) is the only thing the driver sees; each array is narrowed to vocabulary
+    tokens with an IN-set filter, and every batch is reduced with one matrix product."""
+    ids = vocabulary_ids(vocab)
+    tokens = [r["token"] for r in ids.orderBy("token_id").collect()]  # K rows, bounded above
+    token_index = {t: i for i, t in enumerate(tokens)}
+    rows = speeches.select(*pivots, F.filter(array_col, lambda t: t.isin(tokens)).alias("toks"))
+    rows = rows.where(F.size("toks") > 1)
+    schema = _pair_schema([f for f in rows.schema.fields if f.name in pivots])
+    partial = rows.mapInPandas(_block_products(list(pivots), token_index), schema)
+    ttm = partial.groupBy(*pivots, "w1_id", "w2_id").agg(F.sum("n").alias("n"))
+    return _name_pairs(ttm, ids, pivots)
 
 
 # --------------------------------------------------------------------------------

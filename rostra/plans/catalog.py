@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import SQL_CODES, SQL_DTM, SQL_SPEECH_TOKENS, Corpus, with_sql
+from ..model import SQL_CODES, SQL_DTM, SQL_SPEECH_TOKENS, Corpus, PreparedCorpus, with_sql
 from . import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,8 +41,21 @@ def _load_all() -> None:
     from . import catalog_more, catalog_ops, catalog_ops2, catalog_stats, catalog_text  # noqa: F401
 
 
+# sf_dir -> folder of a prepared corpus (tokens and DTM stored once, see model.prepare_corpus)
+_PREPARED: dict[str, str] = {}
+
+
+def use_prepared(sf_dir: str, folder: str | None) -> None:
+    """Serve queries on `sf_dir` from a prepared corpus folder (None: back to the raw tables)."""
+    if folder is None:
+        _PREPARED.pop(sf_dir, None)
+    else:
+        _PREPARED[sf_dir] = folder
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    return Corpus(spark, sf_dir)
+    folder = _PREPARED.get(sf_dir)
+    return PreparedCorpus(spark, sf_dir, folder) if folder else Corpus(spark, sf_dir)
 
 
 # --- E03 word trends ----------------------------------------------------------------

@@ -36,7 +36,7 @@ def _top_vocab(c, n=N_TOP):
 
 def _ttm(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    return S.co_occurrence(c.dtm, _top_vocab(c))
+    return S.co_occurrence_from_tokens(c.speech_tokens, _top_vocab(c))
 
 
 @register("J12_co_occurrence", _SQL_TOP + "SELECT w1, w2, n FROM ttm")
@@ -44,6 +44,12 @@ def q_j12(spark, sf_dir):
     return _ttm(spark, sf_dir)
 
 
+@register("J12_co_occurrence_dtm", _SQL_TOP + "SELECT w1, w2, n FROM ttm")
+def q_j12_dtm(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    return S.co_occurrence(c.dtm, _top_vocab(c))
+
+
 def _sig_sql(expr: str, digits: int = 6) -> str:
     return _SQL_TOP + f"""
 , v AS (SELECT w1, w2, coalesce({expr}, 0.0) AS value FROM t)
@@ -112,7 +118,7 @@ _SQL_YEARLY = with_sql(SQL_SPEECH_TOKENS, SQL_DTM) + f"""
 def _yearly(spark, sf_dir):
     c = corpus(spark, sf_dir)
     vocab = _top_vocab(c, N_TOP_YEARLY)
-    ttm = S.co_occurrence(c.dtm, vocab, pivots=["year"], index=c.speech_index)
+    ttm = S.co_occurrence_from_tokens(c.speech_tokens, vocab, pivots=["year"])
     return c, vocab, ttm
 
 
