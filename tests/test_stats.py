@@ -1,0 +1,129 @@
+"""Co-occurrence and significance against numpy brute force on small matrices."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rostra.operators import stats as S
+
+CELLS = [(0, "a", 2), (0, "b", 1), (0, "c", 1), (1, "a", 1), (1, "c", 3), (2, "b", 2), (2, "c", 1), (3, "d", 5)]
+VOCAB = ["a", "b", "c", "d"]
+
+
+@pytest.fixture()
+def dtm(spark):
+    return spark.createDataFrame(CELLS, "document_id long, token string, n long")
+
+
+def _dense():
+    m = np.zeros((4, 4))
+    for d, t, n in CELLS:
+        m[d, VOCAB.index(t)] = n
+    return m
+
+
+def _ttm_np():
+    return np.triu(_dense().T @ _dense(), 1)
+
+
+def test_co_occurrence_equals_upper_triangle(spark, dtm):
+    vocab = spark.createDataFrame([(t,) for t in VOCAB], "token string")
+    got = {(r["w1"], r["w2"]): r["n"] for r in S.co_occurrence(dtm, vocab).collect()}
+    ref = _ttm_np()
+    exp = {(VOCAB[i], VOCAB[j]): ref[i, j] for i, j in zip(*np.nonzero(ref))}
+    assert got == exp
+
+
+def test_co_occurrence_from_tokens_matches(spark, dtm):
+    vocab = spark.createDataFrame([(t,) for t in VOCAB], "token string")
+    arrays = dtm.select("document_id", F.explode(F.array_repeat("token", F.col("n").cast("int"))).alias("t")) \
+        .groupBy("document_id").agg(F.collect_list("t").alias("lemma"))
+    a = {(r["w1"], r["w2"]): r["n"] for r in S.co_occurrence_from_tokens(arrays, vocab).collect()}
+    b = {(r["w1"], r["w2"]): r["n"] for r in S.co_occurrence(dtm, vocab).collect()}
+    assert a == b
+
+
+def test_vocabulary_bound_is_checked(spark, dtm):
+    vocab = spark.createDataFrame([(t,) for t in VOCAB], "token string")
+    with pytest.raises(ValueError):
+        S.vocabulary_ids(vocab, max_size=3)
+
+
+def _np_significance(metric):
+    c = _ttm_np()
+    z = c.sum()
+    zr = c.sum(axis=1)
+    ii, jj = np.nonzero(c)
+    cij = c[ii, jj]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if metric == "ppmi":
+            v = np.maximum(0, np.log(cij * z / (zr[ii] * zr[jj])))
+        elif metric == "dice":
+            v = 2.0 * cij / (zr[ii] + zr[jj])
+        elif metric == "hal_cwr":
+            v = cij / (zr[ii] + zr[jj] - cij)
+        else:
+            def ln(a):
+                return np.log(np.clip(a, 1e-10, None))
+            k = z
+            v = 2.0 * (k * ln(k) - zr[ii] * ln(zr[ii]) - zr[jj] * ln(zr[jj]) + cij * ln(cij)
+                       + (k - zr[ii] - zr[jj] + cij) * ln(k - zr[ii] - zr[jj] + cij)
+                       + (zr[ii] - cij) * ln(zr[ii] - cij) + (zr[jj] - cij) * ln(zr[jj] - cij)
+                       - (k - zr[ii]) * ln(k - zr[ii]) - (k - zr[jj]) * ln(k - zr[jj]))
+    v = np.nan_to_num(v, posinf=0.0, neginf=0.0, nan=0.0)
+    return {(VOCAB[i], VOCAB[j]): x for i, j, x in zip(ii, jj, v) if x != 0}
+
+
+@pytest.mark.parametrize("metric", ["ppmi", "dice", "hal_cwr", "llr"])
+def test_significance_literal(spark, dtm, metric):
+    vocab = spark.createDataFrame([(t,) for t in VOCAB], "token string")
+    ttm = S.co_occurrence(dtm, vocab)
+    got = {(r["w1"], r["w2"]): r["value"] for r in S.significance(ttm, metric).collect()}
+    exp = _np_significance(metric)
+    assert got.keys() == exp.keys()
+    for k in exp:
+        assert math.isclose(got[k], exp[k], rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_tf_idf_like_sklearn(spark, dtm):
+    index = spark.createDataFrame([(i,) for i in range(5)], "document_id long")  # one empty document
+    got = {(r["document_id"], r["token"]): r["n"] for r in S.tf_idf(dtm, index).collect()}
+    m = _dense()
+    n_docs = 5
+    df = (m > 0).sum(axis=0)
+    w = m * (np.log((1 + n_docs) / (1 + df)) + 1)
+    w = w / np.linalg.norm(w, axis=1, keepdims=True)
+    for (d, t), v in got.items():
+        assert math.isclose(v, w[d, VOCAB.index(t)], rel_tol=1e-9)
+
+
+def test_goodness_of_fit_and_trend_against_dense(spark):
+    counts = spark.createDataFrame([("a", 2000, 3), ("a", 2002, 1), ("b", 2001, 4)], "token string, year int, n long")
+    years = spark.createDataFrame([(y,) for y in (2000, 2001, 2002, 2003)], "year int")
+    g = {r["token"]: r for r in S.goodness_of_fit(counts, years).collect()}
+    x = np.array([3.0, 0, 1, 0])
+    d, m = len(x), x.mean()
+    assert math.isclose(g["a"]["l2_norm"], (np.linalg.norm(x) * math.sqrt(d) - 1) / (math.sqrt(d) - 1))
+    assert math.isclose(g["a"]["chi2"], ((x - m) ** 2 / m).sum())
+    assert math.isclose(g["a"]["emd"], np.abs(x - m).mean())
+    p = x / x.sum()
+    assert math.isclose(g["a"]["entropy"], sum(v * math.log(v * d) for v in p if v > 0))
+    e = 1e-5
+    assert math.isclose(g["a"]["kld"], ((x + e) * np.log((x + e) / (m + e))).sum())
+    f = {r["token"]: r for r in S.fit_trends(counts, years).collect()}
+    slope, intercept = np.polyfit([2000, 2001, 2002, 2003], x, 1)
+    assert math.isclose(f["a"]["slope"], slope, rel_tol=1e-9)
+    assert math.isclose(f["a"]["intercept"], intercept, rel_tol=1e-6)
+    poly = {r["token"]: r["coefficients"] for r in S.fit_polynomial(counts, [2000, 2001, 2002, 2003], deg=2)
+            .collect()}
+    assert np.allclose(poly["a"], np.polyfit([2000, 2001, 2002, 2003], x, 2))
+
+
+def test_normalize_keeps_zero_rows_and_magnitude(spark, dtm):
+    out = {(r["document_id"], r["token"]): r["n"] for r in S.normalize(dtm, axis=1, norm="l1").collect()}
+    assert math.isclose(out[(0, "a")], 0.5)
+    km = {(r["document_id"], r["token"]): r["n"] for r in
+          S.normalize(dtm, axis=1, norm="l1", keep_magnitude=True).collect()}
+    assert math.isclose(km[(0, "a")], 0.5 * 4)  # sum(row 0) / sum(normalised row 0) = 4
