@@ -31,11 +31,31 @@ PROTOCOL_SCHEMA = T.StructType([
 ])
 
 
+# Speeches per bucket of the two-level running sum.
+PREFIX_BUCKET = 1024
+
+
+def running_sum_before(df: DataFrame, key: str, order: str, value: str, out: str,
+                       bucket: int = PREFIX_BUCKET) -> DataFrame:
+    """Exclusive running sum of `value` per `key` in `order` (an integer position),
+    computed in two levels so that one very large key is spread over many tasks:
+    sums within buckets of `bucket` positions, then a running sum over the bucket
+    totals (one row per bucket), joined back on (key, bucket)."""
+    b = F.floor(F.col(order) / bucket).alias("_bucket")
+    keyed = df.withColumn("_bucket", b)
+    inner = Window.partitionBy(key, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    keyed = keyed.withColumn("_within", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    totals = keyed.groupBy(key, "_bucket").agg(F.sum(value).alias("_total"))
+    outer = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(key, "_bucket", F.coalesce(F.sum("_total").over(outer), F.lit(0)).alias("_before"))
+    return keyed.join(offsets, [key, "_bucket"], "inner") \
+        .withColumn(out, (F.col("_before") + F.col("_within")).cast("bigint")).drop("_bucket", "_within", "_before")
+
+
 def speech_bounds(speech_index: DataFrame, protocol: str = "protocol_id", order: str = "speech_no") -> DataFrame:
     """Start offset = running sum of n_utterances of the earlier speeches."""
-    w = Window.partitionBy(protocol).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("n_utterances").over(w), F.lit(0)).cast("bigint")
-    return speech_index.withColumn("u_start", start).withColumn("u_end", F.col("u_start") + F.col("n_utterances"))
+    b = running_sum_before(speech_index, protocol, order, "n_utterances", "u_start")
+    return b.withColumn("u_end", F.col("u_start") + F.col("n_utterances"))
 
 
 def assign_utterances(speech_index: DataFrame, utterances: DataFrame, protocol: str = "protocol_id",

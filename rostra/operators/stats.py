@@ -17,7 +17,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,12 +36,13 @@ LN_CLIP = 1e-10
 def vocabulary_ids(tokens: DataFrame, max_size: int = MAX_CO_OCCURRENCE_VOCAB) -> DataFrame:
     """Ids 0..K-1 in token order for a bounded vocabulary (one column `token`).
 
-    The ids are computed once and checkpointed (K rows in the shared checkpoint folder),
-    then the bound is checked on the stored rows; later uses do not recompute the
-    vocabulary. K rows fit in one task by construction."""
-    w = Window.orderBy("token")
-    ids = tokens.select("token").distinct().withColumn("token_id", (F.row_number().over(w) - 1).cast("int"))
-    ids = ids.checkpoint(eager=True)
+    Ids come from the partitioned dense-id builder (range partitioning, checkpointed in
+    the shared folder), so no single task sees the vocabulary before its size is checked;
+    later uses read the checkpoint instead of recomputing the vocabulary."""
+    from .dtm import dense_ids
+
+    ids = dense_ids(tokens.select("token").distinct(), ["token"], id_col="token_id") \
+        .select("token", F.col("token_id").cast("int").alias("token_id"))
     if ids.limit(max_size + 1).count() > max_size:
         raise ValueError(f"vocabulary has more than {max_size} tokens; prune it first (slice_by_n_top / slice_by_tf)")
     return ids

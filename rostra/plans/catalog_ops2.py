@@ -463,3 +463,36 @@ def q_x02(spark, sf_dir):
     c = corpus(spark, sf_dir)
     tables = C.run_hooks(c.code_tables(), [C.add_multi_party_hook, C.rename_sub_office_hook])
     return tables["persons"].select("person_id", "multi_party_abbrev", "multi_party_id")
+
+
+@register("P15_kwic_custom", _STC + """
+, h AS (
+  SELECT st.*, g.P FROM speech_tokens st, unnest(generate_series(1, len(st.lemma))) AS g(P)
+  WHERE st.lemma[g.P] = 'und'
+)
+SELECT h.document_id, h.year AS "Year", h.speech_id, pa.party_abbrev AS "Party abbreviation",
+       array_to_string(list_slice(h.lemma, greatest(h.P - 1, 1), h.P - 1), ' ') AS left_word,
+       array_to_string(list_slice(h.lemma, h.P, h.P), ' ') AS node_word,
+       array_to_string(list_slice(h.lemma, h.P + 1, h.P + 1), ' ') AS right_word,
+       upper(array_to_string(list_slice(h.lemma, h.P + 1, h.P + 1), ' ')) AS right_upper
+FROM h LEFT JOIN party pa ON h.party_id = pa.party_id
+""")
+def q_p15(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    return jobs.kwic_custom(c, {"target": "lemma", "value": "und"}, words_before=1, words_after=1, p_show="lemma",
+                            s_show=["speech_id", "year", "party_id"],
+                            rename_columns={"year": "Year", "party_abbrev": "Party abbreviation"},
+                            compute_columns={"right_upper": F.upper("right_word")},
+                            display_columns=["document_id", "Year", "speech_id", "Party abbreviation", "left_word", "node_word",
+                                             "right_word", "right_upper"])
+
+
+@register("S15_index_check", _STD + """
+SELECT document_id FROM (SELECT DISTINCT document_id FROM dtm) WHERE document_id NOT IN (SELECT document_id FROM speech_index)
+UNION ALL
+SELECT document_id FROM speech_index WHERE n_tokens > 0 AND document_id NOT IN (SELECT document_id FROM dtm)
+""")
+def q_s15(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    nonempty = c.speech_index.where(F.col("n_tokens") > 0)
+    return D.check_index_covers(D.dtm_from_token_arrays(c.speech_tokens), nonempty)

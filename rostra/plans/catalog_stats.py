@@ -257,3 +257,37 @@ def q_m09(spark, sf_dir):
     counts, years = _year_counts(spark, sf_dir)
     f = S.fit_trends(counts, years)
     return f.select("token", *[F.round(c, 6).alias(c) for c in ("intercept", "slope", "corr")])
+
+
+# --- A17 as a streaming aggregation --------------------------------------------------------------
+
+@register("A17_streaming_term_frequency", with_sql(SQL_SPEECH_TOKENS) + """
+SELECT token, count(*) AS tf FROM (SELECT unnest(lemma) AS token FROM speech_tokens) GROUP BY token
+""")
+def q_a17_stream(spark, sf_dir):
+    import uuid
+
+    from ..session import scratch_path
+    from ..streaming import run_term_frequency
+
+    run = scratch_path(spark, f"a17-stream-{uuid.uuid4().hex}")
+    return run_term_frequency(spark, f"{sf_dir.rstrip('/')}/documents*.parquet", f"{run}/vocab", f"{run}/state")
+
+
+@register("M07_hal_cwr_by_mapping", _SQL_YEARLY + """
+, nwx AS (SELECT year, token, sum(n) AS nw_x FROM d GROUP BY year, token)
+, pairs AS (SELECT w1, w2, row_number() OVER (ORDER BY w1, w2) - 1 AS pair_id FROM (SELECT DISTINCT w1, w2 FROM ttm))
+SELECT t.year AS document_id, p.pair_id,
+       round(greatest(coalesce(CASE WHEN x.nw_x + y.nw_x - t.n = 0 THEN NULL
+                                    ELSE t.n / (x.nw_x + y.nw_x - t.n) END, 0.0), 0.0), 6) AS cwr
+FROM ttm t JOIN pairs p USING (w1, w2)
+LEFT JOIN nwx x ON t.year = x.year AND t.w1 = x.token LEFT JOIN nwx y ON t.year = y.year AND t.w2 = y.token
+""")
+def q_m07(spark, sf_dir):
+    c, vocab, ttm = _yearly(spark, sf_dir)
+    mapping = D.dense_ids(ttm.select("w1", "w2").distinct(), ["w1", "w2"], id_col="pair_id")
+    nw_xy = ttm.join(mapping, ["w1", "w2"]).select(F.col("year").alias("document_id"), "pair_id", "n")
+    cells = c.dtm.join(F.broadcast(vocab), "token", "left_semi").join(c.speech_index.select("document_id", "year"),
+                                                                      "document_id")
+    nw_x = cells.groupBy("year", "token").agg(F.sum("n").alias("nw_x")).withColumnRenamed("year", "document_id")
+    return S.hal_cwr_by_mapping(nw_xy, nw_x, mapping).withColumn("cwr", F.round("cwr", 6))

@@ -165,3 +165,27 @@ def word_hits(corpus: Corpus, search: str, n_hits: int = 5) -> DataFrame:
     cand = dtm.matching_words(flat, [search] if search == search.lower() or "*" in search else [search.lower()])
     tf = cand.groupBy("token").agg(F.count(F.lit(1)).alias("tf"))
     return dtm.top_n_words(tf, n_hits)
+
+
+# P15 --------------------------------------------------------------------------------
+
+def kwic_custom(corpus: Corpus, pattern, *, words_before: int = 3, words_after: int = 3, p_show: str = "word",
+                s_show: Sequence[str] = ("speech_id", "year", "chamber_abbrev"),
+                rename_columns: Mapping[str, str] | None = None,
+                compute_columns: Mapping[str, Any] | None = None,
+                display_columns: Sequence[str] | None = None, decode: bool = True,
+                cut_off: int | None = None) -> DataFrame:
+    """P15 (intended behaviour): KWIC with chosen speech attributes, optional decoding,
+    renames, computed columns (name -> Column) and a final column selection."""
+    from ..operators import tokens
+
+    keep = ["document_id", *[c for c in s_show if c != "document_id"]]
+    hits = tokens.kwic(corpus.speech_tokens, pattern, words_before=words_before, words_after=words_after,
+                       p_show=p_show, keep=keep, cut_off=cut_off)
+    if decode:
+        hits = codes.decode(hits, corpus.code_tables(), drop=True, keeps=["person_id"], ignores=["pid"])
+    for old, new in (rename_columns or {}).items():
+        hits = hits.withColumnRenamed(old, new)
+    for name, expr in (compute_columns or {}).items():
+        hits = hits.withColumn(name, expr)
+    return hits.select(*display_columns) if display_columns else hits

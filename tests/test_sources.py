@@ -100,3 +100,14 @@ def test_canonical_protocol_names(spark):
     df = spark.createDataFrame([("prot-1970--ak--29",), ("prot-1970--ak--0029",), ("x",)], "n string")
     got = [r["c"] for r in df.select(T.canonical_protocol_name(F.col("n")).alias("c")).collect()]
     assert got == ["prot-1970--ak--029", "prot-1970--ak--0029", "x"]
+
+
+def test_two_level_running_sum_matches_window(spark):
+    from pyspark.sql import Window
+
+    rows = [("hot", i, (i * 7) % 5) for i in range(100)] + [("cold", i, 1) for i in range(4)]
+    df = spark.createDataFrame(rows, "k string, pos long, v long")
+    got = T.running_sum_before(df, "k", "pos", "v", "s", bucket=3)
+    w = Window.partitionBy("k").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    ref = df.withColumn("s", F.coalesce(F.sum("v").over(w), F.lit(0)).cast("bigint"))
+    assert got.select("k", "pos", "v", "s").exceptAll(ref).count() == 0 and got.count() == ref.count()
