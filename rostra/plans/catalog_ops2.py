@@ -474,7 +474,7 @@ SELECT h.document_id, h.year AS "Year", h.speech_id, pa.party_abbrev AS "Party a
        array_to_string(list_slice(h.lemma, greatest(h.P - 1, 1), h.P - 1), ' ') AS left_word,
        array_to_string(list_slice(h.lemma, h.P, h.P), ' ') AS node_word,
        array_to_string(list_slice(h.lemma, h.P + 1, h.P + 1), ' ') AS right_word,
-       upper(array_to_string(list_slice(h.lemma, h.P + 1, h.P + 1), ' ')) AS right_upper
+       array_to_string(list_slice(h.lemma, h.P, h.P), ' ') || '|' || array_to_string(list_slice(h.lemma, h.P + 1, h.P + 1), ' ') AS pair
 FROM h LEFT JOIN party pa ON h.party_id = pa.party_id
 """)
 def q_p15(spark, sf_dir):
@@ -482,9 +482,9 @@ def q_p15(spark, sf_dir):
     return jobs.kwic_custom(c, {"target": "lemma", "value": "und"}, words_before=1, words_after=1, p_show="lemma",
                             s_show=["speech_id", "year", "party_id"],
                             rename_columns={"year": "Year", "party_abbrev": "Party abbreviation"},
-                            compute_columns={"right_upper": F.upper("right_word")},
+                            compute_columns={"pair": F.concat_ws("|", "node_word", "right_word")},
                             display_columns=["document_id", "Year", "speech_id", "Party abbreviation", "left_word", "node_word",
-                                             "right_word", "right_upper"])
+                                             "right_word", "pair"])
 
 
 @register("S15_index_check", _STD + """
