@@ -59,11 +59,15 @@ def word_trends(corpus: Corpus, search_terms: Sequence[str], filter_opts: Mappin
     decoded = codes.decode(counts, corpus.code_tables(), drop=True, ignores=["wiki_id", "party", "pid"])
     label = F.concat_ws(" ", F.col("token"), *[F.col(t).cast("string") for _, t in label_cols])
     trends = decoded.select(F.col("year"), label.alias("label"), F.col("n"))
-    # namesakes or shared abbreviations map to one label: sum them
-    trends = trends.groupBy("year", "label").agg(F.sum("n").alias("n"))
+    # one aggregation for both the labels (namesakes summed) and the per-year total:
+    # grouping sets (year, label) and (year)
+    g = trends.rollup("year", "label").agg(F.sum("n").alias("n"), F.grouping("year").alias("_gy"),
+                                           F.grouping("label").alias("_gl")).where(F.col("_gy") == 0)
     if len(terms) > 1 or pivot_keys:
-        total = trends.groupBy("year").agg(F.sum("n").alias("n")).select("year", F.lit(TOTAL_LABEL).alias("label"), "n")
-        trends = trends.unionByName(total)
+        g = g.withColumn("label", F.when(F.col("_gl") == 1, F.lit(TOTAL_LABEL)).otherwise(F.col("label")))
+    else:
+        g = g.where(F.col("_gl") == 0)
+    trends = g.select("year", "label", "n")
     return trends
 
 
