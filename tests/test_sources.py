@@ -111,3 +111,37 @@ def test_two_level_running_sum_matches_window(spark):
     w = Window.partitionBy("k").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     ref = df.withColumn("s", F.coalesce(F.sum("v").over(w), F.lit(0)).cast("bigint"))
     assert got.select("k", "pos", "v", "s").exceptAll(ref).count() == 0 and got.count() == ref.count()
+
+
+def test_code_tables_vocab_and_gzip_frames(spark, scratch):
+    gender = spark.createDataFrame([(1, "man"), (2, "woman")], "gender_id int, gender string")
+    gender.write.parquet(os.path.join(scratch, "gender"))
+    tables = SRC.read_tables(spark, scratch, ["gender"])
+    assert tables["gender"].count() == 2
+    vocab = spark.createDataFrame([("a", 0, 5), ("b", 1, 2)], "token string, token_id long, tf long")
+    SRC.store_vocab(vocab, os.path.join(scratch, "vocab"))
+    ids = spark.createDataFrame([(1,), (0,)], "token_id long")
+    got = SRC.ids_to_tokens(ids, SRC.load_vocab(spark, os.path.join(scratch, "vocab")))
+    assert sorted(r["token"] for r in got.collect()) == ["a", "b"]
+    SRC.store_frames({"g": gender}, os.path.join(scratch, "zipped"))
+    files = os.listdir(os.path.join(scratch, "zipped", "g"))
+    assert any(f.endswith(".csv.gz") for f in files)
+    back = spark.read.option("header", True).csv(os.path.join(scratch, "zipped", "g"))
+    assert back.count() == 2
+
+
+def test_term_substitutions(spark, scratch):
+    from rostra import functions as fx
+
+    lines = spark.createDataFrame([("foo;bar",), ("baz",), ("",)], "_c0 string")
+    subst = fx.load_term_substitutions(lines)
+    assert sorted((r["term"], r["replacement"]) for r in subst.collect()) == [("baz", "_masked_"), ("foo", "bar")]
+    tokens = spark.createDataFrame([("foo",), ("x",), ("baz",)], "token string")
+    assert sorted(r["token"] for r in fx.substitute_tokens(tokens, subst).collect()) == ["_masked_", "bar", "x"]
+
+
+def test_documents_as_list(spark):
+    from rostra.operators import tokens as TK
+
+    df = spark.createDataFrame([("D1,D2,D3",)], "documents string")
+    assert df.select(TK.documents_as_list(F.col("documents")).alias("d")).first()["d"] == ["D1", "D2", "D3"]
