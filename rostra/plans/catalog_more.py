@@ -194,9 +194,18 @@ def q_e10_parties(spark, sf_dir):
     return jobs.metadata_lists(corpus(spark, sf_dir))["parties"]
 
 
-@register("E10_chambers", with_sql(SQL_CODES) + "SELECT * FROM chamber WHERE trim(chamber_abbrev) <> ''")
+@register("E10_chambers", with_sql(SQL_SPEECH_TOKENS, SQL_CODES) + """
+SELECT c.*, count(si.document_id) AS n_speeches FROM chamber c LEFT JOIN speech_index si USING (chamber_abbrev)
+WHERE trim(c.chamber_abbrev) <> '' GROUP BY ALL
+""")
 def q_e10_chambers(spark, sf_dir):
-    return jobs.metadata_lists(corpus(spark, sf_dir))["chambers"]
+    c = corpus(spark, sf_dir)
+    return _with_speech_counts(jobs.metadata_lists(c)["chambers"], c.speech_index, "chamber_abbrev")
+
+
+def _with_speech_counts(codes_df, speech_index, key):
+    n = speech_index.groupBy(key).agg(F.count(F.lit(1)).alias("n_speeches"))
+    return codes_df.join(n, key, "left").withColumn("n_speeches", F.coalesce("n_speeches", F.lit(0)))
 
 
 @register("E10_office_types", with_sql(SQL_CODES) + "SELECT * FROM office_type")
@@ -209,6 +218,10 @@ def q_e10_sub_offices(spark, sf_dir):
     return jobs.metadata_lists(corpus(spark, sf_dir))["sub_office_types"]
 
 
-@register("E10_genders", with_sql(SQL_CODES) + "SELECT * FROM gender")
+@register("E10_genders", with_sql(SQL_SPEECH_TOKENS, SQL_CODES) + """
+SELECT g.*, count(si.document_id) AS n_speeches FROM gender g LEFT JOIN speech_index si USING (gender_id)
+GROUP BY ALL
+""")
 def q_e10_genders(spark, sf_dir):
-    return jobs.metadata_lists(corpus(spark, sf_dir))["genders"]
+    c = corpus(spark, sf_dir)
+    return _with_speech_counts(jobs.metadata_lists(c)["genders"], c.speech_index, "gender_id")

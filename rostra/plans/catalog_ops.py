@@ -372,9 +372,28 @@ def q_u01(spark, sf_dir):
     return D.extend_index(a, b)
 
 
-@register("U03_exclude_tags", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{t}', '{g}')" for t, g, _ in POS.SUC_TAGS if g not in ("Noun", "Delimiter") and t != "AB") +
-    ") AS s(tag, tag_group_name)")
+_SQL_TAGGED = r"""
+tagged AS (
+  SELECT doc_id AS document_id,
+         CASE WHEN t = '.' THEN 'MAD' WHEN t = ',' THEN 'MID'
+              WHEN NOT regexp_full_match(t, '[\p{L}\p{N}]+') THEN 'PAD'
+              WHEN regexp_full_match(t, '[0-9]+') THEN 'RG'
+              WHEN substr(t, 1, 1) <> lower(substr(t, 1, 1)) THEN 'PM' ELSE 'NN' END AS tag
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) AS t FROM documents)
+)"""
+
+
+@register("U03_exclude_tags", with_sql(_SQL_TAGGED) + """
+, kept AS (SELECT * FROM (VALUES """ + ", ".join(
+    f"('{t}', '{g}')" for t, g, _ in POS.SUC_TAGS if g not in ("Noun", "Delimiter") and t != "AB") + """)
+           AS s(tag, tag_group_name))
+SELECT k.tag, k.tag_group_name, count(t.tag) AS n FROM kept k LEFT JOIN tagged t USING (tag)
+GROUP BY k.tag, k.tag_group_name
+""")
 def q_u03(spark, sf_dir):
-    # the scheme is a fixed code table; the query reads no driver table beyond it
-    return POS.all_types_except(POS.scheme(spark), ["Noun", "AB"]).select("tag", "tag_group_name")
+    c = corpus(spark, sf_dir)
+    kept = POS.all_types_except(POS.scheme(spark), ["Noun", "AB"]).select("tag", "tag_group_name")
+    toks = c.documents.select(F.explode(F.regexp_extract_all("text", F.lit(POS.TAGGED_TOKEN_PATTERN), 0)).alias("t"))
+    counts = toks.select(POS.stand_in_tag(F.col("t")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return kept.join(counts, "tag", "left").select("tag", "tag_group_name",
+                                                   F.coalesce("n", F.lit(0)).alias("n"))
