@@ -63,14 +63,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name)
 
 
+_SIZE_CHECKS: dict[tuple[int, int, int], bool] = {}
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Broadcast `df` only when it provably has at most `max_rows` rows.
 
-    The check reads at most ``max_rows + 1`` rows (``limit`` stops the scan early).
-    Above the bound the frame is returned unchanged and Spark plans a shuffled join.
+    The check reads at most ``max_rows + 1`` rows (``limit`` stops the scan early); its
+    outcome is remembered per session and plan (tables are not rewritten in place while a
+    session runs). Above the bound the frame is returned unchanged and Spark plans a
+    shuffled join.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    key = (id(df.sparkSession), df.semanticHash(), max_rows)
+    small = _SIZE_CHECKS.get(key)
+    if small is None:
+        small = df.limit(max_rows + 1).count() <= max_rows
+        _SIZE_CHECKS[key] = small
+    return F.broadcast(df) if small else df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
