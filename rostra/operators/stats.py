@@ -41,10 +41,11 @@ def vocabulary_ids(tokens: DataFrame, max_size: int = MAX_CO_OCCURRENCE_VOCAB) -
     later uses read the checkpoint instead of recomputing the vocabulary."""
     from .dtm import dense_ids
 
-    ids = dense_ids(tokens.select("token").distinct(), ["token"], id_col="token_id") \
-        .select("token", F.col("token_id").cast("int").alias("token_id"))
-    if ids.limit(max_size + 1).count() > max_size:
+    distinct = tokens.select("token").distinct().checkpoint(eager=True)  # the vocabulary is computed once
+    if distinct.limit(max_size + 1).count() > max_size:
         raise ValueError(f"vocabulary has more than {max_size} tokens; prune it first (slice_by_n_top / slice_by_tf)")
+    ids = dense_ids(distinct, ["token"], id_col="token_id") \
+        .select("token", F.col("token_id").cast("int").alias("token_id"))
     return ids
 
 

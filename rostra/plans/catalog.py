@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import SQL_CODES, SQL_DTM, SQL_SPEECH_TOKENS, Corpus, PreparedCorpus, with_sql
+from ..model import SQL_CODES, SQL_SPEECH_TOKENS, Corpus, PreparedCorpus, with_sql
 from . import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..model import SQL_CODES, SQL_DTM, SQL_SPEECH_TOKENS, with_sql
-from ..operators import codes as C
 from ..operators import dtm as D
 from ..operators import pos as POS
 from ..operators import predicates as P

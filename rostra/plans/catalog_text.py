@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..model import SQL_CODES, SQL_UTTERANCES, with_sql
 from ..operators import speech_text as T
