@@ -152,7 +152,7 @@ class Corpus:
     def person_party(self) -> DataFrame:
         o = self.table("orders")
         pp = o.select(F.col("o_custkey").alias("person_id"),
-                      F.substring("o_orderpriority", 1, 1).cast("bigint").alias("party_id")).distinct()
+                      F.substring("o_orderpriority", 1, 1).try_cast("bigint").alias("party_id")).distinct()
         # person_party_id: a stable key derived from the pair, not a positional number.
         return pp.select((F.col("person_id") * 10 + F.col("party_id")).alias("person_party_id"),
                          "person_id", "party_id")
@@ -341,7 +341,7 @@ persons AS (
 ),
 person_party AS (
   SELECT person_id * 10 + party_id AS person_party_id, person_id, party_id FROM (
-    SELECT DISTINCT o_custkey AS person_id, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS party_id FROM orders)
+    SELECT DISTINCT o_custkey AS person_id, TRY_CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS party_id FROM orders)
 ),
 party AS (
   SELECT CAST(n_nationkey AS BIGINT) AS party_id, n_name AS party, replace(n_name, 'NATION_', 'N') AS party_abbrev,

@@ -148,7 +148,7 @@ def multi_party_abbrevs(persons: DataFrame, person_party: DataFrame, party: Data
     """Each person's distinct parties as text (abbrevs ', '-joined, ids ','-joined,
     sorted); persons without any -> '?'. The list per person is bounded by the number
     of parties (a code table)."""
-    pp = person_party.join(F.broadcast(party.select("party_id", "party_abbrev")), "party_id", "left")
+    pp = person_party.join(bounded_broadcast(party.select("party_id", "party_abbrev")), "party_id", "left")
     lists = pp.groupBy("person_id").agg(
         F.array_join(F.array_sort(F.collect_set("party_abbrev")), ", ").alias("multi_party_abbrev"),
         F.array_join(F.array_sort(F.collect_set(F.col("party_id").cast("string"))), ",").alias("multi_party_id"))

@@ -8,6 +8,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import bounded_broadcast
+
 # The SUC tag set (tag, group, description).
 SUC_TAGS = [
     ("AB", "Adverb", "Adverb"), ("DT", "Pronoun", "Determinator"), ("HA", "Adverb", "Adverbs (inq.)"),
@@ -52,7 +54,7 @@ def group_counts(tags: DataFrame, scheme_df: DataFrame, key: str = "document_id"
     counted in n_tokens. tags: (key, tag) one row per token."""
     groups = list(groups) if groups is not None else sorted(
         r["tag_group_name"] for r in scheme_df.select("tag_group_name").distinct().collect())
-    t = tags.join(F.broadcast(scheme_df.select("tag", "tag_group_name")), "tag", "left")
+    t = tags.join(bounded_broadcast(scheme_df.select("tag", "tag_group_name")), "tag", "left")
     wide = t.groupBy(key).pivot("tag_group_name", groups).agg(F.count(F.lit(1)))
     n = t.groupBy(key).agg(F.count(F.when(F.coalesce(F.col("tag_group_name"), F.lit("")) != DELIMITER, 1))
                            .alias("n_tokens"))

@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded_broadcast
+
 
 def pivot_wide(long: DataFrame, row_keys: Sequence[str], column: str, values: Sequence[Any],
                value: str = "n", fill: Any = 0) -> DataFrame:
@@ -33,7 +35,7 @@ def n_top_frame(dtm: DataFrame, tokens: DataFrame, documents: Sequence[Any], max
     the documents are few enough to pivot (`spark.sql.pivotMaxValues`); otherwise the
     long form is returned."""
     limit = max_documents or int(dtm.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
-    cells = dtm.join(F.broadcast(tokens.select("token")), "token", "left_semi")
+    cells = dtm.join(bounded_broadcast(tokens.select("token")), "token", "left_semi")
     if len(documents) > limit:
         return cells
     wide = cells.groupBy("token").pivot("document_id", list(documents)).agg(F.sum("n"))

@@ -113,8 +113,8 @@ def speech_texts(speech_index: DataFrame, utterances: DataFrame, persons: DataFr
             .when(F.col("speaker_note_id") == "missing", F.lit(fx.MISSING_NOTE))
             .otherwise(F.coalesce(F.col("speaker_note"), F.lit("(introductory note not found)"))))
     out = out.withColumn("speaker_note", note)
-    g = F.broadcast(gender.select("gender_id", "gender"))
-    pa = F.broadcast(party.select("party_id", "party_abbrev"))
+    g = bounded_broadcast(gender.select("gender_id", "gender"))
+    pa = bounded_broadcast(party.select("party_id", "party_abbrev"))
     out = out.join(g, "gender_id", "left").join(pa, "party_id", "left") \
         .withColumn("gender", F.coalesce("gender", F.lit(fx.UNKNOWN_CODE))) \
         .withColumn("party_abbrev", F.coalesce("party_abbrev", F.lit(fx.UNKNOWN_CODE)))

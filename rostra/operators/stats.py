@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import with_scalars
+from ..session import bounded_broadcast, with_scalars
 
 # A dense K x K product per batch; the vocabulary bound keeps it small.
 MAX_CO_OCCURRENCE_VOCAB = 5000
@@ -189,7 +189,7 @@ def significance(ttm: DataFrame, metric: str, *, pivots: Sequence[str] = (), nor
     zi = rows.select(*pv, "w1", F.col("zr").alias("zr_i"))
     zj = rows.select(*pv, F.col("w1").alias("w2"), F.col("zr").alias("zr_j"))
     t = ttm.join(zi, [*pv, "w1"], "left").join(zj, [*pv, "w2"], "left")
-    t = t.join(F.broadcast(total), pv, "inner") if pv else with_scalars(t, total.select("z"))
+    t = t.join(bounded_broadcast(total), pv, "inner") if pv else with_scalars(t, total.select("z"))
     cij = F.col("n").cast("double")
     zr_i = F.coalesce(F.col("zr_i"), F.lit(0.0))
     zr_j = F.coalesce(F.col("zr_j"), F.lit(0.0))
@@ -247,9 +247,10 @@ def hal_cwr(co_occurrences: DataFrame, nw_x: DataFrame, key: str = "document_id"
 def hal_cwr_by_mapping(nw_xy: DataFrame, nw_x: DataFrame, pair_mapping: DataFrame, key: str = "document_id"
                        ) -> DataFrame:
     """nw_xy as (key, pair_id, n) with a mapping table (pair_id, w1, w2)."""
-    co = nw_xy.join(F.broadcast(pair_mapping), "pair_id", "inner")
+    mapping = bounded_broadcast(pair_mapping)
+    co = nw_xy.join(mapping, "pair_id", "inner")
     return hal_cwr(co.select(key, "w1", "w2", "n"), nw_x, key).join(
-        F.broadcast(pair_mapping), ["w1", "w2"], "inner").select(key, "pair_id", "cwr")
+        mapping, ["w1", "w2"], "inner").select(key, "pair_id", "cwr")
 
 
 # --------------------------------------------------------------------------------
