@@ -131,6 +131,42 @@ def speech_texts(speech_index: DataFrame, utterances: DataFrame, persons: DataFr
     return res
 
 
+def resolve_keys(spark, speech_index: DataFrame, keys: Sequence[int | str]) -> DataFrame:
+    """J14 key forms for many requested speeches: integer document id, `prot-...`
+    document name or `i-...` speech id -> (key, document_id). Unknown keys keep a null
+    id; an unsupported key form raises ValueError (checked on the driver, per key)."""
+    from .codes import key_column
+
+    rows = []
+    for k in keys:
+        col, value = key_column(k)
+        rows.append((str(k), col, str(value)))
+    req = spark.createDataFrame(rows, "key string, kind string, value string")
+    si = speech_index.select("document_id", "document_name", "speech_id")
+    by_id = req.where(F.col("kind") == "document_id").join(
+        si.select(F.col("document_id").cast("string").alias("value"), "document_id"), "value", "left")
+    by_name = req.where(F.col("kind") == "document_name").join(
+        si.select(F.col("document_name").alias("value"), "document_id"), "value", "left")
+    by_sid = req.where(F.col("kind") == "speech_id").join(
+        si.select(F.col("speech_id").alias("value"), "document_id"), "value", "left")
+    return by_id.unionByName(by_name).unionByName(by_sid).select("key", "document_id")
+
+
+def speech_texts_by_keys(spark, speech_index: DataFrame, utterances: DataFrame, persons: DataFrame,
+                         speaker_notes: DataFrame, gender: DataFrame, party: DataFrame,
+                         keys: Sequence[int | str]) -> DataFrame:
+    """E07 by request keys: one row per key; keys that match no speech carry an `error`."""
+    resolved = resolve_keys(spark, speech_index, keys)
+    found = resolved.where(F.col("document_id").isNotNull())
+    texts = speech_texts(speech_index, utterances, persons, speaker_notes, gender, party,
+                         keys=found.select("document_id"))
+    hit = found.join(texts, "document_id", "inner")
+    miss = resolved.where(F.col("document_id").isNull()).select(
+        "key", *[F.lit(None).cast(f.dataType).alias(f.name) for f in texts.schema.fields if f.name != "error"],
+        F.concat(F.lit("speech "), F.col("key"), F.lit(" not found")).alias("error"))
+    return hit.unionByName(miss.select(*hit.columns))
+
+
 def export_rows(texts: DataFrame) -> DataFrame:
     """One row per speech: file name `{speaker}_{speech_id}.txt` and text."""
     return texts.select(F.concat(F.concat_ws("_", F.col("name"), F.col("speech_id")), F.lit(".txt")).alias("filename"),

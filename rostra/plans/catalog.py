@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import SQL_CODES, SQL_SPEECH_TOKENS, Corpus, PreparedCorpus, with_sql
+from ..model import SQL_CODES, SQL_DTM, SQL_SPEECH_TOKENS, Corpus, PreparedCorpus, with_sql
 from . import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +116,34 @@ SELECT year, 'Totalt', round(sum(n), 6) FROM g GROUP BY year
 def q_e03_norm(spark, sf_dir):
     df = jobs.word_trends(corpus(spark, sf_dir), ["the", "la"], {"gender_id": [1, 2]}, normalize=True)
     return df.withColumn("n", F.round("n", 6))
+
+
+@register("E03_word_trends_tf_idf", with_sql(SQL_SPEECH_TOKENS, SQL_DTM) + r"""
+, nd AS (SELECT CAST(count(*) AS DOUBLE) AS nd FROM speech_index)
+, df AS (SELECT token, CAST(count(*) AS DOUBLE) AS df FROM dtm WHERE n <> 0 GROUP BY token)
+, w AS (SELECT document_id, token, n * (ln((nd + 1) / (df + 1)) + 1) AS n FROM dtm JOIN df USING (token), nd)
+, nr AS (SELECT document_id, sqrt(sum(n * n)) AS norm FROM w GROUP BY document_id)
+, x AS (SELECT document_id, token, n / norm AS n FROM w JOIN nr USING (document_id) WHERE token IN ('the', 'und'))
+, l AS (SELECT si.year, x.token || ' ' || si.chamber_abbrev AS label, sum(x.n) AS n
+        FROM x JOIN speech_index si USING (document_id) WHERE si.chamber_abbrev IN ('en', 'de') GROUP BY 1, 2)
+, g AS (SELECT year, label, sum(n) AS n FROM l GROUP BY year, label)
+SELECT year, label, round(n, 6) AS n FROM g
+UNION ALL SELECT year, 'Totalt', round(sum(n), 6) FROM g GROUP BY year
+""")
+def q_e03_tfidf(spark, sf_dir):
+    df = jobs.word_trends(corpus(spark, sf_dir), ["the", "und"], {"chamber_abbrev": ["en", "de"]}, keyness="tf_idf")
+    return df.withColumn("n", F.round("n", 6))
+
+
+@register("E03_word_trends_tf_normalized", with_sql(SQL_SPEECH_TOKENS, SQL_DTM) + r"""
+, x AS (SELECT dtm.document_id, dtm.token,
+               CASE WHEN si.n_raw_tokens > 0 THEN dtm.n / si.n_raw_tokens ELSE 0.0 END AS n
+        FROM dtm LEFT JOIN speech_index si USING (document_id) WHERE dtm.token IN ('la', 'der'))
+, g AS (SELECT si.year, x.token AS label, sum(x.n) AS n FROM x JOIN speech_index si USING (document_id)
+        GROUP BY 1, 2)
+SELECT year, label, round(n, 6) AS n FROM g
+UNION ALL SELECT year, 'Totalt', round(sum(n), 6) FROM g GROUP BY year
+""")
+def q_e03_tfn(spark, sf_dir):
+    df = jobs.word_trends(corpus(spark, sf_dir), ["la", "der"], keyness="tf_normalized")
+    return df.withColumn("n", F.round("n", 6))

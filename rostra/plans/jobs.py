@@ -31,13 +31,16 @@ def _pivot_label_columns(pivot_keys: Sequence[str]) -> list[tuple[str, str]]:
 
 
 def word_trends(corpus: Corpus, search_terms: Sequence[str], filter_opts: Mapping[str, Any] | None = None,
-                normalize: bool = False) -> DataFrame:
+                normalize: bool = False, keyness: str = "tf") -> DataFrame:
     """Counts of words per year, long form (year, label, n).
 
     Every filter key except year also becomes a pivot key; labels are the word followed
     by the decoded pivot values; `Totalt` is the sum per year when there is more than one
     label column. `normalize` divides by the raw token count of the (year x pivots) group.
 
+    `keyness` weights each document before grouping: "tf" (counts), "tf_normalized"
+    (count / the document's raw tokens, M02) or "tf_idf" (M03 over the whole DTM).
+
     Lemmas are lower case, so every search term resolves to its lower-case form (P10).
     The year range is applied before grouping; the result equals the reference, which
     filters after grouping, because year is a grouping key.
@@ -49,8 +52,21 @@ def word_trends(corpus: Corpus, search_terms: Sequence[str], filter_opts: Mappin
     st = st.where(predicate(st.columns, opts))
     keys = ["year", *pivot_keys]
     term_df = corpus.spark.createDataFrame([(t,) for t in terms], "token string")
-    flat = st.select(*keys, F.explode("lemma").alias("token")).join(F.broadcast(term_df), "token", "left_semi")
-    counts = flat.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))
+    if keyness == "tf":
+        flat = st.select(*keys, F.explode("lemma").alias("token")).join(F.broadcast(term_df), "token", "left_semi")
+        counts = flat.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        from ..operators import stats
+
+        if keyness == "tf_normalized":
+            weights = stats.normalize_by_raw_counts(corpus.dtm, corpus.speech_index)
+        elif keyness == "tf_idf":
+            weights = stats.tf_idf(corpus.dtm, corpus.speech_index)
+        else:
+            raise ValueError(f"unknown keyness {keyness}")
+        cells = weights.join(F.broadcast(term_df), "token", "left_semi")
+        docs = st.select("document_id", *keys)
+        counts = cells.join(docs, "document_id", "inner").groupBy(*keys, "token").agg(F.sum("n").alias("n"))
     if normalize:
         totals = st.groupBy(*keys).agg(F.sum("n_raw_tokens").alias("_raw"))
         counts = counts.join(totals, keys, "inner") \

@@ -145,3 +145,18 @@ def test_documents_as_list(spark):
 
     df = spark.createDataFrame([("D1,D2,D3",)], "documents string")
     assert df.select(TK.documents_as_list(F.col("documents")).alias("d")).first()["d"] == ["D1", "D2", "D3"]
+
+
+def test_speech_text_by_key_forms(spark):
+    import pytest as _pytest
+
+    c = Corpus(spark, SMALL)
+    keys = [0, "prot-1970--cv--000000_002", "i-c1-0", "i-nope"]
+    out = {r["key"]: r for r in T.speech_texts_by_keys(spark, c.protocol_speech_index, c.utterances, c.persons,
+                                                       c.speaker_notes, c.gender, c.party, keys).collect()}
+    assert out["0"]["document_id"] == 0 and out["0"]["error"] is None
+    assert out["prot-1970--cv--000000_002"]["document_id"] == 1
+    assert out["i-c1-0"]["document_id"] == 1000
+    assert out["i-nope"]["error"] == "speech i-nope not found"
+    with _pytest.raises(ValueError):
+        T.resolve_keys(spark, c.protocol_speech_index, ["bad-key"])
