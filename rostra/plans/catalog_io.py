@@ -55,7 +55,7 @@ def q_s04(spark, sf_dir):
 
 
 @register("S06_store_load_corpus", with_sql(SQL_SPEECH_TOKENS, SQL_DTM) + """
-SELECT d.token, d.document_id, d.n, v.tf FROM dtm d JOIN (SELECT token, sum(n) AS tf FROM dtm GROUP BY token) v
+SELECT d.token, d.document_id, d.n, v.tf FROM dtm d JOIN (SELECT token, CAST(sum(n) AS BIGINT) AS tf FROM dtm GROUP BY token) v
   USING (token)
 JOIN speech_index USING (document_id)
 """)
@@ -82,7 +82,7 @@ def q_s09(spark, sf_dir):
 
 @register("S10_vocabulary_store", with_sql(SQL_SPEECH_TOKENS, SQL_DTM) + """
 SELECT token, tf, row_number() OVER (ORDER BY tf DESC, token) - 1 AS token_id
-FROM (SELECT token, sum(n) AS tf FROM dtm GROUP BY token)
+FROM (SELECT token, CAST(sum(n) AS BIGINT) AS tf FROM dtm GROUP BY token)
 """)
 def q_s10(spark, sf_dir):
     vocab = D.vocabulary(corpus(spark, sf_dir).dtm, with_ids=True)

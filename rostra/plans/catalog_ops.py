@@ -118,7 +118,7 @@ def q_p14(spark, sf_dir):
 # --- A: aggregations --------------------------------------------------------------------------
 
 @register("A01_group_by_pivot_keys", _STD + """
-SELECT si.year - si.year % 10 AS time_period, si.party_id, d.token, sum(d.n) AS n
+SELECT si.year - si.year % 10 AS time_period, si.party_id, d.token, CAST(sum(d.n) AS BIGINT) AS n
 FROM dtm d JOIN speech_index si USING (document_id) WHERE si.chamber_abbrev IN ('en')
 GROUP BY 1, 2, 3
 """)
@@ -168,7 +168,7 @@ def q_a03(spark, sf_dir):
 
 
 @register("A04_group_by_decade", _STD + """
-SELECT si.year - si.year % 10 AS time_period, d.token, sum(d.n) AS n
+SELECT si.year - si.year % 10 AS time_period, d.token, CAST(sum(d.n) AS BIGINT) AS n
 FROM dtm d JOIN speech_index si USING (document_id) GROUP BY 1, 2
 """)
 def q_a04(spark, sf_dir):
@@ -192,7 +192,7 @@ def _mapping(spark, sf_dir):
 
 
 @register("A05_group_by_mapping", _STD + _SQL_MAPPING + """
-SELECT mp.group_id, d.token, sum(d.n) AS n FROM dtm d JOIN mp USING (document_id) GROUP BY 1, 2
+SELECT mp.group_id, d.token, CAST(sum(d.n) AS BIGINT) AS n FROM dtm d JOIN mp USING (document_id) GROUP BY 1, 2
 """)
 def q_a05(spark, sf_dir):
     c = corpus(spark, sf_dir)
@@ -236,7 +236,7 @@ def q_a08(spark, sf_dir):
     return D.count_documents_by_pivot(corpus(spark, sf_dir).speech_index, "chamber_abbrev")
 
 
-@register("A09_term_frequency", _STD + "SELECT token, sum(n) AS tf FROM dtm GROUP BY token")
+@register("A09_term_frequency", _STD + "SELECT token, CAST(sum(n) AS BIGINT) AS tf FROM dtm GROUP BY token")
 def q_a09(spark, sf_dir):
     return D.term_frequency(corpus(spark, sf_dir).dtm)
 
@@ -250,7 +250,7 @@ def q_a09_vec(spark, sf_dir):
     return D.word_vector(c.dtm, c.speech_index, "und")
 
 
-@register("A10_document_token_counts", _STD + "SELECT document_id, sum(n) AS n_tokens FROM dtm GROUP BY 1")
+@register("A10_document_token_counts", _STD + "SELECT document_id, CAST(sum(n) AS BIGINT) AS n_tokens FROM dtm GROUP BY 1")
 def q_a10(spark, sf_dir):
     return D.document_token_counts(corpus(spark, sf_dir).dtm)
 
@@ -317,7 +317,7 @@ def q_a16(spark, sf_dir):
 
 @register("A17_vocabulary_ids", _STD + """
 SELECT token, tf, row_number() OVER (ORDER BY tf DESC, token) - 1 AS token_id
-FROM (SELECT token, sum(n) AS tf FROM dtm GROUP BY token)
+FROM (SELECT token, CAST(sum(n) AS BIGINT) AS tf FROM dtm GROUP BY token)
 """)
 def q_a17(spark, sf_dir):
     return D.vocabulary(corpus(spark, sf_dir).dtm, with_ids=True).select("token", "tf", "token_id")
@@ -335,7 +335,7 @@ def q_a19(spark, sf_dir):
 # --- T: top-k and slicing ------------------------------------------------------------------------
 
 @register("T01_top_n_words", _STD + """
-SELECT token, sum(n) AS tf FROM dtm GROUP BY token ORDER BY tf DESC, token LIMIT 25
+SELECT token, CAST(sum(n) AS BIGINT) AS tf FROM dtm GROUP BY token ORDER BY tf DESC, token LIMIT 25
 """)
 def q_t01(spark, sf_dir):
     return D.top_n_words(D.term_frequency(corpus(spark, sf_dir).dtm), 25)

@@ -51,7 +51,7 @@ def q_j03(spark, sf_dir):
 
 @register("J07_overload_by_index", _STD + """
 SELECT d.document_id, d.n_tokens, si.year, si.chamber_abbrev
-FROM (SELECT document_id, sum(n) AS n_tokens FROM dtm GROUP BY 1) d JOIN speech_index si USING (document_id)
+FROM (SELECT document_id, CAST(sum(n) AS BIGINT) AS n_tokens FROM dtm GROUP BY 1) d JOIN speech_index si USING (document_id)
 """)
 def q_j07(spark, sf_dir):
     c = corpus(spark, sf_dir)
@@ -168,7 +168,7 @@ def q_w05(spark, sf_dir):
 
 
 _SQL_W06 = _STD + """
-, g AS (SELECT si.chamber_abbrev, d.token, sum(d.n) AS n FROM dtm d JOIN speech_index si USING (document_id)
+, g AS (SELECT si.chamber_abbrev, d.token, CAST(sum(d.n) AS BIGINT) AS n FROM dtm d JOIN speech_index si USING (document_id)
         GROUP BY 1, 2)
 , r AS (SELECT *, row_number() OVER (PARTITION BY chamber_abbrev ORDER BY n DESC, token) AS rank FROM g WHERE n > 0)
 """
@@ -332,8 +332,8 @@ def q_r01(spark, sf_dir):
 , c AS (SELECT f.year AS time_period, f.party_id, d.token, sum(d.n) AS n FROM dtm d JOIN f USING (document_id)
         WHERE d.token IN ('the', 'de') GROUP BY 1, 2, 3)
 SELECT gi.time_period, gi.party_id,
-       coalesce(sum(c.n) FILTER (WHERE c.token = 'the'), 0) AS "the",
-       coalesce(sum(c.n) FILTER (WHERE c.token = 'de'), 0) AS "de"
+       CAST(coalesce(sum(c.n) FILTER (WHERE c.token = 'the'), 0) AS BIGINT) AS "the",
+       CAST(coalesce(sum(c.n) FILTER (WHERE c.token = 'de'), 0) AS BIGINT) AS "de"
 FROM gi LEFT JOIN c USING (time_period, party_id) GROUP BY gi.time_period, gi.party_id
 """)
 def q_r02(spark, sf_dir):
@@ -345,7 +345,7 @@ def q_r02(spark, sf_dir):
 @register("R03_n_top_frame", _STD + """
 , top AS (SELECT token FROM (SELECT token, sum(n) AS tf FROM dtm GROUP BY token) ORDER BY tf DESC, token LIMIT 5)
 SELECT top.token, """ + ", ".join(
-    f"coalesce(sum(d.n) FILTER (WHERE d.document_id = {i}), 0) AS \"{i}\"" for i in range(5)) + """
+    f"CAST(coalesce(sum(d.n) FILTER (WHERE d.document_id = {i}), 0) AS BIGINT) AS \"{i}\"" for i in range(5)) + """
 FROM top LEFT JOIN dtm d ON d.token = top.token GROUP BY top.token
 """)
 def q_r03(spark, sf_dir):

@@ -29,8 +29,8 @@ def q_w04(spark, sf_dir):
 _SQL_TEXTS = _SQL_BOUNDS + r"""
 , sp AS (
   SELECT protocol_id, speech_no, arg_min(who, turn) AS who, arg_min(u_id, turn) AS u_id,
-         string_agg(paragraph, chr(10) ORDER BY turn) AS txt, sum(num_tokens) AS num_tokens,
-         sum(num_words) AS num_words, arg_min(page_number, turn) AS p1, arg_max(page_number, turn) AS p2
+         string_agg(paragraph, chr(10) ORDER BY turn) AS txt, CAST(sum(num_tokens) AS BIGINT) AS num_tokens,
+         CAST(sum(num_words) AS BIGINT) AS num_words, arg_min(page_number, turn) AS p1, arg_max(page_number, turn) AS p2
   FROM a GROUP BY protocol_id, speech_no
 )
 , texts AS (
