@@ -375,9 +375,9 @@ def glob_to_regex(pattern: str) -> str:
     return "^" + rx.replace("\\Z", "$")
 
 
-def matching_words(vocab: DataFrame, candidates: Sequence[str]) -> DataFrame:
-    """Literal words, `*` globs (`?`/`[..]` only count when a `*` is present) and
-    `|regex|` (matched at the start, like `re.match`)."""
+def word_match_condition(token: Column, candidates: Sequence[str]) -> Column:
+    """P11 condition on a token column: literal words, `*` globs (`?`/`[..]` only count
+    when a `*` is present) and `|regex|` (matched at the start, like `re.match`)."""
     literals, regexes = [], []
     for w in candidates:
         if len(w) > 2 and w.startswith("|") and w.endswith("|"):
@@ -386,10 +386,15 @@ def matching_words(vocab: DataFrame, candidates: Sequence[str]) -> DataFrame:
             regexes.append(glob_to_regex(w))
         else:
             literals.append(w)
-    cond = F.col("token").isin(literals) if literals else F.lit(False)
+    cond = token.isin(literals) if literals else F.lit(False)
     for rx in regexes:
-        cond = cond | F.col("token").rlike(rx)
-    return vocab.where(cond)
+        cond = cond | token.rlike(rx)
+    return cond
+
+
+def matching_words(vocab: DataFrame, candidates: Sequence[str]) -> DataFrame:
+    """Vocabulary rows whose token matches any candidate (see word_match_condition)."""
+    return vocab.where(word_match_condition(F.col("token"), candidates))
 
 
 def word_hits(tf: DataFrame, search: str, n_hits: int = 5) -> DataFrame:

@@ -34,12 +34,14 @@ def _value_predicate(x: Column, value: Any, ignore_case: bool) -> Column:
     literals = [v for v in values if not _REGEX_META.search(str(v))]
     regexes = [v for v in values if _REGEX_META.search(str(v))]
     if literals:
-        if ignore_case:
+        if ignore_case == "lower":  # the attribute is lower case already (lemmas)
+            conds.append(x.isin([str(v).lower() for v in literals]))
+        elif ignore_case:
             conds.append(F.lower(x).isin([str(v).lower() for v in literals]))
         else:
             conds.append(x.isin([str(v) for v in literals]))
     if regexes:
-        flags = "(?iu)" if ignore_case else "(?u)"
+        flags = "(?iu)" if ignore_case in (True, "lower") else "(?u)"
         conds.append(x.rlike(flags + "^(?:" + "|".join(str(v) for v in regexes) + ")$"))
     return reduce(lambda a, b: a | b, conds) if conds else F.lit(False)
 
@@ -72,9 +74,13 @@ def match_positions(pattern: str | TokenSpec | Sequence[TokenSpec | str]) -> tup
     first = specs[0]["target"]
     n = F.size(F.col(first))
 
+    def case_mode(spec):
+        # lemmas are stored lower-cased: a case-insensitive literal compares directly
+        return "lower" if spec["ignore_case"] is True and spec["target"] == "lemma" else spec["ignore_case"]
+
     def hit(i: Column) -> Column:
         return reduce(lambda a, b: a & b, [
-            F.coalesce(_value_predicate(F.get(F.col(s["target"]), i + j), s["value"], s["ignore_case"]),
+            F.coalesce(_value_predicate(F.get(F.col(s["target"]), i + j), s["value"], case_mode(s)),
                        F.lit(False))
             for j, s in enumerate(specs)])
 
@@ -86,11 +92,11 @@ def match_tokens(speeches: DataFrame, pattern, criteria: Sequence[Mapping[str, A
                  keep: Sequence[str] = ()) -> DataFrame:
     """P06 as an operator: one row per match with its start `pos` and length `k`.
 
-    Speech-level criteria are applied before the token scan (filter pushdown)."""
+    Speech-level criteria are applied before the token scan (filter pushdown). Hit rows
+    carry only `keep` columns, never the token arrays."""
     positions, k = match_positions(pattern)
     s = speeches.where(criteria_predicate(criteria)) if criteria else speeches
-    arrays = sorted({c for c in ("word", "lemma", "pos") if c in s.columns})
-    return s.select(*keep, *arrays, F.explode(positions).alias("pos")).withColumn("k", F.lit(k))
+    return s.select(*keep, F.explode(positions).alias("pos")).withColumn("k", F.lit(k))
 
 
 def _context(arr: Column, pos: Column, k: int, before: int, after: int) -> tuple[Column, Column, Column]:
@@ -100,19 +106,30 @@ def _context(arr: Column, pos: Column, k: int, before: int, after: int) -> tuple
     return left, node, right
 
 
+def _per_hit(speeches: DataFrame, pattern, criteria, keep: Sequence[str], make) -> DataFrame:
+    """Explode one small struct per match, built inside the speech row by `make(pos)`,
+    so the token arrays are read once per speech and never copied per hit."""
+    positions, _ = match_positions(pattern)
+    s = speeches.where(criteria_predicate(criteria)) if criteria else speeches
+    hits = F.transform(positions, make)
+    return s.select(*keep, F.explode(hits).alias("_h")).select(*keep, "_h.*")
+
+
 def kwic(speeches: DataFrame, pattern, *, words_before: int = 3, words_after: int = 3, p_show: str = "word",
          criteria: Sequence[Mapping[str, Any]] | None = None, keep: Sequence[str] = ("document_id", "speech_id"),
          cut_off: int | None = None) -> DataFrame:
     """Left / node / right text of each match, in corpus order (document_id, pos);
     at most `cut_off` hits (the reference's hit cap, a top-k). Empty results keep the
     columns."""
-    hits = match_tokens(speeches, pattern, criteria, keep)
     k = len(normalize_pattern(pattern))
-    left, node, right = _context(F.col(p_show), F.col("pos"), k, words_before, words_after)
-    out = hits.select(*keep, "pos",
-                      F.array_join(left, " ").alias("left_word"),
-                      F.array_join(node, " ").alias("node_word"),
-                      F.array_join(right, " ").alias("right_word"))
+    arr = F.col(p_show)
+
+    def make(p: Column) -> Column:
+        left, node, right = _context(arr, p, k, words_before, words_after)
+        return F.struct(p.alias("pos"), F.array_join(left, " ").alias("left_word"),
+                        F.array_join(node, " ").alias("node_word"), F.array_join(right, " ").alias("right_word"))
+
+    out = _per_hit(speeches, pattern, criteria, keep, make)
     if cut_off is not None:
         out = out.orderBy("document_id", "pos").limit(cut_off)
     return out
@@ -123,14 +140,16 @@ def windows(speeches: DataFrame, pattern, *, context: int | tuple[int, int], p_s
     """A11 input: one row per match with its window tokens (`tokens` array and `window`
     text) and speech id. An int context c gives c // 2 on both sides."""
     before, after = (context // 2, context // 2) if isinstance(context, int) else context
-    hits = match_tokens(speeches, pattern, criteria, keep=("document_id", "speech_id"))
     k = len(normalize_pattern(pattern))
-    arr, pos = F.col(p_show), F.col("pos")
-    start = F.greatest(pos - before, F.lit(0))
-    length = (pos - start) + F.lit(k) + F.least(F.lit(after), F.size(arr) - pos - k)
-    tokens = F.slice(arr, start + 1, length)
-    return hits.select("document_id", "speech_id", "pos", tokens.alias("tokens"),
-                       F.array_join(tokens, " ").alias("window"))
+    arr = F.col(p_show)
+
+    def make(p: Column) -> Column:
+        start = F.greatest(p - before, F.lit(0))
+        length = (p - start) + F.lit(k) + F.least(F.lit(after), F.size(arr) - p - k)
+        return F.struct(p.alias("pos"), F.slice(arr, start + 1, length).alias("tokens"))
+
+    hits = _per_hit(speeches, pattern, criteria, ("document_id", "speech_id"), make)
+    return hits.withColumn("window", F.array_join("tokens", " "))
 
 
 def keyword_windows(win: DataFrame) -> DataFrame:
@@ -225,11 +244,12 @@ def documents_as_list(documents: Column) -> Column:
 def documents_with_words(speeches: DataFrame, terms: Sequence[str], array_col: str = "lemma",
                          keep: Sequence[str] = ("document_id",)) -> DataFrame:
     """Per document, the searched terms it contains, ','-joined in search-term order.
-    The list per document is bounded by the number of search terms."""
-    spark = speeches.sparkSession
-    t = spark.createDataFrame([(i, w) for i, w in enumerate(terms)], "ord int, token string")
-    flat = speeches.select(*keep, F.explode(array_col).alias("token"))
-    found = flat.join(F.broadcast(t), "token", "inner").select(*keep, "ord", "token").distinct()
-    return found.groupBy(*keep).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "token"))), lambda x: x["token"]), ",")
-        .alias("node_word"))
+
+    One narrow expression per row: `array_intersect(terms, tokens)` keeps the order of the
+    term list, drops duplicates and uses a hash set of the row's tokens - no explode, no
+    shuffle."""
+    ordered = list(dict.fromkeys(t for t in terms if t))
+    wanted = F.array(*[F.lit(t) for t in ordered]) if ordered else F.array().cast("array<string>")
+    found = F.array_intersect(wanted, F.col(array_col))
+    return speeches.select(*keep, found.alias("_found")).where(F.size("_found") > 0) \
+        .select(*keep, F.array_join("_found", ",").alias("node_word"))

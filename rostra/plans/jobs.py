@@ -53,7 +53,9 @@ def word_trends(corpus: Corpus, search_terms: Sequence[str], filter_opts: Mappin
     keys = ["year", *pivot_keys]
     term_df = corpus.spark.createDataFrame([(t,) for t in terms], "token string")
     if keyness == "tf":
-        flat = st.select(*keys, F.explode("lemma").alias("token")).join(F.broadcast(term_df), "token", "left_semi")
+        # only matching tokens are exploded (IN-set filter inside the array)
+        hits = F.filter("lemma", lambda x: x.isin(terms))
+        flat = st.select(*keys, F.explode(hits).alias("token"))
         counts = flat.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))
     else:
         from ..operators import stats
@@ -181,9 +183,10 @@ def word_hits(corpus: Corpus, search: str, n_hits: int = 5) -> DataFrame:
     glob or a `|regex|`. The pattern is applied to tokens before they are counted."""
     from ..operators import dtm
 
-    flat = corpus.speech_tokens.select(F.explode("lemma").alias("token"))
-    cand = dtm.matching_words(flat, [search] if search == search.lower() or "*" in search else [search.lower()])
-    tf = cand.groupBy("token").agg(F.count(F.lit(1)).alias("tf"))
+    words = [search] if search == search.lower() or "*" in search else [search.lower()]
+    matching = F.filter("lemma", lambda x: dtm.word_match_condition(x, words))
+    flat = corpus.speech_tokens.select(F.explode(matching).alias("token"))
+    tf = flat.groupBy("token").agg(F.count(F.lit(1)).alias("tf"))
     return dtm.top_n_words(tf, n_hits)
 
 
