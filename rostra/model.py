@@ -130,6 +130,11 @@ class Corpus:
         flat = self.speech_tokens.select("document_id", F.explode("lemma").alias("token"))
         return flat.groupBy("document_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
+    @cached_property
+    def vocab(self) -> DataFrame:
+        """Vocabulary with corpus term frequencies: (token, tf)."""
+        return self.dtm.groupBy("token").agg(F.sum("n").alias("tf"))
+
     # -- code tables and persons -----------------------------------------------------
     @cached_property
     def persons(self) -> DataFrame:
@@ -253,14 +258,16 @@ class Corpus:
 
 def prepare_corpus(corpus: Corpus, folder: str) -> None:
     """Tokenise once and store the speech rows (with token arrays) and the DTM as parquet
-    (S06). The DTM is built from the stored token arrays (no second tokenisation) and
-    sorted within files by document_id."""
+    (S06), with the vocabulary and its term frequencies. The DTM is built from the stored
+    token arrays (no second tokenisation) and sorted within files by document_id."""
     base = folder.rstrip("/")
     corpus.speech_tokens.write.mode("overwrite").parquet(f"{base}/speech_tokens")
     stored = corpus.spark.read.parquet(f"{base}/speech_tokens")  # tokenised once, reused for the DTM
     dtm = stored.select("document_id", F.explode("lemma").alias("token")) \
         .groupBy("document_id", "token").agg(F.count(F.lit(1)).alias("n"))
     dtm.sortWithinPartitions("document_id").write.mode("overwrite").parquet(f"{base}/dtm")
+    stored_dtm = corpus.spark.read.parquet(f"{base}/dtm")
+    stored_dtm.groupBy("token").agg(F.sum("n").alias("tf")).write.mode("overwrite").parquet(f"{base}/vocab")
 
 
 class PreparedCorpus(Corpus):
@@ -279,6 +286,10 @@ class PreparedCorpus(Corpus):
     def dtm(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/dtm")
 
+    @cached_property
+    def vocab(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/vocab")
+
 
 # ---------------------------------------------------------------------------------
 # The same model as SQL (DuckDB dialect). Concatenate the CTEs a query needs.

@@ -31,7 +31,7 @@ _SQL_TOP = with_sql(SQL_SPEECH_TOKENS, SQL_DTM) + f"""
 
 
 def _top_vocab(c, n=N_TOP):
-    return D.top_n_words(D.term_frequency(c.dtm), n).select("token")
+    return D.top_n_words(c.vocab, n).select("token")
 
 
 def _ttm(spark, sf_dir):
