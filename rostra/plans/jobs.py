@@ -170,9 +170,8 @@ def speeches_with_words(corpus: Corpus, terms: Sequence[str], filter_opts: Mappi
     st = corpus.speech_tokens
     st = st.where(predicate(st.columns, filter_opts or {}))
     words = [t.lower() for t in terms if t]  # lemmas are lower case (P10)
-    found = tokens.documents_with_words(st, words)
-    si = predicates.speeches_by_opts(corpus.speech_index, filter_opts)
-    joined = si.join(found, "document_id", "inner")
+    # the words found and the speech columns come from the same row: one scan, no join
+    joined = tokens.documents_with_words(st, words, keep=predicates.SPEECH_LIST_COLUMNS)
     return codes.decode_speech_index(joined, corpus.code_tables())
 
 
