@@ -183,6 +183,20 @@ def read_protocols(spark, path: str) -> DataFrame:
     return spark.read.schema(PROTOCOL_SCHEMA).json(path)
 
 
+def read_protocol_zips(spark, path: str) -> DataFrame:
+    """S04 from zip archives: each archive holds `{protocol}.json` (the utterances) and
+    `metadata.json`; JSON is parsed by Spark with fixed schemas."""
+    from ..sources import read_zip_members
+
+    members = read_zip_members(spark, path, "*.json")
+    utt = members.where(~F.col("member").endswith("metadata.json")).select(
+        "archive", F.from_json("content", T.ArrayType(UTTERANCE_SCHEMA)).alias("utterances"))
+    meta = members.where(F.col("member").endswith("metadata.json")).select(
+        "archive", F.from_json("content", "name string, date string").alias("m"))
+    return utt.join(meta, "archive", "left").select(F.col("m.name").alias("name"), F.col("m.date").alias("date"),
+                                                    "utterances")
+
+
 def protocol_utterances(protocols: DataFrame) -> DataFrame:
     """Flatten protocols to utterances; position = offset in the protocol, and
     each paragraph list joined (one utterance row)."""

@@ -165,3 +165,48 @@ def filter_by_names(df: DataFrame, filename_col: str, names: Sequence[str]) -> D
     base = fx.strip_path(F.col(filename_col))
     names = list(names)
     return df.where(base.isin(names) | fx.strip_extension(base).isin(names))
+
+
+# Zip archives -------------------------------------------------------------------
+
+ZIP_MEMBER_SCHEMA = "archive string, member string, content string"
+
+
+def _unzip(pattern: str):
+    import fnmatch
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for path, data in zip(pdf["path"], pdf["content"]):
+                with zipfile.ZipFile(io.BytesIO(data)) as zf:
+                    for name in zf.namelist():
+                        if fnmatch.fnmatch(name, pattern):
+                            rows.append((path, name, zf.read(name).decode("utf-8")))
+            if rows:
+                yield pd.DataFrame(rows, columns=["archive", "member", "content"])
+
+    return run
+
+
+def read_zip_members(spark: SparkSession, path: str, member_pattern: str = "*", archive_glob: str = "*.zip"
+                     ) -> DataFrame:
+    """Members of zip archives as (archive, member, content) text rows. Each archive is
+    one binary row, so a task unpacks whole files; members are filtered by glob."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", archive_glob).load(path)
+    return files.select("path", "content").mapInPandas(_unzip(member_pattern), ZIP_MEMBER_SCHEMA)
+
+
+def read_zipped_csv(spark: SparkSession, path: str, schema: T.StructType, member_pattern: str = "*.csv",
+                    sep: str = ",") -> DataFrame:
+    """CSV members of zip archives parsed by Spark (`from_csv` per line)."""
+    members = read_zip_members(spark, path, member_pattern)
+    lines = members.select(F.explode(F.split("content", "\r?\n")).alias("line"))
+    header = sep.join(f.name for f in schema.fields)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    lines = lines.where((F.col("line") != "") & (F.col("line") != header))
+    return lines.select(F.from_csv("line", ddl, {"sep": sep}).alias("r")).select("r.*")

@@ -160,3 +160,32 @@ def test_speech_text_by_key_forms(spark):
     assert out["i-nope"]["error"] == "speech i-nope not found"
     with _pytest.raises(ValueError):
         T.resolve_keys(spark, c.protocol_speech_index, ["bad-key"])
+
+
+def test_zip_sources(spark, scratch):
+    import json
+    import zipfile
+
+    from pyspark.sql import types as PT
+
+    folder = os.path.join(scratch, "zips")
+    os.makedirs(folder)
+    utterances = [{"u_id": "u1", "who": "p1", "speaker_note_id": "n1", "page_number": 3, "num_tokens": 2,
+                   "num_words": 2, "paragraphs": ["Hej du", "Andra stycket"]},
+                  {"u_id": "u2", "who": "p2", "speaker_note_id": None, "page_number": 4, "num_tokens": 1,
+                   "num_words": 1, "paragraphs": ["Tack"]}]
+    with zipfile.ZipFile(os.path.join(folder, "prot-1970--ak--029.zip"), "w") as zf:
+        zf.writestr("prot-1970--ak--029.json", json.dumps(utterances))
+        zf.writestr("metadata.json", json.dumps({"name": "prot-1970--ak--029", "date": "1970-01-02"}))
+    with zipfile.ZipFile(os.path.join(folder, "frames.zip"), "w") as zf:
+        zf.writestr("a.csv", "id,name\n1,x\n2,y\n")
+        zf.writestr("b.txt", "not csv")
+    protocols = T.read_protocol_zips(spark, folder)
+    flat = T.protocol_utterances(protocols).orderBy("turn").collect()
+    assert [(r["protocol_name"], r["turn"], r["u_id"], r["paragraph"]) for r in flat] == \
+        [("prot-1970--ak--029", 0, "u1", "Hej du\nAndra stycket"), ("prot-1970--ak--029", 1, "u2", "Tack")]
+    schema = PT.StructType([PT.StructField("id", PT.IntegerType()), PT.StructField("name", PT.StringType())])
+    rows = SRC.read_zipped_csv(spark, folder, schema).orderBy("id").collect()
+    assert [(r["id"], r["name"]) for r in rows] == [(1, "x"), (2, "y")]
+    members = SRC.read_zip_members(spark, folder, "*.txt").collect()
+    assert [(os.path.basename(r["archive"]), r["member"]) for r in members] == [("frames.zip", "b.txt")]
