@@ -106,10 +106,12 @@ def _context(arr: Column, pos: Column, k: int, before: int, after: int) -> tuple
     return left, node, right
 
 
-def _per_hit(speeches: DataFrame, pattern, criteria, keep: Sequence[str], make) -> DataFrame:
+def _per_hit(speeches: DataFrame, pattern, criteria, keep: Sequence[str], make,
+             positions: Column | None = None) -> DataFrame:
     """Explode one small struct per match, built inside the speech row by `make(pos)`,
     so the token arrays are read once per speech and never copied per hit."""
-    positions, _ = match_positions(pattern)
+    if positions is None:
+        positions, _ = match_positions(pattern)
     s = speeches.where(criteria_predicate(criteria)) if criteria else speeches
     hits = F.transform(positions, make)
     return s.select(*keep, F.explode(hits).alias("_h")).select(*keep, "_h.*")
@@ -118,9 +120,9 @@ def _per_hit(speeches: DataFrame, pattern, criteria, keep: Sequence[str], make)
 def kwic(speeches: DataFrame, pattern, *, words_before: int = 3, words_after: int = 3, p_show: str = "word",
          criteria: Sequence[Mapping[str, Any]] | None = None, keep: Sequence[str] = ("document_id", "speech_id"),
          cut_off: int | None = None) -> DataFrame:
-    """Left / node / right text of each match, in corpus order (document_id, pos);
-    at most `cut_off` hits (the reference's hit cap, a top-k). Empty results keep the
-    columns."""
+    """Left / node / right text of each match; with `cut_off`, exactly the first
+    `cut_off` hits in corpus order (document_id, pos), the reference's hit cap.
+    Empty results keep the columns."""
     k = len(normalize_pattern(pattern))
     arr = F.col(p_show)
 
@@ -129,10 +131,52 @@ def kwic(speeches: DataFrame, pattern, *, words_before: int = 3, words_after: in
         return F.struct(p.alias("pos"), F.array_join(left, " ").alias("left_word"),
                         F.array_join(node, " ").alias("node_word"), F.array_join(right, " ").alias("right_word"))
 
-    out = _per_hit(speeches, pattern, criteria, keep, make)
+    positions = None
     if cut_off is not None:
-        out = out.orderBy("document_id", "pos").limit(cut_off)
-    return out
+        speeches = speeches.where(criteria_predicate(criteria)) if criteria else speeches
+        criteria = None
+        speeches, positions = first_hits(speeches, match_positions(pattern)[0], cut_off)
+    return _per_hit(speeches, pattern, criteria, keep, make, positions)
+
+
+# Buckets of document ids per refinement step when locating the n-th hit.
+CUT_OFF_BUCKETS = 4096
+
+
+def first_hits(speeches: DataFrame, positions: Column, n: int, buckets: int = CUT_OFF_BUCKETS
+               ) -> tuple[DataFrame, Column]:
+    """The speeches and match positions that hold exactly the first `n` hits in corpus
+    order (document_id, then position), without sorting the hits.
+
+    Hit counts per document-id bucket (a narrow `size` per speech, at most `buckets`
+    rows to the driver per step) locate the bucket holding the n-th hit; the bucket is
+    refined until it is one document d. Earlier speeches keep all their hits, d keeps
+    its first r positions (positions are ascending), later speeches are filtered out
+    (the filter reaches the scan). When there are at most n hits, nothing is cut."""
+    doc = F.col("document_id")
+    bounds = speeches.agg(F.min("document_id").alias("lo"), F.max("document_id").alias("hi")).first()
+    if bounds is None or bounds["lo"] is None:
+        return speeches, positions
+    start, end, before = int(bounds["lo"]), int(bounds["hi"]) + 1, 0
+    while True:
+        width = -(-(end - start) // buckets)
+        part = speeches.where((doc >= start) & (doc < end))
+        hist = part.select(F.floor((doc - start) / width).alias("b"), F.size(positions).alias("h")) \
+            .where(F.col("h") > 0).groupBy("b").agg(F.sum("h").alias("h")).collect()
+        found = None
+        for row in sorted(hist, key=lambda r: r["b"]):
+            if before + row["h"] >= n:
+                found = int(row["b"])
+                break
+            before += row["h"]
+        if found is None:  # at most n hits in total
+            return speeches, positions
+        start, end = start + found * width, min(end, start + (found + 1) * width)
+        if width == 1:
+            break
+    d, r = start, n - before
+    kept = speeches.where(doc <= d)
+    return kept, F.when(doc < d, positions).otherwise(F.slice(positions, 1, r))
 
 
 def windows(speeches: DataFrame, pattern, *, context: int | tuple[int, int], p_show: str = "word",

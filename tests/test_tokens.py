@@ -87,3 +87,18 @@ def test_invariants_on_small_corpus(spark):
     expected = win.select(F.greatest(F.size("tokens") - 2 + 1, F.lit(0)).alias("k")).agg(F.sum("k")).first()[0]
     got = TK.compile_n_grams(win, n=2).agg(F.sum("window_count")).first()[0]
     assert got == expected
+
+
+def test_cut_off_equals_global_first_hits(spark):
+    """The bucketed search gives exactly the first n hits in corpus order."""
+    from rostra.model import Corpus
+
+    st = Corpus(spark, "/root/testdata/sf0.001").speech_tokens
+    pat = [{"target": "lemma", "value": "the"}]
+    full = [(r["document_id"], r["pos"]) for r in TK.kwic(st, pat).orderBy("document_id", "pos").collect()]
+    for n in (1, 7, 250, len(full), 10 ** 9):
+        got = [(r["document_id"], r["pos"]) for r in TK.kwic(st, pat, cut_off=n).orderBy("document_id", "pos")
+               .collect()]
+        assert got == full[:n]
+    kept, _ = TK.first_hits(st, TK.match_positions(pat)[0], 7, buckets=3)
+    assert kept.count() < st.count()
