@@ -15,19 +15,25 @@ from pyspark.sql import functions as F
 from ..model import TOKEN_PATTERN
 
 
-def token_stream(spark: SparkSession, source: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """Lemmas of documents arriving as parquet files below `source` (a folder or glob)."""
+def token_stream(spark: SparkSession, source: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Lemmas of documents arriving as parquet files below `source` (a folder or glob).
+    Without a per-trigger file cap each micro-batch takes what has arrived, so the
+    complete vocabulary is rewritten once per batch, not once per file."""
     schema = spark.read.parquet(source).schema
-    docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    docs = reader.parquet(source)
     words = F.regexp_extract_all(F.col("text"), F.lit(TOKEN_PATTERN), 0)
     return docs.select(F.explode(F.transform(words, F.lower)).alias("token"))
 
 
 def term_frequency_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
-                          available_now: bool = True):
+                          available_now: bool = True, max_files_per_trigger: int | None = None):
     """A17 streaming: running (token, tf). Returns the started StreamingQuery; with
     `available_now` it processes what is there and stops."""
-    counts = token_stream(spark, source).groupBy("token").agg(F.count(F.lit(1)).alias("tf"))
+    counts = token_stream(spark, source, max_files_per_trigger).groupBy("token") \
+        .agg(F.count(F.lit(1)).alias("tf"))
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(sink)
