@@ -190,7 +190,8 @@ def windows(speeches: DataFrame, pattern, *, context: int | tuple[int, int], p_s
     def make(p: Column) -> Column:
         start = F.greatest(p - before, F.lit(0))
         length = (p - start) + F.lit(k) + F.least(F.lit(after), F.size(arr) - p - k)
-        return F.struct(p.alias("pos"), F.slice(arr, start + 1, length).alias("tokens"))
+        return F.struct(p.alias("pos"), F.slice(arr, start + 1, length).alias("tokens"),
+                        (p - start).alias("offset"), F.lit(k).alias("k"))
 
     hits = _per_hit(speeches, pattern, criteria, ("document_id", "speech_id"), make)
     return hits.withColumn("window", F.array_join("tokens", " "))
@@ -220,18 +221,31 @@ def phrase_n_grams(phrase: Column, n: int) -> Column:
     return n_grams_of(F.split(F.trim(phrase), r"\s+"), n)
 
 
-def ngram_rows(win: DataFrame, n: int, mode: str = "sliding") -> DataFrame:
+def n_grams_covering(arr: Column, n: int, offset: Column, k: Column) -> Column:
+    """The n-grams of `arr` whose span covers the match [offset, offset + k)."""
+    cnt = F.size(arr) - n + 1
+    idx = F.when(cnt > 0, F.sequence(F.lit(1), cnt)).otherwise(F.array().cast("array<int>"))
+    idx = F.filter(idx, lambda i: (i - 1 <= offset) & (offset + k <= i - 1 + n))
+    return F.transform(idx, lambda i: F.array_join(F.slice(arr, i, n), " "))
+
+
+def ngram_rows(win: DataFrame, n: int, mode: str = "sliding", contains_phrase: bool = False) -> DataFrame:
     """One row per (match, n-gram occurrence): a repeated n-gram inside one window counts
-    each time. Locked mode: the window is the n-gram."""
+    each time. Locked mode: the window is the n-gram. With `contains_phrase` only n-grams
+    that cover the whole match are kept (a phrase with sliding context otherwise also
+    yields n-grams holding only part of it)."""
     if mode == "sliding":
-        return win.select("speech_id", F.explode(n_grams_of(F.col("tokens"), n)).alias("ngram"))
+        grams = n_grams_covering(F.col("tokens"), n, F.col("offset"), F.col("k")) if contains_phrase \
+            else n_grams_of(F.col("tokens"), n)
+        return win.select("speech_id", F.explode(grams).alias("ngram"))
     return win.select("speech_id", F.col("window").alias("ngram"))
 
 
-def compile_n_grams(win: DataFrame, *, n: int = 2, threshold: int | None = None, mode: str = "sliding") -> DataFrame:
+def compile_n_grams(win: DataFrame, *, n: int = 2, threshold: int | None = None, mode: str = "sliding",
+                    contains_phrase: bool = False) -> DataFrame:
     """N-grams with window_count (sum of window counts, repeats counted) and the
     number of distinct speeches; `threshold` keeps window_count >= threshold."""
-    rows = ngram_rows(win, n, mode)
+    rows = ngram_rows(win, n, mode, contains_phrase)
     g = rows.groupBy("ngram").agg(F.count(F.lit(1)).alias("window_count"),
                                   F.count_distinct("speech_id").alias("n_documents"))
     if threshold:

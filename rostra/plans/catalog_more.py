@@ -89,6 +89,27 @@ def q_e02_docs(spark, sf_dir):
     return jobs.ngrams(corpus(spark, sf_dir), "der", n=3, threshold=2, documents=True)
 
 
+_SQL_E02_PHRASE = with_sql(SQL_SPEECH_TOKENS) + r"""
+, h AS (
+  SELECT st.speech_id, st.word, g.P FROM speech_tokens st, unnest(generate_series(1, len(st.lemma))) AS g(P)
+  WHERE st.lemma[g.P] = 'of' AND st.lemma[g.P + 1] = 'the' AND regexp_full_match(st.lemma[g.P + 2], '(?i)[a-z]+')
+), win AS (SELECT speech_id, list_slice(word, greatest(P - 1, 1), P + 3) AS w, P - greatest(P - 1, 1) AS off FROM h)
+, ng AS (
+  SELECT speech_id, array_to_string(list_slice(w, i, i + 2), ' ') AS ngram
+  FROM win, unnest(generate_series(1, len(w) - 2)) AS s(i)
+  WHERE i - 1 <= off AND off + 3 <= i - 1 + 3
+)
+"""
+
+
+@register("E02_ngrams_contains_phrase", _SQL_E02_PHRASE + """
+SELECT ngram, count(*) AS window_count, count(DISTINCT speech_id) AS n_documents FROM ng GROUP BY ngram
+""")
+def q_e02_phrase(spark, sf_dir):
+    return jobs.ngrams(corpus(spark, sf_dir), ["of", "the", "[a-z]+"], n=3, threshold=None, search_target="lemma",
+                       contains_phrase=True)
+
+
 @register("E02_ngrams_left_aligned", with_sql(SQL_SPEECH_TOKENS) + """
 , h AS (
   SELECT st.speech_id, st.word, g.P FROM speech_tokens st, unnest(generate_series(1, len(st.lemma))) AS g(P)

@@ -144,9 +144,11 @@ def kwic(corpus: Corpus, keywords: str | Sequence[str], *, lemmatized: bool = Tr
 
 def ngrams(corpus: Corpus, search_term: str | Sequence[str], *, n: int = 3, threshold: int = 2,
            search_target: str = "word", display_target: str = "word", mode: str = "sliding",
-           criteria: Sequence[Mapping[str, Any]] | None = None, documents: bool = False) -> DataFrame:
+           criteria: Sequence[Mapping[str, Any]] | None = None, documents: bool = False,
+           contains_phrase: bool = False) -> DataFrame:
     """N-grams around a search phrase. With `documents` the long (ngram, speech_id)
-    table is returned instead of the counts."""
+    table is returned instead of the counts; `contains_phrase` keeps only n-grams that
+    cover the whole phrase."""
     from ..operators import tokens
 
     terms = [search_term] if isinstance(search_term, str) else list(search_term)
@@ -157,7 +159,7 @@ def ngrams(corpus: Corpus, search_term: str | Sequence[str], *, n: int = 3, thre
     win = tokens.windows(corpus.speech_tokens, pattern, context=context, p_show=display_target, criteria=criteria)
     if documents:
         return tokens.ngram_documents(win, n=n, threshold=threshold, mode=compile_mode)
-    return tokens.compile_n_grams(win, n=n, threshold=threshold, mode=compile_mode)
+    return tokens.compile_n_grams(win, n=n, threshold=threshold, mode=compile_mode, contains_phrase=contains_phrase)
 
 
 # E04 --------------------------------------------------------------------------------

@@ -60,3 +60,13 @@ def test_n_gram_frame_modes():
 
     with pytest.raises(ValueError):
         TK.n_gram_frame(1, 2, "left-aligned")
+
+
+def test_contains_phrase_keeps_only_covering_ngrams(spark):
+    df = spark.createDataFrame([(0, "s0", ["x", "a", "b", "c", "y"])], "document_id long, speech_id string, word array<string>")
+    pat = [{"target": "word", "value": v} for v in ("a", "b", "c")]
+    win = TK.windows(df, pat, context=3)
+    all_grams = {r["ngram"] for r in TK.compile_n_grams(win, n=3).collect()}
+    covering = {r["ngram"] for r in TK.compile_n_grams(win, n=3, contains_phrase=True).collect()}
+    assert all_grams == {"x a b", "a b c", "b c y"}
+    assert covering == {"a b c"}
