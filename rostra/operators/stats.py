@@ -4,7 +4,7 @@ Co-occurrence (DᵀD, strict upper triangle) is computed per block of documents:
 document's cells over a bounded vocabulary travel as one row, and every Arrow batch is
 reduced with one matrix product to at most K*(K-1)/2 partial sums before the shuffle.
 No per-document pair rows are produced. The vocabulary must be bounded by the caller
-(top-n or a tf threshold, as in the reference's load pipeline) and its size is checked.
+(top-n or a tf threshold, as the reference does when loading a corpus) and its size is checked.
 
 Significance formulas follow the reference literally (`literal=True`): row sums of the
 upper triangle as marginals, Dunning's -2 on the first term only; NaN and +-inf -> 0

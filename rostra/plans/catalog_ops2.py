@@ -383,7 +383,7 @@ def q_r06(spark, sf_dir):
 
 # --- S: sources ------------------------------------------------------------------------------------------
 
-@register("S07_load_pipeline", _STD + """
+@register("S07_load_and_slice", _STD + """
 , g AS (SELECT si.year AS document_id, d.token, sum(d.n) AS n FROM dtm d JOIN speech_index si USING (document_id)
         GROUP BY 1, 2)
 , t1 AS (SELECT * FROM g WHERE token IN (SELECT token FROM g GROUP BY token HAVING sum(n) >= 20))

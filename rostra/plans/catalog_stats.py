@@ -10,7 +10,7 @@ from ..operators import stats as S
 from .catalog import corpus, register
 
 # Vocabulary bound for co-occurrence: the n most frequent lemmas (the reference's
-# load pipeline prunes the same way, by n_top or a tf threshold).
+# corpus loading prunes the same way, by n_top or a tf threshold).
 N_TOP = 100
 N_TOP_YEARLY = 50
 
