@@ -312,18 +312,11 @@ def _trends_long(spark, sf_dir):
     return c, jobs.word_trends(c, ["the", "de"], {"party_id": [5, 6, 7]})
 
 
-def _labels(c):
-    abbrevs = [r["party_abbrev"] for r in c.party.where(F.col("party_id").isin([5, 6, 7]))
-               .orderBy("party_id").select("party_abbrev").collect()]  # three rows of a code table
-    return [f"{w} {a}" for w in ["the", "de"] for a in abbrevs] + ["Totalt"]
-
-
 @register("R01_word_trends_wide", _SQL_TRENDS_LONG + "SELECT year, " + ", ".join(
     f"CAST(coalesce(sum(n) FILTER (WHERE label = '{lab}'), 0) AS BIGINT) AS \"{lab}\""
     for lab in [f"{w} N{i}" for w in ["the", "de"] for i in (5, 6, 7)] + ["Totalt"]) + " FROM lt GROUP BY year")
 def q_r01(spark, sf_dir):
-    c, long = _trends_long(spark, sf_dir)
-    return R.pivot_wide(long, ["year"], "label", _labels(c))
+    return jobs.word_trends_wide(corpus(spark, sf_dir), ["the", "de"], {"party_id": [5, 6, 7]})
 
 
 @register("R02_tabular", _STD + """

@@ -89,6 +89,40 @@ def word_trends(corpus: Corpus, search_terms: Sequence[str], filter_opts: Mappin
     return trends
 
 
+def word_trend_labels(corpus: Corpus, search_terms: Sequence[str], filter_opts: Mapping[str, Any]) -> list[str]:
+    """The label columns of the wide trend table: every term with every combination of the
+    requested pivot values (decoded through the code tables: a handful of rows each),
+    then `Totalt`. Pivot keys need list values here."""
+    import itertools
+
+    opts = dict(filter_opts or {})
+    pivot_keys = [k for k, v in opts.items() if k != "year" and v is not None]
+    terms = sorted({t.lower() for t in search_terms if t})
+    texts = []
+    tables = corpus.code_tables()
+    table_of = {"gender_id": "gender", "office_type_id": "office_type", "party_id": "party",
+                "sub_office_type_id": "sub_office_type", "person_id": "persons"}
+    for key, text in _pivot_label_columns(pivot_keys):
+        values = list(opts[key]) if isinstance(opts[key], (list, tuple, set)) else [opts[key]]
+        if key == text:
+            texts.append([str(v) for v in values])
+            continue
+        rows = tables[table_of[key]].where(F.col(key).isin(values)).select(key, text).collect()
+        names = {r[key]: r[text] for r in rows}
+        texts.append([str(names[v]) for v in values if v in names])
+    labels = [" ".join([t, *combo]) for t in terms for combo in itertools.product(*texts)]
+    return labels + ([TOTAL_LABEL] if len(terms) > 1 or pivot_keys else [])
+
+
+def word_trends_wide(corpus: Corpus, search_terms: Sequence[str], filter_opts: Mapping[str, Any] | None = None,
+                     normalize: bool = False, keyness: str = "tf") -> DataFrame:
+    """E03 + R01: one row per year, one column per label (missing -> 0)."""
+    from ..operators import reshape
+
+    long = word_trends(corpus, search_terms, filter_opts, normalize, keyness)
+    return reshape.pivot_wide(long, ["year"], "label", word_trend_labels(corpus, search_terms, filter_opts or {}))
+
+
 def speeches(corpus: Corpus, filter_opts: Mapping[str, Any] | None = None, decode: bool = True) -> DataFrame:
     """Speech list for filters (P03 -> T06)."""
     si = predicates.speeches_by_opts(corpus.speech_index, filter_opts)
