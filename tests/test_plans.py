@@ -49,3 +49,8 @@ def test_co_occurrence_has_no_self_join(spark, prepared):
     assert "MapInPandas" in plan
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_top_terms_limit_before_shuffle(spark, prepared):
+    plan = _plan(spark, "W06_top_terms_per_category")
+    assert "WindowGroupLimit" in plan and "Partial" in plan
