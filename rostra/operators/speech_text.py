@@ -131,15 +131,21 @@ def speech_texts(speech_index: DataFrame, utterances: DataFrame, persons: DataFr
     return res
 
 
-def resolve_keys(spark, speech_index: DataFrame, keys: Sequence[int | str]) -> DataFrame:
+def resolve_keys(spark, speech_index: DataFrame, keys: Sequence[int | str], strict: bool = True) -> DataFrame:
     """J14 key forms for many requested speeches: integer document id, `prot-...`
     document name or `i-...` speech id -> (key, document_id). Unknown keys keep a null
-    id; an unsupported key form raises ValueError (checked on the driver, per key)."""
+    id; an unsupported key form raises ValueError (checked on the driver, per key), or
+    with `strict=False` also resolves to a null id."""
     from .codes import key_column
 
     rows = []
     for k in keys:
-        col, value = key_column(k)
+        try:
+            col, value = key_column(k)
+        except ValueError:
+            if strict:
+                raise
+            col, value = "invalid", k
         rows.append((str(k), col, str(value)))
     req = spark.createDataFrame(rows, "key string, kind string, value string")
     si = speech_index.select("document_id", "document_name", "speech_id")
@@ -149,14 +155,16 @@ def resolve_keys(spark, speech_index: DataFrame, keys: Sequence[int | str]) -> D
         si.select(F.col("document_name").alias("value"), "document_id"), "value", "left")
     by_sid = req.where(F.col("kind") == "speech_id").join(
         si.select(F.col("speech_id").alias("value"), "document_id"), "value", "left")
-    return by_id.unionByName(by_name).unionByName(by_sid).select("key", "document_id")
+    invalid = req.where(F.col("kind") == "invalid").select("key", F.lit(None).cast("bigint").alias("document_id"))
+    return by_id.unionByName(by_name).unionByName(by_sid).select("key", "document_id").unionByName(invalid)
 
 
 def speech_texts_by_keys(spark, speech_index: DataFrame, utterances: DataFrame, persons: DataFrame,
                          speaker_notes: DataFrame, gender: DataFrame, party: DataFrame,
                          keys: Sequence[int | str]) -> DataFrame:
-    """E07 by request keys: one row per key; keys that match no speech carry an `error`."""
-    resolved = resolve_keys(spark, speech_index, keys)
+    """E07 by request keys: one row per key; keys that match no speech (or have no known
+    form) carry an `error` instead of failing the request."""
+    resolved = resolve_keys(spark, speech_index, keys, strict=False)
     found = resolved.where(F.col("document_id").isNotNull())
     texts = speech_texts(speech_index, utterances, persons, speaker_notes, gender, party,
                          keys=found.select("document_id"))
@@ -173,6 +181,16 @@ def export_rows(texts: DataFrame) -> DataFrame:
                         F.col("speech_text").alias("text"))
 
 
+def export_speeches(spark, speech_index: DataFrame, utterances: DataFrame, persons: DataFrame,
+                    speaker_notes: DataFrame, gender: DataFrame, party: DataFrame,
+                    ids: Sequence[int | str], max_ids: int = 100) -> DataFrame:
+    """Export rows for 1..max_ids requested speeches (file name and text)."""
+    if not 1 <= len(ids) <= max_ids:
+        raise ValueError(f"between 1 and {max_ids} speech ids are required, got {len(ids)}")
+    texts = speech_texts_by_keys(spark, speech_index, utterances, persons, speaker_notes, gender, party, ids)
+    return export_rows(texts.where(F.col("error").isNull()))
+
+
 def write_export(rows: DataFrame, path: str, fmt: str = "json") -> None:
     """S11 sink: a bulk text export (one record per speech) instead of a driver-side zip."""
     rows.write.mode("overwrite").format(fmt).save(path)

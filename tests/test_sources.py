@@ -151,15 +151,22 @@ def test_speech_text_by_key_forms(spark):
     import pytest as _pytest
 
     c = Corpus(spark, SMALL)
-    keys = [0, "prot-1970--cv--000000_002", "i-c1-0", "i-nope"]
+    keys = [0, "prot-1970--cv--000000_002", "i-c1-0", "i-nope", "bad-key"]
     out = {r["key"]: r for r in T.speech_texts_by_keys(spark, c.protocol_speech_index, c.utterances, c.persons,
                                                        c.speaker_notes, c.gender, c.party, keys).collect()}
     assert out["0"]["document_id"] == 0 and out["0"]["error"] is None
     assert out["prot-1970--cv--000000_002"]["document_id"] == 1
     assert out["i-c1-0"]["document_id"] == 1000
     assert out["i-nope"]["error"] == "speech i-nope not found"
+    assert out["bad-key"]["error"] == "speech bad-key not found"
     with _pytest.raises(ValueError):
         T.resolve_keys(spark, c.protocol_speech_index, ["bad-key"])
+    rows = T.export_speeches(spark, c.protocol_speech_index, c.utterances, c.persons, c.speaker_notes, c.gender,
+                             c.party, [0, "i-c1-0", "i-nope"]).collect()
+    assert len(rows) == 2 and all(r["filename"].endswith(".txt") for r in rows)
+    with _pytest.raises(ValueError):
+        T.export_speeches(spark, c.protocol_speech_index, c.utterances, c.persons, c.speaker_notes, c.gender,
+                          c.party, [])
 
 
 def test_zip_sources(spark, scratch):
