@@ -257,12 +257,16 @@ class Corpus:
 
 
 def prepare_corpus(corpus: Corpus, folder: str) -> None:
-    """Tokenise once and store the speech rows (with token arrays) and the DTM as parquet
-    (S06), with the vocabulary and its term frequencies. The DTM is built from the stored
-    token arrays (no second tokenisation) and sorted within files by document_id."""
+    """Tokenise once and store the speech rows (with token arrays, partitioned by year),
+    the DTM and the vocabulary with term frequencies as parquet (S06). The DTM is built
+    from the stored token arrays (no second tokenisation)."""
     base = folder.rstrip("/")
-    corpus.speech_tokens.write.mode("overwrite").parquet(f"{base}/speech_tokens")
-    stored = corpus.spark.read.parquet(f"{base}/speech_tokens")  # tokenised once, reused for the DTM
+    parts = int(corpus.spark.conf.get("spark.sql.shuffle.partitions"))
+    # range partitioning on (year, document_id): each task writes one or two year folders,
+    # a large year is split over many tasks, and files are sorted by document id
+    st = corpus.speech_tokens.repartitionByRange(parts, "year", "document_id").sortWithinPartitions("document_id")
+    st.write.mode("overwrite").partitionBy("year").parquet(f"{base}/speech_tokens")
+    stored = read_prepared_tokens(corpus, base)  # tokenised once, reused for the DTM
     dtm = stored.select("document_id", F.explode("lemma").alias("token")) \
         .groupBy("document_id", "token").agg(F.count(F.lit(1)).alias("n"))
     dtm.sortWithinPartitions("document_id").write.mode("overwrite").parquet(f"{base}/dtm")
@@ -270,6 +274,12 @@ def prepare_corpus(corpus: Corpus, folder: str) -> None:
     stored_dtm.groupBy("token").agg(F.sum("n").alias("tf")).write.mode("overwrite").parquet(f"{base}/vocab")
 
 
+def read_prepared_tokens(corpus: Corpus, base: str) -> DataFrame:
+    """Stored speech rows; the year folders are read back as int, so year is cast to the
+    model's bigint (filters on it still prune folders)."""
+    return corpus.spark.read.parquet(f"{base}/speech_tokens").withColumn("year", F.col("year").cast("bigint"))
+
+
 class PreparedCorpus(Corpus):
     """A corpus whose token arrays and DTM are read from a prepared folder (S05); code
     tables and protocols still come from the driver tables."""
@@ -280,7 +290,7 @@ class PreparedCorpus(Corpus):
 
     @cached_property
     def speech_tokens(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/speech_tokens")
+        return read_prepared_tokens(self, self.folder)
 
     @cached_property
     def dtm(self) -> DataFrame:
