@@ -104,6 +104,19 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
+    @classmethod
+    def from_frames(cls, spark: SparkSession, sf_dir: str = "", **frames: DataFrame) -> "Corpus":
+        """A corpus over the caller's own tables (speech_tokens, dtm, vocab, persons,
+        party, gender, chamber, office_type, sub_office_type, person_party,
+        speaker_notes, utterances, protocol_speech_index ...); tables not given are
+        derived from `sf_dir` as usual."""
+        c = cls(spark, sf_dir)
+        for name, df in frames.items():
+            if not isinstance(getattr(cls, name, None), cached_property):
+                raise ValueError(f"unknown corpus table {name}")
+            c.__dict__[name] = df
+        return c
+
     # -- speeches and tokens -------------------------------------------------------
     @cached_property
     def documents(self) -> DataFrame:

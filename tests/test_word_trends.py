@@ -10,15 +10,20 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def _corpus(spark):
-    c = Corpus(spark, SMALL)
     rows = [(0, 1990, 5, 1, ["skola", "och", "skola"], 3), (1, 1990, 6, 2, ["skola"], 1),
             (2, 1991, 5, 1, ["hem"], 1), (3, 1991, 7, 1, ["skola"], 1)]
     st = spark.createDataFrame(rows, "document_id long, year long, party_id long, gender_id long, "
                                      "lemma array<string>, n_raw_tokens long")
-    c.__dict__["speech_tokens"] = st.withColumn("word", F.col("lemma"))
-    c.__dict__["party"] = spark.createDataFrame([(5, "Social", "S", 1), (6, "Moderate", "M", 2), (7, "Other", "O", 3)],
-                                                "party_id long, party string, party_abbrev string, sort_order long")
-    return c
+    party = spark.createDataFrame([(5, "Social", "S", 1), (6, "Moderate", "M", 2), (7, "Other", "O", 3)],
+                                  "party_id long, party string, party_abbrev string, sort_order long")
+    return Corpus.from_frames(spark, SMALL, speech_tokens=st.withColumn("word", F.col("lemma")), party=party)
+
+
+def test_from_frames_rejects_unknown_tables(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        Corpus.from_frames(spark, SMALL, no_such_table=spark.range(1))
 
 
 def test_party_labels_and_total(spark):
