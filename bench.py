@@ -59,7 +59,7 @@ def main() -> None:
     from rostra.session import build_session
 
     spark = build_session(f"local[{cpus}]", max(2 * cpus, 4), app="rostra-bench", extra={
-        "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g"),
+        "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "6g"),
         "spark.eventLog.enabled": "true",
         "spark.eventLog.dir": log_dir,
         "spark.eventLog.compress": "false",
