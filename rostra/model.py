@@ -282,7 +282,10 @@ def prepare_corpus(corpus: Corpus, folder: str) -> None:
     stored = read_prepared_tokens(corpus, base)  # tokenised once, reused for the DTM
     dtm = stored.select("document_id", F.explode("lemma").alias("token")) \
         .groupBy("document_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    dtm.sortWithinPartitions("document_id").write.mode("overwrite").parquet(f"{base}/dtm")
+    # sorted by (token, document_id): word lookups skip files and row groups by their
+    # min/max statistics; the range key includes document_id so no token is one task
+    dtm.repartitionByRange(parts, "token", "document_id").sortWithinPartitions("token", "document_id") \
+        .write.mode("overwrite").parquet(f"{base}/dtm")
     stored_dtm = corpus.spark.read.parquet(f"{base}/dtm")
     stored_dtm.groupBy("token").agg(F.sum("n").alias("tf")).write.mode("overwrite").parquet(f"{base}/vocab")
 
