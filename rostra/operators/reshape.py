@@ -29,16 +29,24 @@ def tabular(groups: DataFrame, counts: DataFrame, keys: Sequence[str], words: Se
     return groups.select(*keys).join(wide, list(keys), "left").fillna(0, subset=list(words))
 
 
-def n_top_frame(dtm: DataFrame, tokens: DataFrame, documents: Sequence[Any], max_documents: int | None = None
-                ) -> DataFrame:
-    """Words x documents for the given (top) tokens: one column per document id when
-    the documents are few enough to pivot (`spark.sql.pivotMaxValues`); otherwise the
-    long form is returned."""
+def n_top_frame(dtm: DataFrame, tokens: DataFrame, documents: Sequence[Any] | None = None,
+                max_documents: int | None = None) -> DataFrame:
+    """Words x documents for the given (top) tokens, one column per document id.
+
+    Without a document list all documents holding one of the tokens become columns when
+    their number is within `spark.sql.pivotMaxValues` (counted first); above the bound,
+    or for a longer list, the long form (token, document_id, n) is returned."""
     limit = max_documents or int(dtm.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
     cells = dtm.join(bounded_broadcast(tokens.select("token")), "token", "left_semi")
-    if len(documents) > limit:
-        return cells
-    wide = cells.groupBy("token").pivot("document_id", list(documents)).agg(F.sum("n"))
+    if documents is None:
+        n_docs = cells.select("document_id").distinct().limit(limit + 1).count()
+        if n_docs > limit:
+            return cells
+        wide = cells.groupBy("token").pivot("document_id").agg(F.sum("n"))
+    else:
+        if len(documents) > limit:
+            return cells
+        wide = cells.groupBy("token").pivot("document_id", list(documents)).agg(F.sum("n"))
     return tokens.select("token").join(wide, "token", "left").fillna(0)
 
 

@@ -335,16 +335,16 @@ def q_r02(spark, sf_dir):
     return R.tabular(g.index, g.dtm, ["time_period", "party_id"], ["the", "de"])
 
 
-@register("R03_n_top_frame", _STD + """
+@register("R03_n_top_frame", "SELECT token, CAST(coalesce(COLUMNS(* EXCLUDE (token)), 0) AS BIGINT) FROM (PIVOT ("
+         + _STD + """
 , top AS (SELECT token FROM (SELECT token, sum(n) AS tf FROM dtm GROUP BY token) ORDER BY tf DESC, token LIMIT 5)
-SELECT top.token, """ + ", ".join(
-    f"CAST(coalesce(sum(d.n) FILTER (WHERE d.document_id = {i}), 0) AS BIGINT) AS \"{i}\"" for i in range(5)) + """
-FROM top LEFT JOIN dtm d ON d.token = top.token GROUP BY top.token
+SELECT d.token, d.document_id, d.n FROM dtm d JOIN top USING (token)
+) ON document_id USING sum(n) GROUP BY token)
 """)
 def q_r03(spark, sf_dir):
     dtm = corpus(spark, sf_dir).dtm
     top = D.top_n_words(D.term_frequency(dtm), 5).select("token")
-    return R.n_top_frame(dtm, top, [0, 1, 2, 3, 4])
+    return R.n_top_frame(dtm, top)
 
 
 @register("R04_split_column", """
