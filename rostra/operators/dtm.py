@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import temporal_key
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, with_scalars
 from .predicates import predicate
 
 COUNT_COLUMNS = ("n_tokens", "n_raw_tokens", "tokens")
@@ -148,10 +148,8 @@ def corpus_stats(dtm: DataFrame, index: DataFrame, n_top: int = 10) -> DataFrame
                                  lambda x: x["token"]), " ").alias("top_tokens"))
     totals = tf.agg(F.count(F.lit(1)).alias("vocabulary_size"), F.sum("tf").alias("n_tokens"))
     docs = index.agg(F.count(F.lit(1)).alias("n_documents"))
-    one = F.lit(1).alias("_one")
     # three single-row aggregates side by side
-    return docs.select("*", one).join(totals.select("*", one), "_one").join(top.select("*", one), "_one") \
-        .drop("_one")
+    return with_scalars(with_scalars(docs, totals), top)
 
 
 def documents_count(co_occurrences: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:

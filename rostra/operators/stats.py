@@ -188,7 +188,9 @@ def significance(ttm: DataFrame, metric: str, *, pivots: Sequence[str] = (), nor
     total = ttm.groupBy(*pv).agg(F.sum("n").alias("z"))
     zi = rows.select(*pv, "w1", F.col("zr").alias("zr_i"))
     zj = rows.select(*pv, F.col("w1").alias("w2"), F.col("zr").alias("zr_j"))
-    t = ttm.join(zi, [*pv, "w1"], "left").join(zj, [*pv, "w2"], "left")
+    # marginals have one row per vocabulary token (and pivot value): bounded by the checked
+    # vocabulary, so they are broadcast after the size check
+    t = ttm.join(bounded_broadcast(zi), [*pv, "w1"], "left").join(bounded_broadcast(zj), [*pv, "w2"], "left")
     t = t.join(bounded_broadcast(total), pv, "inner") if pv else with_scalars(t, total.select("z"))
     cij = F.col("n").cast("double")
     zr_i = F.coalesce(F.col("zr_i"), F.lit(0.0))

@@ -114,7 +114,6 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a single-row aggregate (a total, a count) to every row:
-    a broadcast equi-join on a constant key."""
-    key = "_one_row_key"
-    return df.withColumn(key, F.lit(1)).join(F.broadcast(one_row.withColumn(key, F.lit(1))), key, "inner").drop(key)
+    """Attach the columns of a single-row aggregate (a total, a count) to every row as
+    scalar subqueries (computed once, no join)."""
+    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])

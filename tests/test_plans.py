@@ -56,3 +56,9 @@ def test_co_occurrence_has_no_self_join(spark, prepared):
 def test_top_terms_limit_before_shuffle(spark, prepared):
     plan = _plan(spark, "W06_top_terms_per_category")
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_significance_uses_scalar_subqueries_and_broadcasts(spark, prepared):
+    plan = _plan(spark, "M04_ppmi")
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan and "SortMergeJoin" not in plan
+    assert "Subquery" in plan
