@@ -184,13 +184,17 @@ def significance(ttm: DataFrame, metric: str, *, pivots: Sequence[str] = (), nor
     if metric not in METRICS:
         raise ValueError("metric is not applicable in current context")
     pv = list(pivots)
+    # the term-term table is small (at most K(K-1)/2 rows per pivot value) and used four
+    # times: store it once instead of recomputing the co-occurrence pass
+    ttm = ttm.checkpoint(eager=True)
     rows = ttm.groupBy(*pv, "w1").agg(F.sum("n").alias("zr"))
     total = ttm.groupBy(*pv).agg(F.sum("n").alias("z"))
     zi = rows.select(*pv, "w1", F.col("zr").alias("zr_i"))
     zj = rows.select(*pv, F.col("w1").alias("w2"), F.col("zr").alias("zr_j"))
-    # marginals have one row per vocabulary token (and pivot value): bounded by the checked
-    # vocabulary, so they are broadcast after the size check
-    t = ttm.join(bounded_broadcast(zi), [*pv, "w1"], "left").join(bounded_broadcast(zj), [*pv, "w2"], "left")
+    # marginals: one row per token (and pivot value); without pivots that is at most the
+    # checked vocabulary size, with pivots the size is checked on the stored table
+    small = F.broadcast if not pv else bounded_broadcast
+    t = ttm.join(small(zi), [*pv, "w1"], "left").join(small(zj), [*pv, "w2"], "left")
     t = t.join(bounded_broadcast(total), pv, "inner") if pv else with_scalars(t, total.select("z"))
     cij = F.col("n").cast("double")
     zr_i = F.coalesce(F.col("zr_i"), F.lit(0.0))
