@@ -22,19 +22,71 @@ SUC_TAGS = [
     ("VB", "Verb", "Verb"), ("MAD", "Delimiter", "Delimiter"), ("MID", "Delimiter", "Delimiter"),
     ("PAD", "Delimiter", "Delimiter"),
 ]
+# The Universal tag set (tag, group, description).
+UNIVERSAL_TAGS = [
+    ("ADJ", "Adjective", "Adjective"), ("ADP", "Preposition", "Preposition"), ("ADV", "Adverb", "Adverb"),
+    ("AUX", "Other", "Other"), ("CONJ", "Conjunction", "Conjunction"),
+    ("CCONJ", "Conjunction", "Conjunction, coordinating"), ("DET", "Pronoun", "Determinator"),
+    ("INTJ", "Adverb", "Interjection"), ("NOUN", "Noun", "Noun"), ("NUM", "Numeral", "Numeral"),
+    ("PART", "Adverb", ""), ("PRON", "Pronoun", "Pronoun"), ("PROPN", "Noun", "Proper Noun"),
+    ("PUNCT", "Delimiter", "Punctuation"), ("SCONJ", "Conjunction", "Subjuncion"), ("SYM", "Other", "Symbol"),
+    ("VERB", "Verb", "Verb"), ("X", "Other", "Other"), ("EOL", "Delimiter", "End of line"),
+    ("SPACE", "Delimiter", "Space"),
+]
+# The Penn Treebank tag set (tag, group, universal tag, description).
+PENN_TAGS = [
+    ("$", "Other", "SYM", "symbol, currency"), ("``", "Delimiter", "PUNCT", "opening quotation mark"),
+    ("''", "Delimiter", "PUNCT", "closing quotation mark"), (",", "Delimiter", "PUNCT", "punctuation mark, comma"),
+    ("-LRB-", "Delimiter", "PUNCT", "left round bracket"), ("-RRB-", "Delimiter", "PUNCT", "right round bracket"),
+    (".", "Delimiter", "PUNCT", "punctuation mark, sentence closer"),
+    (":", "Delimiter", "PUNCT", "punctuation mark, colon or ellipsis"), ("ADD", "Other", "X", "email"),
+    ("AFX", "Adjective", "ADJ", "affix"), ("CC", "Conjunction", "CCONJ", "conjunction, coordinating"),
+    ("CD", "Numeral", "NUM", "cardinal number"), ("DT", "Pronoun", "DET", "determiner"),
+    ("EX", "Pronoun", "PRON", "existential there"), ("FW", "Other", "X", "foreign word"),
+    ("GW", "Other", "X", "additional word in multi-word expression"),
+    ("HYPH", "Delimiter", "PUNCT", "punctuation mark, hyphen"),
+    ("IN", "Preposition", "ADP", "conjunction, subordinating or preposition"), ("JJ", "Adjective", "ADJ", "adjective"),
+    ("JJR", "Adjective", "ADJ", "adjective, comparative"), ("JJS", "Adjective", "ADJ", "adjective, superlative"),
+    ("LS", "Other", "X", "list item marker"), ("MD", "Verb", "VERB", "verb, modal auxiliary"),
+    ("NFP", "Delimiter", "PUNCT", "superfluous punctuation"), ("NIL", "Other", "X", "missing tag"),
+    ("NN", "Noun", "NOUN", "noun, singular or mass"), ("NNP", "Noun", "PROPN", "noun, proper singular"),
+    ("NNPS", "Noun", "PROPN", "noun, proper plural"), ("NNS", "Noun", "NOUN", "noun, plural"),
+    ("PDT", "Pronoun", "DET", "predeterminer"), ("POS", "Adverb", "PART", "possessive ending"),
+    ("PRP", "Pronoun", "PRON", "pronoun, personal"), ("PRP$", "Pronoun", "DET", "pronoun, possessive"),
+    ("RB", "Adverb", "ADV", "adverb"), ("RBR", "Adverb", "ADV", "adverb, comparative"),
+    ("RBS", "Adverb", "ADV", "adverb, superlative"), ("RP", "Adverb", "ADP", "adverb, particle"),
+    ("SP", "Delimiter", "SPACE", "space"), ("SYM", "Other", "SYM", "symbol"),
+    ("TO", "Adverb", "PART", "infinitival “to”"), ("UH", "Adverb", "INTJ", "interjection"),
+    ("VB", "Verb", "VERB", "verb, base form"), ("VBD", "Verb", "VERB", "verb, past tense"),
+    ("VBG", "Verb", "VERB", "verb, gerund or present participle"), ("VBN", "Verb", "VERB", "verb, past participle"),
+    ("VBP", "Verb", "VERB", "verb, non-3rd person singular present"),
+    ("VBZ", "Verb", "VERB", "verb, 3rd person singular present"), ("WDT", "Pronoun", "DET", "wh-determiner"),
+    ("WP", "Pronoun", "PRON", "wh-pronoun, personal"), ("WP$", "Pronoun", "DET", "wh-pronoun, possessive"),
+    ("WRB", "Adverb", "ADV", "wh-adverb"), ("XX", "Other", "X", "unknown"), ("_SP", "Delimiter", "SPACE", ""),
+]
+SCHEMES = {"SUC": SUC_TAGS, "Universal": UNIVERSAL_TAGS, "Penn": PENN_TAGS}
 DELIMITER = "Delimiter"
 
 # Tagged stream used with the stand-in tagger: words, numbers and single punctuation marks.
 TAGGED_TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 
 
-def scheme(spark: SparkSession, rows: Sequence[tuple[str, str, str]] = SUC_TAGS) -> DataFrame:
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)],
+def scheme(spark: SparkSession, rows: Sequence[tuple[str, ...]] | str = SUC_TAGS) -> DataFrame:
+    """A tag scheme as a table (pos_id, tag, tag_group_name, description); `rows` is a
+    list of tag rows or one of the names in SCHEMES."""
+    rows = SCHEMES[rows] if isinstance(rows, str) else rows
+    return spark.createDataFrame([(i, r[0], r[1], r[-1]) for i, r in enumerate(rows)],
                                  "pos_id int, tag string, tag_group_name string, description string")
 
 
-def groups_of(rows: Sequence[tuple[str, str, str]] = SUC_TAGS) -> list[str]:
-    return sorted({g for _, g, _ in rows})
+def universal_tags(spark: SparkSession) -> DataFrame:
+    """Penn tag -> Universal tag mapping."""
+    return spark.createDataFrame([(r[0], r[2]) for r in PENN_TAGS], "tag string, universal_tag string")
+
+
+def groups_of(rows: Sequence[tuple[str, ...]] | str = SUC_TAGS) -> list[str]:
+    rows = SCHEMES[rows] if isinstance(rows, str) else rows
+    return sorted({r[1] for r in rows})
 
 
 def stand_in_tag(token: Column) -> Column:

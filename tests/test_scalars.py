@@ -86,3 +86,18 @@ def test_normalize_array(spark):
     out = spark.createDataFrame([([1.0, 3.0],), ([0.0, 0.0],)], "v array<double>") \
         .select(fx.normalize_array(F.col("v")).alias("n")).collect()
     assert out[0]["n"] == [0.25, 0.75] and out[1]["n"] == [0.0, 0.0]
+
+
+def test_pos_schemes(spark):
+    from rostra.operators import pos as POS
+
+    tags = spark.createDataFrame([(0, "NOUN"), (0, "PUNCT"), (0, "VERB"), (0, "??"), (1, "PROPN")],
+                                 "document_id long, tag string")
+    got = {r["document_id"]: r for r in POS.group_counts(tags, POS.scheme(spark, "Universal")).collect()}
+    assert (got[0]["Noun"], got[0]["Verb"], got[0]["Delimiter"], got[0]["n_tokens"]) == (1, 1, 1, 3)
+    assert got[1]["Noun"] == 1
+    penn = {r["tag"]: r["universal_tag"] for r in POS.universal_tags(spark).collect()}
+    assert penn["NNP"] == "PROPN" and penn["-LRB-"] == "PUNCT"
+    assert "Delimiter" in POS.groups_of("Penn")
+    kept = {r["tag"] for r in POS.exclude_tags(POS.scheme(spark, "SUC"), ["Delimiter", "NN"]).collect()}
+    assert "NN" not in kept and "MAD" not in kept and "PM" in kept
