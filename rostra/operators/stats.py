@@ -319,14 +319,126 @@ def _period_spine_stats(periods: DataFrame, key: str) -> DataFrame:
                        F.min(key).alias("x1"), F.max(key).alias("x2"))
 
 
-def goodness_of_fit(counts: DataFrame, periods: DataFrame, key: str = "year") -> DataFrame:
+# --- p-values: regularised incomplete gamma and beta functions (per-row helpers) -------
+
+def _gamma_q(a: float, x: float) -> float:
+    """Upper regularised incomplete gamma Q(a, x) (series below a+1, continued fraction above)."""
+    import math
+
+    if x <= 0:
+        return 1.0
+    log_front = -x + a * math.log(x) - math.lgamma(a)
+    if x < a + 1:
+        term = total = 1.0 / a
+        ap = a
+        for _ in range(10_000):
+            ap += 1
+            term *= x / ap
+            total += term
+            if abs(term) < abs(total) * 1e-16:
+                break
+        return max(0.0, 1.0 - total * math.exp(log_front))
+    tiny = 1e-300
+    b = x + 1 - a
+    c, d = 1 / tiny, 1 / b
+    h = d
+    for i in range(1, 10_000):
+        an = -i * (i - a)
+        b += 2
+        d = an * d + b
+        d = tiny if abs(d) < tiny else d
+        c = b + an / c
+        c = tiny if abs(c) < tiny else c
+        d = 1 / d
+        delta = d * c
+        h *= delta
+        if abs(delta - 1) < 1e-16:
+            break
+    return math.exp(log_front) * h
+
+
+def _beta_i(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta I_x(a, b) by its continued fraction."""
+    import math
+
+    if x <= 0:
+        return 0.0
+    if x >= 1:
+        return 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
+
+    def cf(a_, b_, x_):
+        tiny = 1e-300
+        qab, qap, qam = a_ + b_, a_ + 1, a_ - 1
+        c, d = 1.0, 1 - qab * x_ / qap
+        d = 1 / (tiny if abs(d) < tiny else d)
+        h = d
+        for m in range(1, 10_000):
+            m2 = 2 * m
+            aa = m * (b_ - m) * x_ / ((qam + m2) * (a_ + m2))
+            d = 1 + aa * d
+            d = 1 / (tiny if abs(d) < tiny else d)
+            c = 1 + aa / c
+            c = tiny if abs(c) < tiny else c
+            h *= d * c
+            aa = -(a_ + m) * (qab + m) * x_ / ((a_ + m2) * (qap + m2))
+            d = 1 + aa * d
+            d = 1 / (tiny if abs(d) < tiny else d)
+            c = 1 + aa / c
+            c = tiny if abs(c) < tiny else c
+            delta = d * c
+            h *= delta
+            if abs(delta - 1) < 1e-16:
+                break
+        return h
+
+    if x < (a + 1) / (a + b + 2):
+        return front * cf(a, b, x) / a
+    return 1 - front * cf(b, a, 1 - x) / b
+
+
+def chi2_p_value(chi2: Column, d: Column) -> Column:
+    """P(X >= chi2) for X ~ chi-square with d - 1 degrees of freedom (goodness of fit to
+    the mean over d periods)."""
+
+    @F.pandas_udf("double")
+    def sf(x: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([float("nan") if (pd.isna(v) or pd.isna(n) or n < 2) else _gamma_q((n - 1) / 2, v / 2)
+                          for v, n in zip(x, k)])
+
+    return sf(chi2, d)
+
+
+def slope_p_value(r: Column, n: Column) -> Column:
+    """Two-sided p-value of an OLS slope from the correlation r over n points
+    (t = r sqrt((n-2) / (1-r^2)), Student t with n - 2 degrees of freedom)."""
+
+    @F.pandas_udf("double")
+    def p(rs: pd.Series, ns: pd.Series) -> pd.Series:
+        out = []
+        for rv, nv in zip(rs, ns):
+            df = nv - 2
+            if pd.isna(rv) or pd.isna(nv) or df <= 0:
+                out.append(float("nan"))
+            elif abs(rv) >= 1:
+                out.append(0.0)
+            else:
+                t2 = rv * rv * df / (1 - rv * rv)
+                out.append(_beta_i(df / 2, 0.5, df / (df + t2)))
+        return pd.Series(out)
+
+    return p(r, n)
+
+
+def goodness_of_fit(counts: DataFrame, periods: DataFrame, key: str = "year", with_p: bool = False) -> DataFrame:
     """Per token, distance of its distribution over the completed periods from
     uniform. Zero cells are accounted for analytically (d = number of periods), so no
     token x period grid is materialised.
 
     counts: (token, key, n) non-zero cells; periods: one row per period (column key).
     Columns: l2_norm (scaled), chi2 (to the mean), emd (to the mean), entropy (relative
-    entropy to uniform, normalised), kld (to the mean, 1e-5 smoothing)."""
+    entropy to uniform, normalised), kld (to the mean, 1e-5 smoothing); with `with_p`
+    also chi2_p (chi-square survival function, d - 1 degrees of freedom)."""
     sp = _period_spine_stats(periods, key).select("d")
     g = counts.groupBy("token").agg(F.sum("n").cast("double").alias("s"),
                                     F.sum(F.col("n") * F.col("n")).cast("double").alias("ss"),
@@ -345,11 +457,14 @@ def goodness_of_fit(counts: DataFrame, periods: DataFrame, key: str = "year") ->
     e = KLD_EPSILON
     kld_nz = F.aggregate("_vals", F.lit(0.0), lambda acc, v: acc + (v + e) * F.ln((v + e) / (mean + e)))
     kld = kld_nz + (d - nnz) * e * F.ln(F.lit(e) / (mean + e))
-    return g.select("token", l2s.alias("l2_norm"), chi2.alias("chi2"), emd.alias("emd"), ent.alias("entropy"),
-                    kld.alias("kld"))
+    out = g.select("token", l2s.alias("l2_norm"), chi2.alias("chi2"), emd.alias("emd"), ent.alias("entropy"),
+                   kld.alias("kld"), d.alias("_d"))
+    if with_p:
+        out = out.withColumn("chi2_p", chi2_p_value(F.col("chi2"), F.col("_d")))
+    return out.drop("_d")
 
 
-def fit_trends(counts: DataFrame, periods: DataFrame, key: str = "year") -> DataFrame:
+def fit_trends(counts: DataFrame, periods: DataFrame, key: str = "year", with_p: bool = False) -> DataFrame:
     """Ordinary least squares of counts over the periods (zeros included) per token:
     intercept, slope, corr, and the fitted end points. Sums over zero cells are known
     from the period spine, so only non-zero cells are aggregated."""
@@ -363,9 +478,12 @@ def fit_trends(counts: DataFrame, periods: DataFrame, key: str = "year") -> Data
     slope = F.try_divide(d * sxy - sx * sy, sxx_c)
     intercept = (sy - slope * sx) / d
     corr = F.try_divide(d * sxy - sx * sy, F.sqrt(sxx_c * (d * syy - sy * sy)))
-    return g.select("token", intercept.alias("intercept"), slope.alias("slope"), corr.alias("corr"),
-                    F.col("x1"), F.col("x2"), (intercept + slope * F.col("x1")).alias("y1"),
-                    (intercept + slope * F.col("x2")).alias("y2"))
+    out = g.select("token", intercept.alias("intercept"), slope.alias("slope"), corr.alias("corr"),
+                   F.col("x1"), F.col("x2"), (intercept + slope * F.col("x1")).alias("y1"),
+                   (intercept + slope * F.col("x2")).alias("y2"), d.alias("_d"))
+    if with_p:
+        out = out.withColumn("p", slope_p_value(F.col("corr"), F.col("_d")))
+    return out.drop("_d")
 
 
 def fit_polynomial(counts: DataFrame, periods: Sequence[int], key: str = "year", deg: int = 2) -> DataFrame:

@@ -127,3 +127,30 @@ def test_normalize_keeps_zero_rows_and_magnitude(spark, dtm):
     km = {(r["document_id"], r["token"]): r["n"] for r in
           S.normalize(dtm, axis=1, norm="l1", keep_magnitude=True).collect()}
     assert math.isclose(km[(0, "a")], 0.5 * 4)  # sum(row 0) / sum(normalised row 0) = 4
+
+
+def test_p_value_helpers_match_textbook_values():
+    # chi-square critical values at 5% and 1%; Student t critical values (two-sided 5%)
+    assert math.isclose(S._gamma_q(0.5, 3.841458820694124 / 2), 0.05, rel_tol=1e-9)
+    assert math.isclose(S._gamma_q(1.0, 5.991464547107979 / 2), 0.05, rel_tol=1e-9)
+    assert math.isclose(S._gamma_q(2.5, 15.08627246938899 / 2), 0.01, rel_tol=1e-8)
+    t, df = 2.2281388519649385, 10
+    assert math.isclose(S._beta_i(df / 2, 0.5, df / (df + t * t)), 0.05, rel_tol=1e-8)
+    t, df = 2.0484071417952445, 28
+    assert math.isclose(S._beta_i(df / 2, 0.5, df / (df + t * t)), 0.05, rel_tol=1e-8)
+
+
+def test_p_values_on_frames(spark):
+    counts = spark.createDataFrame([("a", 2000, 30), ("a", 2001, 1), ("a", 2002, 1), ("a", 2003, 1),
+                                    ("b", 2000, 5), ("b", 2001, 5), ("b", 2002, 5), ("b", 2003, 5)],
+                                   "token string, year int, n long")
+    years = spark.createDataFrame([(y,) for y in (2000, 2001, 2002, 2003)], "year int")
+    g = {r["token"]: r for r in S.goodness_of_fit(counts, years, with_p=True).collect()}
+    assert g["a"]["chi2_p"] < 1e-6 and math.isclose(g["b"]["chi2_p"], 1.0)
+    x = np.array([30.0, 1, 1, 1])
+    chi2 = ((x - x.mean()) ** 2 / x.mean()).sum()
+    assert math.isclose(g["a"]["chi2_p"], S._gamma_q(1.5, chi2 / 2), rel_tol=1e-12)
+    f = {r["token"]: r for r in S.fit_trends(counts, years, with_p=True).collect()}
+    r = np.corrcoef([2000, 2001, 2002, 2003], x)[0, 1]
+    t2 = r * r * 2 / (1 - r * r)
+    assert math.isclose(f["a"]["p"], S._beta_i(1.0, 0.5, 2 / (2 + t2)), rel_tol=1e-9)
