@@ -66,7 +66,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the setting names a shared folder and is used as is. Only when it is
     unset (tests, local runs) a private scratch folder is created and registered.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's spark.checkpoint.dir applies
+        return spark.conf.get("spark.checkpoint.dir", "") or ""
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if current:
         return current
@@ -106,9 +109,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-partition a scan by `key` when it yields fewer partitions than the cluster
     has cores (a single large row group reads as one partition). Scans that already
     split are left alone, so wide text is not shuffled at scale."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        n_parts = df.rdd.getNumPartitions()
+    except Exception:  # Spark Connect has no RDD view; the server plans the scan
+        return df
+    if n_parts < cores:
         return df.repartition(max(cores * 2, 2), key)
     return df
 
