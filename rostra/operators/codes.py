@@ -268,6 +268,16 @@ def add_multi_party_hook(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return out
 
 
+def add_pid_hook(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """`pid` = row number of the person (dense 0-based ids in person_id order)."""
+    from .dtm import dense_ids
+
+    out = dict(tables)
+    persons = tables["persons"].drop("pid") if "pid" in tables["persons"].columns else tables["persons"]
+    out["persons"] = dense_ids(persons, ["person_id"], id_col="pid")
+    return out
+
+
 def rename_sub_office_hook(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     out = dict(tables)
     t = tables["sub_office_type"]

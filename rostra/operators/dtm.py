@@ -485,12 +485,27 @@ def normalize_per_year(counts: DataFrame, index: DataFrame, value: str = "n") ->
         .withColumn(value, F.try_divide(F.col(value), F.col("_year_tokens"))).drop("_year_tokens")
 
 
-def extend_index(index: DataFrame, other: DataFrame, on: str = "document_name") -> DataFrame:
-    """Append rows of `other` whose name is new (ids are kept; renumber with dense_ids)."""
+def extend_index(index: DataFrame, other: DataFrame, on: str = "document_name",
+                 ignore_if_exists: bool = True) -> DataFrame:
+    """Append rows of `other` whose name is new (ids are kept; renumber with
+    dense_ids). With `ignore_if_exists=False` an existing name raises ValueError
+    (one semi-join count)."""
+    if not ignore_if_exists and other.join(index.select(on), on, "left_semi").limit(1).count():
+        raise ValueError("documents already in the index")
     new = other.join(index.select(on), on, "left_anti")
     return index.unionByName(new, allowMissingColumns=True)
 
 
+def compress_vocabulary(vocab: DataFrame, threshold: int = 1, keeps: Sequence[str] = ()
+                        ) -> tuple[DataFrame, DataFrame]:
+    """W05 `compress`: keep tokens with tf >= threshold or listed in `keeps`, renumber
+    them densely in old-id order; returns (new vocabulary, mapping old_id -> new_id)."""
+    kept = vocab.where((F.col("tf") >= threshold) | F.col("token").isin(list(keeps)))
+    renumbered = dense_ids(kept.withColumnRenamed("token_id", "old_id"), ["old_id"], id_col="token_id")
+    mapping = renumbered.select("old_id", F.col("token_id").alias("new_id"))
+    return renumbered.drop("old_id"), mapping
+
+
 def check_index_covers(dtm: DataFrame, index: DataFrame) -> DataFrame:
     """S15 check: documents present on one side only (should be empty)."""
     a = dtm.select("document_id").distinct()

@@ -103,6 +103,10 @@ def read_document_index(spark: SparkSession, path: str, sep: str = "\t", schema:
         df = df.withColumn("year", F.col("year").try_cast("int"))
     if "document_id" in df.columns:
         df = df.withColumn("document_id", F.col("document_id").try_cast("bigint"))
+    else:  # W05: dense ids in file-name order
+        from ..operators.dtm import dense_ids
+
+        df = dense_ids(df, ["filename"], id_col="document_id")
     return df
 
 

@@ -108,3 +108,8 @@ def test_speech_info_defaults(spark, tables):
     got = {r["document_id"]: (r["name"], r["speaker_note"]) for r in
            C.speech_info(si, tables["persons"], notes).collect()}
     assert got == {0: ("John Doe", "Intro"), 1: ("p9", "(introductory note not found)")}
+
+
+def test_add_pid_hook(tables):
+    t = C.run_hooks(tables, [C.add_pid_hook])
+    assert sorted((r["person_id"], r["pid"]) for r in t["persons"].collect()) == [("p1", 0), ("p2", 1)]

@@ -93,3 +93,16 @@ def test_fill_temporal_gaps_one_row_per_missing_period(spark):
     out = D.fill_temporal_gaps(gi, "time_period", ["party_id"])
     missing = sorted((r["time_period"], r["document_name"]) for r in out.where("n_documents = 0").collect())
     assert missing == [(1971, "1971_0"), (1972, "1972_0")]
+
+
+def test_compress_vocabulary_and_extend(spark):
+    vocab = spark.createDataFrame([("a", 0, 5), ("b", 1, 1), ("c", 2, 3), ("d", 3, 1)],
+                                  "token string, token_id long, tf long")
+    new, mapping = D.compress_vocabulary(vocab, threshold=3, keeps=["d"])
+    assert sorted((r["token"], r["token_id"]) for r in new.collect()) == [("a", 0), ("c", 1), ("d", 2)]
+    assert sorted((r["old_id"], r["new_id"]) for r in mapping.collect()) == [(0, 0), (2, 1), (3, 2)]
+    idx = spark.createDataFrame([("x",), ("y",)], "document_name string")
+    other = spark.createDataFrame([("y",), ("z",)], "document_name string")
+    assert sorted(r[0] for r in D.extend_index(idx, other).collect()) == ["x", "y", "z"]
+    with pytest.raises(ValueError):
+        D.extend_index(idx, other, ignore_if_exists=False)

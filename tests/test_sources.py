@@ -196,3 +196,11 @@ def test_zip_sources(spark, scratch):
     assert [(r["id"], r["name"]) for r in rows] == [(1, "x"), (2, "y")]
     members = SRC.read_zip_members(spark, folder, "*.txt").collect()
     assert [(os.path.basename(r["archive"]), r["member"]) for r in members] == [("frames.zip", "b.txt")]
+
+
+def test_document_index_without_ids_gets_dense_ids(spark, scratch):
+    path = os.path.join(scratch, "idx")
+    spark.createDataFrame([("b.txt", "1990"), ("a.txt", "1980")], "filename string, year string") \
+        .write.option("sep", "\t").option("header", True).csv(path)
+    got = sorted((r["filename"], r["document_id"]) for r in SRC.read_document_index(spark, path).collect())
+    assert got == [("a.txt", 0), ("b.txt", 1)]
