@@ -102,3 +102,19 @@ def test_cut_off_equals_global_first_hits(spark):
         assert got == full[:n]
     kept, _ = TK.first_hits(st, TK.match_positions(pat)[0], 7, buckets=3)
     assert kept.count() < st.count()
+
+
+def test_first_hits_refinement_is_exact(spark):
+    """Several refinement steps (7 buckets per step) still give exactly the first n hits."""
+    from rostra.model import Corpus
+
+    st = Corpus(spark, "/root/testdata/sf0.001").speech_tokens
+    pat = [{"target": "lemma", "value": "the"}]
+    positions = TK.match_positions(pat)[0]
+    full = [(r["document_id"], r["p"]) for r in
+            st.select("document_id", F.explode(positions).alias("p")).orderBy("document_id", "p").collect()]
+    for n in (1, 250, len(full) - 1):
+        kept, pos = TK.first_hits(st, positions, n, buckets=7)
+        got = [(r["document_id"], r["p"]) for r in
+               kept.select("document_id", F.explode(pos).alias("p")).orderBy("document_id", "p").collect()]
+        assert got == full[:n], n
