@@ -119,10 +119,12 @@ def _per_hit(speeches: DataFrame, pattern, criteria, keep: Sequence[str], make,
 
 def kwic(speeches: DataFrame, pattern, *, words_before: int = 3, words_after: int = 3, p_show: str = "word",
          criteria: Sequence[Mapping[str, Any]] | None = None, keep: Sequence[str] = ("document_id", "speech_id"),
-         cut_off: int | None = None) -> DataFrame:
+         cut_off: int | None = None, hit_counts: DataFrame | None = None) -> DataFrame:
     """Left / node / right text of each match; with `cut_off`, exactly the first
     `cut_off` hits in corpus order (document_id, pos), the reference's hit cap.
-    Empty results keep the columns."""
+    `hit_counts` (document_id, h) may supply the per-speech hit counts for the cut-off
+    (e.g. from a stored DTM); they must count the same matches. Empty results keep the
+    columns."""
     k = len(normalize_pattern(pattern))
     arr = F.col(p_show)
 
@@ -135,7 +137,9 @@ def kwic(speeches: DataFrame, pattern, *, words_before: int = 3, words_after: in
     if cut_off is not None:
         speeches = speeches.where(criteria_predicate(criteria)) if criteria else speeches
         criteria = None
-        speeches, positions = first_hits(speeches, match_positions(pattern)[0], cut_off)
+        counts = None if hit_counts is None else hit_counts.join(speeches.select("document_id"), "document_id",
+                                                                 "left_semi")
+        speeches, positions = first_hits(speeches, match_positions(pattern)[0], cut_off, counts=counts)
     return _per_hit(speeches, pattern, criteria, keep, make, positions)
 
 
@@ -143,8 +147,8 @@ def kwic(speeches: DataFrame, pattern, *, words_before: int = 3, words_after: in
 CUT_OFF_BUCKETS = 4096
 
 
-def first_hits(speeches: DataFrame, positions: Column, n: int, buckets: int = CUT_OFF_BUCKETS
-               ) -> tuple[DataFrame, Column]:
+def first_hits(speeches: DataFrame, positions: Column, n: int, buckets: int = CUT_OFF_BUCKETS,
+               counts: DataFrame | None = None) -> tuple[DataFrame, Column]:
     """The speeches and match positions that hold exactly the first `n` hits in corpus
     order (document_id, then position), without sorting the hits.
 
@@ -154,15 +158,21 @@ def first_hits(speeches: DataFrame, positions: Column, n: int, buckets: int = CU
     its first r positions (positions are ascending), later speeches are filtered out
     (the filter reaches the scan). When there are at most n hits, nothing is cut."""
     doc = F.col("document_id")
-    bounds = speeches.agg(F.min("document_id").alias("lo"), F.max("document_id").alias("hi")).first()
+    # per-speech hit counts: given (one row per speech with hits) or from the positions
+    hits = counts.select("document_id", F.col("h")) if counts is not None \
+        else speeches.select("document_id", F.size(positions).alias("h"))
+    hits = hits.where(F.col("h") > 0)
+    # the id range needs no matching: read it from the speech (or count) rows
+    ranged = counts if counts is not None else speeches
+    bounds = ranged.agg(F.min("document_id").alias("lo"), F.max("document_id").alias("hi")).first()
     if bounds is None or bounds["lo"] is None:
         return speeches, positions
     start, end, before = int(bounds["lo"]), int(bounds["hi"]) + 1, 0
     while True:
         width = -(-(end - start) // buckets)
-        part = speeches.where((doc >= start) & (doc < end))
-        hist = part.select(F.floor((doc - start) / width).alias("b"), F.size(positions).alias("h")) \
-            .where(F.col("h") > 0).groupBy("b").agg(F.sum("h").alias("h")).collect()
+        part = hits.where((doc >= start) & (doc < end))
+        hist = part.select(F.floor((doc - start) / width).alias("b"), "h") \
+            .groupBy("b").agg(F.sum("h").alias("h")).collect()
         found = None
         for row in sorted(hist, key=lambda r: r["b"]):
             if before + row["h"] >= n:

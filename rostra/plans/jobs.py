@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Corpus
+from ..model import Corpus, PreparedCorpus
 from ..operators import codes, predicates
 from ..operators.predicates import predicate
 
@@ -168,8 +168,15 @@ def kwic(corpus: Corpus, keywords: str | Sequence[str], *, lemmatized: bool = Tr
     pattern = [{"target": target, "value": w} for w in words]
     keep = ["document_id", "document_name", "speech_id", "speech_name", "year", "chamber_abbrev", "person_id",
             "gender_id", "party_id"]
+    hit_counts = None
+    if cut_off is not None and lemmatized and len(words) == 1 and isinstance(corpus, PreparedCorpus) \
+            and not tokens._REGEX_META.search(words[0]):
+        # one literal lemma: hits per speech are the stored DTM cells of that token (the
+        # DTM is sorted by token, so only its row groups are read)
+        hit_counts = corpus.dtm.where(F.col("token") == words[0].lower()) \
+            .select("document_id", F.col("n").alias("h"))
     hits = tokens.kwic(corpus.speech_tokens, pattern, words_before=words_before, words_after=words_after,
-                       p_show=p_show, criteria=criteria, keep=keep, cut_off=cut_off)
+                       p_show=p_show, criteria=criteria, keep=keep, cut_off=cut_off, hit_counts=hit_counts)
     decoded = codes.decode_speech_index(hits, corpus.code_tables())
     return decoded.select(*KWIC_COLUMNS)
 

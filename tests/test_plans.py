@@ -62,3 +62,18 @@ def test_significance_uses_scalar_subqueries_and_broadcasts(spark, prepared):
     plan = _plan(spark, "M04_ppmi")
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan and "SortMergeJoin" not in plan
     assert "Subquery" in plan
+
+
+def test_kwic_cut_off_from_stored_counts_equals_raw(spark, prepared):
+    """On the prepared corpus the cut-off histogram comes from the stored DTM cells; the
+    hits must equal those found from the raw tables."""
+    from rostra.model import Corpus, PreparedCorpus
+    from rostra.plans import jobs
+
+    raw = Corpus(spark, SMALL)
+    prep = catalog.corpus(spark, SMALL)
+    assert isinstance(prep, PreparedCorpus)
+    for n in (1, 37, 400):
+        a = jobs.kwic(raw, "the", cut_off=n).select("document_id", "left_word", "node_word", "right_word")
+        b = jobs.kwic(prep, "the", cut_off=n).select("document_id", "left_word", "node_word", "right_word")
+        assert a.count() == min(n, a.count()) and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

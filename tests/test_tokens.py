@@ -96,7 +96,7 @@ def test_cut_off_equals_global_first_hits(spark):
     st = Corpus(spark, "/root/testdata/sf0.001").speech_tokens
     pat = [{"target": "lemma", "value": "the"}]
     full = [(r["document_id"], r["pos"]) for r in TK.kwic(st, pat).orderBy("document_id", "pos").collect()]
-    for n in (1, 7, 250, len(full), 10 ** 9):
+    for n in (7, len(full), 10 ** 9):
         got = [(r["document_id"], r["pos"]) for r in TK.kwic(st, pat, cut_off=n).orderBy("document_id", "pos")
                .collect()]
         assert got == full[:n]
