@@ -72,6 +72,36 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+class IdPool:
+    """Token ids of the units (words) seen so far, in one growing array."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def add(self, units: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        """New units, their ids one after another, and how many each has."""
+        have, n = len(self.at), len(ids)
+        while self.used + n > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while have + len(units) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.pool[self.used:self.used + n] = ids
+        self.size[have:have + len(units)] = size
+        self.start[have:have + len(units)] = self.used + np.cumsum(size) - size
+        self.at.update(zip(units, range(have, have + len(units))))
+        self.used += n
+
+    def ids(self, units: list[str]) -> np.ndarray:
+        """The ids of known units in a row."""
+        i = np.array(list(map(self.at.__getitem__, units)), np.int64)
+        size = self.size[i]
+        end = np.cumsum(size)
+        n = int(end[-1]) if len(end) else 0
+        return self.pool[np.repeat(self.start[i] - (end - size), size) + np.arange(n)]
+
+
 def long_schema(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.LongType()) for n in names])
 

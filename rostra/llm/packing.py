@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts
+from .common import IdPool, materialise, texts
 
 CAPACITY = 4096
 END_ID = 1
@@ -51,51 +51,19 @@ class UnitTokens:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _learn(self, units: list[str]) -> None:
-        for lo in range(0, len(units), 2000):
-            part = units[lo:lo + 2000]
-            enc = self.tok.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(enc.ids, np.uint32)
-            size = np.bincount(np.array(enc.word_ids, np.int64), minlength=len(part))
-            n, have = len(ids), len(self.at)
-            while self.used + n > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while have + len(part) > len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            self.pool[self.used:self.used + n] = ids
-            self.size[have:have + len(part)] = size
-            self.start[have:have + len(part)] = self.used + np.cumsum(size) - size
-            self.at.update(zip(part, range(have, have + len(part))))
-            self.used += n
+        self.seen = IdPool()
 
     def __call__(self, some: list[str]) -> list[np.ndarray]:
         units = [_UNIT.findall(t.lower()) if _PLAIN.fullmatch(t) else None for t in some]
-        if len(self.at) > _CACHE:
-            self._clear()
-        get = self.at.get
-        places = [list(map(get, u)) if u is not None else [] for u in units]
-        new = {w for u, p in zip(units, places) if None in p for w, x in zip(u, p) if x is None}
-        if new:
-            self._learn(sorted(new))
-            places = [list(map(get, u)) if None in p else p for u, p in zip(units, places)]
-        out = []
-        for t, u, p in zip(some, units, places):
-            if u is None:
-                out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32))
-                continue
-            i = np.array(p, np.int64)
-            size = self.size[i]
-            end = np.cumsum(size)
-            n = int(end[-1]) if len(end) else 0
-            out.append(self.pool[np.repeat(self.start[i] - (end - size), size) + np.arange(n)])
-        return out
+        if len(self.seen.at) > _CACHE:
+            self.seen = IdPool()
+        new = sorted({w for u in units if u is not None for w in u if w not in self.seen.at})
+        for lo in range(0, len(new), 2000):  # units with spaces between are units again
+            part = new[lo:lo + 2000]
+            enc = self.tok.encode(" ".join(part), add_special_tokens=False)
+            self.seen.add(part, np.array(enc.ids, np.uint32), np.bincount(np.array(enc.word_ids, np.int64), minlength=len(part)))
+        return [np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32) if u is None else self.seen.ids(u)
+                for t, u in zip(some, units)]
 
 
 _TOKENS: dict[str, UnitTokens] = {}

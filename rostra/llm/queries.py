@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, html_text, packing, simhash_dedup, substring_dedup, toxicity
+from . import (chat_format, embedding_dedup, exact_dedup, html_text, license_scan, packing, sentencepiece_fst, simhash_dedup,
+               substring_dedup, toxicity)
 from .common import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +35,36 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+@register("op1_sentencepiece")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sentencepiece_fst.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
+@register("op2_chat_format", r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), f AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '(<|\[)(\\*)(\|[A-Za-z_0-9]+\|>|/?s>|/?INST\]|</?SYS>>)')) AS body,
+         length(role) + len(regexp_extract_all(role, '(<|\[)(\\*)(\|[A-Za-z_0-9]+\|>|/?s>|/?INST\]|</?SYS>>)')) AS head
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(head + body + 24) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    says = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    nodes, members = chat_format.prefix_tree(rows)
+    return chat_format.read_back(nodes, members).drop("n_shared")
+
+
 @register("op3_substring_dedup", r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -61,6 +92,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@register("op4_license_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of the tree source/language."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 @register("op5_html_text")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_blocks")
@@ -102,11 +141,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op10_embedding_dedup", r"""
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
 ), good AS (
   SELECT vec_id, label, e FROM v
-  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-        AND len(list_filter(e, x -> x <> 0)) > 0
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), links AS MATERIALIZED (
   SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98
