@@ -31,9 +31,9 @@ from .common import connected_components, contract, materialise
 
 THRESHOLD = 0.98
 TREES = 4
-LEAF = 256
+LEAF = 1000
 SPILL = 1.0
-BLOCK = 512
+BLOCK = 1000
 MAX_DEPTH = 40
 
 
@@ -49,9 +49,8 @@ def _matrix(column) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(off[:-1], off[1:])]
 
 
-def _unit(column) -> np.ndarray:
-    """Unit rows in double precision; all of one dimension, scaled first so that squares stay finite."""
-    x = np.stack(_matrix(column))
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Unit rows in double precision, scaled first so that squares stay finite."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -66,75 +65,74 @@ def _classes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> t
     return rows.where(good), rows.where(~good)
 
 
-def _project(rows: DataFrame, level: int, trees: int) -> DataFrame:
-    """Adds p: the projection of the row's vector on its tree's direction of this level."""
-    names = rows.columns
-    schema = T.StructType([*rows.schema.fields, T.StructField("p", T.DoubleType())])
-
+def _project(classes: DataFrame, level: int, trees: int) -> DataFrame:
+    """(rep, tree, p): the projection of each vector on each tree's direction of this level."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
         for b in batches:
-            p = np.zeros(b.num_rows)
-            tree = b.column(names.index("tree")).to_pylist()
-            for i, (t, x) in enumerate(zip(tree, _matrix(b.column(names.index("vec"))))):
-                if (t, len(x)) not in known:
-                    known[t, len(x)] = directions(t, level, len(x))
-                x = x / np.abs(x).max()
-                p[i] = known[t, len(x)] @ x / np.linalg.norm(x)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*names, "p"])
-    return rows.mapInArrow(run, schema)
+            x = _matrix(b.column(1))
+            size = np.array([len(v) for v in x], np.int64)
+            p = np.zeros((len(x), trees))
+            for dim in np.unique(size):
+                at = np.flatnonzero(size == dim)
+                p[at] = _unit(np.stack([x[i] for i in at])) @ np.stack([directions(t, level, int(dim)) for t in range(trees)], 1)
+            rep = np.repeat(b.column(0).to_numpy(), trees)
+            tree = np.tile(np.arange(trees, dtype=np.int32), len(x))
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(tree), pa.array(p.ravel())], names=["rep", "tree", "p"])
+    return classes.select("rep", "vec").mapInArrow(run, "rep long, tree int, p double")
 
 
 def _leaves(classes: DataFrame, threshold: float, trees: int, leaf: int, spill: float) -> DataFrame:
-    """(rep, n, vec, leaf): each class in its leaves of all trees."""
+    """(rep, leaf): each class in its leaves of all trees. Levels move ids and projections only."""
     node = ["label", "dim", "tree", "node"]
-    rows = classes.withColumn("dim", F.size("vec")).withColumn("tree", F.explode(F.array(*map(F.lit, range(trees)))))
-    rows = rows.withColumn("node", F.lit(1).cast("decimal(38,0)")).select(*node, "rep", "n", "vec")
+    sizes = classes.groupBy("label", F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("size"))
+    rows = (classes.select("label", F.size("vec").alias("dim"), "rep").join(sizes, ["label", "dim"])
+            .withColumn("tree", F.explode(F.array(*map(F.lit, range(trees)))))
+            .select("label", "dim", "tree", F.lit(1).cast("decimal(38,0)").alias("node"), "rep", "size"))
     key = F.xxhash64(*node).alias("leaf")
-    done, big = None, None
-    reach = spill * math.sqrt(2 - 2 * threshold)
+    reach = spill * math.sqrt(2 - 2 * threshold)  # over the root of dim: what a pair differs by, typically
+    done = None
     for level in range(MAX_DEPTH):
-        sizes = rows.groupBy(*node).agg(F.count(F.lit(1)).alias("size"))
-        sized = materialise(rows.join(sizes, node))
-        small = sized.where(F.col("size") <= leaf).select("rep", "n", "vec", key)
+        small = rows.where(F.col("size") <= leaf).select("rep", key)
         done = small if done is None else done.unionByName(small)
-        large = sized.where(F.col("size") > leaf)
+        large = rows.where(F.col("size") > leaf)
         if large.isEmpty():
             return done
-        p = materialise(_project(large, level, trees))
+        p = large.join(_project(classes, level, trees), ["rep", "tree"])
         mid = p.groupBy(*node).agg(F.percentile_approx("p", F.lit(0.5), F.lit(1000)).alias("mid"))
-        sides = p.join(mid, node).withColumn("m", reach / F.sqrt("dim")).withColumn("side", F.explode(F.filter(F.array(
-            F.when(F.col("p") <= F.col("mid") + F.col("m"), F.lit(0)),
-            F.when(F.col("p") > F.col("mid") - F.col("m"), F.lit(1))), lambda x: x.isNotNull())))
+        m = F.lit(reach) / F.sqrt("dim")
+        dealt = materialise(p.join(mid, node).select(*node, "rep", "size", (F.col("p") <= F.col("mid") + m).alias("low"),
+                                                     (F.col("p") > F.col("mid") - m).alias("high")))
+        sides = dealt.groupBy(*node).agg(F.sum(F.col("low").cast("long")).alias("n_low"), F.sum(F.col("high").cast("long")).alias("n_high"))
+        dealt = dealt.join(sides, node)
         # a split that leaves nine tenths on a side is given up: the node is a large leaf
-        worth = (p.join(mid, node).withColumn("m", reach / F.sqrt("dim")).groupBy(*node)
-                 .agg((F.greatest(F.avg((F.col("p") <= F.col("mid") + F.col("m")).cast("int")),
-                                  F.avg((F.col("p") > F.col("mid") - F.col("m")).cast("int"))) < 0.9).alias("worth")))
-        sides = materialise(sides.join(worth, node).select(*node, "rep", "n", "vec", "side", "worth"))
-        kept = sides.where(~F.col("worth")).select(*node, "rep", "n", "vec").dropDuplicates([*node, "rep"])
-        big = kept if big is None else big.unionByName(kept)
-        done = done.unionByName(kept.select("rep", "n", "vec", key))
-        rows = sides.where("worth").withColumn("node", (F.col("node") * 2 + F.col("side")).cast("decimal(38,0)")).select(
-            *node, "rep", "n", "vec")
-    return done.unionByName(rows.select("rep", "n", "vec", key))
-
-
-def _compare(leaves: DataFrame, threshold: float, block: int) -> DataFrame:
+        worth = F.greatest("n_low", "n_high") < 0.9 * F.col("size")
+        done = done.unionByName(dealt.where(~worth).select("rep", key))
+        side = F.explode(F.filter(F.array(F.when(F.col("low"), F.struct(F.lit(0).alias("bit"), F.col("n_low").alias("size"))),
+                                          F.when(F.col("high"), F.struct(F.lit(1).alias("bit"), F.col("n_high").alias("size")))),
+                                  lambda x: x.isNotNull())).alias("side")
+        rows = dealt.where(worth).select(*node, "rep", side).select(
+            "label", "dim", "tree", (F.col("node") * 2 + F.col("side.bit")).cast("decimal(38,0)").alias("node"), "rep",
+            F.col("side.size").alias("size"))
+    return done.unionByName(rows.select("rep", key))
+
+
+def _compare(classes: DataFrame, leaves: DataFrame, threshold: float, block: int) -> DataFrame:
     """(a, b, w): star links (a, b, null) and, b null, w vectors linked with a."""
     keys = leaves.groupBy("rep").agg(F.array_sort(F.collect_set("leaf")).alias("keys"))  # a few a tree
     blocks = leaves.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rows = (leaves.join(blocks, "leaf").join(keys, "rep").withColumn("own", own)
+    rows = (leaves.join(blocks, "leaf").join(keys.join(classes.select("rep", "n", "vec"), "rep"), "rep").withColumn("own", own)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "vec", "keys"))
 
     def run(t: pa.Table) -> pa.Table:
         leaf, i, j = (t.column(c)[0].as_py() for c in ("leaf", "i", "j"))
         own, rep, n = (t.column(c).to_numpy() for c in ("own", "rep", "n"))
-        x = _unit(t.column("vec"))
-        sets = t.column("keys").to_pylist()
-        width = max(map(len, sets))
-        pad = np.array([s + [s[-1]] * (width - len(s)) for s in sets], np.int64)
+        x = _unit(np.concatenate(_matrix(t.column("vec"))).reshape(len(rep), -1))
+        keys = t.column("keys").combine_chunks()
+        off, flat = keys.offsets.to_numpy(), keys.values.to_numpy()
+        width = int(np.diff(off).max())
+        pad = flat[np.minimum(off[:-1, None] + np.arange(width), off[1:, None] - 1)]
         a, b = np.nonzero(x @ x.T >= threshold)
         keep = a < b if i == j else (own[a] == i) & (own[b] == j)
         a, b = a[keep], b[keep]
@@ -160,7 +158,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                           .select("label", "vec", F.col("rep"), "n"))
     # classes of different labels may share their smallest id where ids repeat: a number each
     classes = materialise(classes.withColumnRenamed("rep", "least").withColumn("rep", F.monotonically_increasing_id()))
-    found = materialise(_compare(_leaves(classes.select("label", "vec", "rep", "n"), threshold, trees, leaf, spill), threshold, block))
+    leaves = materialise(_leaves(classes, threshold, trees, leaf, spill))
+    found = materialise(_compare(classes, leaves, threshold, block))
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
     comp = connected_components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "root")
     rooted = classes.drop("vec").join(comp, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
