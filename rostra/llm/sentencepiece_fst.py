@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import IdPool, texts
 
 SPACE = "▁"
-_CACHE = 300_000
+_CACHE = 800_000
 _PAIRS = 1_500_000
 _GROUP = 200
 # Model and piece types of the model file
@@ -90,6 +90,8 @@ class Model:
         usable = [i for i, k in enumerate(self.kinds) if k in (NORMAL, USER)]
         self.ids = {self.pieces[i]: i for i in usable}
         self.longest = max(map(len, self.ids), default=1)
+        # the pieces' machine: texts of paths from its start; -1 where no piece ends
+        self.arcs = {p[:n]: -1 for p in self.ids for n in range(1, len(p))} | self.ids
         self.unknown = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else 0
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
@@ -138,23 +140,21 @@ class Model:
         if self.type == BPE:
             last: list = [None] * (n + 1)  # at each position: (start, id or -1, text) of the one finite path
             last[0] = (0, count - 1, "")
+            arcs, weight = self.arcs, pairs.get
             for s in range(n):
                 _, before, left = last[s]
                 if before < 0:  # characters without a piece: named by their code point
                     before = count + ord(left)
                 base = before * count
-                found = False
-                for e in range(s + 1, min(n, s + self.longest) + 1):
-                    right = unit[s:e]
-                    k = ids.get(right)
+                for e in range(s + 1, n + 1):
+                    k = arcs.get(unit[s:e])
                     if k is None:
-                        continue
-                    found |= e == s + 1
-                    if last[e] is None:
-                        ok = pairs.get(base + k)
-                        if ok or ok is None and self._weight(left, right, base + k):
-                            last[e] = (s, k, right)
-                if not found and last[s + 1] is None:  # no piece for the character: byte fallback
+                        break
+                    if k >= 0 and last[e] is None:
+                        ok = weight(base + k)
+                        if ok or ok is None and self._weight(left, unit[s:e], base + k):
+                            last[e] = (s, k, unit[s:e])
+                if last[s + 1] is None and unit[s] not in ids:  # no piece for the character: byte fallback
                     last[s + 1] = (s, -1, unit[s])
             step = lambda e: last[e][:2]
         else:
