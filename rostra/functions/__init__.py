@@ -109,25 +109,20 @@ def speech_link(document_name: Column, page: Column | int = 1, base_url: str = D
 # F06 ---------------------------------------------------------------------------------
 
 def multiple_replace(text: Column, replace_map: Mapping[str, str], ignore_case: bool = False) -> Column:
-    """Replace many literal strings (longest key first). Spark has no replacement
-    callback, so this is a chain of literal replacements; it equals one left-to-right
-    pass as long as no replacement contains a key, which is checked."""
-    if not replace_map:
-        return text
+    """Replace many literal strings in one pass from left to right, the longest key first:
+    the text is split at all keys at once and joined again with what the keys map to."""
     import re
 
-    keys = sorted(replace_map, key=len, reverse=True)
-    # Spark's regexp_replace has no callback; a chain of literal replacements keeps the
-    # one-pass result as long as no replacement contains another key (checked here).
-    for k in keys:
-        for v in replace_map.values():
-            if k and k in v:
-                raise ValueError(f"replacement {v!r} contains key {k!r}; one-pass semantics would differ")
-    out = text
-    for k in keys:
-        pattern = ("(?i)" if ignore_case else "") + re.escape(k).replace("\\ ", " ")
-        out = F.regexp_replace(out, pattern, replace_map[k].replace("\\", "\\\\").replace("$", "\\$"))
-    return out
+    keys = sorted((k for k in replace_map if k), key=len, reverse=True)
+    if not keys:
+        return text
+    fold = F.lower if ignore_case else (lambda c: c)
+    pattern = ("(?i)" if ignore_case else "") + "(?:" + "|".join(re.escape(k).replace("\\ ", " ") for k in keys) + ")"
+    table = {k.lower() if ignore_case else k: replace_map[k] for k in reversed(keys)}
+    values = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    between = F.split(text, pattern, -1)
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.element_at(values, fold(m)))
+    return F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 def load_term_substitutions(df: DataFrame, default_term: str = MASKED_TERM, vocab: DataFrame | None = None

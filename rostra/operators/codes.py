@@ -150,7 +150,7 @@ def multi_party_abbrevs(persons: DataFrame, person_party: DataFrame, party: Data
     of parties (a code table)."""
     pp = person_party.join(bounded_broadcast(party.select("party_id", "party_abbrev")), "party_id", "left")
     lists = pp.groupBy("person_id").agg(
-        F.array_join(F.array_sort(F.collect_set("party_abbrev")), ", ").alias("multi_party_abbrev"),
+        F.array_join(F.array_sort(F.collect_set(F.coalesce("party_abbrev", F.lit("?")))), ", ").alias("multi_party_abbrev"),
         F.array_join(F.array_sort(F.collect_set(F.col("party_id").cast("string"))), ",").alias("multi_party_id"))
     return persons.join(lists, "person_id", "left").select(
         *[F.col(c) for c in persons.columns],

@@ -360,7 +360,8 @@ def terms_frame(spark, terms: Sequence[str]) -> DataFrame:
 
 def words_in_vocabulary(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     """P10: each term as its exact vocabulary form, else its lower-case form, else dropped."""
-    v = vocab.select("token").distinct()
+    asked = terms.select(F.explode(F.array("term", F.lower("term"))).alias("token")).distinct()
+    v = vocab.select("token").join(asked, "token", "left_semi").distinct()  # the vocabulary shrinks to the terms first
     exact = terms.join(v, terms["term"] == v["token"], "left").select("ord", "term", F.col("token").alias("_e"))
     low = exact.join(v, F.lower(exact["term"]) == v["token"], "left") \
         .select("ord", "term", F.coalesce("_e", "token").alias("token"))
@@ -395,15 +396,22 @@ def matching_words(vocab: DataFrame, candidates: Sequence[str]) -> DataFrame:
     return vocab.where(word_match_condition(F.col("token"), candidates))
 
 
+def folded(search: str) -> str:
+    """A search term in lower case; a `|regex|` ignores case instead, as lowering its text
+    would turn classes such as \\W into others."""
+    if len(search) > 1 and search.startswith("|") and search.endswith("|"):
+        return "|(?i)" + search[1:]
+    return search.lower()
+
+
 def word_hits(tf: DataFrame, search: str, n_hits: int = 5) -> DataFrame:
-    """The n most frequent vocabulary matches; a literal absent from the vocabulary
-    is retried lower-cased."""
-    hits = matching_words(tf, [search])
-    if "*" not in search and not (search.startswith("|") and search.endswith("|")):
-        lower = matching_words(tf, [search.lower()])
-        hits = hits.unionByName(lower.join(hits.select("token"), "token", "left_anti")) \
-            if search != search.lower() else hits
-    return top_n_words(hits, n_hits)
+    """The n most frequent vocabulary matches; a term that isn't literally in the
+    vocabulary (globs included) is looked up in lower case."""
+    if search == folded(search):
+        return top_n_words(matching_words(tf, [search]), n_hits)
+    exact = tf.where(F.col("token") == search)
+    known = exact.agg(F.count(F.lit(1)).alias("n")).scalar()  # 0 or 1, computed once
+    return top_n_words(exact.unionByName(matching_words(tf, [folded(search)]).where(known == 0)), n_hits)
 
 
 def partitioned_top_n_words(dtm: DataFrame, category: str, n_top: int = 100) -> DataFrame:
@@ -418,7 +426,7 @@ def partitioned_top_n_words(dtm: DataFrame, category: str, n_top: int = 100) ->
 
 def top_terms_wide(dtm: DataFrame, category: str, categories: Sequence[Any], n_top: int = 100,
                    kind: str = "token", pad: str = "*") -> DataFrame:
-    """W06 wide form: one row per rank, one column per category; short lists padded with
+    """W06 wide form: one row per rank that occurs, one column per category; shorter lists padded with
     (`pad`, 0). `categories` is the explicit pivot value list."""
     top = partitioned_top_n_words(dtm, category, n_top)
     if kind == "token":
@@ -427,12 +435,10 @@ def top_terms_wide(dtm: DataFrame, category: str, categories: Sequence[Any], n_t
         val = F.concat_ws("/", "token", F.col("n").cast("string"))
     else:
         raise ValueError(kind)
-    spine = dtm.sparkSession.range(1, n_top + 1).select(F.col("id").cast("int").alias("rank"))
     wide = top.select("rank", F.col(category).cast("string").alias("_c"), val.alias("_v")) \
         .groupBy("rank").pivot("_c", [str(c) for c in categories]).agg(F.first("_v"))
     pad_value = pad if kind == "token" else f"{pad}/0"
-    out = spine.join(wide, "rank", "left")
-    return out.fillna(pad_value, subset=[str(c) for c in categories]).orderBy("rank")
+    return wide.fillna(pad_value, subset=[str(c) for c in categories]).orderBy("rank")
 
 
 # --------------------------------------------------------------------------------

@@ -29,40 +29,23 @@ def tabular(groups: DataFrame, counts: DataFrame, keys: Sequence[str], words: Se
     return groups.select(*keys).join(wide, list(keys), "left").fillna(0, subset=list(words))
 
 
-def n_top_frame(dtm: DataFrame, tokens: DataFrame, documents: Sequence[Any] | None = None,
-                max_documents: int | None = None) -> DataFrame:
-    """Words x documents for the given (top) tokens, one column per document id.
-
-    Without a document list all documents holding one of the tokens become columns when
-    their number is within `spark.sql.pivotMaxValues` (counted first); above the bound,
-    or for a longer list, the long form (token, document_id, n) is returned."""
-    limit = max_documents or int(dtm.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
-    cells = dtm.join(bounded_broadcast(tokens.select("token")), "token", "left_semi")
-    if documents is None:
-        n_docs = cells.select("document_id").distinct().limit(limit + 1).count()
-        if n_docs > limit:
-            return cells
-        wide = cells.groupBy("token").pivot("document_id").agg(F.sum("n"))
-    else:
-        if len(documents) > limit:
-            return cells
-        wide = cells.groupBy("token").pivot("document_id", list(documents)).agg(F.sum("n"))
-    return tokens.select("token").join(wide, "token", "left").fillna(0)
-
-
-def try_split_column(df: DataFrame, source: str, sep: str, targets: Sequence[str], drop_source: bool = True,
-                     probe_size: int = 10) -> DataFrame:
-    """Split `source` in two at the first `sep` when the first `probe_size` rows all
-    look like `x{sep}y` (one small probe job of at most probe_size rows)."""
+def n_top_frame(dtm: DataFrame, tokens: DataFrame, documents: Sequence[Any] | None = None) -> DataFrame:
+    """The cells (token, document_id, n) of the given (top) tokens, of all documents or
+    the given ones; long, as the number of documents has no bound."""
+    cells = dtm.join(tokens.select("token"), "token", "left_semi")
+    if documents is not None:
+        cells = cells.where(F.col("document_id").isin(list(documents)))
+    return cells.groupBy("token", "document_id").agg(F.sum("n").alias("n"))
+
+
+def try_split_column(df: DataFrame, source: str, sep: str, targets: Sequence[str], drop_source: bool = True) -> DataFrame:
+    """Split `source` in two at the first `sep`, row by row: a row that doesn't look like
+    `x{sep}y` has nulls in both targets (keep the source then to see it)."""
     if source not in df.columns:
         return df
-    if probe_size > 0:
-        probe = df.select(source).limit(probe_size)
-        bad = probe.where(~F.coalesce(F.col(source).rlike(f".+{_re_escape(sep)}\\w+"), F.lit(False))).limit(1).count()
-        if bad:
-            return df
+    fits = F.col(source).rlike(f".+{_re_escape(sep)}\\w+")
     parts = F.split(F.col(source), _re_escape(sep), 2)
-    out = df.withColumn(targets[0], F.get(parts, 0)).withColumn(targets[1], F.get(parts, 1))
+    out = df.withColumn(targets[0], F.when(fits, F.get(parts, 0))).withColumn(targets[1], F.when(fits, F.get(parts, 1)))
     if drop_source and source not in targets:
         out = out.drop(source)
     return out

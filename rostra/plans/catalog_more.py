@@ -35,11 +35,10 @@ SELECT array_to_string(list_slice(h.word, greatest(h.P - 2, 1), h.P - 1), ' ') A
        h.year, h.person_id, h.speech_name, h.document_name, h.chamber_abbrev, h.speech_id, h.document_id,
        {SQL_DECODED}
 FROM h {SQL_DECODE_JOINS}
-ORDER BY h.document_id, h.P LIMIT 200000
 """)
 def q_e01(spark, sf_dir):
     return jobs.kwic(corpus(spark, sf_dir), "the", lemmatized=True, words_before=2, words_after=2,
-                     cut_off=200_000, criteria=token_criteria(from_year=1980, to_year=2005))
+                     criteria=token_criteria(from_year=1980, to_year=2005))
 
 
 @register("E01_kwic_phrase", with_sql(SQL_SPEECH_TOKENS, SQL_CODES) + f"""
@@ -53,7 +52,6 @@ SELECT array_to_string(list_slice(h.word, greatest(h.P - 3, 1), h.P - 1), ' ') A
        h.year, h.person_id, h.speech_name, h.document_name, h.chamber_abbrev, h.speech_id, h.document_id,
        {SQL_DECODED}
 FROM h {SQL_DECODE_JOINS}
-ORDER BY h.document_id, h.P LIMIT 200000
 """)
 def q_e01_phrase(spark, sf_dir):
     return jobs.kwic(corpus(spark, sf_dir), "of the", lemmatized=False, words_before=3, words_after=3,
@@ -246,3 +244,12 @@ GROUP BY ALL
 def q_e10_genders(spark, sf_dir):
     c = corpus(spark, sf_dir)
     return _with_speech_counts(jobs.metadata_lists(c)["genders"], c.speech_index, "gender_id")
+
+
+@register("E05_word_hits_upper_glob", with_sql(SQL_SPEECH_TOKENS) + r"""
+SELECT token, CAST(count(*) AS BIGINT) AS tf FROM (SELECT unnest(lemma) AS token FROM speech_tokens)
+WHERE regexp_full_match(token, 'ver.*')
+GROUP BY token ORDER BY tf DESC, token LIMIT 5
+""")
+def q_e05_upper(spark, sf_dir):
+    return jobs.word_hits(corpus(spark, sf_dir), "Ver*")

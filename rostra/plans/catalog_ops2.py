@@ -243,11 +243,11 @@ def q_f03(spark, sf_dir):
                      fx.format_protocol_id(alt).alias("label2"))
 
 
-@register("F06_multiple_replace", "SELECT conv_id, turn, replace(replace(text, 'the', 'THE'), 'und', 'UND') AS text "
+@register("F06_multiple_replace", "SELECT conv_id, turn, replace(replace(replace(text, 'the', chr(1)), 'und', 'the'), chr(1), 'und') AS text "
                                   "FROM conversations")
 def q_f06(spark, sf_dir):
     conv = corpus(spark, sf_dir).table("conversations")
-    return conv.select("conv_id", "turn", fx.multiple_replace(F.col("text"), {"the": "THE", "und": "UND"}).alias("text"))
+    return conv.select("conv_id", "turn", fx.multiple_replace(F.col("text"), {"the": "und", "und": "the"}).alias("text"))
 
 
 @register("F07_page_numbers", r"""
@@ -335,11 +335,9 @@ def q_r02(spark, sf_dir):
     return R.tabular(g.index, g.dtm, ["time_period", "party_id"], ["the", "de"])
 
 
-@register("R03_n_top_frame", "SELECT token, CAST(coalesce(COLUMNS(* EXCLUDE (token)), 0) AS BIGINT) FROM (PIVOT ("
-         + _STD + """
+@register("R03_n_top_frame", _STD + """
 , top AS (SELECT token FROM (SELECT token, sum(n) AS tf FROM dtm GROUP BY token) ORDER BY tf DESC, token LIMIT 5)
-SELECT d.token, d.document_id, d.n FROM dtm d JOIN top USING (token)
-) ON document_id USING sum(n) GROUP BY token)
+SELECT d.token, d.document_id, CAST(sum(d.n) AS BIGINT) AS n FROM dtm d JOIN top USING (token) GROUP BY ALL
 """)
 def q_r03(spark, sf_dir):
     dtm = corpus(spark, sf_dir).dtm
@@ -397,17 +395,19 @@ def q_s07(spark, sf_dir):
 
 
 @register("S13_filename_fields", r"""
-SELECT page_id, nullif(regexp_extract(url, '^(?:https?://[^/]+/([a-z]+)/)', 1), '') AS lang,
-       TRY_CAST(nullif(regexp_extract(url, '^(?:https?://[^/]+/[a-z]+/([0-9]+))', 1), '') AS BIGINT) AS number,
-       nullif(string_split(replace(url, '.', '/'), '/')[3], '') AS host
-FROM pages
+WITH f AS (SELECT page_id, replace(regexp_replace(url, '^https?://', ''), '/', '_') AS name FROM pages)
+SELECT page_id, nullif(regexp_extract(name, '^(?:[^_]+_([a-z]+)_)', 1), '') AS lang,
+       TRY_CAST(nullif(regexp_extract(name, '^(?:[^_]+_[a-z]+_([0-9]+))', 1), '') AS BIGINT) AS number,
+       nullif(string_split(replace(name, '.', '_'), '_')[1], '') AS host
+FROM f
 """)
 def q_s13(spark, sf_dir):
-    pages = corpus(spark, sf_dir).table("pages").select("page_id", "url")
-    out = SRC.extract_filename_fields(pages, "url", {"lang": r"https?://[^/]+/([a-z]+)/",
-                                                     "number": r"https?://[^/]+/[a-z]+/([0-9]+)", "host": "/:2"},
-                                      int_fields=["number"])
-    return out.drop("url")
+    pages = corpus(spark, sf_dir).table("pages")
+    name = F.replace(F.regexp_replace("url", "^https?://", ""), F.lit("/"), F.lit("_"))
+    files = pages.select("page_id", F.concat(F.lit("data_x/pages/"), name).alias("path"))  # the folders don't count
+    out = SRC.extract_filename_fields(files, "path", {"lang": r"[^_]+_([a-z]+)_", "number": r"[^_]+_[a-z]+_([0-9]+)",
+                                                      "host": "_:0"}, int_fields=["number"])
+    return out.drop("path")
 
 
 @register("S14_select_files", r"""

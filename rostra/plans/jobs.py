@@ -156,11 +156,10 @@ KWIC_COLUMNS = ["left_word", "node_word", "right_word", "year", "name", "party_a
 
 
 def kwic(corpus: Corpus, keywords: str | Sequence[str], *, lemmatized: bool = True, words_before: int = 2,
-         words_after: int = 2, p_show: str = "word", cut_off: int | None = 200_000,
+         words_after: int = 2, p_show: str = "word", cut_off: int | None = None,
          criteria: Sequence[Mapping[str, Any]] | None = None) -> DataFrame:
     """KWIC with speaker/year criteria, lemma search by default, decoded speech
-    columns. The hit cap keeps the first `cut_off` hits in corpus order; decoding runs
-    on the capped hits only."""
+    columns. All hits, or with `cut_off` the first ones in corpus order."""
     from ..operators import tokens
 
     words = keywords.split() if isinstance(keywords, str) else list(keywords)
@@ -225,7 +224,7 @@ def word_hits(corpus: Corpus, search: str, n_hits: int = 5) -> DataFrame:
     glob or a `|regex|`. The pattern is applied to tokens before they are counted."""
     from ..operators import dtm
 
-    words = [search] if search == search.lower() or "*" in search else [search.lower()]
+    words = [dtm.folded(search)]  # lemmas are lower-case
     matching = F.filter("lemma", lambda x: dtm.word_match_condition(x, words))
     flat = corpus.speech_tokens.select(F.explode(matching).alias("token"))
     tf = flat.groupBy("token").agg(F.count(F.lit(1)).alias("tf"))

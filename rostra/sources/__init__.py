@@ -132,7 +132,8 @@ def store_frames(frames: Mapping[str, DataFrame], folder: str, fmt: str = "csv",
 
 def filename_field(filename: Column, spec: str) -> Column:
     """One field from a file name: `regex` (group 1 of a match anchored at the start) or
-    `sep:pos` (after replacing '.' by sep). Empty -> null."""
+    `sep:pos` (after replacing '.' by sep), both on the base name. Empty -> null."""
+    filename = F.regexp_extract(filename, "[^/]*$", 0)
     if ":" in spec and re.fullmatch(r".:\d+", spec):
         sep, pos = spec.split(":")
         parts = F.split(F.replace(filename, F.lit("."), F.lit(sep)), re.escape(sep))

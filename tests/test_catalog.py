@@ -19,7 +19,7 @@ def con():
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
     r = compare(spark, name, SMALL, con)
-    assert r["status"] in ("match", "rows-only"), r
+    assert r["status"] == "match" or name not in catalog.oracle_sql(), r
 
 
 def test_entry_contract(spark):

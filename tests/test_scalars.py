@@ -71,8 +71,9 @@ def test_links_and_pages(spark):
 
 def test_multiple_replace_and_paths(spark):
     assert _one(spark, lambda c: fx.multiple_replace(c, {"a.b": "X", "c": "Y"}), "a.b acb c") == "X aYb Y"
-    with pytest.raises(ValueError):
-        fx.multiple_replace(F.col("v"), {"a": "ab"})
+    assert _one(spark, lambda c: fx.multiple_replace(c, {"a": "ab"}), "a a") == "ab ab"
+    assert _one(spark, lambda c: fx.multiple_replace(c, {"a": "b", "b": "a"}), "abba") == "baab"
+    assert _one(spark, lambda c: fx.multiple_replace(c, {"The": "X"}, ignore_case=True), "the THE") == "X X"
     assert _one(spark, fx.strip_path_and_extension, "/x/y/file.tar.txt") == "file.tar"
     assert _one(spark, lambda c: fx.replace_extension(c, "csv"), "a/b.txt") == "a/b.csv"
 
