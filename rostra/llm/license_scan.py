@@ -107,7 +107,7 @@ class Matcher:
             for i, y in self.by_word.get(w, ()):
                 dots[i] += x * y
         best = max(range(len(dots)), key=lambda i: (round(dots[i], 12), -i))
-        return (self.names[best], dots[best]) if dots[best] > 0 else (None, 0.0)
+        return (self.names[best], round(dots[best], 9)) if dots[best] > 0 else (None, 0.0)
 
 
 def headers(files: DataFrame, matcher: Matcher, id_col: str, path_col: str, text_col: str, threshold: float) -> DataFrame:
