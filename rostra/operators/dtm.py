@@ -58,24 +58,20 @@ def dense_ids(df: DataFrame, order: Sequence[str | Column], id_col: str = "id",
     """Dense ids start..start+n-1 in `order`, without a global unpartitioned window.
 
     Range-partition and sort, checkpoint (so ids stay stable if tasks are recomputed),
-    count rows per partition (one small row per partition to the driver), then add the
-    partition's offset to each row's position in its partition.
+    count rows per partition, and join each row with its partition's offset: a running sum
+    over one small row per partition.
     """
-    spark = df.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).checkpoint(eager=True)
-    tagged = ordered.withColumn("_mid", F.monotonically_increasing_id())
-    part = F.shiftright(F.col("_mid"), 33)
-    counts = {r["p"]: r["c"] for r in tagged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}
-    offsets, acc = {}, start
-    for p in sorted(counts):
-        offsets[p] = acc
-        acc += counts[p]
-    if not offsets:
-        return ordered.withColumn(id_col, F.lit(None).cast("bigint"))
-    offset_map = F.create_map(*[x for p, o in offsets.items() for x in (F.lit(p), F.lit(o).cast("bigint"))])
-    row_in_part = F.col("_mid") - F.shiftleft(part, 33)
-    return tagged.withColumn(id_col, (offset_map[part] + row_in_part).cast("bigint")).drop("_mid")
+    mid = F.monotonically_increasing_id()
+    tagged = ordered.withColumn("_mid", mid).withColumn("_part", F.shiftright("_mid", 33))
+    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_offset"))
+    row_in_part = F.col("_mid") - F.shiftleft("_part", 33)
+    # one row a shuffle partition
+    return tagged.join(F.broadcast(offsets), "_part") \
+        .withColumn(id_col, (F.col("_offset") + row_in_part + start).cast("bigint")).drop("_mid", "_part", "_offset")
 
 
 def is_strictly_increasing(df: DataFrame, col: str = "document_id", start: int = 0) -> DataFrame:

@@ -95,11 +95,11 @@ def q_j10(spark, sf_dir):
 @register("J11_translate_to_vocab", _STD + """
 , v AS (SELECT token, row_number() OVER (ORDER BY tf DESC, token) - 1 AS token_id
         FROM (SELECT token, sum(n) AS tf FROM dtm GROUP BY token))
-SELECT d.token, d.document_id, d.n, v.token_id FROM dtm d JOIN v USING (token) WHERE v.token_id < 200
+SELECT d.token, d.document_id, d.n, v.token_id FROM dtm d JOIN v USING (token)
 """)
 def q_j11(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    vocab = D.vocabulary(c.dtm, with_ids=True).where(F.col("token_id") < 200)
+    vocab = D.vocabulary(c.dtm, with_ids=True)
     return D.translate_to_vocab(c.dtm, vocab)
 
 
@@ -151,12 +151,12 @@ def q_j17(spark, sf_dir):
 WITH w AS (SELECT string_split_regex(trim(text), '\s+') AS w FROM conversations)
 , ng AS (SELECT array_to_string(list_slice(w, i, i + 1), ' ') AS ngram
          FROM w, unnest(generate_series(1, len(w) - 1)) AS s(i))
-SELECT ngram, count(*) AS n FROM ng GROUP BY ngram HAVING count(*) >= 3
+SELECT ngram, count(*) AS n FROM ng GROUP BY ngram
 """)
 def q_w02(spark, sf_dir):
     conv = corpus(spark, sf_dir).table("conversations")
     ng = conv.select(F.explode(TK.phrase_n_grams(F.col("text"), 2)).alias("ngram"))
-    return ng.groupBy("ngram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 3)
+    return ng.groupBy("ngram").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("W05_dense_ids", _ST + """

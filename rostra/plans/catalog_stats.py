@@ -155,15 +155,12 @@ def q_j13(spark, sf_dir):
     return S.hal_cwr(co, nw_x).withColumn("cwr", F.round("cwr", 6))
 
 
-@register("A20_documents_per_partition", _SQL_YEARLY + """
-SELECT year, count(DISTINCT document_id) AS n_documents FROM d GROUP BY year
+@register("A20_documents_per_partition", with_sql(SQL_SPEECH_TOKENS, SQL_DTM) + """
+SELECT year, count(DISTINCT document_id) AS n_documents FROM dtm JOIN speech_index USING (document_id) GROUP BY year
 """)
 def q_a20(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    vocab = _top_vocab(c, N_TOP_YEARLY)
-    cells = c.dtm.join(F.broadcast(vocab), "token", "left_semi").join(c.speech_index.select("document_id", "year"),
-                                                                      "document_id")
-    return D.documents_count(cells, ["year"])
+    return D.documents_count(c.dtm.join(c.speech_index.select("document_id", "year"), "document_id"), ["year"])
 
 
 # --- normalising and weighting -----------------------------------------------------------------
@@ -211,11 +208,9 @@ def q_m03(spark, sf_dir):
 
 # --- distribution over years (M08, M09): oracle by brute force on the full grid ----------------
 
-_SQL_GRID = with_sql(SQL_SPEECH_TOKENS, SQL_DTM) + f"""
-, vocab AS (SELECT token FROM (SELECT token, sum(n) AS tf FROM dtm GROUP BY token)
-            ORDER BY tf DESC, token LIMIT {N_TOP_YEARLY})
-, c AS (SELECT token, year, sum(n) AS n FROM dtm JOIN speech_index USING (document_id)
-        WHERE token IN (SELECT token FROM vocab) GROUP BY token, year)
+_SQL_GRID = with_sql(SQL_SPEECH_TOKENS, SQL_DTM) + """
+, vocab AS (SELECT DISTINCT token FROM dtm)
+, c AS (SELECT token, year, sum(n) AS n FROM dtm JOIN speech_index USING (document_id) GROUP BY token, year)
 , years AS (SELECT unnest(generate_series(min(year), max(year))) AS year FROM speech_index)
 , grid AS (SELECT v.token, y.year, CAST(coalesce(c.n, 0) AS DOUBLE) AS n
            FROM vocab v CROSS JOIN years y LEFT JOIN c ON c.token = v.token AND c.year = y.year)
@@ -224,9 +219,7 @@ _SQL_GRID = with_sql(SQL_SPEECH_TOKENS, SQL_DTM) + f"""
 
 def _year_counts(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    vocab = _top_vocab(c, N_TOP_YEARLY)
-    cells = c.dtm.join(F.broadcast(vocab), "token", "left_semi").join(c.speech_index.select("document_id", "year"),
-                                                                      "document_id")
+    cells = c.dtm.join(c.speech_index.select("document_id", "year"), "document_id")
     counts = cells.groupBy("token", "year").agg(F.sum("n").alias("n"))
     years = D.year_range(c.speech_index).select(F.explode(F.sequence("min_year", "max_year")).alias("year"))
     return counts, years
