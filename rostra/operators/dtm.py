@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import temporal_key
-from ..session import bounded_broadcast, with_scalars
+from ..session import with_scalars
 from .predicates import predicate
 
 COUNT_COLUMNS = ("n_tokens", "n_raw_tokens", "tokens")
@@ -341,7 +341,7 @@ def slice_by_predicate(dtm: DataFrame, px: Callable[[Column], Column]) -> DataFr
 
 def translate_to_vocab(dtm: DataFrame, vocab: DataFrame) -> DataFrame:
     """Keep tokens present in another vocabulary (token, token_id) and take its ids."""
-    return dtm.join(bounded_broadcast(vocab.select("token", "token_id")), "token", "inner")
+    return dtm.join(vocab.select("token", "token_id"), "token", "inner")
 
 
 def zero_out_by_others_zeros(dtm: DataFrame, other: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast
 
 
 def pivot_wide(long: DataFrame, row_keys: Sequence[str], column: str, values: Sequence[Any],

@@ -1,10 +1,10 @@
 """Corpus statistics.
 
-Co-occurrence (DᵀD, strict upper triangle) is computed per block of documents: each
-document's cells over a bounded vocabulary travel as one row, and every Arrow batch is
-reduced with one matrix product to at most K*(K-1)/2 partial sums before the shuffle.
-No per-document pair rows are produced. The vocabulary must be bounded by the caller
-(top-n or a tf threshold, as the reference does when loading a corpus) and its size is checked.
+Co-occurrence (DᵀD, strict upper triangle): each document's tokens over the vocabulary
+travel as one row, and every Arrow batch is reduced to partial sums before the shuffle: by
+one matrix product where a step holds few distinct tokens, else as sparse pairs in chunks
+of bounded size. Documents of many distinct tokens are dealt to several tasks by blocks of
+their first token. No vocabulary reaches the driver or a broadcast by force, and it has no bound.
 
 Significance formulas follow the reference literally (`literal=True`): row sums of the
 upper triangle as marginals, Dunning's -2 on the first term only; NaN and +-inf -> 0
@@ -17,149 +17,166 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import bounded_broadcast, with_scalars
+from ..session import with_scalars
 
-# A dense K x K product per batch; the vocabulary bound keeps it small.
-MAX_CO_OCCURRENCE_VOCAB = 5000
-# Rows x K cells per dense block inside one task.
-_BLOCK_CELLS = 4_000_000
+# Tokens that a task reads into one step (a longer document makes a step of its own).
+_STEP_TOKENS = 2_000_000
+# Distinct tokens of a step up to which one dense matrix product sums its pairs.
+_DENSE_TOKENS = 2048
+# Distinct tokens of a document that one task pairs with the rest of the document.
+_BLOCK_TOKENS = 4096
+# Pairs that a task holds at once on the sparse way; cells of a dense block of rows.
+_CHUNK_PAIRS = 4_000_000
 # Smoothing of the KL divergence (fixed value of the reference).
 KLD_EPSILON = 0.00001
 # Lower clip of logarithm arguments in LLR (fixed value of the reference).
 LN_CLIP = 1e-10
 
 
-def vocabulary_ids(tokens: DataFrame, max_size: int = MAX_CO_OCCURRENCE_VOCAB) -> DataFrame:
-    """Ids 0..K-1 in token order for a bounded vocabulary (one column `token`).
-
-    Ids come from the partitioned dense-id builder (range partitioning, checkpointed in
-    the shared folder), so no single task sees the vocabulary before its size is checked;
-    later uses read the checkpoint instead of recomputing the vocabulary."""
-    from .dtm import dense_ids
-
-    distinct = tokens.select("token").distinct().checkpoint(eager=True)  # the vocabulary is computed once
-    if distinct.limit(max_size + 1).count() > max_size:
-        raise ValueError(f"vocabulary has more than {max_size} tokens; prune it first (slice_by_n_top / slice_by_tf)")
-    ids = dense_ids(distinct, ["token"], id_col="token_id") \
-        .select("token", F.col("token_id").cast("int").alias("token_id"))
-    return ids
-
-
-def _upper_triangle(acc: np.ndarray) -> pd.DataFrame:
-    ii, jj = np.nonzero(np.triu(acc, 1))
-    return pd.DataFrame({"w1_id": ii.astype(np.int32), "w2_id": jj.astype(np.int32), "n": acc[ii, jj]})
-
-
-def _accumulate(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, n_rows: int) -> np.ndarray | None:
-    """Σ over rows of x xᵀ for a sparse (row, col, weight) batch: dense K x K with K =
-    largest id present + 1, built in row blocks of bounded size."""
-    if len(cols) == 0:
-        return None
-    k = int(cols.max()) + 1
-    acc = np.zeros((k, k), dtype=np.float64)
-    rows_per_block = max(1, _BLOCK_CELLS // k)
-    order = np.argsort(rows, kind="stable")
-    rows, cols, weights = rows[order], cols[order], weights[order]
-    bounds = np.searchsorted(rows, np.arange(0, n_rows + rows_per_block, rows_per_block))
-    for blk in range(len(bounds) - 1):
-        lo, hi = bounds[blk], bounds[blk + 1]
-        if lo == hi:
-            continue
-        base = blk * rows_per_block
-        x = np.zeros((min(rows_per_block, n_rows - base), k), dtype=np.float64)
-        np.add.at(x, (rows[lo:hi] - base, cols[lo:hi]), weights[lo:hi])
+def _dense_sums(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, n_rows: int, k: int):
+    """(i, j, sum) of all pairs i < j of a batch by matrix products over blocks of rows."""
+    acc = np.zeros((k, k))
+    step = max(1, _CHUNK_PAIRS // k)
+    bounds = np.searchsorted(rows, np.arange(0, n_rows + step, step))
+    for base, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
+        x = np.zeros((step, k))
+        np.add.at(x, (rows[lo:hi] - base * step, cols[lo:hi]), weights[lo:hi])
         acc += x.T @ x
-    return acc
-
-
-def _flatten(lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.fromiter((len(v) for v in lists), dtype=np.int64, count=len(lists))
-    flat = np.concatenate([np.asarray(v) for v in lists]) if lengths.sum() else np.empty(0)
-    return np.repeat(np.arange(len(lists)), lengths), flat
-
-
-def _block_products(pivots: Sequence[str], token_index: dict[str, int] | None = None):
-    """mapInPandas function: rows (pivots..., ids, ns) - or (pivots..., toks) with a token
-    index - to partial upper-triangle sums per pivot value, one product per row block."""
+    ii, jj = np.nonzero(np.triu(acc, 1))
+    yield ii, jj, acc[ii, jj]
+
+
+def _sparse_sums(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, block: np.ndarray, k: int,
+                 block_tokens: int, chunk: int):
+    """The same as pairs of each document, summed and passed on by chunks. Of a document
+    dealt in blocks only the pairs whose first token lies in the row's block."""
+    cell, at = np.unique(rows * k + cols, return_inverse=True)
+    n = np.bincount(at, weights)
+    rows, cols = cell // k, cell % k
+    starts = np.searchsorted(rows, np.arange(len(block) + 1))
+    keys: list[np.ndarray] = []
+    sums: list[np.ndarray] = []
+    held = 0
+
+    def total():
+        pair, where = np.unique(np.concatenate(keys), return_inverse=True)
+        return pair // k, pair % k, np.bincount(where, np.concatenate(sums))
+
+    for r, b in enumerate(block):
+        u, w = cols[starts[r]:starts[r + 1]], n[starts[r]:starts[r + 1]]
+        lo, end = b * block_tokens, min(len(u), (b + 1) * block_tokens)
+        while lo < end:
+            hi = min(end, lo + max(1, chunk // len(u)))
+            size = len(u) - 1 - np.arange(lo, hi)
+            first = np.repeat(np.arange(lo, hi), size)
+            second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(size) - size, size)
+            keys.append(u[first] * k + u[second])
+            sums.append(w[first] * w[second])
+            held += len(first)
+            lo = hi
+            if held >= chunk:
+                yield total()
+                keys, sums, held = [], [], 0
+    if held:
+        yield total()
+
+
+def _steps(lists: pa.ListArray, limit: int = _STEP_TOKENS):
+    """Row ranges of at most `limit` tokens."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(ends):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def _step_sums(toks: pa.ListArray, ns: pa.ListArray, block: np.ndarray, block_tokens: int,
+               dense: int = _DENSE_TOKENS, chunk: int = _CHUNK_PAIRS):
+    """(w1, w2, n) arrays of the pairs of some documents, w1 < w2 in token order; `ns` null:
+    every token counts once. Tokens stay in Arrow, arithmetic runs on their ranks."""
+    rows = pc.list_parent_indices(toks).to_numpy()
+    if len(rows) == 0:
+        return
+    coded = toks.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    names, k = coded.dictionary.take(order), len(order)
+    rank = np.empty(k, np.int64)
+    rank[order.to_numpy()] = np.arange(k)
+    cols = rank[coded.indices.to_numpy()]
+    weights = ns.flatten().to_numpy() if ns.null_count == 0 else np.ones(len(rows))
+    # below a block's size no document has been dealt
+    sums = _dense_sums(rows, cols, weights, len(toks), k) if k <= min(dense, block_tokens) \
+        else _sparse_sums(rows, cols, weights, block, k, block_tokens, chunk)
+    for ii, jj, n in sums:
+        yield names.take(pa.array(ii)), names.take(pa.array(jj)), pa.array(n, pa.float64())
+
+
+def _pair_sums(docs: DataFrame, pivots: Sequence[str], block_tokens: int) -> DataFrame:
+    """docs: (pivots..., toks, ns), a row a document, to (pivots..., w1, w2, n)."""
+    docs = docs.withColumn("_nb", F.ceil(F.size(F.array_distinct("toks")) / block_tokens).cast("int"))
+    short = docs.where("_nb = 1").withColumn("blk", F.lit(0))
+    long = docs.where("_nb > 1").withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = short.unionByName(long.repartition(n_parts, F.xxhash64("toks", "blk"))).drop("_nb")
+    schema = T.StructType([*[docs.schema[p] for p in pivots], T.StructField("w1", T.StringType()),
+                           T.StructField("w2", T.StringType()), T.StructField("n", T.DoubleType())])
+    names = schema.names
 
     def run(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            groups = pdf.groupby(list(pivots), sort=False, dropna=False).indices if pivots \
-                else {(): np.arange(len(pdf))}
-            for key, idx in groups.items():
-                key = key if isinstance(key, tuple) else (key,)
-                if token_index is None:
-                    rows, cols = _flatten(pdf["ids"].to_numpy()[idx])
-                    _, weights = _flatten(pdf["ns"].to_numpy()[idx])
-                    cols = cols.astype(np.int64)
-                    weights = weights.astype(np.float64)
-                else:
-                    rows, toks = _flatten(pdf["toks"].to_numpy()[idx])
-                    cols = pd.Series(toks, dtype=object).map(token_index).to_numpy(dtype=np.int64)
-                    weights = np.ones(len(cols))
-                acc = _accumulate(rows, cols, weights, len(idx))
-                if acc is None:
-                    continue
-                out = _upper_triangle(acc)
-                if out.empty:
-                    continue
-                for name, value in zip(pivots, key if pivots else ()):
-                    out[name] = value
-                yield out
-
-    return run
-
-
-def _name_pairs(ttm: DataFrame, ids: DataFrame, pivots: Sequence[str]) -> DataFrame:
-    names = F.broadcast(ids)
-    return ttm.join(names.select(F.col("token_id").alias("w1_id"), F.col("token").alias("w1")), "w1_id") \
-        .join(names.select(F.col("token_id").alias("w2_id"), F.col("token").alias("w2")), "w2_id") \
-        .select(*pivots, "w1", "w2", "n")
-
-
-def _pair_schema(pivot_fields) -> T.StructType:
-    return T.StructType([T.StructField("w1_id", T.IntegerType()), T.StructField("w2_id", T.IntegerType()),
-                         T.StructField("n", T.DoubleType()), *pivot_fields])
-
-
-def co_occurrence(dtm: DataFrame, vocab: DataFrame, pivots: Sequence[str] = (), index: DataFrame | None = None
-                  ) -> DataFrame:
+        for batch in batches:
+            parts = [((), np.arange(batch.num_rows))]
+            if pivots:
+                keys = pa.Table.from_batches([batch.select(list(pivots))])
+                keys = keys.append_column("_row", pa.array(np.arange(batch.num_rows)))
+                got = keys.group_by(list(pivots)).aggregate([("_row", "list")])
+                parts = [([got[p][i:i + 1].combine_chunks() for p in pivots], got["_row_list"][i].values.to_numpy())
+                         for i in range(got.num_rows)]
+            for key, at in parts:
+                group = batch.take(pa.array(at))
+                for lo, hi in _steps(group["toks"]):
+                    part = group.slice(lo, hi - lo)
+                    for w1, w2, n in _step_sums(part["toks"], part["ns"], part["blk"].to_numpy(), block_tokens):
+                        same = pa.array(np.zeros(len(n), np.int64))
+                        yield pa.RecordBatch.from_arrays([*[v.take(same) for v in key], w1, w2, n], names=names)
+
+    partial = rows.select(*pivots, "toks", "ns", "blk").mapInArrow(run, schema)
+    return partial.groupBy(*pivots, "w1", "w2").agg(F.sum("n").alias("n"))
+
+
+def co_occurrence(dtm: DataFrame, vocab: DataFrame | None = None, pivots: Sequence[str] = (),
+                  index: DataFrame | None = None, block_tokens: int = _BLOCK_TOKENS) -> DataFrame:
     """J12 (M05 with pivots) on a stored DTM: Σ_d n(d,w1)·n(d,w2) for w1 < w2 over the
-    tokens of `vocab`. dtm: (document_id, token, n); with pivots, `index` supplies them.
-    Result: (pivots..., w1, w2, n) with w1 < w2 in token order."""
-    ids = vocabulary_ids(vocab)
-    cells = dtm.join(F.broadcast(ids), "token", "inner")
+    tokens of `vocab` (all tokens if None). dtm: (document_id, token, n); with pivots, `index`
+    supplies them. Result: (pivots..., w1, w2, n) with w1 < w2 in token order."""
+    cells = dtm if vocab is None else dtm.join(vocab.select("token"), "token", "left_semi")
     if pivots:
         cells = cells.join(index.select("document_id", *pivots), "document_id", "inner")
+    # one list, so that tokens and counts keep one order
     docs = cells.groupBy("document_id", *pivots).agg(
-        F.collect_list("token_id").alias("ids"), F.collect_list(F.col("n").cast("double")).alias("ns"))
-    schema = _pair_schema([f for f in docs.schema.fields if f.name in pivots])
-    partial = docs.select(*pivots, "ids", "ns").mapInPandas(_block_products(list(pivots)), schema)
-    ttm = partial.groupBy(*pivots, "w1_id", "w2_id").agg(F.sum("n").alias("n"))
-    return _name_pairs(ttm, ids, pivots)
-
-
-def co_occurrence_from_tokens(speeches: DataFrame, vocab: DataFrame, array_col: str = "lemma",
-                              pivots: Sequence[str] = ()) -> DataFrame:
-    """J12 straight from token arrays (one row per speech): no shuffle before the final
-    K x K aggregation. The bounded vocabulary (checked: at most MAX_CO_OCCURRENCE_VOCAB
-    tokens) is the only thing the driver sees; each array is narrowed to vocabulary
-    tokens with an IN-set filter, and every batch is reduced with one matrix product."""
-    ids = vocabulary_ids(vocab)
-    tokens = [r["token"] for r in ids.orderBy("token_id").collect()]  # K rows, bounded above
-    token_index = {t: i for i, t in enumerate(tokens)}
-    rows = speeches.select(*pivots, F.filter(array_col, lambda t: t.isin(tokens)).alias("toks"))
-    rows = rows.where(F.size("toks") > 1)
-    schema = _pair_schema([f for f in rows.schema.fields if f.name in pivots])
-    partial = rows.mapInPandas(_block_products(list(pivots), token_index), schema)
-    ttm = partial.groupBy(*pivots, "w1_id", "w2_id").agg(F.sum("n").alias("n"))
-    return _name_pairs(ttm, ids, pivots)
+        F.collect_list(F.struct("token", F.col("n").cast("double").alias("n"))).alias("c"))
+    return _pair_sums(docs.select(*pivots, F.col("c.token").alias("toks"), F.col("c.n").alias("ns")), pivots, block_tokens)
+
+
+def co_occurrence_from_tokens(speeches: DataFrame, vocab: DataFrame | None = None, array_col: str = "lemma",
+                              pivots: Sequence[str] = (), block_tokens: int = _BLOCK_TOKENS) -> DataFrame:
+    """J12 straight from token arrays (one row a speech). Without `vocab` the arrays are used
+    as they are; with it, only the tokens that it holds are shuffled by speech."""
+    no_counts = F.lit(None).cast("array<double>").alias("ns")
+    if vocab is None:
+        toks = F.filter(array_col, lambda t: t.isNotNull()).alias("toks")
+        return _pair_sums(speeches.select(*pivots, toks, no_counts), pivots, block_tokens)
+    tokens = speeches.select("document_id", *pivots, F.explode(array_col).alias("token"))
+    tokens = tokens.join(vocab.select("token"), "token", "left_semi")
+    docs = tokens.groupBy("document_id", *pivots).agg(F.collect_list("token").alias("toks"))
+    return _pair_sums(docs.select(*pivots, "toks", no_counts), pivots, block_tokens)
 
 
 # --------------------------------------------------------------------------------
@@ -184,18 +201,14 @@ def significance(ttm: DataFrame, metric: str, *, pivots: Sequence[str] = (), nor
     if metric not in METRICS:
         raise ValueError("metric is not applicable in current context")
     pv = list(pivots)
-    # the term-term table is small (at most K(K-1)/2 rows per pivot value) and used four
-    # times: store it once instead of recomputing the co-occurrence pass
+    # used four times: store it once instead of recomputing the co-occurrence pass
     ttm = ttm.checkpoint(eager=True)
     rows = ttm.groupBy(*pv, "w1").agg(F.sum("n").alias("zr"))
     total = ttm.groupBy(*pv).agg(F.sum("n").alias("z"))
     zi = rows.select(*pv, "w1", F.col("zr").alias("zr_i"))
     zj = rows.select(*pv, F.col("w1").alias("w2"), F.col("zr").alias("zr_j"))
-    # marginals: one row per token (and pivot value); without pivots that is at most the
-    # checked vocabulary size, with pivots the size is checked on the stored table
-    small = F.broadcast if not pv else bounded_broadcast
-    t = ttm.join(small(zi), [*pv, "w1"], "left").join(small(zj), [*pv, "w2"], "left")
-    t = t.join(bounded_broadcast(total), pv, "inner") if pv else with_scalars(t, total.select("z"))
+    t = ttm.join(zi, [*pv, "w1"], "left").join(zj, [*pv, "w2"], "left")
+    t = t.join(total, pv, "inner") if pv else with_scalars(t, total.select("z"))
     cij = F.col("n").cast("double")
     zr_i = F.coalesce(F.col("zr_i"), F.lit(0.0))
     zr_j = F.coalesce(F.col("zr_j"), F.lit(0.0))
@@ -253,10 +266,9 @@ def hal_cwr(co_occurrences: DataFrame, nw_x: DataFrame, key: str = "document_id"
 def hal_cwr_by_mapping(nw_xy: DataFrame, nw_x: DataFrame, pair_mapping: DataFrame, key: str = "document_id"
                        ) -> DataFrame:
     """nw_xy as (key, pair_id, n) with a mapping table (pair_id, w1, w2)."""
-    mapping = bounded_broadcast(pair_mapping)
-    co = nw_xy.join(mapping, "pair_id", "inner")
+    co = nw_xy.join(pair_mapping, "pair_id", "inner")
     return hal_cwr(co.select(key, "w1", "w2", "n"), nw_x, key).join(
-        mapping, ["w1", "w2"], "inner").select(key, "pair_id", "cwr")
+        pair_mapping, ["w1", "w2"], "inner").select(key, "pair_id", "cwr")
 
 
 # --------------------------------------------------------------------------------

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..model import SQL_DTM, SQL_SPEECH_TOKENS, with_sql
+from ..model import SQL_DTM, SQL_SPEECH_TOKENS, with_sql, words_of
 from ..operators import dtm as D
 from ..operators import stats as S
 from .catalog import corpus, register
 
-# Vocabulary bound for co-occurrence: the n most frequent lemmas (the reference's
-# corpus loading prunes the same way, by n_top or a tf threshold).
+# The n most frequent lemmas: the pruning by n_top that corpus loading offers. The operators
+# need none (J12_co_occurrence_turns).
 N_TOP = 100
 N_TOP_YEARLY = 50
 
@@ -50,6 +50,36 @@ def q_j12_dtm(spark, sf_dir):
     return S.co_occurrence(c.dtm, _top_vocab(c))
 
 
+# The whole vocabulary of conversations, a turn as a document
+_SQL_TURNS = r"""
+WITH w AS (SELECT row_number() OVER () AS d, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM conversations)
+, d AS (SELECT d, token, count(*) AS n FROM (SELECT d, lower(unnest(w)) AS token FROM w) GROUP BY d, token)
+, ttm AS (
+  SELECT a.token AS w1, b.token AS w2, CAST(sum(a.n * b.n) AS DOUBLE) AS n
+  FROM d a JOIN d b ON a.d = b.d AND a.token < b.token GROUP BY 1, 2
+)
+"""
+
+
+def _turns_ttm(spark, sf_dir):
+    turns = corpus(spark, sf_dir).table("conversations")
+    return S.co_occurrence_from_tokens(turns.select(F.transform(words_of(F.col("text")), F.lower).alias("lemma")))
+
+
+@register("J12_co_occurrence_turns", _SQL_TURNS + "SELECT w1, w2, n FROM ttm")
+def q_j12_turns(spark, sf_dir):
+    return _turns_ttm(spark, sf_dir)
+
+
+@register("M04_dice_turns", _SQL_TURNS + """
+, zr AS (SELECT w1, sum(n) AS zr FROM ttm GROUP BY w1)
+SELECT ttm.w1, ttm.w2, round(2.0 * n / (ri.zr + coalesce(rj.zr, 0.0)), 6) AS value
+FROM ttm JOIN zr ri ON ttm.w1 = ri.w1 LEFT JOIN zr rj ON ttm.w2 = rj.w1
+""")
+def q_m04_turns(spark, sf_dir):
+    return S.significance(_turns_ttm(spark, sf_dir), "dice").withColumn("value", F.round("value", 6))
+
+
 def _sig_sql(expr: str, digits: int = 6) -> str:
     return _SQL_TOP + f"""
 , v AS (SELECT w1, w2, coalesce({expr}, 0.0) AS value FROM t)

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,10 +46,37 @@ def test_co_occurrence_from_tokens_matches(spark, dtm):
     assert a == b
 
 
-def test_vocabulary_bound_is_checked(spark, dtm):
-    vocab = spark.createDataFrame([(t,) for t in VOCAB], "token string")
-    with pytest.raises(ValueError):
-        S.vocabulary_ids(vocab, max_size=3)
+@pytest.mark.parametrize("dense,block,chunk", [(2048, 4096, 1000), (0, 4096, 1000), (0, 4096, 1), (0, 2, 3), (3, 1, 1)])
+def test_pair_sums_by_every_way(dense, block, chunk):
+    """Dense products, sparse chunks and documents dealt in blocks give the same sums."""
+    docs = [list("abca"), list("ba"), [], ["c"], list("edcbaab")]
+    exp = {}
+    for d in docs:
+        for x in set(d):
+            for y in set(d):
+                if x < y:
+                    exp[x, y] = exp.get((x, y), 0) + d.count(x) * d.count(y)
+    dealt = [(d, b) for d in docs for b in range(max(1, -(-len(set(d)) // block)))]
+    toks = pa.array([d for d, _ in dealt], pa.list_(pa.string()))
+    ns = pa.nulls(len(dealt), pa.list_(pa.float64()))
+    got = {}
+    for w1, w2, n in S._step_sums(toks, ns, np.array([b for _, b in dealt]), block, dense, chunk):
+        for x, y, v in zip(w1.to_pylist(), w2.to_pylist(), n.to_pylist()):
+            got[x, y] = got.get((x, y), 0) + v
+    assert got == exp
+
+
+def test_whole_vocabulary_and_long_documents(spark):
+    """No vocabulary given; a document of more distinct tokens than a block; null tokens and
+    arrays; a null pivot value."""
+    long = [f"t{i:03d}" for i in range(200)]
+    rows = [(1, 2000, long), (2, 2000, ["t001", None, "t000"]), (3, None, ["x", "y", "x"]), (4, 2001, None), (5, 2001, [])]
+    speeches = spark.createDataFrame(rows, "document_id long, year int, lemma array<string>")
+    got = {(r["year"], r["w1"], r["w2"]): r["n"]
+           for r in S.co_occurrence_from_tokens(speeches, pivots=["year"], block_tokens=64).collect()}
+    assert len(got) == 200 * 199 // 2 + 1
+    assert got[2000, "t000", "t001"] == 2 and got[2000, "t005", "t150"] == 1 and got[None, "x", "y"] == 2
+    assert S.co_occurrence_from_tokens(speeches.where("false")).count() == 0
 
 
 def _np_significance(metric):
