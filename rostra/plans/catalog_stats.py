@@ -9,18 +9,28 @@ from ..operators import dtm as D
 from ..operators import stats as S
 from .catalog import corpus, register
 
-# The n most frequent lemmas: the pruning by n_top that corpus loading offers. The operators
-# need none (J12_co_occurrence_turns).
-N_TOP = 100
-N_TOP_YEARLY = 50
-
-_SQL_TOP = with_sql(SQL_SPEECH_TOKENS, SQL_DTM) + f"""
-, vocab AS (SELECT token FROM (SELECT token, sum(n) AS tf FROM dtm GROUP BY token) ORDER BY tf DESC, token LIMIT {N_TOP})
-, d AS (SELECT * FROM dtm WHERE token IN (SELECT token FROM vocab))
+# The whole vocabulary of conversations, a turn as a document
+_SQL_TURNS = r"""
+WITH w AS MATERIALIZED (
+  SELECT conv_id AS protocol_id, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS document_id,
+         regexp_extract_all(text, '[\p{L}\p{N}]+') AS w
+  FROM conversations
+)
+, d AS (
+  SELECT protocol_id, document_id, token, count(*) AS n
+  FROM (SELECT protocol_id, document_id, lower(unnest(w)) AS token FROM w) GROUP BY ALL
+)
+"""
+
+_SQL_TTM = _SQL_TURNS + """
 , ttm AS (
   SELECT a.token AS w1, b.token AS w2, CAST(sum(a.n * b.n) AS DOUBLE) AS n
   FROM d a JOIN d b ON a.document_id = b.document_id AND a.token < b.token GROUP BY 1, 2
 )
+"""
+
+# ttm with its marginals and total
+_SQL_MARGINS = _SQL_TTM + """
 , zr AS (SELECT w1, sum(n) AS zr FROM ttm GROUP BY w1)
 , tot AS (SELECT sum(n) AS z FROM ttm)
 , t AS (
@@ -30,60 +40,45 @@ _SQL_TOP = with_sql(SQL_SPEECH_TOKENS, SQL_DTM) + f"""
 """
 
 
-def _top_vocab(c, n=N_TOP):
-    return D.top_n_words(c.vocab, n).select("token")
+def _turns(c):
+    """A row a turn: protocol_id, document_id and the array of its lemmas."""
+    return c.utterances.select("protocol_id", F.col("u_id").alias("document_id"),
+                               F.transform(words_of(F.col("paragraph")), F.lower).alias("lemma"))
 
 
 def _ttm(spark, sf_dir):
-    c = corpus(spark, sf_dir)
-    return S.co_occurrence_from_tokens(c.speech_tokens, _top_vocab(c))
+    return S.co_occurrence_from_tokens(_turns(corpus(spark, sf_dir)))
 
 
-@register("J12_co_occurrence", _SQL_TOP + "SELECT w1, w2, n FROM ttm")
+@register("J12_co_occurrence", _SQL_TTM + "SELECT w1, w2, n FROM ttm")
 def q_j12(spark, sf_dir):
     return _ttm(spark, sf_dir)
 
 
-@register("J12_co_occurrence_dtm", _SQL_TOP + "SELECT w1, w2, n FROM ttm")
-def q_j12_dtm(spark, sf_dir):
-    c = corpus(spark, sf_dir)
-    return S.co_occurrence(c.dtm, _top_vocab(c))
+register("J12_co_occurrence_turns", _SQL_TTM + "SELECT w1, w2, n FROM ttm")(q_j12)
 
 
-# The whole vocabulary of conversations, a turn as a document
-_SQL_TURNS = r"""
-WITH w AS (SELECT row_number() OVER () AS d, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM conversations)
-, d AS (SELECT d, token, count(*) AS n FROM (SELECT d, lower(unnest(w)) AS token FROM w) GROUP BY d, token)
-, ttm AS (
-  SELECT a.token AS w1, b.token AS w2, CAST(sum(a.n * b.n) AS DOUBLE) AS n
-  FROM d a JOIN d b ON a.d = b.d AND a.token < b.token GROUP BY 1, 2
-)
-"""
-
-
-def _turns_ttm(spark, sf_dir):
-    turns = corpus(spark, sf_dir).table("conversations")
-    return S.co_occurrence_from_tokens(turns.select(F.transform(words_of(F.col("text")), F.lower).alias("lemma")))
-
-
-@register("J12_co_occurrence_turns", _SQL_TURNS + "SELECT w1, w2, n FROM ttm")
-def q_j12_turns(spark, sf_dir):
-    return _turns_ttm(spark, sf_dir)
+@register("J12_co_occurrence_dtm", _SQL_TTM + "SELECT w1, w2, n FROM ttm")
+def q_j12_dtm(spark, sf_dir):
+    return S.co_occurrence(D.dtm_from_token_arrays(_turns(corpus(spark, sf_dir))))
 
 
-@register("M04_dice_turns", _SQL_TURNS + """
-, zr AS (SELECT w1, sum(n) AS zr FROM ttm GROUP BY w1)
-SELECT ttm.w1, ttm.w2, round(2.0 * n / (ri.zr + coalesce(rj.zr, 0.0)), 6) AS value
-FROM ttm JOIN zr ri ON ttm.w1 = ri.w1 LEFT JOIN zr rj ON ttm.w2 = rj.w1
+@register("J12_co_occurrence_vocabulary", _SQL_TURNS + r"""
+, v AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}]+'))) AS token FROM documents)
+, dv AS (SELECT * FROM d WHERE token IN (SELECT token FROM v))
+SELECT a.token AS w1, b.token AS w2, CAST(sum(a.n * b.n) AS DOUBLE) AS n
+FROM dv a JOIN dv b ON a.document_id = b.document_id AND a.token < b.token GROUP BY 1, 2
 """)
-def q_m04_turns(spark, sf_dir):
-    return S.significance(_turns_ttm(spark, sf_dir), "dice").withColumn("value", F.round("value", 6))
+def q_j12_vocabulary(spark, sf_dir):
+    """Turns over the whole vocabulary of documents."""
+    c = corpus(spark, sf_dir)
+    return S.co_occurrence_from_tokens(_turns(c), c.vocab)
 
 
 def _sig_sql(expr: str, digits: int = 6) -> str:
-    return _SQL_TOP + f"""
-, v AS (SELECT w1, w2, coalesce({expr}, 0.0) AS value FROM t)
-SELECT w1, w2, round(value, {digits}) AS value FROM v WHERE value <> 0
+    return _SQL_MARGINS + f"""
+, v AS (SELECT w1, w2, round(coalesce({expr}, 0.0), {digits}) AS value FROM t)
+SELECT w1, w2, value FROM v WHERE value <> 0
 """
 
 
@@ -96,6 +91,8 @@ def _l(k: str, n: str, x: str) -> str:
 
 
 _PPMI = "CASE WHEN zr_i * zr_j = 0 THEN 0.0 ELSE greatest(0.0, ln(cij * z / (zr_i * zr_j))) END"
+_PPMI_NORMALIZED = ("CASE WHEN zr_i * zr_j = 0 OR cij * z = 1 THEN 0.0 "
+                    "ELSE greatest(0.0, ln(cij * z / (zr_i * zr_j)) / -ln(cij * z)) END")
 _DICE = "CASE WHEN zr_i + zr_j = 0 THEN 0.0 ELSE 2.0 * cij / (zr_i + zr_j) END"
 _LLR = ("2.0 * (z * {lz} - zr_i * {li} - zr_j * {lj} + cij * {lc} + (z - zr_i - zr_j + cij) * {l1} "
         "+ (zr_i - cij) * {l2} + (zr_j - cij) * {l3} - (z - zr_i) * {l4} - (z - zr_j) * {l5})").format(
@@ -107,20 +104,25 @@ _LLR_Z = ("CASE WHEN z - zr_i = 0 OR zr_i = 0 THEN 0.0 ELSE "
 _HAL = "CASE WHEN zr_i + zr_j - cij = 0 THEN 0.0 ELSE cij / (zr_i + zr_j - cij) END"
 
 
-def _sig(metric, digits=6):
+def _sig(metric, digits=6, **kw):
     def q(spark, sf_dir):
-        return S.significance(_ttm(spark, sf_dir), metric).withColumn("value", F.round("value", digits))
+        v = S.significance(_ttm(spark, sf_dir), metric, **kw)
+        return v.withColumn("value", F.round("value", digits)).where("value <> 0")
     return q
 
 
 register("M04_ppmi", _sig_sql(_PPMI))(_sig("ppmi"))
+register("M04_ppmi_normalized", _sig_sql(_PPMI_NORMALIZED))(_sig("ppmi", normalize=True))
 register("M04_dice", _sig_sql(_DICE))(_sig("dice"))
+register("M04_dice_turns", _sig_sql(_DICE))(_sig("dice"))
 register("M04_llr", _sig_sql(_LLR, 3))(_sig("llr", 3))
 register("M04_llr_dunning", _sig_sql(_LLR_Z, 4))(_sig("llr_z", 4))
+register("M04_llr_n", _sig_sql(_LLR_Z.replace("z - zr_i", "1e7 - zr_i").replace("zr_j / z", "zr_j / 1e7"), 4))(
+    _sig("llr_n", 4, n_words=1e7))
 register("M04_hal_cwr", _sig_sql(_HAL))(_sig("hal_cwr"))
 
 
-@register("M06_significance_ratio", _SQL_TOP + f"""
+@register("M06_significance_ratio", _SQL_MARGINS + f"""
 , a AS (SELECT w1, w2, coalesce({_PPMI}, 0.0) AS va FROM t)
 , b AS (SELECT w1, w2, coalesce({_DICE}, 0.0) AS vb FROM t)
 SELECT a.w1, a.w2, round(va / vb, 6) AS value FROM a JOIN b USING (w1, w2) WHERE va <> 0 AND vb <> 0
@@ -131,58 +133,51 @@ def q_m06(spark, sf_dir):
     return r.withColumn("value", F.round("value", 6))
 
 
-# --- partitioned by year (M05, J13, A20) --------------------------------------------------
+# --- partitioned by protocol (M05, J13, M07) and by year (A20) ----------------------------
 
-_SQL_YEARLY = with_sql(SQL_SPEECH_TOKENS, SQL_DTM) + f"""
-, vocab AS (SELECT token FROM (SELECT token, sum(n) AS tf FROM dtm GROUP BY token)
-            ORDER BY tf DESC, token LIMIT {N_TOP_YEARLY})
-, d AS (SELECT dtm.*, si.year FROM dtm JOIN speech_index si USING (document_id)
-        WHERE token IN (SELECT token FROM vocab))
+_SQL_PROTOCOLS = _SQL_TURNS + """
 , ttm AS (
-  SELECT a.year, a.token AS w1, b.token AS w2, CAST(sum(a.n * b.n) AS DOUBLE) AS n
+  SELECT a.protocol_id, a.token AS w1, b.token AS w2, CAST(sum(a.n * b.n) AS DOUBLE) AS n
   FROM d a JOIN d b ON a.document_id = b.document_id AND a.token < b.token GROUP BY 1, 2, 3
 )
 """
 
 
-def _yearly(spark, sf_dir):
-    c = corpus(spark, sf_dir)
-    vocab = _top_vocab(c, N_TOP_YEARLY)
-    ttm = S.co_occurrence_from_tokens(c.speech_tokens, vocab, pivots=["year"])
-    return c, vocab, ttm
+def _protocol_ttm(spark, sf_dir):
+    """Co-occurrence by protocol, and each protocol's word counts."""
+    turns = _turns(corpus(spark, sf_dir))
+    words = turns.select("protocol_id", F.explode("lemma").alias("token"))
+    nw_x = words.groupBy(F.col("protocol_id").alias("document_id"), "token").agg(F.count(F.lit(1)).alias("nw_x"))
+    return S.co_occurrence_from_tokens(turns, pivots=["protocol_id"]), nw_x
 
 
-@register("M05_partitioned_ppmi", _SQL_YEARLY + f"""
-, zr AS (SELECT year, w1, sum(n) AS zr FROM ttm GROUP BY year, w1)
-, tot AS (SELECT year, sum(n) AS z FROM ttm GROUP BY year)
+@register("M05_partitioned_ppmi", _SQL_PROTOCOLS + f"""
+, zr AS (SELECT protocol_id, w1, sum(n) AS zr FROM ttm GROUP BY protocol_id, w1)
+, tot AS (SELECT protocol_id, sum(n) AS z FROM ttm GROUP BY protocol_id)
 , t AS (
-  SELECT ttm.year, ttm.w1, ttm.w2, ttm.n AS cij, coalesce(ri.zr, 0.0) AS zr_i, coalesce(rj.zr, 0.0) AS zr_j, tot.z
-  FROM ttm LEFT JOIN zr ri ON ttm.year = ri.year AND ttm.w1 = ri.w1
-           LEFT JOIN zr rj ON ttm.year = rj.year AND ttm.w2 = rj.w1
-           JOIN tot ON ttm.year = tot.year
+  SELECT ttm.protocol_id, ttm.w1, ttm.w2, ttm.n AS cij, coalesce(ri.zr, 0.0) AS zr_i, coalesce(rj.zr, 0.0) AS zr_j, tot.z
+  FROM ttm LEFT JOIN zr ri ON ttm.protocol_id = ri.protocol_id AND ttm.w1 = ri.w1
+           LEFT JOIN zr rj ON ttm.protocol_id = rj.protocol_id AND ttm.w2 = rj.w1
+           JOIN tot ON ttm.protocol_id = tot.protocol_id
 )
-, v AS (SELECT year, w1, w2, coalesce({_PPMI}, 0.0) AS value FROM t)
-SELECT year, w1, w2, round(value, 6) AS value FROM v WHERE value <> 0
+, v AS (SELECT protocol_id, w1, w2, coalesce({_PPMI}, 0.0) AS value FROM t)
+SELECT protocol_id, w1, w2, round(value, 6) AS value FROM v WHERE value <> 0
 """)
 def q_m05(spark, sf_dir):
-    _, _, ttm = _yearly(spark, sf_dir)
-    return S.significance(ttm, "ppmi", pivots=["year"]).withColumn("value", F.round("value", 6))
+    ttm, _ = _protocol_ttm(spark, sf_dir)
+    return S.significance(ttm, "ppmi", pivots=["protocol_id"]).withColumn("value", F.round("value", 6))
 
 
-@register("J13_hal_cwr", _SQL_YEARLY + """
-, nwx AS (SELECT year, token, sum(n) AS nw_x FROM d GROUP BY year, token)
-SELECT t.year AS document_id, t.w1, t.w2,
+@register("J13_hal_cwr", _SQL_PROTOCOLS + """
+, nwx AS (SELECT protocol_id, token, sum(n) AS nw_x FROM d GROUP BY protocol_id, token)
+SELECT t.protocol_id AS document_id, t.w1, t.w2,
        round(greatest(coalesce(CASE WHEN x.nw_x + y.nw_x - t.n = 0 THEN NULL
                                     ELSE t.n / (x.nw_x + y.nw_x - t.n) END, 0.0), 0.0), 6) AS cwr
-FROM ttm t LEFT JOIN nwx x ON t.year = x.year AND t.w1 = x.token LEFT JOIN nwx y ON t.year = y.year AND t.w2 = y.token
+FROM ttm t LEFT JOIN nwx x ON t.protocol_id = x.protocol_id AND t.w1 = x.token LEFT JOIN nwx y ON t.protocol_id = y.protocol_id AND t.w2 = y.token
 """)
 def q_j13(spark, sf_dir):
-    c, vocab, ttm = _yearly(spark, sf_dir)
-    cells = c.dtm.join(F.broadcast(vocab), "token", "left_semi").join(c.speech_index.select("document_id", "year"),
-                                                                      "document_id")
-    nw_x = cells.groupBy("year", "token").agg(F.sum("n").alias("nw_x")).withColumnRenamed("year", "document_id")
-    co = ttm.withColumnRenamed("year", "document_id")
-    return S.hal_cwr(co, nw_x).withColumn("cwr", F.round("cwr", 6))
+    ttm, nw_x = _protocol_ttm(spark, sf_dir)
+    return S.hal_cwr(ttm.withColumnRenamed("protocol_id", "document_id"), nw_x).withColumn("cwr", F.round("cwr", 6))
 
 
 @register("A20_documents_per_partition", with_sql(SQL_SPEECH_TOKENS, SQL_DTM) + """
@@ -297,20 +292,18 @@ def q_a17_stream(spark, sf_dir):
     return run_term_frequency(spark, f"{sf_dir.rstrip('/')}/documents*.parquet", f"{run}/vocab", f"{run}/state")
 
 
-@register("M07_hal_cwr_by_mapping", _SQL_YEARLY + """
-, nwx AS (SELECT year, token, sum(n) AS nw_x FROM d GROUP BY year, token)
+@register("M07_hal_cwr_by_mapping", _SQL_PROTOCOLS + """
+, nwx AS (SELECT protocol_id, token, sum(n) AS nw_x FROM d GROUP BY protocol_id, token)
 , pairs AS (SELECT w1, w2, row_number() OVER (ORDER BY w1, w2) - 1 AS pair_id FROM (SELECT DISTINCT w1, w2 FROM ttm))
-SELECT t.year AS document_id, p.pair_id,
+SELECT t.protocol_id AS document_id, p.pair_id,
        round(greatest(coalesce(CASE WHEN x.nw_x + y.nw_x - t.n = 0 THEN NULL
                                     ELSE t.n / (x.nw_x + y.nw_x - t.n) END, 0.0), 0.0), 6) AS cwr
 FROM ttm t JOIN pairs p USING (w1, w2)
-LEFT JOIN nwx x ON t.year = x.year AND t.w1 = x.token LEFT JOIN nwx y ON t.year = y.year AND t.w2 = y.token
+LEFT JOIN nwx x ON t.protocol_id = x.protocol_id AND t.w1 = x.token LEFT JOIN nwx y ON t.protocol_id = y.protocol_id AND t.w2 = y.token
 """)
 def q_m07(spark, sf_dir):
-    c, vocab, ttm = _yearly(spark, sf_dir)
+    ttm, nw_x = _protocol_ttm(spark, sf_dir)
+    ttm = ttm.checkpoint()  # read for the mapping and for the counts
     mapping = D.dense_ids(ttm.select("w1", "w2").distinct(), ["w1", "w2"], id_col="pair_id")
-    nw_xy = ttm.join(mapping, ["w1", "w2"]).select(F.col("year").alias("document_id"), "pair_id", "n")
-    cells = c.dtm.join(F.broadcast(vocab), "token", "left_semi").join(c.speech_index.select("document_id", "year"),
-                                                                      "document_id")
-    nw_x = cells.groupBy("year", "token").agg(F.sum("n").alias("nw_x")).withColumnRenamed("year", "document_id")
+    nw_xy = ttm.join(mapping, ["w1", "w2"]).select(F.col("protocol_id").alias("document_id"), "pair_id", "n")
     return S.hal_cwr_by_mapping(nw_xy, nw_x, mapping).withColumn("cwr", F.round("cwr", 6))
