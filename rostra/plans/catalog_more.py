@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..model import SQL_CODES, SQL_SPEECH_TOKENS, with_sql
+from ..model import SQL_CODES, SQL_DTM, SQL_SPEECH_TOKENS, with_sql
+from ..operators import codes, dtm, tokens
 from ..operators.predicates import token_criteria
+from ..sources import read_tables
 from . import jobs
 from .catalog import corpus, register
 
@@ -253,3 +255,129 @@ GROUP BY token ORDER BY tf DESC, token LIMIT 5
 """)
 def q_e05_upper(spark, sf_dir):
     return jobs.word_hits(corpus(spark, sf_dir), "Ver*")
+
+
+# --- absent words, display values, aligned n-grams, periods with gaps ---------------------------
+
+@register("E03_word_trends_absent_word", with_sql(SQL_SPEECH_TOKENS) + """
+SELECT year, token AS label, count(*) AS n FROM (SELECT year, unnest(lemma) AS token FROM speech_tokens)
+WHERE token = 'the' GROUP BY year, token
+""")
+def q_e03_absent(spark, sf_dir):
+    return jobs.word_trends(corpus(spark, sf_dir), ["The", "qqqzzz"])
+
+
+@register("E03_word_trends_absent_word_years", with_sql(SQL_SPEECH_TOKENS) + """
+, t AS (
+  SELECT year, token AS label, count(*) AS n
+  FROM (SELECT year, unnest(lemma) AS token FROM speech_tokens WHERE year BETWEEN 1980 AND 1999)
+  WHERE token IN ('the', 'der') GROUP BY year, token
+)
+SELECT year, label, n FROM t UNION ALL SELECT year, 'Totalt', CAST(sum(n) AS BIGINT) FROM t GROUP BY year
+""")
+def q_e03_absent_years(spark, sf_dir):
+    return jobs.word_trends(corpus(spark, sf_dir), ["the", "der", "qqqzzz"], {"year": (1980, 1999)})
+
+
+@register("R01_word_trends_wide_absent_word", with_sql(SQL_SPEECH_TOKENS) + """
+SELECT year, count(*) AS the FROM (SELECT year, unnest(lemma) AS token FROM speech_tokens)
+WHERE token = 'the' GROUP BY year
+""")
+def q_r01_absent(spark, sf_dir):
+    return jobs.word_trends_wide(corpus(spark, sf_dir), ["the", "qqqzzz"])
+
+
+@register("E06_speeches_display", with_sql(SQL_SPEECH_TOKENS, SQL_CODES) + f"""
+, l AS (SELECT h.document_id, h.document_name, h.chamber_abbrev, h.year, h.speech_id, h.speech_name, h.person_id,
+               {SQL_DECODED}
+        FROM speech_index h {SQL_DECODE_JOINS} WHERE h.year BETWEEN 1980 AND 1995)
+SELECT * REPLACE (CASE gender WHEN 'man' THEN 'Man' WHEN 'unknown' THEN '' ELSE gender END AS gender) FROM l
+ORDER BY coalesce(name, '') = '', document_id
+""")
+def q_e06_display(spark, sf_dir):
+    return jobs.speeches(corpus(spark, sf_dir), {"year": (1980, 1995)}, sort=True,
+                         value_updates={"gender": {"man": "Man", "unknown": ""}, "no_column": {"a": "b"}})
+
+
+@register("E02_ngrams_right_aligned", with_sql(SQL_SPEECH_TOKENS) + """
+, h AS (
+  SELECT st.speech_id, st.word, g.P FROM speech_tokens st, unnest(generate_series(1, len(st.lemma))) AS g(P)
+  WHERE st.lemma[g.P] = 'la'
+)
+SELECT array_to_string(list_slice(word, greatest(P - 2, 1), P), ' ') AS ngram, count(*) AS window_count,
+       count(DISTINCT speech_id) AS n_documents
+FROM h GROUP BY 1
+""")
+def q_e02_right(spark, sf_dir):
+    return jobs.ngrams(corpus(spark, sf_dir), "la", n=3, threshold=None, search_target="lemma", mode="right-aligned")
+
+
+def _gaps_sql(step: int) -> str:
+    return with_sql(SQL_SPEECH_TOKENS) + f"""
+, g AS (SELECT year - year % {step} AS time_period, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, count(*) AS n_documents
+        FROM speech_index WHERE year < 1980 OR year >= 2000 GROUP BY 1)
+, spine AS (SELECT unnest(generate_series((SELECT min(time_period) FROM g), (SELECT max(time_period) FROM g), {step})) AS time_period)
+SELECT * FROM g
+UNION ALL SELECT time_period, 0, 0 FROM spine WHERE time_period NOT IN (SELECT time_period FROM g)
+"""
+
+
+def _gaps(spec: str, step: int):
+    def q(spark, sf_dir):
+        c = corpus(spark, sf_dir)
+        sub = dtm.filter_documents(dtm.DTMCorpus(c.dtm, c.speech_index), (F.col("year") < 1980) | (F.col("year") >= 2000))
+        index = dtm.group_by_temporal_key(sub, spec).index
+        return dtm.fill_temporal_gaps(index, "time_period", [], step).select("time_period", "n_tokens", "n_documents")
+    return q
+
+
+register("U02_fill_gaps_lustrum", _gaps_sql(5))(_gaps("lustrum", 5))
+register("U02_fill_gaps_decade", _gaps_sql(10))(_gaps("decade", 10))
+
+
+# --- code tables, index checks, lists ----------------------------------------------------------
+
+@register("S02_code_tables", """
+SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey
+""")
+def q_s02(spark, sf_dir):
+    t = read_tables(spark, sf_dir, ["nation.parquet", "region.parquet"])
+    n, r = t["nation.parquet"], t["region.parquet"]
+    return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_name", "r_name")
+
+
+@register("S03_slim_persons", with_sql(SQL_CODES) + """
+SELECT person_id, name, CAST(coalesce(year_of_death, 0) AS INTEGER) AS year_of_death FROM persons
+""")
+def q_s03(spark, sf_dir):
+    slim = codes.slim_table(corpus(spark, sf_dir).persons, {"year_of_death": 0}, {"year_of_death": "int"})
+    return slim.select("person_id", "name", "year_of_death")
+
+
+@register("S03_duplicate_keys", with_sql(SQL_CODES) + """
+SELECT person_id, count(*) AS "count" FROM person_party GROUP BY person_id HAVING count(*) > 1
+""")
+def q_s03_duplicates(spark, sf_dir):
+    return codes.duplicate_keys(corpus(spark, sf_dir).person_party, "person_id")
+
+
+@register("S15_index_mismatches", with_sql(SQL_SPEECH_TOKENS, SQL_DTM) + """
+SELECT document_id FROM speech_index WHERE chamber_abbrev = 'en'
+UNION ALL SELECT DISTINCT document_id FROM dtm JOIN speech_index USING (document_id) WHERE chamber_abbrev = 'fr'
+""")
+def q_s15_mismatches(spark, sf_dir):
+    """Counts of the German and French chambers against an index of the English and German ones."""
+    c = corpus(spark, sf_dir)
+    of = lambda *abbrevs: F.col("chamber_abbrev").isin(*abbrevs)
+    counts = dtm.dtm_from_token_arrays(c.speech_tokens.where(of("de", "fr")))
+    index = c.speech_index.where(of("en") | (of("de") & (F.col("n_tokens") > 0)))
+    return dtm.check_index_covers(counts, index)
+
+
+@register("R07_words_as_list", with_sql(SQL_SPEECH_TOKENS) + """
+SELECT DISTINCT document_id, token FROM (SELECT document_id, unnest(lemma) AS token FROM speech_tokens)
+WHERE token IN ('und', 'les', 'the')
+""")
+def q_r07(spark, sf_dir):
+    found = tokens.documents_with_words(corpus(spark, sf_dir).speech_tokens, ["und", "les", "the"])
+    return found.select("document_id", F.explode(tokens.documents_as_list(F.col("node_word"))).alias("token"))

@@ -35,8 +35,8 @@ def word_trends(corpus: Corpus, search_terms: Sequence[str], filter_opts: Mappin
     """Counts of words per year, long form (year, label, n).
 
     Every filter key except year also becomes a pivot key; labels are the word followed
-    by the decoded pivot values; `Totalt` is the sum per year when there is more than one
-    label column. `normalize` divides by the raw token count of the (year x pivots) group.
+    by the decoded pivot values; `Totalt` is the sum per year when more than one label
+    is left; words that the vocabulary doesn't hold have none. `normalize` divides by the raw token count of the (year x pivots) group.
 
     `keyness` weights each document before grouping: "tf" (counts), "tf_normalized"
     (count / the document's raw tokens, M02) or "tf_idf" (M03 over the whole DTM).
@@ -81,23 +81,32 @@ def word_trends(corpus: Corpus, search_terms: Sequence[str], filter_opts: Mappin
     # grouping sets (year, label) and (year)
     g = trends.rollup("year", "label").agg(F.sum("n").alias("n"), F.grouping("year").alias("_gy"),
                                            F.grouping("label").alias("_gl")).where(F.col("_gy") == 0)
-    if len(terms) > 1 or pivot_keys:
-        g = g.withColumn("label", F.when(F.col("_gl") == 1, F.lit(TOTAL_LABEL)).otherwise(F.col("label")))
-    else:
-        g = g.where(F.col("_gl") == 0)
-    trends = g.select("year", "label", "n")
-    return trends
+    if len(terms) < 2 and not pivot_keys:
+        return g.where(F.col("_gl") == 0).select("year", "label", "n")
+    if pivot_keys or opts.get("year") is None:
+        found = g.where(F.col("_gl") == 0).agg(F.count_distinct("label").alias("n"))
+    else:  # a known word without hits in these years has a column, too
+        found = known_words(corpus, terms).agg(F.count(F.lit(1)).alias("n"))
+    g = g.where((F.col("_gl") == 0) | (found.scalar() > 1))
+    return g.select("year", F.when(F.col("_gl") == 1, F.lit(TOTAL_LABEL)).otherwise(F.col("label")).alias("label"), "n")
+
+
+def known_words(corpus: Corpus, terms: Sequence[str]) -> DataFrame:
+    """The lower-cased terms that the vocabulary holds: (token)."""
+    words = sorted({t.lower() for t in terms if t})
+    return corpus.vocab.where(F.col("token").isin(words)).select("token")
 
 
 def word_trend_labels(corpus: Corpus, search_terms: Sequence[str], filter_opts: Mapping[str, Any]) -> list[str]:
-    """The label columns of the wide trend table: every term with every combination of the
-    requested pivot values (decoded through the code tables: a handful of rows each),
-    then `Totalt`. Pivot keys need list values here."""
+    """The label columns of the wide trend table: every term that the vocabulary holds (at most
+    as many rows as terms) with every combination of the requested pivot values (decoded
+    through the code tables: a handful of rows each), then `Totalt` if there are several.
+    Pivot keys need list values here."""
     import itertools
 
     opts = dict(filter_opts or {})
     pivot_keys = [k for k, v in opts.items() if k != "year" and v is not None]
-    terms = sorted({t.lower() for t in search_terms if t})
+    terms = sorted(r["token"] for r in known_words(corpus, search_terms).collect())
     texts = []
     tables = corpus.code_tables()
     table_of = {"gender_id": "gender", "office_type_id": "office_type", "party_id": "party",
@@ -111,7 +120,7 @@ def word_trend_labels(corpus: Corpus, search_terms: Sequence[str], filter_opts:
         names = {r[key]: r[text] for r in rows}
         texts.append([str(names[v]) for v in values if v in names])
     labels = [" ".join([t, *combo]) for t in terms for combo in itertools.product(*texts)]
-    return labels + ([TOTAL_LABEL] if len(terms) > 1 or pivot_keys else [])
+    return labels + ([TOTAL_LABEL] if len(labels) > 1 else [])
 
 
 def word_trends_wide(corpus: Corpus, search_terms: Sequence[str], filter_opts: Mapping[str, Any] | None = None,
@@ -123,10 +132,12 @@ def word_trends_wide(corpus: Corpus, search_terms: Sequence[str], filter_opts: M
     return reshape.pivot_wide(long, ["year"], "label", word_trend_labels(corpus, search_terms, filter_opts or {}))
 
 
-def speeches(corpus: Corpus, filter_opts: Mapping[str, Any] | None = None, decode: bool = True) -> DataFrame:
-    """Speech list for filters (P03 -> T06)."""
+def speeches(corpus: Corpus, filter_opts: Mapping[str, Any] | None = None, decode: bool = True,
+             value_updates: Mapping[str, Mapping[str, str]] | None = None, sort: bool = False) -> DataFrame:
+    """Speech list for filters (P03 -> T06), with display values replaced by column and,
+    optionally, empty names last."""
     si = predicates.speeches_by_opts(corpus.speech_index, filter_opts)
-    return codes.decode_speech_index(si, corpus.code_tables()) if decode else si
+    return codes.decode_speech_index(si, corpus.code_tables(), value_updates, sort) if decode else si
 
 
 def speakers(corpus: Corpus, selection: Mapping[str, Sequence[Any]]) -> DataFrame:
