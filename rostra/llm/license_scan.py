@@ -1,11 +1,15 @@
 """Licence scan: sparse TF-IDF cosine to templates, inheritance along directories.
 
-Every line of a file that names a licensing word is a header candidate. It is compared with
-the licence templates by the cosine of TF-IDF vectors; document frequencies of the
-templates' words are counted over all files, other words weigh as unseen ones. The best
-template at or above the threshold is the line's licence, the best line's licence is the
-file's. A licence file is one named so, or one of whose words at least half are in licence
-lines; the best match of the licence files of a directory is the directory's licence. A
+Candidates of a file are the whole file, its header blocks, and every line that names a
+licensing word. Header blocks are paragraphs, runs of comment lines, neighbouring
+paragraphs or neighbouring lines that all hold a licensing word, joined. Candidates are
+compared with the templates by the cosine of TF-IDF vectors: lines with the notices, by
+plain counts; blocks and the file with notices and full licence texts, by damped counts
+(1 + log n), as long texts repeat their common words. Document frequencies of the templates'
+words are counted over all files, other words weigh as unseen ones. A file that as a whole
+matches a full text has that licence; else the best candidate at or above the threshold
+names the file's. A licence file is one named so, or one of whose words at least half are in
+matching candidates; the best match of the licence files of a directory is the directory's licence. A
 file without a licence of its own takes that of its nearest ancestor directory that has
 one, found by joining directories (not files) with their ancestors.
 
@@ -13,7 +17,7 @@ Scans are narrow; shuffled are directories, and file rows without text once to m
 directory (Spark splits a directory with many files).
 
 Defined results: null and empty texts have no own licence but inherit; a null path lies in
-the root directory; rows that repeat a path are judged one by one; equal cosines go to the template
+the root directory; rows that repeat a path are judged one by one; equal cosines go to the licence
 that sorts first, equal licence files to the path that sorts first; other columns are ignored;
 empty tables give empty results. Texts are read whole."""
 
@@ -22,8 +26,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +58,30 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "Released into the public domain under the Unlicense."],
 }
+_GNU = ("This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} License as published "
+        "by the Free Software Foundation, either version {3} of the License, or (at your option) any later version.")
+_WARRANTY = (" This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+             "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {2} License for more details. You should have "
+             "received a copy of the GNU {2} License along with this {0}. If not, see https://www.gnu.org/licenses/.")
+_GNU_NAMES = {"AGPL-3.0": ("program", ":", "Affero General Public", "3"), "GPL-2.0": ("program", ";", "General Public", "2"),
+              "GPL-3.0": ("program", ":", "General Public", "3"), "LGPL-2.1": ("library", ";", "Lesser General Public", "2.1"),
+              "LGPL-3.0": ("library", ";", "Lesser General Public", "3")}
+# Notices that run over lines (blocks only), by SPDX name
+NOTICES = {name: [_GNU.format(*x), (_GNU + _WARRANTY).format(*x)] for name, x in _GNU_NAMES.items()} | {
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
+                   "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or "
+                   "agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR "
+                   "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and "
+                   "limitations under the License."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+                "with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+}
 _SAYS = re.compile(r"(?i)licen[sc]e|copyright|public domain|spdx|permission is hereby granted")
+_HINT = re.compile(r"(?i)licen[sc]e|copyright|public domain|spdx|permi(?:ssion|tted)|redistribut|warrant|free software|\bliab|\bas is\b")
+_STEMS = ("licen", "copyright", "public domain", "spdx", "permi", "redistribut", "warrant", "free software", "liab", "as is")  # of both
+_COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|--|;|%|<!--|\"\"\"|'''|\(\*|dnl\b|rem\b)", re.I)
+_OPENS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''", "(*": "*)"}
+_OPEN = re.compile("|".join(map(re.escape, _OPENS)))
 _WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
 _NAMED = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.\-_].*)?$"
 
@@ -67,9 +96,22 @@ def words(line: str) -> list[str]:
     return [_plain(w) for w in _WORD.findall(line.lower())]
 
 
-def frequencies(files: DataFrame, text_col: str, templates: Mapping[str, list[str]]) -> tuple[int, dict[str, int]]:
+def _count(low: str) -> Counter:
+    """Words of a lower-case text with their counts."""
+    counts = Counter(_WORD.findall(low))
+    for w in [w for w in counts if "." in w and _plain(w) != w]:
+        counts[_plain(w)] += counts.pop(w)
+    return counts
+
+
+def full_texts() -> dict[str, list[str]]:
+    """The full texts of the licences in this package, by SPDX name."""
+    return {p.stem: [p.read_text(encoding="utf8")] for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))}
+
+
+def frequencies(files: DataFrame, text_col: str, *templates: Mapping[str, list[str]]) -> tuple[int, dict[str, int]]:
     """Number of files, and of those that hold each word of the templates (a bounded list)."""
-    terms = frozenset(w for lines in templates.values() for x in lines for w in words(x))
+    terms = frozenset(w for some in templates for lines in some.values() for x in lines for w in words(x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
@@ -83,54 +125,115 @@ def frequencies(files: DataFrame, text_col: str, templates: Mapping[str, list[st
 
 
 class Matcher:
-    """Unit TF-IDF vectors of the templates, by word."""
+    """Unit TF-IDF vectors of the templates, a column each; `damped` takes 1 + log n for counts."""
 
-    def __init__(self, total: int, found: Mapping[str, int], templates: Mapping[str, list[str]] = TEMPLATES):
+    def __init__(self, total: int, found: Mapping[str, int], templates: Mapping[str, list[str]] = TEMPLATES, damped: bool = False):
         self.idf = {w: math.log((1 + total) / (1 + n)) + 1 for w, n in found.items()}
         self.unseen = math.log(1 + total) + 1
-        self.names: list[str] = []
-        self.by_word: dict[str, list[tuple[int, float]]] = {}
-        for name in sorted(templates):
-            for line in templates[name]:
-                for w, x in self._vector(line).items():
-                    self.by_word.setdefault(w, []).append((len(self.names), x))
-                self.names.append(name)
-
-    def _vector(self, line: str) -> dict[str, float]:
-        v = {w: n * self.idf.get(w, self.unseen) for w, n in Counter(words(line)).items()}
-        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
-        return {w: x / norm for w, x in v.items()}
+        self.damped = damped
+        self.names = [name for name in sorted(templates) for _ in templates[name]]
+        vectors = [self._vector(Counter(words(x))) for name in sorted(templates) for x in templates[name]]
+        self.row = {w: i for i, w in enumerate(dict.fromkeys(w for v in vectors for w in v))}
+        self.unit = np.zeros((len(self.row), len(vectors)))
+        for k, v in enumerate(vectors):
+            norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+            self.unit[[self.row[w] for w in v], k] = [x / norm for x in v.values()]
+
+    def _vector(self, counts: Mapping[str, int]) -> dict[str, float]:
+        if self.damped:
+            return {w: (1 + math.log(n)) * self.idf.get(w, self.unseen) for w, n in counts.items()}
+        return {w: n * self.idf.get(w, self.unseen) for w, n in counts.items()}
+
+    def counted(self, counts: Mapping[str, int], least: float = 0.0) -> tuple[str | None, float]:
+        """The best template and its cosine for words with their counts; (None, 0) also if the
+        share of the templates' words proves that no cosine reaches `least`."""
+        known = self._vector({w: counts[w] for w in counts.keys() & self.row.keys()})
+        inside = sum(x * x for x in known.values())
+        most = inside / max(least - 1e-6, 1e-9) ** 2  # a longer vector is too far from all templates
+        if not known or inside + (len(counts) - len(known)) * self.unseen ** 2 > most:  # others weigh this at least
+            return None, 0.0
+        norm = inside + sum(x * x for x in self._vector({w: n for w, n in counts.items() if w not in known}).values())
+        x = np.array(list(known.values()))
+        dots = np.round(x @ self.unit[[self.row[w] for w in known]] / math.sqrt(norm), 12)
+        best = int(dots.argmax())
+        return (self.names[best], round(float(dots[best]), 9)) if dots[best] > 0 else (None, 0.0)
 
     def __call__(self, line: str) -> tuple[str | None, float]:
-        dots = [0.0] * len(self.names)
-        for w, x in self._vector(line).items():
-            for i, y in self.by_word.get(w, ()):
-                dots[i] += x * y
-        best = max(range(len(dots)), key=lambda i: (round(dots[i], 12), -i))
-        return (self.names[best], round(dots[best], 9)) if dots[best] > 0 else (None, 0.0)
+        return self.counted(_count(line.lower()))
+
+
+def _runs(marks: Iterable[bool]) -> list[tuple[int, int]]:
+    """Ranges of neighbouring true marks."""
+    out, lo = [], None
+    for i, x in enumerate([*marks, False]):
+        if x and lo is None:
+            lo = i
+        elif not x and lo is not None:
+            out.append((lo, i))
+            lo = None
+    return out
+
+
+def header_blocks(lines: list[str], hinted: bool = True) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Ranges of lines: the paragraphs, and the other header blocks; not `hinted`: no line
+    holds a licensing word."""
+    paragraphs = _runs(any(map(str.isalnum, x)) for x in lines)
+    comment, closer = [], ""
+    for x in lines:
+        comment.append(bool(closer) or _COMMENT.match(x) is not None)
+        if not closer and comment[-1] and (m := _OPEN.match(x.lstrip())):
+            closer = _OPENS[m[0]]
+            x = x.lstrip()[len(m[0]):]
+        if closer and closer in x:
+            closer = ""
+    says = [_HINT.search(x) is not None for x in lines] if hinted else [False] * len(lines)
+    joined = _runs(hinted and (any(says[lo:hi]) or _HINT.search(" ".join(lines[lo:hi])) is not None) for lo, hi in paragraphs)
+    other = {*_runs(comment), *((paragraphs[lo][0], paragraphs[hi - 1][1]) for lo, hi in joined), *_runs(says)}
+    return paragraphs, sorted({(lo, hi) for lo, hi in other if hi - lo > 1} - {*paragraphs})
+
+
+class Scanner:
+    """Own licence of a text, its cosine, and the share of the text's words in matching candidates."""
+
+    def __init__(self, line: Matcher, block: Matcher, full: Matcher, threshold: float):
+        self.line, self.block, self.full, self.threshold = line, block, full, threshold
+
+    def __call__(self, text: str) -> tuple[str | None, float, float]:
+        low = text.lower()
+        flat = low.replace("\n", " ")
+        hinted = any(x in flat for x in _STEMS)
+        lines = low.split("\n")
+        paragraphs, other = header_blocks(lines, hinted)
+        found: list[tuple[str | None, float, int, int]] = []
+        whole: Counter = Counter()
+        for lo, hi in paragraphs:
+            counts = _count("\n".join(lines[lo:hi]))
+            found.append((*self.block.counted(counts, self.threshold), lo, hi))
+            if len(paragraphs) > 1:
+                whole.update(counts)
+            else:
+                whole = counts
+        is_full = self.full.counted(whole, self.threshold)
+        if is_full[1] >= self.threshold:
+            return (*is_full, 1.0)
+        if len(paragraphs) > 1:
+            found.append((*self.block.counted(whole, self.threshold), 0, len(lines)))
+        found += [(*self.block.counted(_count("\n".join(lines[lo:hi])), self.threshold), lo, hi) for lo, hi in other]
+        if hinted:
+            found += [(*self.line(x), i, i + 1) for i, x in enumerate(lines) if _SAYS.search(x)]
+        found = [x for x in found if x[0] and x[1] >= self.threshold]
+        if not found:
+            return None, 0.0, 0.0
+        name, cos, _, _ = min(found, key=lambda x: (-x[1], x[0]))
+        inside = {i for _, _, lo, hi in found for i in range(lo, hi)}
+        return name, cos, sum(len(lines[i].split()) for i in inside) / max(len(low.split()), 1)
 
 
-def headers(files: DataFrame, matcher: Matcher, id_col: str, path_col: str, text_col: str, threshold: float) -> DataFrame:
-    """Per row: id, path, own licence with its cosine, the share of words in licence lines."""
+def headers(files: DataFrame, scanner: Scanner, id_col: str, path_col: str, text_col: str) -> DataFrame:
+    """Per row: id, path, own licence with its cosine, the share of words in matching candidates."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = []
-            for t in texts(b.column(2)):
-                best, inside = (None, 0.0), 0
-                for m in _SAYS.finditer(t):
-                    lo = t.rfind("\n", 0, m.start()) + 1
-                    if lo < inside:
-                        continue  # the line had its turn
-                    hi = t.find("\n", m.end())
-                    line = t[lo:hi if hi >= 0 else len(t)]
-                    inside = lo + len(line) + 1
-                    name, cos = matcher(line)
-                    if cos >= threshold and (cos > best[1] or cos == best[1] and name < best[0]):
-                        best = (name, cos)
-                covered = 0
-                if best[0]:
-                    covered = sum(len(x.split()) for x in t.split("\n") if _SAYS.search(x) and matcher(x)[1] >= threshold) / max(len(t.split()), 1)
-                got.append((*best, float(covered)))
+            got = [scanner(t) for t in texts(b.column(2))]
             cols = list(zip(*got)) if got else [()] * 3
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.string()),
                                               pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())],
@@ -140,10 +243,14 @@ def headers(files: DataFrame, matcher: Matcher, id_col: str, path_col: str, text
 
 
 def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text",
-         templates: Mapping[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+         templates: Mapping[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD,
+         notices: Mapping[str, list[str]] = NOTICES, full: Mapping[str, list[str]] | None = None) -> DataFrame:
     """Per row: id, path, license, cosine, origin (own, inherited or null), from_dir."""
-    matcher = Matcher(*frequencies(files, text_col, templates), templates)
-    found = headers(files, matcher, id_col, path_col, text_col, threshold)
+    full = full_texts() if full is None else full
+    seen = frequencies(files, text_col, templates, notices, full)
+    blocks = {name: [x for some in (templates, notices, full) for x in some.get(name, [])] for name in {*templates, *notices, *full}}
+    scanner = Scanner(Matcher(*seen, templates), Matcher(*seen, blocks, True), Matcher(*seen, full, True), threshold)
+    found = headers(files, scanner, id_col, path_col, text_col)
     found = materialise(found.withColumn("dir", F.regexp_replace(F.regexp_replace("path", "[^/]*$", ""), "/+$", "")))
     name = F.regexp_extract("path", "[^/]*$", 0)
     licence_files = found.where(F.col("own").isNotNull() & (name.rlike(_NAMED) | (F.col("share") >= 0.5)))

@@ -231,6 +231,27 @@ def test_license_scan(spark):
     assert license_scan.scan(frame.limit(0)).count() == 0
 
 
+def test_license_scan_header_blocks_and_full_texts(spark):
+    full = {k: v[0] for k, v in license_scan.full_texts().items()}
+    mine = "Copyright (c) 2019, A. Person\nAll rights reserved.\n\n"
+    gpl = ("This file is part of Tool.\n\nTool is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License "
+           "as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.")
+    code = "import os\nfor name in os.listdir('.'):\n    print(name, len(name))\n" * 20
+    wrapped = "\n".join(f"# {x}".rstrip() for x in gpl.split("\n"))
+    block = "/*\n" + mine + full["BSD-2-Clause"] + "*/\nint main() { return 0; }\n" + "int f(int x) { return x + 1; }\n" * 200
+    rows = [(1, "b3/LICENSE", mine + full["BSD-3-Clause"]), (2, "b3/src/x.c", "int x;"), (3, "isc/COPYING", full["ISC"].replace("ISC License", mine)),
+            (4, "isc/x.js", "var x"), (5, "g/x.py", "#!/usr/bin/python\n" + wrapped + "\n\n" + code), (6, "b2/x.c", block),
+            (7, "b2/y.c", "int y;"), (8, "r/README", code + gpl.replace("3", "2") + "\n\n" + code), (9, "p/x.txt", code + "We permit no free software in this house.\n" + code),
+            *[(10 + i, f"full/{k}.x", t) for i, (k, t) in enumerate(sorted(full.items()))]]
+    frame = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in license_scan.scan(frame).collect()}
+    assert {i: got[i] for i in range(1, 10)} == {
+        1: ("BSD-3-Clause", "own"), 2: ("BSD-3-Clause", "inherited"), 3: ("ISC", "own"), 4: ("ISC", "inherited"), 5: ("GPL-3.0", "own"),
+        6: ("BSD-2-Clause", "own"), 7: (None, None), 8: ("GPL-2.0", "own"), 9: (None, None)}
+    assert [got[10 + i] for i in range(len(full))] == [(k, "own") for k in sorted(full)]
+    assert all(any(w in t.lower() for w in license_scan._STEMS) for t in full.values())
+
+
 def test_html(spark):
     page = ('<html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="has-sidebar"><nav><ul><li>'
             '<a href=/>Home</a></li></ul></nav><!-- x --><div class="cookie-notice">We use cookies here</div><main><article><header><h1>A &amp; b'
