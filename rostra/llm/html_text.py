@@ -7,7 +7,8 @@ marks page furniture (by tag, role, or a word in class or id). A decision tree,
 the small labelled table below (one row a block), tells content from the rest.
 
 Defined results: null and empty pages and pages without content give the empty text; text
-outside tags is a block; an unclosed script, style or comment lasts to the page's end; a
+outside tags is a block; scripts, styles and other elements of raw text end at their own
+end tag, whatever they hold; an unclosed script, style or comment lasts to the page's end; a
 page cut anywhere is read as far as it goes; rows are independent, so repeats and ties
 don't matter; other columns stay, those with the outputs' names are replaced. Pages are
 read whole."""
@@ -31,6 +32,7 @@ BLOCK_TAGS = set("""address article aside blockquote body button caption center
     figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol optgroup option p
     pre search section select summary table tbody td tfoot th thead title tr ul""".split())
 SILENT_TAGS = set("script style noscript template textarea svg math title iframe object canvas audio video select".split())
+RAW_TAGS = set("script style textarea title iframe".split())  # silent ones whose content is no markup
 VOID_TAGS = set("area base br col embed hr img input link meta source track wbr".split())
 MAIN_TAGS = {"article", "main"}
 SIDE_TAGS = set("nav header footer aside form menu dialog button search fieldset".split())
@@ -58,6 +60,8 @@ i o 1 0 1 0 1|i o 1 0 40 0 1|i h 1 0 1 0 1|i p 1 0 1 1 1|i p 1 0 9 9 1|i l 1 0 2
 _KINDS = {"h": 0, "p": 1, "l": 2, "o": 3}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)", re.S)
+_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in SILENT_TAGS}
+_SCRIPT = re.compile(r"<!--|-->|<(/?)script(?=[\s/>]|\Z)", re.I)
 _NAMES = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -92,11 +96,27 @@ def _marks(tag: str, attrs: str, inside_main: bool) -> tuple[bool, bool]:
     return main, side or bool(names & {"comment", "comments", "sidebar", "ad", "ads", "advert", "cookie"})
 
 
+def _escaped_end(page: str, at: int) -> int:
+    """Where a script's end tag lies by HTML's rule that <!-- <script> </script> --> is within; -1: nowhere."""
+    comment = inner = False
+    for m in _SCRIPT.finditer(page, at):
+        if m[0] == "<!--":
+            comment = True
+        elif m[0] == "-->":
+            comment = inner = False
+        elif m[1] and not inner:
+            return m.start()
+        else:
+            inner = comment and not m[1]
+    return -1
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: tag, article, furniture
     text: list[tuple[str, bool]] = []
     links, silent, at = 0, "", 0
+    silent_end, no_end, escapes = 0, set(), True  # of a silent element with markup: its end, tags that don't end before
 
     def flush() -> None:
         if not text:
@@ -112,7 +132,7 @@ def blocks(page: str) -> list[Block]:
                                  len(words), min(linked, len(words))))
         text.clear()
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at and not silent:
             text.append((page[at:m.start()], links > 0))
         at = m.end()
@@ -120,15 +140,33 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         closing = (m[1] or m[4]) == "/"
+        opening = not closing and not (m[3] or m[6] or "").rstrip().endswith("/")
         if silent:
             if closing and tag == silent:
                 silent = ""
+            elif opening and tag in RAW_TAGS and tag not in no_end:
+                if end := _END[tag].search(page, at, silent_end):
+                    at = end.start()
+                else:
+                    no_end.add(tag)
             continue
         if tag in SILENT_TAGS:
             if tag in BLOCK_TAGS:
                 flush()
-            if not closing and not (m[3] or m[6] or "").rstrip().endswith("/"):
+            if opening:
                 silent = tag
+                end = _END[tag].search(page, at)
+                if tag in RAW_TAGS:  # its content is no markup: go on at its end tag
+                    if end is None:
+                        break
+                    if tag == "script" and escapes and page.find("<!--", at, end.start()) >= 0:
+                        escaped = _escaped_end(page, at)
+                        escapes = escaped >= 0
+                        at = escaped if escapes else end.start()
+                    else:
+                        at = end.start()
+                else:
+                    silent_end, no_end = end.start() if end else len(page), set()
             continue
         if tag == "a":
             links = 0 if closing else 1

@@ -265,6 +265,19 @@ def test_html(spark):
     assert html_text.main_text(frame.limit(0)).count() == 0
 
 
+def test_html_raw_text(spark):
+    article = "<p>Article of quite a few words, as any page has it.</p>"
+    heads = ["<script>for(i=0;i<n;i++){x()}</script>", "<script><!-- stray\nx()</script>", "<style>a<b{}<!--</style>",
+             "<textarea>1 <b 'or\" </textarea>", "<SCRIPT>if(a<b&&c=='\"')y('</p>')</Script >", "<script>var t='<!--<script>'</script>",
+             "<script><!-- <script>z('<p>no</p>')</script> --></script>", "<title>a <b</title>", "<iframe><!-- x</iframe>",
+             "<noscript><style>a<b{}</style></noscript>", "<svg><title>a <b</title></svg>", "<noscript><iframe src=x></noscript>",
+             "<script src=x></script>", "<script>var s='</scripts>';i<n</script>"]
+    frame = spark.createDataFrame([(i, h + article) for i, h in enumerate(heads)] + [(99, article + "<script>i<n;" + article)], "page_id long, html string")
+    want = "Article of quite a few words, as any page has it."
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(frame).collect()}
+    assert got == {i: want for i in [*range(len(heads)), 99]}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((300, 16))
