@@ -129,6 +129,20 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, members.select(F.when(F.col("cid") != NO_ID, F.col("cid")).alias("conv_id"), "cid", "tree", "runs")
 
 
+def places(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """Per conversation its tree and runs, and of its own branch (zeros and nulls if it owns no
+    node): nodes, start in the tree's sequence and in the conversation, sums of the nodes'
+    places and position ids, number, summed starts and summed length of their intervals."""
+    def total(of):
+        return F.sum(F.aggregate("attend", F.lit(0).cast("long"), of))
+    own = nodes.groupBy(F.col("owner").alias("cid")).agg(
+        F.count(F.lit(1)).alias("own_nodes"), F.min("at").alias("own_at"), F.min("position").alias("own_position"),
+        F.sum("at").alias("sum_at"), F.sum("position").alias("sum_position"), F.sum(F.size("attend")).alias("n_intervals"),
+        total(lambda s, x: s + x["lo"]).alias("sum_lo"), total(lambda s, x: s + x["hi"] - x["lo"]).alias("attended"))
+    return (members.withColumn("n_runs", F.size("runs")).join(own, "cid", "left").na.fill(0, ["own_nodes"])
+            .select("conv_id", "tree", "n_runs", *own.columns[1:]))
+
+
 _DIGEST = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, "
            "n_shared long")
 

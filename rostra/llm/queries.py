@@ -65,6 +65,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(nodes, members).drop("n_shared")
 
 
+@register("op2_chat_format_places")
+def op2_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places, position ids and intervals of the tree, summed by conversation; op2_chat_format reads back the texts."""
+    return chat_format.places(*chat_format.prefix_tree(table(spark, sf_dir, "conversations")))
+
+
 @register("op3_substring_dedup", r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents

@@ -213,6 +213,42 @@ def test_chat_format(spark):
     assert chat_format.read_back(*chat_format.prefix_tree(none)).count() == 0
 
 
+def test_chat_places_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    convs = {c: [("user" if k % 2 == 0 else "assistant", "t" * int(x)) for k, x in enumerate(rng.integers(1, 3, rng.integers(1, 7)))] for c in range(80)}
+    convs[80] = [("user", "alone")]
+    rows = [(c, k, r, t) for c, turns in convs.items() for k, (r, t) in enumerate(turns)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    owner: dict = {}
+    for c, turns in sorted(convs.items()):
+        for k in range(len(turns)):
+            owner.setdefault(tuple(turns[:k + 1]), c)
+    paths = {c: [owner[tuple(turns[:k + 1])] for k in range(len(turns))] for c, turns in convs.items()}
+    sizes = {c: [len(chat_format.format_turn(*x)[0]) for x in turns] for c, turns in convs.items()}
+    way = {c: [(o, -p.count(o)) for o in dict.fromkeys(p)] for c, p in paths.items()}
+    start: dict = {}
+    for root in {t[0] for t in convs.values()}:
+        at = 0
+        for c in sorted((c for c in convs if convs[c][0] == root and c in paths[c]), key=way.get):
+            start[c] = at
+            at += sum(n for n, o in zip(sizes[c], paths[c]) if o == c)
+    got = {r["conv_id"]: r for r in chat_format.places(*chat_format.prefix_tree(frame)).collect()}
+    assert len(got) == len(convs)
+    for c, p in paths.items():
+        position = [sum(sizes[c][:k]) for k in range(len(p))]
+        mine = [k for k, o in enumerate(p) if o == c]
+        g = got[c]
+        assert (g["n_runs"], g["own_nodes"]) == (len(way[c]), len(mine))
+        if not mine:
+            assert g["own_at"] is None and g["attended"] is None
+            continue
+        at = [start[c] + position[k] - position[mine[0]] for k in mine]
+        above = [start[o] for o in dict.fromkeys(p)]
+        assert (g["own_at"], g["own_position"], g["sum_at"], g["sum_position"]) == (start[c], position[mine[0]], sum(at), sum(position[k] for k in mine))
+        assert (g["n_intervals"], g["sum_lo"]) == (len(mine) * len(above), len(mine) * sum(above))
+        assert g["attended"] == sum(position[k] + sizes[c][k] for k in mine)
+
+
 def test_escape_round_trip():
     for t in ["<s>", "<\\s>", "<\\\\s>", "[INST]x[\\INST]", "<|a|>", "<<SYS>> <</SYS>>", "<<s>", "\\<s>", "<|<s>|>"]:
         e = chat_format.escape(t)
