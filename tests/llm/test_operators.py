@@ -336,6 +336,82 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def _pipeline_fixture():
+    """Documents and labels: toxic, exact, near and passage cases among clean ones."""
+    rng = np.random.default_rng(6)
+    vocabulary = [f"{a}{b}" for a in ("mar", "ten", "sol", "vin", "per", "lo", "kas", "dru") for b in ("ka", "do", "rin", "el", "us", "ta", "mo", "be", "an", "ir")]
+    prose = lambda n: " ".join(rng.choice(vocabulary, n))
+    texts, toxic = {}, set()
+    for i in range(120):
+        texts[i] = prose(int(rng.integers(30, 90)))
+        if i % 4 == 0:
+            texts[i] += " " + " ".join(rng.choice(["vileone", "viletwo", "vilethree"], 25))
+            toxic.add(i)
+    labels = [(i, 1, int(i in toxic)) for i in range(100)]  # the others have no label
+    texts[200], texts[201], texts[202] = texts[1].upper(), texts[1], texts[2] + " "
+    texts[203], texts[204], texts[205] = None, "", "Ünlike ünlike"
+    long = prose(900).split()
+    for i in range(6):
+        texts[210 + i] = " ".join([*long[:100 * i], "altered", *long[100 * i + 1:]])
+    shared = prose(40)
+    texts[220], texts[221], texts[222] = f"{prose(60)} {shared} {prose(50)}", f"{prose(70)}\n{shared}\t{prose(30)}", shared
+    texts[223] = prose(9000)
+    return texts, toxic, labels
+
+
+def _near_kept(texts):
+    """Ids that are the least of their SimHash component."""
+    fps = {}
+    for i, t in texts.items():
+        w = words((t or "").encode().lower().decode())
+        h = [xxhash.xxh64_intdigest(" ".join(w[j:j + 3]).encode(), 42) for j in range(max(1, len(w) - 2))] if w else []
+        fps[i] = sum(1 << b for b in range(64) if 2 * sum((x >> b) & 1 for x in h) > len(h))
+    label = {i: i for i in texts}
+    for _ in texts:
+        old = dict(label)
+        for a in texts:
+            for b in texts:
+                if (fps[a] ^ fps[b]).bit_count() <= 3:
+                    label[a] = label[b] = min(label[a], label[b])
+        if old == label:
+            break
+    return {i for i in texts if label[i] == i}
+
+
+def test_pipeline_stages_against_plain_python(spark, scratch):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+    texts, toxic, labels = _pipeline_fixture()
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], schema).write.parquet(f"{scratch}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{scratch}/labels.parquet")
+    want = [{i: t for i, t in texts.items() if i not in toxic}]
+    norm = lambda t: (t or "").encode().lower()
+    last = {norm(t): i for i, t in sorted(want[0].items())}
+    want.append({i: t for i, t in want[0].items() if last[norm(t)] == i})
+    near = _near_kept(want[1])
+    want.append({i: t for i, t in want[1].items() if i in near})
+    removed = brute_removed(sorted(want[2].items()), 13)
+    want.append({i: removed[i][2] if removed[i][1] else t for i, t in want[2].items()})
+    assert len(want[0]) > len(want[1]) > len(want[2]) and want[2] != want[3]  # each stage has its cases
+    docs = spark.read.parquet(f"{scratch}/documents.parquet")
+    for (name, stage), expected in zip(corpus_pipeline.STAGES, want):
+        rows = stage(spark, docs, scratch).collect()
+        assert sorted(r["doc_id"] for r in rows) == sorted(expected), name
+        assert {r["doc_id"]: r["text"] for r in rows} == expected, name
+        docs = spark.createDataFrame(rows, schema)
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tok.encode_special_tokens = True
+    pieces = []
+    for i, t in want[3].items():
+        ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
+        pieces += [(i, k, at, len(ids[at:at + 4096]), zlib.crc32(ids[at:at + 4096].tobytes())) for k, at in enumerate(range(0, len(ids), 4096))]
+    packed = corpus_pipeline.run(spark, scratch).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == sorted(pieces)
+    spans = sorted((r["sequence_id"], r["offset"], r["length"]) for r in packed)
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(spans, spans[1:])) and all(o + n <= 4096 for _, o, n in spans)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     folder = "/root/testdata/sf0.001"
