@@ -1,8 +1,8 @@
 """Best-fit packing with certified bounds.
 
 Each text's token ids plus an end id are cut into pieces of at most `capacity` tokens; full
-pieces are sequences of their own. The rest is dealt at random into partitions, each packed
-best-fit decreasing. Dual feasible functions (Fekete and Schepers' u(k), and Martello and
+pieces are sequences of their own. The rest is dealt at random by row number (ids may be null
+or repeat) into partitions, each packed best-fit decreasing. Dual feasible functions (Fekete and Schepers' u(k), and Martello and
 Toth's bound over all thresholds) give lower bounds on any packing of the partition's
 pieces and so certify its bin count. Partitions with a gap between count and bound give
 the pieces of their bins that aren't full back; these are dealt anew and packed again, until the
@@ -142,7 +142,7 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
 
 
 _PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
-_PACKED = ("doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, "
+_PACKED = ("row long, doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, "
            "settled boolean")
 
 
@@ -158,9 +158,9 @@ def _round(rows: DataFrame, parts: int, salt: int, capacity: int) -> DataFrame:
         if len(fill) == lower_bound(np.bincount(size, minlength=capacity + 1), capacity):  # certified: at most its emptiest bin is exchanged
             settled |= np.arange(len(fill)) != np.argmin(fill)
         extra = [pa.array(bins), pa.array(offset), pa.array(settled[bins])]
-        return pa.table([*[t.column(c) for c in _PIECE], t.column("part"), *extra],
-                        names=[*_PIECE, "part", "bin", "offset", "settled"])
-    dealt = rows.select(*_PIECE, F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(parts)).alias("part"))
+        return pa.table([t.column("row"), *[t.column(c) for c in _PIECE], t.column("part"), *extra],
+                        names=["row", *_PIECE, "part", "bin", "offset", "settled"])
+    dealt = rows.select("row", *_PIECE, F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(parts)).alias("part"))
     return materialise(dealt.groupBy("part").applyInArrow(run, _PACKED))
 
 
@@ -185,7 +185,7 @@ def _numbered(rows: DataFrame, k: int) -> DataFrame:
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES, rounds: int = ROUNDS) -> DataFrame:
     """`pieces` with sequence_id and offset."""
-    rows = materialise(rows.select(*_PIECE))
+    rows = materialise(rows.select(*_PIECE).withColumn("row", F.monotonically_increasing_id()))
     result = rows.where(F.col("length") == capacity).select(
         *_PIECE, (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = rows.where(F.col("length") < capacity)

@@ -134,6 +134,18 @@ def test_packing(docs, empty):
     assert packing.pack(packing.pieces(empty, path)).count() == 0
 
 
+def test_packing_deals_rows_without_or_with_one_id(spark):
+    for same in (None, 7):
+        rows = [(same, 0, 0, 1500 + i % 700, i) for i in range(400)]
+        frame = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        got = packing.pack(frame, part_pieces=40).collect()
+        assert sorted((r["length"], r["ids_crc32"]) for r in got) == sorted(r[3:] for r in rows)
+        parts: dict = {}
+        for r in got:
+            parts[r["sequence_id"] >> 24] = parts.get(r["sequence_id"] >> 24, 0) + 1
+        assert len(parts) >= 8 and max(parts.values()) <= 100
+
+
 def test_packing_bounds():
     rng = np.random.default_rng(2)
     for _ in range(20):
