@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, embedding_dedup, exact_dedup, html_text, license_scan, packing, sentencepiece_fst, simhash_dedup,
-               substring_dedup, toxicity)
+from . import (chat_format, embedding_dedup, exact_dedup, html_text, license_scan, packing, quality_rules, sentencepiece_fst,
+               simhash_dedup, substring_dedup, toxicity)
 from .common import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,42 @@ FROM v
 """)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
+
+
+@register("op11_quality_rules", rf"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), spots AS (
+  SELECT r, unnest(generate_series(1, len(w) - 2)) AS pos, w FROM p WHERE len(w) >= 3
+), win AS (
+  SELECT r, pos, count(*) OVER (PARTITION BY r, w[pos], w[pos + 1], w[pos + 2]) AS n FROM spots
+), rep AS (
+  SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest([pos, pos + 1, pos + 2]) AS q FROM win WHERE n > 1) GROUP BY r
+), m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(len(list_filter(w, lambda x: lower(trim(x, '.,;:!?"''()[]«»“”„…¿¡')) IN ({_STOP}))) AS BIGINT) AS n_stop_words,
+         len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{{L}}'))) AS n_no_letter, CAST(len(l) AS BIGINT) AS n_lines,
+         len(list_filter(l, lambda x: regexp_matches(x, '\|[^|]*\|'))) AS n_table,
+         len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_cut,
+         len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣·][\x20\x09]'))) AS n_bullet,
+         len(list_filter(w, lambda x: suffix(x, '!!') AND regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '\p{{Ll}}'))) AS n_shout
+  FROM p LEFT JOIN rep USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words
+            OR 10 * n_symbols > n_words OR 10 * n_shout > 3 * n_words OR 5 * n_no_letter > n_words OR 50 * n_stop_words < n_words
+            OR (n_lines >= 10 AND 10 * n_dup_lines > 3 * n_lines) OR 2 * n_table > n_lines OR 10 * n_cut > 3 * n_lines
+            OR 10 * n_bullet > 9 * n_lines) AS kept,
+       n_stop_words, n_lines
+FROM m
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", *quality_rules.MEASURES[:5], "base_failed", "kept", "n_stop_words", "n_lines")
