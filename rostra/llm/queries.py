@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, embedding_dedup, exact_dedup, hard_negatives, html_text, license_scan, packing, quality_rules,
-               sentencepiece_fst, simhash_dedup, substring_dedup, toxicity)
+from . import (chat_format, cross_tokenizer, embedding_dedup, exact_dedup, hard_negatives, html_text, license_scan, packing,
+               quality_rules, sentencepiece_fst, simhash_dedup, substring_dedup, toxicity)
 from .common import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +228,9 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(rows.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 50 == 0)
+
+
+@register("op12_cross_tokenizer")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cross_tokenizer.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
