@@ -59,24 +59,25 @@ class Model:
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """(first, end, score) of all maximal scoring segments, in one pass (Ruzzo and Tompa)."""
+    """(first, end, score) of all maximal scoring segments, in one pass (Ruzzo and Tompa). Each
+    segment keeps the last one before it that starts at a lower sum; searches go along these, so
+    that each segment is passed over once."""
     up = np.flatnonzero(scores > 0)
     if not len(up):
         return []
     total = np.cumsum(scores)
-    out: list[tuple[int, int, float, float]] = []  # first, end, sum before, sum at the end
-    for i in up.tolist():
-        seg = (i, i + 1, float(total[i] - scores[i]), float(total[i]))
-        while True:
-            j = len(out) - 1
-            while j >= 0 and out[j][2] >= seg[2]:
-                j -= 1
-            if j < 0 or out[j][3] >= seg[3]:
-                out.append(seg)
-                break
-            seg = (out[j][0], seg[1], out[j][2], seg[3])
+    before, after = (total[up] - scores[up]).tolist(), total[up].tolist()
+    out: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum at the end, the lower one before
+    for i, lo, hi in zip(up.tolist(), before, after):
+        first, j = i, len(out) - 1
+        while j >= 0 and out[j][2] >= lo:
+            j = out[j][4]
+        while j >= 0 and out[j][3] < hi:  # joins the segment j and all between
+            first, lo, low = out[j][0], out[j][2], out[j][4]
             del out[j:]
-    return [(a, b, hi - lo) for a, b, lo, hi in out]
+            j = low
+        out.append((first, i + 1, lo, hi, j))
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in out]
 
 
 class _Scorer:
