@@ -3,15 +3,20 @@
 Each text's token ids plus an end id are cut into pieces of at most `capacity` tokens; full
 pieces are sequences of their own. The rest is dealt at random by row number (ids may be null
 or repeat) into partitions, each packed best-fit decreasing. Dual feasible functions (Fekete and Schepers' u(k), and Martello and
-Toth's bound over all thresholds) give lower bounds on any packing of the partition's
-pieces and so certify its bin count. Partitions with a gap between count and bound give
-the pieces of their bins that aren't full back; these are dealt anew and packed again, until the
-whole count meets the bound of the whole corpus or a round brings nothing.
-
-Tokenising is a narrow scan: the ids of a unit (run of letters, digit, run of other signs)
-don't depend on its neighbours, so each worker keeps the ids of the units it has seen, up
-to a fixed number. A text with characters beyond the plain Latin ones goes through the
-tokenizer whole.
+Toth's bound over all thresholds) give lower bounds on any packing of given pieces. One bound
+is taken of the whole corpus, from its numbers of pieces by length (at most `capacity` rows
+on the driver), and one of each partition's pieces, which certifies its bin count. While the
+corpus takes more sequences than its bound, pieces are exchanged: full bins stay, a certified
+partition gives back its emptiest bin, any other partition all bins that aren't full; what
+comes back is dealt anew and packed again. If that saves no sequence, all bins that aren't
+full come back once. This ends when the bound is met or such a round saves none, too; rounds
+that saved none are not kept.
+
+Tokenising is a narrow scan: the pre-tokeniser drops white space and splits within what is
+between, so the ids of a run without white space don't depend on its neighbours, and each
+worker keeps the ids of the runs it has seen, up to a fixed number. Texts with one of the
+file's added tokens, or with control characters that only some call white space, go through the
+tokenizer whole, and so do all texts if the file's steps are others than these.
 
 Defined results: null and empty texts are one piece of the end id; rows that repeat an id
 or have none are packed each; other columns are ignored; an empty table gives an empty
@@ -19,6 +24,8 @@ result. Texts are read whole."""
 
 from __future__ import annotations
 
+import functools
+import json
 import math
 import os
 import re
@@ -35,35 +42,60 @@ from .common import IdPool, materialise, texts
 CAPACITY = 4096
 END_ID = 1
 PART_PIECES = 25_000
-ROUNDS = 4
-_CACHE = 300_000
+_CACHE = 400_000
+_LONGEST = 200
 _GROUP = 200
-# Letters and signs of which each is one code point in composed form, with one lower-case form
-_PLAIN = re.compile(r"[\t\n\v\f\r -~À-ÖØ-öø-ÿŒœ«»–—’‘“”„…€§¡¿]*")
-_UNIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿœ]+|[0-9]|[^\sa-zß-öø-ÿœ0-9]+")
+_ODD = re.compile(r"[\x1c-\x1f]")
+# The steps of a tokenizer file whose runs between white space are independent
+_NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _independent(steps: dict) -> bool:
+    """Whether ids of runs without white space don't depend on their neighbours."""
+    form = steps.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    cut = steps.get("pre_tokenizer") or {}
+    parts = cut.get("pretokenizers", [])
+    return (form.get("type") == "Sequence" and all(x in _NORMALIZERS for x in form["normalizers"]) and len(parts) == 2
+            and parts[0] == {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}
+            and parts[1].get("type") == "ByteLevel" and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex")
+            and not steps.get("truncation") and not steps.get("padding") and steps["model"].get("dropout") is None)
 
 
 class UnitTokens:
-    """Token ids of texts, from the ids of their units."""
+    """Token ids of texts, from the ids of their runs between white space."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        steps = json.loads(self.tok.to_str())
+        self.units = _independent(steps)
+        self.added = [t["content"] for t in steps["added_tokens"]]
         self.seen = IdPool()
 
+    def _whole(self, text: str) -> bool:
+        return not self.units or any(a in text for a in self.added) or _ODD.search(text) is not None
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def __call__(self, some: list[str]) -> list[np.ndarray]:
-        units = [_UNIT.findall(t.lower()) if _PLAIN.fullmatch(t) else None for t in some]
+        units = [None if self._whole(t) else t.split() for t in some]
         if len(self.seen.at) > _CACHE:
             self.seen = IdPool()
         new = sorted({w for u in units if u is not None for w in u if w not in self.seen.at})
-        for lo in range(0, len(new), 2000):  # units with spaces between are units again
-            part = new[lo:lo + 2000]
+        long = [w for w in new if len(w) > _LONGEST]
+        for lo in range(0, len(new), 4000):
+            part = new[lo:lo + 4000]
             enc = self.tok.encode(" ".join(part), add_special_tokens=False)
-            self.seen.add(part, np.array(enc.ids, np.uint32), np.bincount(np.array(enc.word_ids, np.int64), minlength=len(part)))
-        return [np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32) if u is None else self.seen.ids(u)
-                for t, u in zip(some, units)]
+            ends = np.cumsum([len(w) + 1 for w in part])
+            starts = np.array(enc.offsets, np.int64).reshape(-1, 2)[:, 0]
+            self.seen.add(part, np.array(enc.ids, np.uint32), np.bincount(np.searchsorted(ends, starts, "right"), minlength=len(part)))
+        out = [self._encode(t) if u is None else self.seen.ids(u) for t, u in zip(some, units)]
+        if sum(map(len, long)) > 1 << 20:  # long runs aren't kept
+            self.seen = IdPool()
+        return out
 
 
 _TOKENS: dict[str, UnitTokens] = {}
@@ -84,19 +116,18 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for b in batches:
             for lo in range(0, b.num_rows, _GROUP):
                 part = b.slice(lo, _GROUP)
-                rows, ids = [], []
-                for d, x in zip(part.column(0).to_pylist(), tokens(list(texts(part.column(1))))):
-                    x = np.append(x, np.uint32(end_id))
-                    for k, at in enumerate(range(0, len(x), capacity)):
-                        y = x[at:at + capacity].astype("<u4")
-                        rows.append((d, k, at, len(y), zlib.crc32(y.tobytes())))
-                        ids.append(y)
-                cols = list(zip(*rows))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                arrays = [pa.array(c, t) for c, t in zip(cols, kinds)]
+                ids = [np.append(x, np.uint32(end_id)).astype("<u4", copy=False) for x in tokens(list(texts(part.column(1))))]
+                size = np.array(list(map(len, ids)))
+                n = -(-size // capacity)
+                row = np.repeat(np.arange(len(ids)), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                cut = [ids[i][s:s + capacity] for i, s in zip(row.tolist(), start.tolist())]
+                arrays = [part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                          pa.array(np.minimum(size[row] - start, capacity), pa.int64()), pa.array([zlib.crc32(x) for x in cut], pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    arrays.append(pa.array([y.astype(np.int32) for y in ids], pa.list_(pa.int32())))
+                    arrays.append(pa.array([y.astype(np.int32) for y in cut], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, names=names + ["ids"] * with_ids)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
@@ -143,38 +174,38 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
 
 _PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 _PACKED = ("row long, doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, "
-           "settled boolean")
+           "settled boolean, full boolean")
 
 
 def _round(rows: DataFrame, parts: int, salt: int, capacity: int) -> DataFrame:
-    """Packs each partition. A bin is settled if it is full but for a hundredth, or if the
-    partition's bound certifies its count and only one bin is less full."""
+    """Packs each partition. A bin is settled if it is full, or if the partition's bound
+    certifies its count and another bin is emptier."""
     def run(t: pa.Table) -> pa.Table:
         size = t.column("length").to_numpy()
         order = np.lexsort((t.column("piece").to_numpy(), t.column("doc_id").fill_null(-1).to_numpy()))
         t, size = t.take(order), size[order]
         bins, offset, fill = best_fit_decreasing(size, capacity)
-        settled = fill > capacity - max(capacity // 100, 1)
-        if len(fill) == lower_bound(np.bincount(size, minlength=capacity + 1), capacity):  # certified: at most its emptiest bin is exchanged
+        settled = fill == capacity
+        full = settled.copy()
+        if len(fill) == lower_bound(np.bincount(size, minlength=capacity + 1), capacity):
             settled |= np.arange(len(fill)) != np.argmin(fill)
-        extra = [pa.array(bins), pa.array(offset), pa.array(settled[bins])]
+        extra = [pa.array(bins), pa.array(offset), pa.array(settled[bins]), pa.array(full[bins])]
         return pa.table([t.column("row"), *[t.column(c) for c in _PIECE], t.column("part"), *extra],
-                        names=["row", *_PIECE, "part", "bin", "offset", "settled"])
+                        names=["row", *_PIECE, "part", "bin", "offset", "settled", "full"])
     dealt = rows.select("row", *_PIECE, F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(parts)).alias("part"))
     return materialise(dealt.groupBy("part").applyInArrow(run, _PACKED))
 
 
-def _state(rows: DataFrame, capacity: int) -> tuple[int, int, int]:
-    """Pieces, bins, and the bound on the bins; at most `capacity` rows come to the driver."""
-    sizes = rows.groupBy("length").count().collect()
-    n = sum(r["count"] for r in sizes)
-    bins = rows.select("part", "bin").distinct().count() if "bin" in rows.columns else 0
-    if not n:
-        return 0, 0, 0
+def _bound(rows: DataFrame, capacity: int) -> int:
+    """The bound on the sequences of all pieces; at most `capacity` rows come to the driver."""
     by_size = np.zeros(capacity + 1, np.int64)
-    for r in sizes:
+    for r in rows.groupBy("length").count().collect():
         by_size[r["length"]] = r["count"]
-    return n, bins, lower_bound(by_size, capacity)
+    return lower_bound(by_size, capacity)
+
+
+def _bins(packed: DataFrame) -> int:
+    return packed.where("offset = 0").count()
 
 
 def _numbered(rows: DataFrame, k: int) -> DataFrame:
@@ -183,7 +214,7 @@ def _numbered(rows: DataFrame, k: int) -> DataFrame:
     return rows.select(*_PIECE, number.alias("sequence_id"), "offset")
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES, rounds: int = ROUNDS) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES) -> DataFrame:
     """`pieces` with sequence_id and offset."""
     rows = materialise(rows.select(*_PIECE).withColumn("row", F.monotonically_increasing_id()))
     result = rows.where(F.col("length") == capacity).select(
@@ -192,15 +223,24 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIEC
     number = left.count()
     if not number:
         return result
-    now = _round(left, math.ceil(number / part_pieces), 0, capacity)
-    for k in range(rounds):
-        result = result.unionByName(_numbered(now.where("settled"), k))
-        gaps = now.where("not settled")
-        number, bins, bound = _state(gaps, capacity)
-        if bins <= bound or k == rounds - 1:
-            break
-        again = _round(gaps, math.ceil(number / part_pieces), k + 1, capacity)
-        if _state(again, capacity)[1] >= bins:
+    bound = _bound(left, capacity)
+    now, k, all_back = _round(left, math.ceil(number / part_pieces), 0, capacity), 0, False
+    kept: list[tuple[DataFrame, int]] = []  # packed rows that stay, and their round
+    at, total = 0, _bins(now)
+    while total > bound:
+        if all_back:
+            stay, back = [(x.where("full"), i) for x, i in [*kept, (now, at)]], [x.where("not full") for x, _ in [*kept, (now, at)]]
+        else:
+            stay, back = [*kept, (now.where("settled"), at)], [now.where("not settled")]
+        gaps = functools.reduce(DataFrame.unionByName, back)
+        pieces_back, bins = gaps.agg(F.count(F.lit(1)), F.sum((F.col("offset") == 0).cast("long"))).first()
+        k += 1
+        again = _round(gaps, math.ceil(pieces_back / part_pieces), k, capacity) if pieces_back else None
+        saved = bins - _bins(again) if pieces_back else 0
+        if saved > 0:
+            kept, now, at, total, all_back = stay, again, k, total - saved, False
+        elif all_back:
             break
-        now = again
-    return result.unionByName(_numbered(now.where("not settled"), k))
+        else:
+            all_back = True
+    return functools.reduce(DataFrame.unionByName, [_numbered(x, i) for x, i in [*kept, (now, at)]], result)

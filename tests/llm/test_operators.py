@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -116,7 +117,6 @@ def test_packing(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     rows = packing.pack(packing.pieces(docs.where("doc_id is not null"), path), part_pieces=3).collect()
     got = {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows}
     for i, t in enumerate(TEXTS):
@@ -413,7 +413,6 @@ def test_pipeline_stages_against_plain_python(spark, scratch):
         assert {r["doc_id"]: r["text"] for r in rows} == expected, name
         docs = spark.createDataFrame(rows, schema)
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     pieces = []
     for i, t in want[3].items():
         ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
@@ -438,3 +437,11 @@ def test_pipeline(spark):
     assert len(set(texts)) == len([t for t in texts if t]) + (b"" in texts)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert packed.select("doc_id").distinct().count() == len(rows)
+
+
+def test_segments_take_linear_time():
+    for step in ([1.0, -2.0], [2.0, -1.0, -0.5]):
+        scores = np.tile(step, 1_000_000 // len(step))
+        begin = time.time()
+        assert toxicity.segments(scores)
+        assert time.time() - begin < 20
