@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -114,6 +115,9 @@ def _escaped_end(page: str, at: int) -> int:
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: tag, article, furniture
+    holders: list[str] = []  # those of them that end blocks
+    open_tags: Counter = Counter()
+    marked = [0, 0]  # open elements that mark the article, furniture
     text: list[tuple[str, bool]] = []
     links, silent, at = 0, "", 0
     silent_end, no_end, escapes = 0, set(), True  # of a silent element with markup: its end, tags that don't end before
@@ -126,12 +130,34 @@ def blocks(page: str) -> list[Block]:
             words = html.unescape(whole).split()
             if words:
                 linked = sum(len(html.unescape(t).split()) for t, link in text if link)
-                tag = next((t for t, _, _ in reversed(stack) if t in BLOCK_TAGS), "")
+                tag = holders[-1] if holders else ""
                 kind = 0 if tag in HEADINGS else 1 if tag == "p" else 2 if tag in ("li", "td", "th", "dd", "dt") else 3
-                out.append(Block(" ".join(words), kind, any(m for _, m, _ in stack), any(s for _, _, s in stack),
+                out.append(Block(" ".join(words), kind, marked[0] > 0, marked[1] > 0,
                                  len(words), min(linked, len(words))))
         text.clear()
 
+    def push(tag: str, main: bool, side: bool) -> None:
+        stack.append((tag, main, side))
+        open_tags[tag] += 1
+        marked[0] += main
+        marked[1] += side
+        if tag in BLOCK_TAGS:
+            holders.append(tag)
+
+    def pop() -> str:
+        tag, main, side = stack.pop()
+        open_tags[tag] -= 1
+        marked[0] -= main
+        marked[1] -= side
+        if tag in BLOCK_TAGS:
+            holders.pop()
+        return tag
+
+    def close(tag: str) -> None:
+        if open_tags[tag] > 0:
+            while pop() != tag:
+                pass
+
     while m := _TOKEN.search(page, at):
         if m.start() > at and not silent:
             text.append((page[at:m.start()], links > 0))
@@ -174,28 +200,25 @@ def blocks(page: str) -> list[Block]:
         if tag not in BLOCK_TAGS:
             text.append((" " if tag == "br" else "", links > 0))
             if closing or tag in VOID_TAGS:
-                if closing and any(t == tag for t, _, _ in stack):
-                    while stack and stack.pop()[0] != tag:
-                        pass
+                if closing:
+                    close(tag)
                 continue
-            main, side = _marks(tag, m[3] or m[6] or "", any(x for _, x, _ in stack))
+            main, side = _marks(tag, m[3] or m[6] or "", marked[0] > 0)
             if main or side:  # inline elements count only if they mark something
                 flush()
-                stack.append((tag, main, side))
+                push(tag, main, side)
             continue
         flush()
         if tag in VOID_TAGS:
             continue
         if closing:
             links = 0
-            if any(t == tag for t, _, _ in stack):
-                while stack and stack.pop()[0] != tag:
-                    pass
+            close(tag)
             continue
         if stack and stack[-1][0] in ("p", *HEADINGS) or stack and tag in ("li", "td", "th", "tr", "dd", "dt", "option") and stack[-1][0] == tag:
-            stack.pop()  # end tags that may be left out
-        main, side = _marks(tag, m[3] or m[6] or "", any(x for _, x, _ in stack))
-        stack.append((tag, main, side))
+            pop()  # end tags that may be left out
+        main, side = _marks(tag, m[3] or m[6] or "", marked[0] > 0)
+        push(tag, main, side)
     if at < len(page) and not silent:
         text.append((page[at:], links > 0))
     flush()
