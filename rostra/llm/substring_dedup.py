@@ -3,20 +3,23 @@
 A window is `window` consecutive words of one text. Words covered by a window that also
 starts in a text with a smaller id are removed; windows are judged on the input.
 
-1. Texts are dealt into units by their id. Each unit sketches its windows: the sorted
+1. Texts are dealt into units by row number. Each unit sketches its windows: the sorted
    cells of a count-min row (`cells_per_window` cells for each window of the corpus), each
    counted once a document, cut into blocks of 2^24 cells.
 2. All units' sketches of a block are merged by adding. A merged count never falls short
    of the true one, so a window in a cell counted once is certainly not repeated. Each unit
    gets one bit for each of its cells back.
-3. Second pass: of windows in repeated cells only, the unit sends the exact identity (96
-   bits of hash) and its smallest id; they are grouped exactly by identity, and each unit
-   gets a bit back: does a smaller id hold this window?
+3. Second pass: of windows in repeated cells only, the unit sends the BLAKE2b digest (128
+   bits) of the words and the smallest id; they are grouped by digest, and each unit gets a
+   bit back: does a smaller id hold this window? The cells' own hash is quick, not
+   collision-free; it only ever adds windows to this pass.
 4. Third pass: words under such windows go.
 
-A sketch of a unit and block is one row, so windows are never rows; nothing is broadcast
-and what a task holds is bounded by the unit, the block or one long text. The texts are
-shuffled once, by unit; the passes reuse that shuffle.
+A sketch of a unit and block is one row, and nothing is broadcast. What a task holds is
+bounded by the unit, the block or one long text; a block's task holds a window once for
+each unit that has it. With very many units a row holds few cells: `unit_bytes` should
+then grow with the root of the corpus. The texts are shuffled once, by unit; the passes reuse that
+shuffle.
 
 Defined results: null and empty texts have no words; a row without id neither removes nor
 loses words; rows that repeat an id never remove each other's words (their ids aren't
@@ -25,6 +28,7 @@ replaced where they bear an output's name; empty tables give empty results."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -34,14 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import chunks, utf8, without
-from .words import spans, window_hashes, word_hashes
+from .words import SPACE, spans, window_hashes, word_hashes
 
 WINDOW = 13
 CELLS_PER_WINDOW = 32
 UNIT_BYTES = 4 << 20
 BLOCK_BITS = 24
 OUTPUTS = ("n_words", "n_removed", "kept_text")
-_SEEDS = (11, 12)
+_SEED = 11
 
 
 def _unpack(blob: bytes) -> np.ndarray:
@@ -74,22 +78,22 @@ class _Unit:
         self.data, self.off = utf8(table.column(text_at))
         self.window, self.shift = window, np.uint64(64 - cell_bits)
 
-    def ranges(self, both: bool):
-        """(rows, bytes, starts, ends, first, windows' word numbers, rows, hash, second hash)."""
+    def ranges(self):
+        """(rows, bytes, starts, ends, first, windows' word numbers, rows, hash)."""
         for lo, hi in chunks(self.off):
             data = self.data[self.off[lo]:self.off[hi]]
             starts, ends, first = spans(data, self.off[lo:hi + 1] - self.off[lo])
-            hashes = [window_hashes(word_hashes(data, starts, ends, s), self.window, s) for s in _SEEDS[:1 + both]]
+            h = window_hashes(word_hashes(data, starts, ends, _SEED), self.window, _SEED)
             owner = np.repeat(np.arange(lo, hi), np.diff(first))
-            n = len(hashes[0])
+            n = len(h)
             ok = (owner[:n] == owner[self.window - 1:]) & self.valid[owner[:n]] if n else np.zeros(0, bool)
             at = np.flatnonzero(ok)
-            yield lo, hi, data, starts, ends, first, at, owner[at], hashes[0][at], hashes[-1][at]
+            yield lo, hi, data, starts, ends, first, at, owner[at], h[at]
 
     def cells(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct cells in order, and whether more than one id of the unit counts there."""
         cell, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for *_, rows, h, _h2 in self.ranges(False):
+        for *_, rows, h in self.ranges():
             c, d = h >> self.shift, self.id[rows]
             cell.append(c)
             doc.append(d)
@@ -104,17 +108,37 @@ class _Unit:
         return cell[begin], many
 
     def repeated(self, hot: np.ndarray):
-        """Windows in hot cells: distinct (hash, second hash) in order with the smallest id."""
-        out = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]]
-        for *_, rows, h, h2 in self.ranges(True):
+        """Windows in hot cells: distinct digests (two halves) in order with the smallest id; and for each
+        range of rows the windows' word numbers, rows and places among the digests."""
+        halves, doc, places = [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)], []
+        for _, _, data, starts, ends, _, at, rows, h in self.ranges():
             keep = _among(h >> self.shift, hot)
-            for x, y in zip(out, (h[keep], h2[keep], self.id[rows[keep]])):
-                x.append(y)
-        h, h2, doc = map(np.concatenate, out)
-        order = np.lexsort((doc, h2, h))
-        h, h2, doc = h[order], h2[order], doc[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])) if len(h) else np.zeros(0, bool)
-        return h[new], h2[new], doc[new]
+            at, rows = at[keep], rows[keep]
+            halves.append(_digests(data, starts[at], ends[at + self.window - 1]))
+            doc.append(self.id[rows])
+            places.append((at, rows))
+        halves, doc = np.concatenate(halves), np.concatenate(doc)
+        order = np.lexsort((doc, halves[:, 1], halves[:, 0]))
+        a, b, doc = halves[order, 0], halves[order, 1], doc[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
+        number = np.empty(len(a), np.int64)
+        number[order] = np.cumsum(new) - 1
+        cut = np.cumsum([0, *(len(at) for at, _ in places)])
+        return a[new], b[new], doc[new], [(at, rows, number[i:j]) for (at, rows), i, j in zip(places, cut, cut[1:])]
+
+
+def _digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of each byte range with one space between words, as two columns."""
+    if not len(begin):
+        return np.zeros((0, 2), np.uint64)
+    space = SPACE[data]
+    keep = np.ones(len(data), bool)
+    keep[1:] = ~(space[1:] & space[:-1])
+    flat = np.where(space, np.uint8(32), data)[keep].tobytes()
+    moved = np.concatenate([[0], np.cumsum(keep)])
+    digest = hashlib.blake2b
+    raw = b"".join([digest(flat[i:j], digest_size=16).digest() for i, j in zip(moved[begin].tolist(), moved[end].tolist())])
+    return np.frombuffer(raw, np.uint64).reshape(-1, 2)
 
 
 def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -157,7 +181,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks_bits = max(cell_bits - BLOCK_BITS, 0)
     names = docs.columns
     id_at, text_at = names.index(id_col) + 1, names.index(text_col) + 1
-    dealt = docs.select(F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))), F.lit(units)).alias("__unit"),
+    dealt = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(units)).alias("__unit"),
                         *[F.col(id_col).cast("long").alias(id_col) if c == id_col else F.col(c) for c in names]).repartition("__unit")
 
     def sketch(t: pa.Table) -> pa.Table:
@@ -185,16 +209,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if not t.num_rows:
             return _rows(_EXACT, [])
         unit = _Unit(t, id_at, text_at, window, cell_bits)
-        h, h2, doc = unit.repeated(hot_cells(unit, back))
-        short = (h2 >> np.uint64(32)).astype(np.uint32)
+        h, h2, doc, _ = unit.repeated(hot_cells(unit, back))
         narrow = len(doc) and doc.min() >= 0 and doc.max() < 1 << 32
-        return _rows(_EXACT, [(t.column(0)[0].as_py(), b, h[s].tobytes(), short[s].tobytes(),
+        return _rows(_EXACT, [(t.column(0)[0].as_py(), b, h[s].tobytes(), h2[s].tobytes(),
                                (doc[s].astype(np.uint32) if narrow else doc[s]).tobytes())
                               for b, s in _by_block(h, 64, blocks_bits)])
 
     def group(t: pa.Table) -> pa.Table:
         h = [np.frombuffer(x.as_py(), np.uint64) for x in t.column(2)]
-        h2 = [np.frombuffer(x.as_py(), np.uint32) for x in t.column(3)]
+        h2 = [np.frombuffer(x.as_py(), np.uint64) for x in t.column(3)]
         doc = [np.frombuffer(x.as_py(), np.uint32 if len(x.as_py()) == 4 * len(y) else np.int64).astype(np.int64)
                for x, y in zip(t.column(4), h)]
         sizes = [len(x) for x in h]
@@ -215,20 +238,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def finish(t: pa.Table, back: pa.Table) -> pa.Table:
         unit = _Unit(t, id_at, text_at, window, cell_bits)
-        h, h2, doc = unit.repeated(hot_cells(unit, back))
+        h, h2, doc, places = unit.repeated(hot_cells(unit, back))
         bits = {b.as_py(): x.as_py() for b, s, x in zip(back.column(1), back.column(2), back.column(3)) if s.as_py()}
         later = np.zeros(len(h), bool)
         for b, s in _by_block(h, 64, blocks_bits):
             later[s] = _flags(bits[b], s.stop - s.start)
-        pair = _Order(h, h2)
         n_words, n_removed, kept = [], [], []
-        for lo, hi, data, starts, ends, first, at, rows, x, x2 in unit.ranges(True):
+        for (lo, hi, data, starts, ends, first, *_), (at, rows, k) in zip(unit.ranges(), places):
             gone = np.zeros(len(starts) + 1, np.int64)
-            if len(h):
-                k, found = pair.find(x, x2)
-                hit = at[found & (later[k] | (unit.id[rows] > doc[k]))]
-                np.add.at(gone, hit, 1)
-                np.add.at(gone, hit + window, -1)
+            hit = at[later[k] | (unit.id[rows] > doc[k])]
+            np.add.at(gone, hit, 1)
+            np.add.at(gone, hit + window, -1)
             removed = np.cumsum(gone)[:-1] > 0
             raw = data.tobytes()
             for i in range(hi - lo):
@@ -246,20 +266,3 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = (dealt.groupBy("__unit").cogroup(hot.groupBy("unit")).applyInArrow(exact, _EXACT)
              .groupBy("block").applyInArrow(group, _BACK))
     return dealt.groupBy("__unit").cogroup(hot.unionByName(later).groupBy("unit")).applyInArrow(finish, out)
-
-
-class _Order:
-    """Positions of (hash, second hash) among ordered distinct ones."""
-
-    def __init__(self, h: np.ndarray, h2: np.ndarray):
-        self.h, self.h2 = h, h2
-
-    def find(self, x: np.ndarray, x2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.h)
-        at = np.minimum(np.searchsorted(self.h, x), n - 1)
-        while True:  # first hashes that agree while the second ones don't: one step on
-            on = (self.h[at] == x) & (self.h2[at] < x2) & (at + 1 < n)
-            on[on] &= self.h[at[on] + 1] == x[on]
-            if not on.any():
-                return at, (self.h[at] == x) & (self.h2[at] == x2)
-            at = at + on
