@@ -11,8 +11,9 @@ if it doesn't. So the text is shuffled once, after map-side merging of copies, a
 rounds above move integers only.
 
 Defined results: a null text is the empty text; a null id never stays if another row of
-the group has an id; rows that repeat one id share the decision and each count in
-group_size; an empty table gives an empty result; other columns are ignored."""
+the group has an id; exactly one row of a group stays, also of rows that repeat its id or
+have none (the first by row number), and each counts in group_size; an empty table gives
+an empty result; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -35,7 +36,7 @@ def _blocks(text: bytes, size: int) -> list[bytes]:
 
 
 def _hashed(docs: DataFrame, size: int, seed: int) -> DataFrame:
-    """Per row: id, sha256 of the normalised text, hash of each block."""
+    """Per row: id, its number, sha256 of the normalised text, hash of each block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = utf8(b.column(1))
@@ -46,9 +47,9 @@ def _hashed(docs: DataFrame, size: int, seed: int) -> DataFrame:
                 sha.append(hashlib.sha256(t).hexdigest())
                 names.append([xxhash.xxh64_intdigest(x, seed) - (1 << 63) for x in _blocks(t, size)])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sha, pa.string()), pa.array(names, pa.list_(pa.int64()))],
-                names=["doc_id", "text_sha256", "names"])
-    return docs.mapInArrow(run, "doc_id long, text_sha256 string, names array<long>")
+                [b.column(0), b.column(2), pa.array(sha, pa.string()), pa.array(names, pa.list_(pa.int64()))],
+                names=["doc_id", "row", "text_sha256", "names"])
+    return docs.mapInArrow(run, "doc_id long, row long, text_sha256 string, names array<long>")
 
 
 def _clash(docs: DataFrame, size: int, seed: int) -> bool:
@@ -74,12 +75,14 @@ def _integer_names(keys: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES,
-               seed: int = 0) -> DataFrame:
-    """Per row of `docs`: doc_id, text_sha256, n_blocks, name; (n_blocks, name) is the identity."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+               seed: int = 0, row_col: str | None = None) -> DataFrame:
+    """Per row of `docs`: doc_id, row, text_sha256, n_blocks, name; (n_blocks, name) is the identity. `row_col`:
+    distinct numbers of the rows, else they are numbered."""
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row.alias("row"))
     while _clash(src, block_bytes, seed):
         seed += 1
-    rows = materialise(_hashed(src, block_bytes, seed).withColumn("row", F.monotonically_increasing_id()))
+    rows = materialise(_hashed(src, block_bytes, seed))
     done = None
     level = rows.select("row", F.size("names").alias("left"), F.posexplode("names").alias("pos", "key"))
     keys = ["key"]
@@ -98,13 +101,14 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         level = (rest.groupBy("row", "left", F.floor(F.col("pos") / 2).alias("half"))
                  .agg(F.min_by("name", "pos").alias("a"), F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))).alias("b"))
                  .select("row", F.ceil(F.col("left") / 2).cast("int").alias("left"), F.col("half").alias("pos"), "a", "b"))
-    return rows.join(done, "row").select("doc_id", "text_sha256", F.size("names").alias("n_blocks"), "name")
+    return rows.join(done, "row").select("doc_id", "row", "text_sha256", F.size("names").alias("n_blocks"), "name")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row: doc_id, keep_id (largest id of the equal texts), group_size, kept, text_sha256."""
-    named = materialise(identities(docs, id_col, text_col, block_bytes))
-    groups = named.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+                     block_bytes: int = BLOCK_BYTES, row_col: str | None = None) -> DataFrame:
+    """Per row: doc_id, keep_id (largest id of the equal texts), group_size, kept, text_sha256, row."""
+    named = materialise(identities(docs, id_col, text_col, block_bytes, row_col=row_col))
+    groups = named.groupBy("n_blocks", "name").agg(
+        F.max(F.struct("doc_id", (-F.col("row")).alias("back"))).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     return named.join(groups, ["n_blocks", "name"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+        "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == -F.col("keep.back")).alias("kept"), "text_sha256", "row")
