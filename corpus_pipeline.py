@@ -21,17 +21,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
 
 
+ROW = "__row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with numbers that tell rows apart whose ids repeat or are null; the same at each read, as docs are files."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    return docs.join(kept.select(F.col("row").alias(ROW)), ROW, "left_semi").drop(ROW)
+
+
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest doc_id."""
-    kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("keep"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("keep")), "left_semi")
+    """Of equal texts, one row with the largest doc_id."""
+    rows = _numbered(docs)
+    return _only(rows, exact_dedup.exact_duplicates(rows, row_col=ROW).where("kept"))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component, the document with the smallest doc_id."""
-    near = simhash_dedup.near_duplicates(docs)
-    kept = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("keep")), "left_semi")
+    """Of each SimHash component, one row with the smallest doc_id."""
+    rows = _numbered(docs)
+    return _only(rows, simhash_dedup.near_duplicates(rows, row_col=ROW).where("kept"))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,17 +86,20 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """Per row: doc_id, fp (the 64 bits as a long)."""
+                 shingle: int = SHINGLE_WORDS, row_col: str | None = None) -> DataFrame:
+    """Per row: doc_id, fp (the 64 bits as a long), and its number if `row_col` names one."""
+    row = [F.col(row_col).cast("long").alias("row")] if row_col else []
+    names = ["doc_id", "fp"] + ["row"] * len(row)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = utf8(b.column(1))
             got = [_majority(*_shingle_hashes(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], shingle))
                    for lo, hi in chunks(off)]
             fp = np.concatenate(got) if got else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, "doc_id long, fp long"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names=names)
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row)
+            .mapInArrow(run, "doc_id long, fp long" + ", row long" * len(row)))
 
 
 # Parts and thresholds -----------------------------------------------------------------------
@@ -269,14 +272,18 @@ def link_fingerprints(fps: DataFrame, distance: int = MAX_DISTANCE, bucket_rows:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS,
-                    distance: int = MAX_DISTANCE) -> DataFrame:
+                    distance: int = MAX_DISTANCE, row_col: str | None = None) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable over
-    links of at most `distance` bits)."""
-    prints = materialise(fingerprints(docs, id_col, text_col, shingle))
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    links of at most `distance` bits). With `row_col` (distinct numbers of the rows) also row and
+    kept: one row of each component stays, of those with the smallest id the first."""
+    prints = materialise(fingerprints(docs, id_col, text_col, shingle, row_col))
+    row = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")) if row_col else F.lit(None)
+    first = [F.struct(F.min(F.col("doc_id").isNull()).alias("none"), F.min("doc_id").alias("id"), row.alias("row")).alias("first")]
+    classes = materialise(prints.groupBy("fp").agg(*first))
     comp = connected_components(link_fingerprints(classes.select("fp"), distance))
     rooted = classes.join(comp, classes["fp"] == comp["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "least")
+    extra = ["row", (F.col("row") == F.col("least.row")).alias("kept")] if row_col else []
     return prints.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.id").alias("component_id"), *extra)
