@@ -5,16 +5,17 @@ where a token of both ends cut them into groups; an occurrence of A's token and
 linked if their byte ranges overlap. How often a pair of ids is linked in the whole corpus
 is then looked up for each link.
 
-1. First pass: texts are cut into parts of at most `PART_BYTES` (or one text), aligned, and
-   written with their part's number beside the part's id pairs and partial counts.
+1. First pass: texts are cut into parts of at most `PART_BYTES` (or one text), encoded and
+   aligned. Written are, for a part, the ids of its distinct words and its pairs with partial
+   counts, and for a text its words' numbers.
 2. The distinct pairs are dealt into shards of about `SHARD_KEYS`. Each shard's pairs get a
    minimal perfect hash: levels of bit tables in which a pair that is alone at its place
    stays and the others go on, numbered by the bits before. Beside it lie the pairs by
    number, so that an unknown pair is noticed.
 3. The partial counts of a shard are added into dense vectors indexed by the hash, by
    branches first, and the branches' vectors in a tree of `FAN` at a time.
-4. Second pass: each part asks the shards for its pairs' counts, aligns its texts again and
-   looks the counts up. The largest count of each id of B is a vector as long as B's
+4. Second pass: each part asks the shards for its pairs' counts, aligns the ids of its words
+   again and looks the counts of their links up. The largest count of each id of B is a vector as long as B's
    vocabulary; only this goes through the driver.
 
 A space between two characters that aren't white space ends tokens of both (checked for B on
@@ -32,6 +33,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +44,16 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .words import mix
 
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 SHARD_KEYS = 1 << 17
 GROUP_KEYS = 1 << 20
 FAN = 16
-_CACHE = 400_000
+_CACHE = 300_000
+_OFTEN = 3
 _LONGEST = 80
+_STEP = 1 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _B_BITS = np.int64(24)  # a pair is A's id above B's
 
 
@@ -84,7 +89,8 @@ class Pair:
         # words end tokens: A's pattern opens a token at such a space, and no piece of B holds one further in
         self.words = (before["normalizer"] is None and step.get("type") == "ByteLevel" and step.get("use_regex") is True
                       and not any("▁" in p.lstrip("▁") for p in pieces) and self._keeps_spaces())
-        self.signs = [[f"{i}{s}" for i in range(max(len(self.bytes_a), len(self.bytes_b)))] for s in ",|;"]
+        self.span = max(len(self.bytes_a), len(self.bytes_b))
+        self.signs = [f"{i}{s}" for s in ",|;" for i in range(self.span)]
         self.clear()
 
     def _piece(self, i: int) -> bytes:
@@ -97,14 +103,13 @@ class Pair:
         probe = " a  ﬁ É\n b "
         return b"".join(self.bytes_b[i] for i in self.b.encode(probe)) == (" " + probe).encode()
 
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.text: list[str] = []
-        self.numbers = np.zeros((5, 1 << 12), np.int64)  # n_a, n_b, n_groups, n_links, bad
-        self.keys, self.first = np.zeros(1 << 16, np.int64), np.zeros((1 << 12) + 1, np.int64)
-
     def split(self, text: str) -> list[str]:
-        return _CUT.split(text) if self.words else [text]
+        """Words at spaces between two characters that aren't white space."""
+        if not self.words:
+            return [text]
+        if "  " in text or text[0] == " " or text[-1] == " " or any(w in text and (w + " " in text or " " + w in text) for w in _WHITE):
+            return _CUT.split(text)
+        return text.split(" ")
 
     def learn(self, units: list[str]) -> None:
         """Aligns new units and keeps them."""
@@ -120,7 +125,7 @@ class Pair:
         return [x if k else [] for x, k in zip(a, ok)], [x if k else [] for x, k in zip(b, ok)], ok
 
     def _run(self, units: list[str]) -> tuple | None:
-        """What `_learn` needs of units encoded in a row: ids and numbers of ids of both; None if the row isn't spelt."""
+        """Ids of units encoded in a row, and their numbers, of both; None if the row isn't spelt."""
         text = " ".join(units)
         ids_a, ids_b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
         raw = (" " + text).encode()
@@ -136,78 +141,103 @@ class Pair:
         got = self._run(plain) if plain else None
         if got is not None:
             self._keep(plain, *got, [True] * len(plain))
-            units = sorted(set(units) - set(plain))
+            units = [u for u in units if u not in self.at] if len(plain) < len(units) else []
         if units:
             a, b, ok = self._encoded(units)
             ids = [np.fromiter((i for x in t for i in x), np.int64) for t in (a, b)]
             self._keep(units, *ids, *(np.array(list(map(len, t)), np.int64) for t in (a, b)), ok)
 
-    def _keep(self, units: list[str], ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, ok: list[bool]) -> None:
-        n = len(units)
+    def linked(self, ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of ids of units in a row, the number of links of each unit (n_a: its ids of A), and
+        both tokens' ends in bytes."""
+        ids_a, ids_b = ids_a.astype(np.int64), ids_b.astype(np.int64)
         end_a, end_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
-        # links: B's tokens from the one that ends after A's start to the one that starts before A's end
+        # from B's token that ends after A's starts to the one that starts before A's ends
         lo = np.searchsorted(end_b, end_a - self.size_a[ids_a], "right")
-        hi = np.searchsorted(end_b - self.size_b[ids_b], end_a, "left")
+        hi = np.searchsorted(end_b, end_a, "left") + 1
         links = hi - lo
         from_a = np.repeat(np.arange(len(ids_a)), links)
-        to_b = np.arange(len(from_a)) - np.repeat(np.cumsum(links) - links, links) + lo[from_a]
-        keys = (ids_a[from_a] << _B_BITS) | ids_b[to_b]
-        unit_a, unit_b = np.repeat(np.arange(n), n_a), np.repeat(np.arange(n), n_b)
-        n_links = np.bincount(unit_a, weights=links, minlength=n).astype(np.int64)
-        shared = np.intersect1d(end_a, end_b, assume_unique=True)
-        group_a, group_b = np.searchsorted(shared, end_a, "left"), np.searchsorted(shared, end_b, "left")
-        last_a, last_b = np.isin(end_a, shared, assume_unique=True), np.isin(end_b, shared, assume_unique=True)
-        n_groups = np.bincount(unit_a[last_a], minlength=n)
-        side = np.concatenate([2 * group_a, 2 * group_b + 1])
-        order = np.argsort(side, kind="stable")
-        ids, mark = np.concatenate([ids_a, ids_b])[order], np.concatenate([last_a * 1, last_b * 2])[order]
-        words = [self.signs[m][i] for i, m in zip(ids.tolist(), mark.tolist())]
+        to_b = np.arange(len(from_a)) + np.repeat(lo - (np.cumsum(links) - links), links)
+        total = np.concatenate([[0], np.cumsum(links)])[np.concatenate([[0], np.cumsum(n_a)])]
+        return (ids_a[from_a] << _B_BITS) | ids_b[to_b], np.diff(total), end_a, end_b
+
+    def _keep(self, units: list[str], ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, ok: list[bool]) -> None:
+        n, have = len(units), len(self.at)
+        keys, n_links, end_a, end_b = self.linked(ids_a, ids_b, n_a)
+        at = np.searchsorted(end_b, end_a)
+        last_a = end_b[np.minimum(at, len(end_b) - 1)] == end_a if len(end_b) else np.zeros(0, bool)
+        last_b = np.zeros(len(end_b), bool)
+        last_b[at[last_a]] = True
+        n_groups = np.diff(np.concatenate([[0], np.cumsum(last_a)])[np.concatenate([[0], np.cumsum(n_a)])])
+        shared = end_a[last_a]
+        # A's tokens of a group, then B's
+        order = np.argsort(np.concatenate([2 * np.searchsorted(shared, end_a), 2 * np.searchsorted(shared, end_b) + 1]), kind="stable")
+        sign = np.concatenate([ids_a + last_a * self.span, ids_b + last_b * (2 * self.span)])[order]
+        words = list(map(self.signs.__getitem__, sign.tolist()))
         ends = np.cumsum(n_a + n_b).tolist()
-        have = len(self.at)
         self.text += ["".join(words[s:e])[:-1] for s, e in zip([0, *ends], ends)]
-        while have + n > self.numbers.shape[1]:
-            self.numbers = np.concatenate([self.numbers, np.zeros_like(self.numbers)], axis=1)
-        grown = self.numbers.shape[1] + 1
-        if len(self.first) < grown:
-            self.first = np.concatenate([self.first, np.zeros(grown - len(self.first), np.int64)])
-        used = int(self.first[have])
-        while used + len(keys) > len(self.keys):
-            self.keys = np.concatenate([self.keys, np.zeros_like(self.keys)])
-        self.keys[used:used + len(keys)] = keys
-        self.first[have + 1:have + n + 1] = used + np.cumsum(n_links)
-        self.numbers[:, have:have + n] = (n_a, n_b, n_groups, n_links, ~np.array(ok, bool))
+        self.numbers.append(np.array([n_a, n_b, n_groups, n_links, ~np.array(ok, bool)], np.int32))
+        self.keys.append(keys)
+        self.ids_a.append(ids_a.astype(np.int32))
+        self.ids_b.append(ids_b.astype(np.int32))
         self.at.update(zip(units, range(have, have + n)))
 
-    def keys_of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of units in a row, and how many each has."""
-        size = self.numbers[3, units]
-        ends = np.cumsum(size)
-        at = np.repeat(self.first[units] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return self.keys[at], size
-
-    def documents(self, texts: list[str | None]) -> tuple[list[np.ndarray], bool]:
-        """Each text's units; the second value: whether earlier units were forgotten. Texts that
-        don't align have none."""
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.text: list[str] = []
+        self.numbers: list[np.ndarray] = []  # n_a, n_b, n_groups, n_links, bad
+        self.keys: list[np.ndarray] = []
+        self.ids_a: list[np.ndarray] = []
+        self.ids_b: list[np.ndarray] = []
+
+    def known(self) -> np.ndarray:
+        """n_a, n_b, n_groups, n_links and bad of all units, by number."""
+        if len(self.numbers) != 1:
+            self.numbers = [np.concatenate(self.numbers, axis=1) if self.numbers else np.zeros((5, 0), np.int32)]
+        return self.numbers[0]
+
+    def picked(self, units: np.ndarray, what: str) -> np.ndarray:
+        """The entries of some units of one of the pools keys, ids_a and ids_b, in a row."""
+        pool = getattr(self, what)
+        if len(pool) != 1:
+            pool[:] = [np.concatenate(pool) if pool else np.zeros(0, np.int64)]
+        return _ranges(pool[0], self.known()[{"ids_a": 0, "ids_b": 1, "keys": 3}[what]], units)
+
+    def documents(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Each text's units. Texts that don't align have none."""
         split = [self.split(t) if t else [] for t in texts]
-        fresh = False
-        if len(self.at) > _CACHE:
-            self.clear()
-            fresh = True
-        new = {u for x in split for u in x if u not in self.at}
+        flat = list(chain.from_iterable(split))
+        get = self.at.get
+        units = np.array([get(u, -1) for u in flat], np.int64)
+        new = np.flatnonzero(units < 0).tolist()
         if new:
-            self.learn(sorted(new))
-        out = []
-        for x in split:
-            units = np.array(list(map(self.at.__getitem__, x)), np.int64)
-            out.append(units[:0] if self.numbers[4, units].any() else units)
-        return out, fresh
-
-    def forget_long(self) -> None:
-        """Long units aren't kept from part to part."""
-        if any(len(u) > _LONGEST for u in self.at):
-            keep = [u for u in self.at if len(u) <= _LONGEST]
-            if len(keep) * 2 < len(self.at) or sum(map(len, self.at)) > 64 << 20:
-                self.clear()
+            missed = [flat[i] for i in new]
+            self.learn(list(dict.fromkeys(missed)))
+            units[new] = list(map(self.at.__getitem__, missed))
+        ends = np.cumsum(list(map(len, split)))[:-1] if split else []
+        bad = self.known()[4]
+        return [u[:0] if bad[u].any() else u for u in np.split(units, ends)] if split else []
+
+    def close(self, units: np.ndarray, n: np.ndarray) -> None:
+        """Between parts: if there are many units or long ones, keeps only those short ones that
+        the last part held `_OFTEN` times (n: how often it held `units`)."""
+        if len(self.at) <= _CACHE and sum(map(len, self.at)) <= 32 * _CACHE:
+            return
+        names = list(self.at)
+        keep = units[n >= _OFTEN]
+        keep = keep[[len(names[i]) <= _LONGEST for i in keep.tolist()]] if len(keep) else keep
+        keep = keep[:_CACHE // 2]
+        pools = {k: [self.picked(keep, k)] for k in ("keys", "ids_a", "ids_b")}
+        self.numbers, self.text = [self.known()[:, keep]], [self.text[i] for i in keep.tolist()]
+        self.at = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.keys, self.ids_a, self.ids_b = pools["keys"], pools["ids_a"], pools["ids_b"]
+
+
+def _ranges(pool: np.ndarray, size: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """The entries of some units in a pool that holds size[i] of unit i, one unit after another."""
+    start, n = (np.cumsum(size, dtype=np.int64) - size)[units], size[units].astype(np.int64)
+    ends = np.cumsum(n)
+    return pool[np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 _PAIRS: dict[tuple[str, str], Pair] = {}
@@ -293,48 +323,76 @@ def _table(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields)], names=[n for n, _ in fields])
 
 
-def _parts(docs: DataFrame, path_a: str, path_b: str, part_bytes: int) -> DataFrame:
-    """Rows of texts (doc_id, text) and, for each part, one row of its pairs and partial counts."""
-    schema = "part long, doc_id long, text string, keys binary, counts binary"
+_PART = "part long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, units binary, words binary, keys binary, counts binary"
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers below 2^32 with their low bytes first, then the higher ones: these compress well."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _dump(arrays: list[np.ndarray]) -> bytes:
+    return np.array([len(x) for x in arrays], np.int64).tobytes() + b"".join(map(_planes, arrays))
+
+
+def _load(blob: bytes, n: int) -> list[np.ndarray]:
+    sizes, at = np.frombuffer(blob, np.int64, n).tolist(), 8 * n
+    out = []
+    for size in sizes:
+        out.append(_numbers(blob[at:at + 4 * size]))
+        at += 4 * size
+    return out
+
 
+def _parts(docs: DataFrame, path_a: str, path_b: str, part_bytes: int, with_groups: bool) -> DataFrame:
+    """A row for each text, and one for each part with its words and its pairs' partial counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = shared_pair(path_a, path_b)
-        number, held = TaskContext.get().partitionId() << 32, 0
-        keys, counts = [], []
-
-        def close() -> pa.RecordBatch:
-            nonlocal number, held, keys, counts
-            every, total = _merged(keys, counts)
-            row = _table(schema, [(number, None, None, every.tobytes(), total.tobytes())])
-            number, held, keys, counts = number + 1, 0, [], []
-            pair.forget_long()
+        number, held, seen = TaskContext.get().partitionId() << 32, 0, []
+
+        def part_row() -> pa.RecordBatch:
+            nonlocal number, held, seen
+            units, n = np.unique(np.concatenate(seen), return_counts=True)
+            size = pair.known()[:, units]
+            keys, back = np.unique(pair.picked(units, "keys"), return_inverse=True)
+            counts = np.bincount(back, np.repeat(n, size[3]), len(keys)).astype(np.int64)
+            words = _dump([units, size[0], size[1], pair.picked(units, "ids_a"), pair.picked(units, "ids_b")])
+            row = _table(_PART, [(number, *[None] * 8, words, keys.tobytes(), counts.tobytes())])
+            number, held, seen = number + 1, 0, []
+            pair.close(units, n)
             return row.to_batches()[0]
         for b in batches:
-            sizes = np.array([len(x.encode()) if x else 0 for x in b.column(1).to_pylist()], np.int64)
+            texts = b.column(1).to_pylist()
+            sizes = [len(x.encode()) if x else 0 for x in texts]
             lo = 0
-            while lo < b.num_rows:
-                room = np.cumsum(sizes[lo:]) <= max(min(part_bytes - held, 1 << 20), 0)
-                take = int(room.sum()) if not room.all() else b.num_rows - lo
-                if take == 0 and held and held + sizes[lo] > part_bytes:
-                    yield close()
+            while lo < len(texts):
+                hi, n = lo, 0
+                while hi < len(texts) and (hi == lo or n + sizes[hi] <= min(_STEP, part_bytes - held)):
+                    n += sizes[hi]
+                    hi += 1
+                if seen and held + n > part_bytes:
+                    yield part_row()
                     continue
-                some = b.slice(lo, max(take, 1))
-                units = np.concatenate(pair.documents(some.column(1).to_pylist())[0] or [np.zeros(0, np.int64)])
-                each, n = np.unique(units, return_counts=True)
-                found, size = pair.keys_of(each)
-                got = _merged([found], [np.repeat(n, size)])
-                keys.append(got[0])
-                counts.append(got[1])
-                if len(keys) > 16:
-                    keys, counts = ([x] for x in _merged(keys, counts))
-                held += int(sizes[lo:lo + some.num_rows].sum())
-                lo += some.num_rows
-                none = pa.nulls(some.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(some.num_rows, number)), some.column(0), some.column(1), none, none],
-                                                 names=["part", "doc_id", "text", "keys", "counts"])
-        if held or keys:
-            yield close()
-    return materialise(docs.mapInArrow(run, schema))
+                units = pair.documents(texts[lo:hi])
+                seen.append(np.concatenate(units))
+                held += n
+                edge = np.cumsum([0, *map(len, units)])
+                per = np.concatenate([np.zeros((4, 1), np.int64), np.cumsum(pair.known()[:4, seen[-1]], axis=1, dtype=np.int64)], axis=1)[:, edge]
+                groups = [";".join(map(pair.text.__getitem__, u.tolist())) for u in units]
+                none = pa.nulls(hi - lo, pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(hi - lo, number)), b.column(0).slice(lo, hi - lo), *map(pa.array, np.diff(per, axis=1)),
+                     pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups], pa.string()),
+                     pa.array(groups if with_groups else [None] * len(groups), pa.string()), pa.array(list(map(_planes, units)), pa.binary()),
+                     none, none, none], names=[f.split()[0] for f in _PART.split(", ")])
+                lo = hi
+        if seen:
+            yield part_row()
+    return materialise(docs.mapInArrow(run, _PART))
 
 
 def _hashes(pairs: DataFrame, shards: int) -> DataFrame:
@@ -470,7 +528,7 @@ def _answers(partial: DataFrame, totals: DataFrame, shards: int, branches: int)
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", with_groups: bool = False,
           part_bytes: int = PART_BYTES, shard_keys: int = SHARD_KEYS, group_keys: int = GROUP_KEYS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 (and groups)."""
-    parts = _parts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), path_a, path_b, part_bytes)
+    parts = _parts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), path_a, path_b, part_bytes, with_groups)
     partial = parts.where(F.col("keys").isNotNull()).select("part", "keys", "counts")
     pairs = _distinct(partial)
     shards = max(1, -(-pairs.count() // shard_keys))
@@ -491,32 +549,24 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
         known, count = (np.concatenate([_longs(x) for x in right.column(c).to_pylist()] or [np.zeros(0, np.int64)]) for c in ("keys", "counts"))
         order = np.argsort(known)
         known, count = known[order], count[order]
-        out = []
-        for b in left.to_batches(max_chunksize=500):
-            texts = b.column("text").to_pylist()
-            units = pair.documents(texts)[0]
-            flat, n = np.concatenate(units), np.array([len(u) for u in units])
-            each, back = np.unique(flat, return_inverse=True)
-            keys, size = pair.keys_of(each)
-            at = np.searchsorted(known, keys)
-            if len(keys) and not (at.max() < len(known) and np.array_equal(known[at], keys)):
-                raise ValueError("a pair without a count")
-            got = count[at]
-            ends = np.cumsum(size)
-            sums = lambda x: np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(x)])[ends]]))
-            per = np.stack([*pair.numbers[:4, each], sums(got == top[keys & ((1 << _B_BITS) - 1)]), sums(got)])
-            total = np.concatenate([np.zeros((6, 1), np.int64), np.cumsum(per[:, back], axis=1)], axis=1)
-            edge = np.concatenate([[0], np.cumsum(n)])
-            rows = (total[:, edge[1:]] - total[:, edge[:-1]]).astype(np.int64)
-            groups = [";".join(map(pair.text.__getitem__, u.tolist())) for u in units]
-            digest = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
-            cols = [b.column("doc_id"), *map(pa.array, rows), pa.array(digest, pa.string()), *([pa.array(groups, pa.string())] * with_groups)]
-            out.append(pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in schema.split(", ")]))
-            if len(pair.at) > _CACHE:
-                pair.clear()
-        pair.forget_long()
-        if not out:
-            return _table(schema, [])
-        return pa.Table.from_batches(out)
-    texts = parts.where(F.col("keys").isNull()).select("part", "doc_id", "text")
-    return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(finish, schema)
+        whole = np.asarray(left.column("words").is_valid())
+        words = left.column("words").filter(pa.array(whole)).to_pylist()
+        docs = left.filter(pa.array(~whole))
+        units, n_a, _, ids_a, ids_b = _load(words[0], 5)
+        keys, links, *_ = pair.linked(ids_a, ids_b, n_a)
+        at = np.searchsorted(known, keys)
+        if len(keys) and not (at.max() < len(known) and np.array_equal(known[at], keys)):
+            raise ValueError("a pair without a count")
+        got = count[at]
+        ends = np.concatenate([[0], np.cumsum(links)])
+        each = [np.diff(np.concatenate([[0], np.cumsum(x)])[ends]) for x in (got == top[keys & ((1 << _B_BITS) - 1)], got)]
+        best, sums = [], []
+        for x in docs.column("units"):
+            some = np.searchsorted(units, _numbers(x.as_py()))
+            best.append(int(each[0][some].sum()))
+            sums.append(int(each[1][some].sum()))
+        names = [f.split()[0] for f in schema.split(", ")]
+        new = {"n_best": pa.array(best, pa.int64()), "count_sum": pa.array(sums, pa.int64())}
+        return pa.table([new.get(n, docs.column(n) if n not in new else None) for n in names], names=names)
+    asked = parts.select("part", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups", "units", "words")
+    return asked.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(finish, schema)

@@ -1,6 +1,7 @@
 """Alignment and pair counts against plain Python over the libraries; the hash by itself."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -114,10 +115,19 @@ def test_very_long_text_and_forgotten_words(spark, tools, monkeypatch):
     assert (got[1]["n_a"], got[1]["n_b"]) == (len(at), len(bt)) and got[1]["groups_sha256"] == got[3]["groups_sha256"]
     pair = ct.Pair(A, B)
     monkeypatch.setattr(ct, "_CACHE", 10)
-    first = [pair.text[k] for k in pair.documents([text[:1000]])[0][0]]
-    pair.documents(["other words here"])
-    assert pair.at.keys() == {"other", "words", "here"}
-    assert [pair.text[k] for k in pair.documents([text[:1000]])[0][0]] == first
+    first = [pair.text[k] for k in pair.documents([text[:1000]])[0]]
+    units = pair.documents(["w1x w1x w1x other words"])[0]
+    pair.close(*np.unique(units, return_counts=True))
+    assert pair.at == {"w1x": 0}
+    assert [pair.text[k] for k in pair.documents([text[:1000]])[0]] == first
+
+
+def test_words_are_cut_where_both_cut():
+    pair = ct.Pair(A, B)
+    rng = random.Random(3)
+    for _ in range(5000):
+        t = "".join(rng.choice(["a", "b", " ", " ", "\n", "\t", "é", "\x1c", "\xa0", "\u2003", "'s", "1"]) for _ in range(rng.randrange(1, 12)))
+        assert pair.split(t) == ct._CUT.split(t)
 
 
 def test_perfect_hash():
