@@ -73,6 +73,14 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write bytes as: printable ones stand for
+    themselves, the others follow from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class IdPool:
     """Token ids of the units (words) seen so far, in one growing array."""
 
@@ -96,7 +104,10 @@ class IdPool:
 
     def ids(self, units: list[str]) -> np.ndarray:
         """The ids of known units in a row."""
-        i = np.array(list(map(self.at.__getitem__, units)), np.int64)
+        return self.gather(np.array(list(map(self.at.__getitem__, units)), np.int64))
+
+    def gather(self, i: np.ndarray) -> np.ndarray:
+        """The ids of the units with some numbers, in a row."""
         size = self.size[i]
         end = np.cumsum(size)
         n = int(end[-1]) if len(end) else 0

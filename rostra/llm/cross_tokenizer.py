@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import byte_letters, materialise
 from .words import mix
 
 PART_BYTES = 8 << 20
@@ -57,14 +57,6 @@ _WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _B_BITS = np.int64(24)  # a pair is A's id above B's
 
 
-def _byte_letters() -> dict[str, int]:
-    """The letters that byte-level vocabularies write bytes as: printable ones stand for
-    themselves, the others follow from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Pair:
     """Both tokenizers, and the alignments of the words a worker has seen."""
 
@@ -77,7 +69,7 @@ class Pair:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        letters = _byte_letters()
+        letters = byte_letters()
         vocabulary = self.a.get_vocab(with_added_tokens=True)
         added = {v: k for k, v in vocabulary.items()}
         self.bytes_a = [bytes(letters.get(c, 63) for c in added.get(i, "")) for i in range(max(added) + 1)]

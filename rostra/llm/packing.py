@@ -13,9 +13,10 @@ full come back once. This ends when the bound is met or such a round saves none,
 that saved none are not kept.
 
 Tokenising is a narrow scan: the pre-tokeniser drops white space and splits within what is
-between, so the ids of a run without white space don't depend on its neighbours, and each
-worker keeps the ids of the runs it has seen, up to a fixed number. Texts with one of the
-file's added tokens, or with control characters that only some call white space, go through the
+between, so the ids of a run without white space don't depend on its neighbours, nor do those
+of its units (runs of letters, digits, runs of other signs), and each worker keeps the ids of
+the runs and units it has seen, up to a fixed number. Runs with characters beyond the plain
+Latin ones go through the tokenizer one by one; texts with one of the file's added tokens, or with control characters that only some call white space, go through the
 tokenizer whole, and so do all texts if the file's steps are others than these.
 
 Defined results: null and empty texts are one piece of the end id; rows that repeat an id
@@ -31,19 +32,19 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdPool, materialise, texts
+from .common import IdPool, byte_letters, materialise, texts
 
 CAPACITY = 4096
 END_ID = 1
 PART_PIECES = 25_000
 _CACHE = 400_000
-_LONGEST = 200
 _GROUP = 200
 _ODD = re.compile(r"[\x1c-\x1f]")
 # The steps of a tokenizer file whose runs between white space are independent
@@ -62,6 +63,11 @@ def _independent(steps: dict) -> bool:
             and not steps.get("truncation") and not steps.get("padding") and steps["model"].get("dropout") is None)
 
 
+# Letters and signs of which each is one code point in composed form, with one lower-case form
+_PLAIN = re.compile(r"[\n!-~À-ÖØ-öø-ÿŒœ«»–—’‘“”„…€§¡¿]*")
+_UNIT = re.compile(r"\n|'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿœ]+|[0-9]|[^\sa-zß-öø-ÿœ0-9]+")
+
+
 class UnitTokens:
     """Token ids of texts, from the ids of their runs between white space."""
 
@@ -70,31 +76,61 @@ class UnitTokens:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         steps = json.loads(self.tok.to_str())
-        self.units = _independent(steps)
+        self.independent = _independent(steps)
         self.added = [t["content"] for t in steps["added_tokens"]]
-        self.seen = IdPool()
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.runs, self.units = IdPool(), IdPool()
 
     def _whole(self, text: str) -> bool:
-        return not self.units or any(a in text for a in self.added) or _ODD.search(text) is not None
+        return not self.independent or any(a in text for a in self.added) or _ODD.search(text) is not None
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _learn_units(self, new: list[str]) -> None:
+        if new:  # what the steps before the model make of a unit is its bytes' letters
+            model, letters = self.tok.model, self.letters
+            ids = [[t.id for t in model.tokenize(u.encode().decode("latin-1").translate(letters))] for u in new]
+            self.units.add(new, np.fromiter(chain.from_iterable(ids), np.uint32), np.array(list(map(len, ids))))
+
+    def _learn(self, new: list[str]) -> None:
+        row = "\n".join(new)
+        odd = [] if _PLAIN.fullmatch(row) else [r for r in new if not _PLAIN.fullmatch(r)]
+        if odd:
+            ids = [self._encode(r) for r in odd]
+            self.runs.add(odd, np.concatenate(ids), np.array(list(map(len, ids))))
+            new = [r for r in new if _PLAIN.fullmatch(r)]
+            row = "\n".join(new)
+        if not new:
+            return
+        if len(self.units.at) > _CACHE:
+            self.units = IdPool()
+        units = _UNIT.findall(row.lower())
+        self.units.at.setdefault("\n", -1)
+        self._learn_units([u for u in dict.fromkeys(units) if u not in self.units.at])
+        number = np.array(list(map(self.units.at.__getitem__, units)), np.int64)
+        real = number >= 0
+        size = np.bincount(np.cumsum(~real)[real], self.units.size[number[real]], len(new)).astype(np.int64)
+        self.runs.add(new, self.units.gather(number[real]), size)
+
     def __call__(self, some: list[str]) -> list[np.ndarray]:
-        units = [None if self._whole(t) else t.split() for t in some]
-        if len(self.seen.at) > _CACHE:
-            self.seen = IdPool()
-        new = sorted({w for u in units if u is not None for w in u if w not in self.seen.at})
-        long = [w for w in new if len(w) > _LONGEST]
-        for lo in range(0, len(new), 4000):
-            part = new[lo:lo + 4000]
-            enc = self.tok.encode(" ".join(part), add_special_tokens=False)
-            ends = np.cumsum([len(w) + 1 for w in part])
-            starts = np.array(enc.offsets, np.int64).reshape(-1, 2)[:, 0]
-            self.seen.add(part, np.array(enc.ids, np.uint32), np.bincount(np.searchsorted(ends, starts, "right"), minlength=len(part)))
-        out = [self._encode(t) if u is None else self.seen.ids(u) for t, u in zip(some, units)]
-        if sum(map(len, long)) > 1 << 20:  # long runs aren't kept
-            self.seen = IdPool()
+        whole = [self._whole(t) for t in some]
+        split = [[] if w else t.split() for t, w in zip(some, whole)]
+        flat = list(chain.from_iterable(split))
+        if len(self.runs.at) > _CACHE:
+            self.runs = IdPool()
+        get = self.runs.at.get
+        number = np.array([get(r, -1) for r in flat], np.int64)
+        new = np.flatnonzero(number < 0).tolist()
+        if new:
+            missed = [flat[i] for i in new]
+            self._learn(list(dict.fromkeys(missed)))
+            number[new] = list(map(self.runs.at.__getitem__, missed))
+        size = np.concatenate([[0], np.cumsum(self.runs.size[number])])
+        ends = size[np.cumsum(list(map(len, split)))][:-1]
+        out = [self._encode(t) if w else ids for t, w, ids in zip(some, whole, np.split(self.runs.gather(number), ends))]
+        if sum(map(len, (flat[i] for i in new))) > 8 << 20:  # long runs aren't kept
+            self.runs, self.units = IdPool(), IdPool()
         return out
 
 

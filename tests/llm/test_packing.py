@@ -21,7 +21,7 @@ def tok():
 
 def test_ids_of_hard_texts(tok):
     tokens = packing.UnitTokens(PATH)
-    assert tokens.units
+    assert tokens.independent
     rng = random.Random(1)
     signs = list("aAbÉé ßΣσς İıſ K'S'lé̈ \n\t\x1c\x1f\x85\xa0 ​1½²-!«日本\U0001F600<|endoftext|>") + \
         ["<|endoftext|>", "<|startoftext|>", "  ", "가", "ᄀ", "ᅡ", "'LL", "'s ", "ﬁ", "Å"]
@@ -34,7 +34,7 @@ def test_ids_of_hard_texts(tok):
 
 def test_other_tokenizer_files_go_whole():
     other = packing.UnitTokens(public_tokenizers.path("byte_bpe_50k.json"))
-    assert not other.units
+    assert not other.independent
     want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(" two  words", add_special_tokens=False).ids
     assert other([" two  words"])[0].tolist() == want
 
