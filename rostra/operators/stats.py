@@ -1,10 +1,11 @@
 """Corpus statistics.
 
-Co-occurrence (DᵀD, strict upper triangle): each document's tokens over the vocabulary
-travel as one row, and every Arrow batch is reduced to partial sums before the shuffle: by
+Co-occurrence (DᵀD, strict upper triangle) runs as a tiled product (`pair_tiles`): documents
+are dealt to tiles and pair sums end inside a tile. With pivots, or over a vocabulary of at most
+`_DENSE_TOKENS`, every Arrow batch is reduced to partial sums instead, which are shuffled: by
 one matrix product where a step holds few distinct tokens, else as sparse pairs in chunks
-of bounded size. Documents of many distinct tokens are dealt to several tasks by blocks of
-their first token. No vocabulary reaches the driver or a broadcast by force, and it has no bound.
+of bounded size, documents of many distinct tokens dealt to several tasks by blocks of
+their first token.
 
 Significance formulas follow the reference literally (`literal=True`): row sums of the
 upper triangle as marginals, Dunning's -2 on the first term only; NaN and +-inf -> 0
@@ -23,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import with_scalars
+from ..session import BROADCAST_ROW_LIMIT, bounded_broadcast, stored, with_scalars
+from . import pair_tiles
 
 # Tokens that a task reads into one step (a longer document makes a step of its own).
 _STEP_TOKENS = 2_000_000
@@ -151,6 +153,33 @@ def _pair_sums(docs: DataFrame, pivots: Sequence[str], block_tokens: int) -> Dat
     return partial.groupBy(*pivots, "w1", "w2").agg(F.sum("n").alias("n"))
 
 
+def _sums(docs: DataFrame, pivots: Sequence[str], words: list[str] | None, block_tokens: int) -> DataFrame:
+    if pivots or words is not None and len(words) <= _DENSE_TOKENS:
+        return _pair_sums(docs, pivots, block_tokens)
+    return pair_tiles.pair_sums(docs)
+
+
+def _short(vocab: DataFrame | None) -> list[str] | None:
+    """The tokens of a vocabulary of at most BROADCAST_ROW_LIMIT; None beyond."""
+    rows = [] if vocab is None else vocab.select("token").distinct().limit(BROADCAST_ROW_LIMIT + 1).collect()
+    return None if vocab is None or len(rows) > BROADCAST_ROW_LIMIT else sorted(r["token"] for r in rows)
+
+
+def _kept(docs: DataFrame, words: list[str]) -> DataFrame:
+    """Documents (..., toks, ns null) with the tokens of a bounded list only, without a shuffle."""
+    def run(batches):
+        known = pa.array(words, pa.string())
+        for b in batches:
+            lists = b.column("toks")
+            tokens, at = lists.flatten(), pc.list_parent_indices(lists)
+            keep = pc.is_in(tokens, value_set=known)
+            sizes = np.bincount(at.filter(keep).to_numpy(), minlength=b.num_rows)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            cut = pa.ListArray.from_arrays(pa.array(ends), tokens.filter(keep))
+            yield b.set_column(b.schema.get_field_index("toks"), "toks", cut)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def co_occurrence(dtm: DataFrame, vocab: DataFrame | None = None, pivots: Sequence[str] = (),
                   index: DataFrame | None = None, block_tokens: int = _BLOCK_TOKENS) -> DataFrame:
     """J12 (M05 with pivots) on a stored DTM: Σ_d n(d,w1)·n(d,w2) for w1 < w2 over the
@@ -159,24 +188,28 @@ def co_occurrence(dtm: DataFrame, vocab: DataFrame | None = None, pivots: Sequen
     cells = dtm if vocab is None else dtm.join(vocab.select("token"), "token", "left_semi")
     if pivots:
         cells = cells.join(index.select("document_id", *pivots), "document_id", "inner")
-    # one list, so that tokens and counts keep one order
+    # one list, so that tokens and counts keep one order; a document's tokens are one row in memory
     docs = cells.groupBy("document_id", *pivots).agg(
         F.collect_list(F.struct("token", F.col("n").cast("double").alias("n"))).alias("c"))
-    return _pair_sums(docs.select(*pivots, F.col("c.token").alias("toks"), F.col("c.n").alias("ns")), pivots, block_tokens)
+    return _sums(docs.select(*pivots, F.col("c.token").alias("toks"), F.col("c.n").alias("ns")), pivots, _short(vocab), block_tokens)
 
 
 def co_occurrence_from_tokens(speeches: DataFrame, vocab: DataFrame | None = None, array_col: str = "lemma",
                               pivots: Sequence[str] = (), block_tokens: int = _BLOCK_TOKENS) -> DataFrame:
     """J12 straight from token arrays (one row a speech). Without `vocab` the arrays are used
-    as they are; with it, only the tokens that it holds are shuffled by speech."""
+    as they are; a vocabulary of at most BROADCAST_ROW_LIMIT tokens cuts them in place; beyond, the
+    tokens that it holds are shuffled by speech."""
     no_counts = F.lit(None).cast("array<double>").alias("ns")
+    toks = F.filter(array_col, lambda t: t.isNotNull()).alias("toks")
+    words = _short(vocab)
     if vocab is None:
-        toks = F.filter(array_col, lambda t: t.isNotNull()).alias("toks")
-        return _pair_sums(speeches.select(*pivots, toks, no_counts), pivots, block_tokens)
+        return _sums(speeches.select(*pivots, toks, no_counts), pivots, None, block_tokens)
+    if words is not None:
+        return _sums(_kept(speeches.select(*pivots, toks, no_counts), words), pivots, words, block_tokens)
     tokens = speeches.select("document_id", *pivots, F.explode(array_col).alias("token"))
     tokens = tokens.join(vocab.select("token"), "token", "left_semi")
     docs = tokens.groupBy("document_id", *pivots).agg(F.collect_list("token").alias("toks"))
-    return _pair_sums(docs.select(*pivots, "toks", no_counts), pivots, block_tokens)
+    return _sums(docs.select(*pivots, "toks", no_counts), pivots, None, block_tokens)
 
 
 # --------------------------------------------------------------------------------
@@ -194,25 +227,34 @@ def _dunning_l(k: Column, n: Column, x: Column) -> Column:
     return _ln(x) * k + _ln(F.lit(1.0) - x) * (n - k)
 
 
-def significance(ttm: DataFrame, metric: str, *, pivots: Sequence[str] = (), normalize: bool = False,
-                 n_words: float | None = None) -> DataFrame:
-    """Weight per pair from Cij, Z (total) and Zr (row sums of the upper
-    triangle). Returns (pivots..., w1, w2, value) without zero weights."""
-    if metric not in METRICS:
-        raise ValueError("metric is not applicable in current context")
+def _signed_sum(terms: list[tuple[Column, ...]], value) -> Column:
+    """The sum of value(term) in order; one small expression, as long ones aren't compiled."""
+    rows = F.array(*[F.struct(*[x.alias(n) for x, n in zip(t, "abcd")]) for t in terms])
+    return F.aggregate(F.transform(rows, value), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def margins(ttm: DataFrame, pivots: Sequence[str] = ()) -> DataFrame:
+    """(pivots..., w1, w2, n, zr_i, zr_j, z): each pair with its tokens' row sums of the upper triangle
+    and the total. The pairs are stored once; row sums of at most BROADCAST_ROW_LIMIT tokens reach them by
+    broadcast, so that the pairs aren't shuffled."""
     pv = list(pivots)
-    # used four times: store it once instead of recomputing the co-occurrence pass
-    ttm = ttm.checkpoint(eager=True)
-    rows = ttm.groupBy(*pv, "w1").agg(F.sum("n").alias("zr"))
-    total = ttm.groupBy(*pv).agg(F.sum("n").alias("z"))
-    zi = rows.select(*pv, "w1", F.col("zr").alias("zr_i"))
-    zj = rows.select(*pv, F.col("w1").alias("w2"), F.col("zr").alias("zr_j"))
+    ttm = stored(ttm)
+    rows = stored(ttm.groupBy(*pv, "w1").agg(F.sum("n").alias("zr")))
+    total = rows.groupBy(*pv).agg(F.sum("zr").alias("z"))
+    side = bounded_broadcast(rows)
+    zi = side.select(*pv, "w1", F.col("zr").alias("zr_i"))
+    zj = side.select(*pv, F.col("w1").alias("w2"), F.col("zr").alias("zr_j"))
     t = ttm.join(zi, [*pv, "w1"], "left").join(zj, [*pv, "w2"], "left")
     t = t.join(total, pv, "inner") if pv else with_scalars(t, total.select("z"))
-    cij = F.col("n").cast("double")
-    zr_i = F.coalesce(F.col("zr_i"), F.lit(0.0))
-    zr_j = F.coalesce(F.col("zr_j"), F.lit(0.0))
-    z = F.col("z").cast("double")
+    return t.select(*pv, "w1", "w2", F.col("n").cast("double").alias("n"), F.coalesce("zr_i", F.lit(0.0)).alias("zr_i"),
+                    F.coalesce("zr_j", F.lit(0.0)).alias("zr_j"), F.col("z").cast("double").alias("z"))
+
+
+def weight(metric: str, *, normalize: bool = False, n_words: float | None = None) -> Column:
+    """The weight of a row of `margins`; NaN and infinities count as 0."""
+    if metric not in METRICS:
+        raise ValueError("metric is not applicable in current context")
+    cij, zr_i, zr_j, z = (F.col(c) for c in ("n", "zr_i", "zr_j", "z"))
     if metric == "ppmi":
         v = F.ln(F.try_divide(cij * z, zr_i * zr_j))
         if normalize:
@@ -221,33 +263,45 @@ def significance(ttm: DataFrame, metric: str, *, pivots: Sequence[str] = (), nor
     elif metric == "dice":
         v = F.try_divide(2.0 * cij, zr_i + zr_j)
     elif metric == "llr":
-        k = z
-        v = 2.0 * (k * _ln(k) - zr_i * _ln(zr_i) - zr_j * _ln(zr_j) + cij * _ln(cij)
-                   + (k - zr_i - zr_j + cij) * _ln(k - zr_i - zr_j + cij)
-                   + (zr_i - cij) * _ln(zr_i - cij) + (zr_j - cij) * _ln(zr_j - cij)
-                   - (k - zr_i) * _ln(k - zr_i) - (k - zr_j) * _ln(k - zr_j))
+        signs = [(1, z), (-1, zr_i), (-1, zr_j), (1, cij), (1, z - zr_i - zr_j + cij), (1, zr_i - cij), (1, zr_j - cij), (-1, z - zr_i),
+                 (-1, z - zr_j)]
+        v = 2.0 * _signed_sum([(F.lit(float(s)), x) for s, x in signs], lambda t: t["b"] * _ln(t["b"]) * t["a"])
     elif metric in ("llr_z", "llr_n"):
         zz = z if metric == "llr_z" else F.lit(float(n_words))
         p = F.try_divide(zr_j, zz)
         pi = F.try_divide(cij, zr_i)
         pj = F.try_divide(zr_j - cij, zz - zr_i)
-        v = (-2.0 * _dunning_l(cij, zr_i, p) + _dunning_l(zr_j - cij, zz - zr_i, p)
-             - _dunning_l(cij, zr_i, pi) - _dunning_l(zr_j - cij, zz - zr_i, pj))
+        signs = [(-2, cij, zr_i, p), (1, zr_j - cij, zz - zr_i, p), (-1, cij, zr_i, pi), (-1, zr_j - cij, zz - zr_i, pj)]
+        v = _signed_sum([(F.lit(float(s)), *x) for s, *x in signs], lambda t: t["a"] * _dunning_l(t["b"], t["c"], t["d"]))
     else:  # hal_cwr
         v = F.try_divide(cij, zr_i + zr_j - cij)
-    # NaN / +-inf -> 0 like nan_to_num
-    finite = F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(0.0)).otherwise(v)
-    out = t.select(*pv, "w1", "w2", F.coalesce(finite, F.lit(0.0)).alias("value"))
-    return out.where(F.col("value") != 0)
+    finite = lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(F.coalesce(x, F.lit(0.0)))
+    return F.transform(F.array(v), finite)[0]  # bound by the lambda: computed once
+
+
+def significance(ttm: DataFrame, metric: str, *, pivots: Sequence[str] = (), normalize: bool = False,
+                 n_words: float | None = None) -> DataFrame:
+    """Weight per pair from Cij, Z (total) and Zr (row sums of the upper
+    triangle). Returns (pivots..., w1, w2, value) without zero weights."""
+    value = weight(metric, normalize=normalize, n_words=n_words)
+    # a generated column: conditions on it don't compute it again
+    return margins(ttm, pivots).select(*pivots, "w1", "w2", F.explode(F.array(value)).alias("value")).where(F.col("value") != 0)
 
 
 def significance_ratio(a: DataFrame, b: DataFrame, pivots: Sequence[str] = ()) -> DataFrame:
-    """A / B on B's non-zero cells."""
+    """A / B on B's non-zero cells, for weights of two co-occurrences."""
     bb = b.where(F.col("value") != 0).select(*pivots, "w1", "w2", F.col("value").alias("_b"))
     return a.join(bb, [*pivots, "w1", "w2"], "inner") \
         .select(*pivots, "w1", "w2", (F.col("value") / F.col("_b")).alias("value"))
 
 
+def metric_ratio(ttm: DataFrame, metric: str, base: str, pivots: Sequence[str] = ()) -> DataFrame:
+    """M06 for two metrics of one co-occurrence: both weights lie on a row, so nothing is joined."""
+    both = F.array(F.struct(weight(metric).alias("a"), weight(base).alias("b")))
+    rows = margins(ttm, pivots).select(*pivots, "w1", "w2", F.explode(both).alias("x")).where("x.a <> 0 AND x.b <> 0")
+    return rows.select(*pivots, "w1", "w2", (F.col("x.a") / F.col("x.b")).alias("value"))
+
+
 # --------------------------------------------------------------------------------
 # HAL common windows ratio
 # --------------------------------------------------------------------------------
@@ -499,17 +553,24 @@ def fit_trends(counts: DataFrame, periods: DataFrame, key: str = "year", with_p:
 
 
 def fit_polynomial(counts: DataFrame, periods: Sequence[int], key: str = "year", deg: int = 2) -> DataFrame:
-    """M09 degree > 1: numpy polyfit per token over the completed period list (a short,
-    fixed list: one value per period). Coefficients highest degree first."""
-    xs = np.asarray(sorted(periods), dtype=np.float64)
-    pos = {int(x): i for i, x in enumerate(xs)}
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        ys = np.zeros(len(xs))
-        for p, n in zip(pdf[key], pdf["n"]):
-            ys[pos[int(p)]] += n
-        coef = np.polyfit(xs, ys, deg)
-        return pd.DataFrame({"token": [pdf["token"].iat[0]], "coefficients": [coef.tolist()]})
-
-    return counts.select("token", key, "n").groupBy("token").applyInPandas(
-        fit, "token string, coefficients array<double>")
+    """M09 degree > 1: least squares over the completed period list (a short, fixed list: one value per
+    period) by normal equations: the periods' side is one small matrix, so a token's coefficients are sums
+    over its non-zero cells. (token, coefficients), highest degree first; fewer periods than
+    coefficients raise an error."""
+    xs = np.asarray(sorted(set(periods)), dtype=np.float64)
+    if len(xs) <= deg:
+        raise ValueError("more periods than the degree are needed")
+    centre, scale = xs.mean(), max(np.abs(xs - xs.mean()).max(), 1e-300)
+    powers = np.vander((xs - centre) / scale, deg + 1, increasing=True)
+    inverse = np.linalg.inv(powers.T @ powers)
+    # back from powers of (x - centre) / scale to powers of x
+    raw = np.zeros((deg + 1, deg + 1))
+    for j in range(deg + 1):
+        for i, c in enumerate(np.atleast_1d(np.polynomial.polynomial.polypow([-centre / scale, 1 / scale], j)) if j else [1.0]):
+            raw[i, j] = c
+    solve = raw @ inverse
+    u = (F.col(key).cast("double") - float(centre)) / float(scale)
+    y = F.col("n").cast("double")
+    sums = counts.where(F.col(key).isin([int(x) for x in xs])).groupBy("token").agg(*[F.sum(y * u ** j).alias(f"_s{j}") for j in range(deg + 1)])
+    rows = [sum((F.col(f"_s{j}") * float(solve[i, j]) for j in range(deg + 1)), F.lit(0.0)) for i in reversed(range(deg + 1))]
+    return sums.select("token", F.array(*rows).alias("coefficients"))

@@ -16,14 +16,14 @@ WITH w AS MATERIALIZED (
          regexp_extract_all(text, '[\p{L}\p{N}]+') AS w
   FROM conversations
 )
-, d AS (
+, d AS MATERIALIZED (
   SELECT protocol_id, document_id, token, count(*) AS n
   FROM (SELECT protocol_id, document_id, lower(unnest(w)) AS token FROM w) GROUP BY ALL
 )
 """
 
 _SQL_TTM = _SQL_TURNS + """
-, ttm AS (
+, ttm AS MATERIALIZED (
   SELECT a.token AS w1, b.token AS w2, CAST(sum(a.n * b.n) AS DOUBLE) AS n
   FROM d a JOIN d b ON a.document_id = b.document_id AND a.token < b.token GROUP BY 1, 2
 )
@@ -31,8 +31,8 @@ _SQL_TTM = _SQL_TURNS + """
 
 # ttm with its marginals and total
 _SQL_MARGINS = _SQL_TTM + """
-, zr AS (SELECT w1, sum(n) AS zr FROM ttm GROUP BY w1)
-, tot AS (SELECT sum(n) AS z FROM ttm)
+, zr AS MATERIALIZED (SELECT w1, sum(n) AS zr FROM ttm GROUP BY w1)
+, tot AS MATERIALIZED (SELECT sum(n) AS z FROM ttm)
 , t AS (
   SELECT ttm.w1, ttm.w2, ttm.n AS cij, coalesce(ri.zr, 0.0) AS zr_i, coalesce(rj.zr, 0.0) AS zr_j, tot.z AS z
   FROM ttm LEFT JOIN zr ri ON ttm.w1 = ri.w1 LEFT JOIN zr rj ON ttm.w2 = rj.w1 CROSS JOIN tot
@@ -55,9 +55,6 @@ def q_j12(spark, sf_dir):
     return _ttm(spark, sf_dir)
 
 
-register("J12_co_occurrence_turns", _SQL_TTM + "SELECT w1, w2, n FROM ttm")(q_j12)
-
-
 @register("J12_co_occurrence_dtm", _SQL_TTM + "SELECT w1, w2, n FROM ttm")
 def q_j12_dtm(spark, sf_dir):
     return S.co_occurrence(D.dtm_from_token_arrays(_turns(corpus(spark, sf_dir))))
@@ -114,7 +111,6 @@ def _sig(metric, digits=6, **kw):
 register("M04_ppmi", _sig_sql(_PPMI))(_sig("ppmi"))
 register("M04_ppmi_normalized", _sig_sql(_PPMI_NORMALIZED))(_sig("ppmi", normalize=True))
 register("M04_dice", _sig_sql(_DICE))(_sig("dice"))
-register("M04_dice_turns", _sig_sql(_DICE))(_sig("dice"))
 register("M04_llr", _sig_sql(_LLR, 3))(_sig("llr", 3))
 register("M04_llr_dunning", _sig_sql(_LLR_Z, 4))(_sig("llr_z", 4))
 register("M04_llr_n", _sig_sql(_LLR_Z.replace("z - zr_i", "1e7 - zr_i").replace("zr_j / z", "zr_j / 1e7"), 4))(
@@ -128,15 +124,14 @@ register("M04_hal_cwr", _sig_sql(_HAL))(_sig("hal_cwr"))
 SELECT a.w1, a.w2, round(va / vb, 6) AS value FROM a JOIN b USING (w1, w2) WHERE va <> 0 AND vb <> 0
 """)
 def q_m06(spark, sf_dir):
-    ttm = _ttm(spark, sf_dir)
-    r = S.significance_ratio(S.significance(ttm, "ppmi"), S.significance(ttm, "dice"))
+    r = S.metric_ratio(_ttm(spark, sf_dir), "ppmi", "dice")
     return r.withColumn("value", F.round("value", 6))
 
 
 # --- partitioned by protocol (M05, J13, M07) and by year (A20) ----------------------------
 
 _SQL_PROTOCOLS = _SQL_TURNS + """
-, ttm AS (
+, ttm AS MATERIALIZED (
   SELECT a.protocol_id, a.token AS w1, b.token AS w2, CAST(sum(a.n * b.n) AS DOUBLE) AS n
   FROM d a JOIN d b ON a.document_id = b.document_id AND a.token < b.token GROUP BY 1, 2, 3
 )
@@ -152,8 +147,8 @@ def _protocol_ttm(spark, sf_dir):
 
 
 @register("M05_partitioned_ppmi", _SQL_PROTOCOLS + f"""
-, zr AS (SELECT protocol_id, w1, sum(n) AS zr FROM ttm GROUP BY protocol_id, w1)
-, tot AS (SELECT protocol_id, sum(n) AS z FROM ttm GROUP BY protocol_id)
+, zr AS MATERIALIZED (SELECT protocol_id, w1, sum(n) AS zr FROM ttm GROUP BY protocol_id, w1)
+, tot AS MATERIALIZED (SELECT protocol_id, sum(n) AS z FROM ttm GROUP BY protocol_id)
 , t AS (
   SELECT ttm.protocol_id, ttm.w1, ttm.w2, ttm.n AS cij, coalesce(ri.zr, 0.0) AS zr_i, coalesce(rj.zr, 0.0) AS zr_j, tot.z
   FROM ttm LEFT JOIN zr ri ON ttm.protocol_id = ri.protocol_id AND ttm.w1 = ri.w1

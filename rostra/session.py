@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,18 +87,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name)
 
 
-_SIZE_CHECKS: dict[tuple[int, int, int], bool] = {}
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as a Parquet table below the shared checkpoint folder and read back: cuts the
+    lineage, survives lost executors, and is computed once."""
+    path = scratch_path(df.sparkSession, f"stored-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SIZE_CHECKS: dict[tuple, bool] = {}
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Broadcast `df` only when it provably has at most `max_rows` rows.
 
     The check reads at most ``max_rows + 1`` rows (``limit`` stops the scan early); its
-    outcome is remembered per session and plan (tables are not rewritten in place while a
-    session runs). Above the bound the frame is returned unchanged and Spark plans a
+    outcome is remembered per session, plan and input files (files are not rewritten in place
+    while a session runs; new ones are counted). Above the bound the frame is returned unchanged and Spark plans a
     shuffled join.
     """
-    key = (id(df.sparkSession), df.semanticHash(), max_rows)
+    key = (id(df.sparkSession), df.semanticHash(), max_rows, tuple(sorted(df.inputFiles())))
     small = _SIZE_CHECKS.get(key)
     if small is None:
         small = df.limit(max_rows + 1).count() <= max_rows
