@@ -21,6 +21,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -269,10 +270,11 @@ class Corpus:
         )
 
 
-def prepare_corpus(corpus: Corpus, folder: str) -> None:
+def prepare_corpus(corpus: Corpus, folder: str, with_indexes: bool = True) -> None:
     """Tokenise once and store the speech rows (with token arrays, partitioned by year),
     the DTM and the vocabulary with term frequencies as parquet (S06). The DTM is built
-    from the stored token arrays (no second tokenisation)."""
+    from the stored token arrays (no second tokenisation). `with_indexes` also stores
+    postings, the vocabulary's n-grams and the trend cube (`operators.indexes`)."""
     base = folder.rstrip("/")
     parts = int(corpus.spark.conf.get("spark.sql.shuffle.partitions"))
     # range partitioning on (year, document_id): each task writes one or two year folders,
@@ -288,6 +290,12 @@ def prepare_corpus(corpus: Corpus, folder: str) -> None:
         .write.mode("overwrite").parquet(f"{base}/dtm")
     stored_dtm = corpus.spark.read.parquet(f"{base}/dtm")
     stored_dtm.groupBy("token").agg(F.sum("n").alias("tf")).write.mode("overwrite").parquet(f"{base}/vocab")
+    if with_indexes:
+        from .operators import indexes
+
+        indexes.store_postings(stored, f"{base}/postings")
+        indexes.store_grams(corpus.spark.read.parquet(f"{base}/vocab"), f"{base}/grams")
+        indexes.store_trend_cube(stored_dtm, stored, f"{base}/cube")
 
 
 def read_prepared_tokens(corpus: Corpus, base: str) -> DataFrame:
@@ -316,6 +324,27 @@ class PreparedCorpus(Corpus):
     def vocab(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/vocab")
 
+    def _index(self, name: str) -> DataFrame | None:
+        """A stored index; None in a folder prepared without."""
+        try:
+            return self.spark.read.parquet(f"{self.folder}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    @cached_property
+    def postings(self) -> DataFrame | None:
+        return self._index("postings")
+
+    @cached_property
+    def grams(self) -> DataFrame | None:
+        return self._index("grams")
+
+    @cached_property
+    def cube(self) -> DataFrame | None:
+        return self._index("cube")
+
 
 # ---------------------------------------------------------------------------------
 # The same model as SQL (DuckDB dialect). Concatenate the CTEs a query needs.

@@ -119,12 +119,12 @@ def _per_hit(speeches: DataFrame, pattern, criteria, keep: Sequence[str], make,
 
 def kwic(speeches: DataFrame, pattern, *, words_before: int = 3, words_after: int = 3, p_show: str = "word",
          criteria: Sequence[Mapping[str, Any]] | None = None, keep: Sequence[str] = ("document_id", "speech_id"),
-         cut_off: int | None = None, hit_counts: DataFrame | None = None) -> DataFrame:
+         cut_off: int | None = None, hit_counts: DataFrame | None = None, positions: Column | None = None) -> DataFrame:
     """Left / node / right text of each match; with `cut_off`, exactly the first
     `cut_off` hits in corpus order (document_id, pos), the reference's hit cap.
     `hit_counts` (document_id, h) may supply the per-speech hit counts for the cut-off
-    (e.g. from a stored DTM); they must count the same matches. Empty results keep the
-    columns."""
+    (e.g. from a stored DTM); they must count the same matches. `positions`: the starts of the
+    matches, where postings have them. Empty results keep the columns."""
     k = len(normalize_pattern(pattern))
     arr = F.col(p_show)
 
@@ -133,13 +133,13 @@ def kwic(speeches: DataFrame, pattern, *, words_before: int = 3, words_after: in
         return F.struct(p.alias("pos"), F.array_join(left, " ").alias("left_word"),
                         F.array_join(node, " ").alias("node_word"), F.array_join(right, " ").alias("right_word"))
 
-    positions = None
     if cut_off is not None:
         speeches = speeches.where(criteria_predicate(criteria)) if criteria else speeches
         criteria = None
         counts = None if hit_counts is None else hit_counts.join(speeches.select("document_id"), "document_id",
                                                                  "left_semi")
-        speeches, positions = first_hits(speeches, match_positions(pattern)[0], cut_off, counts=counts)
+        starts = match_positions(pattern)[0] if positions is None else positions
+        speeches, positions = first_hits(speeches, starts, cut_off, counts=counts)
     return _per_hit(speeches, pattern, criteria, keep, make, positions)
 
 

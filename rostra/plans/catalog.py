@@ -38,7 +38,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load_all() -> None:
-    from . import catalog_io, catalog_more, catalog_ops, catalog_ops2, catalog_stats, catalog_text  # noqa: F401
+    from . import catalog_files, catalog_indexes, catalog_io, catalog_more, catalog_ops, catalog_ops2, catalog_stats, catalog_text  # noqa: F401
 
 
 # sf_dir -> folder of a prepared corpus (tokens and DTM stored once, see model.prepare_corpus)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Corpus, PreparedCorpus
-from ..operators import codes, predicates
+from ..operators import codes, indexes, predicates
 from ..operators.predicates import predicate
 
 # Pivot id column -> the text column that names it in trend labels, in label order.
@@ -43,7 +43,8 @@ def word_trends(corpus: Corpus, search_terms: Sequence[str], filter_opts: Mappin
 
     Lemmas are lower case, so every search term resolves to its lower-case form (P10).
     The year range is applied before grouping; the result equals the reference, which
-    filters after grouping, because year is a grouping key.
+    filters after grouping, because year is a grouping key. A prepared corpus answers from its
+    trend cube, or for other filter keys from its matrix; no token array is read.
     """
     opts = dict(filter_opts or {})
     pivot_keys = [k for k, v in opts.items() if k != "year" and v is not None]
@@ -51,8 +52,14 @@ def word_trends(corpus: Corpus, search_terms: Sequence[str], filter_opts: Mappin
     st = corpus.speech_tokens
     st = st.where(predicate(st.columns, opts))
     keys = ["year", *pivot_keys]
-    term_df = corpus.spark.createDataFrame([(t,) for t in terms], "token string")
-    if keyness == "tf":
+    stored = corpus if isinstance(corpus, PreparedCorpus) else None
+    cube = stored.cube if stored is not None and indexes.served_by_cube(dict.fromkeys(keys)) else None
+    if keyness == "tf" and cube is not None:  # stored counts, sorted by token
+        counts = indexes.cube_counts(cube, terms, opts, keys)
+    elif keyness == "tf" and stored is not None:  # the stored matrix, sorted by token
+        cells = corpus.dtm.where(F.col("token").isin(terms))
+        counts = cells.join(st.select("document_id", *keys), "document_id").groupBy(*keys, "token").agg(F.sum("n").alias("n"))
+    elif keyness == "tf":
         # only matching tokens are exploded (IN-set filter inside the array)
         hits = F.filter("lemma", lambda x: x.isin(terms))
         flat = st.select(*keys, F.explode(hits).alias("token"))
@@ -66,11 +73,12 @@ def word_trends(corpus: Corpus, search_terms: Sequence[str], filter_opts: Mappin
             weights = stats.tf_idf(corpus.dtm, corpus.speech_index)
         else:
             raise ValueError(f"unknown keyness {keyness}")
-        cells = weights.join(F.broadcast(term_df), "token", "left_semi")
+        cells = weights.where(F.col("token").isin(terms))
         docs = st.select("document_id", *keys)
         counts = cells.join(docs, "document_id", "inner").groupBy(*keys, "token").agg(F.sum("n").alias("n"))
     if normalize:
-        totals = st.groupBy(*keys).agg(F.sum("n_raw_tokens").alias("_raw"))
+        totals = st.groupBy(*keys).agg(F.sum("n_raw_tokens").alias("_raw")) if cube is None \
+            else indexes.cube_counts(cube, None, opts, keys).withColumnRenamed("n", "_raw")
         counts = counts.join(totals, keys, "inner") \
             .select(*keys, "token", F.try_divide(F.col("n"), F.col("_raw")).alias("n"))
     label_cols = _pivot_label_columns(pivot_keys)
@@ -170,7 +178,8 @@ def kwic(corpus: Corpus, keywords: str | Sequence[str], *, lemmatized: bool = Tr
          words_after: int = 2, p_show: str = "word", cut_off: int | None = None,
          criteria: Sequence[Mapping[str, Any]] | None = None) -> DataFrame:
     """KWIC with speaker/year criteria, lemma search by default, decoded speech
-    columns. All hits, or with `cut_off` the first ones in corpus order."""
+    columns. All hits, or with `cut_off` the first ones in corpus order. A prepared corpus with
+    postings reads the phrase's tokens there and then the speeches that were hit."""
     from ..operators import tokens
 
     words = keywords.split() if isinstance(keywords, str) else list(keywords)
@@ -179,6 +188,12 @@ def kwic(corpus: Corpus, keywords: str | Sequence[str], *, lemmatized: bool = Tr
     keep = ["document_id", "document_name", "speech_id", "speech_name", "year", "chamber_abbrev", "person_id",
             "gender_id", "party_id"]
     hit_counts = None
+    if isinstance(corpus, PreparedCorpus) and corpus.postings is not None:
+        found, _ = indexes.phrase_hits(corpus.postings, pattern, corpus.grams)
+        speeches_hit = indexes.hit_speeches(corpus.speech_tokens, found, criteria)
+        hits = tokens.kwic(speeches_hit, pattern, words_before=words_before, words_after=words_after, p_show=p_show, keep=keep,
+                           cut_off=cut_off, positions=F.col("starts"))
+        return codes.decode_speech_index(hits, corpus.code_tables()).select(*KWIC_COLUMNS)
     if cut_off is not None and lemmatized and len(words) == 1 and isinstance(corpus, PreparedCorpus) \
             and not tokens._REGEX_META.search(words[0]):
         # one literal lemma: hits per speech are the stored DTM cells of that token (the
@@ -223,6 +238,11 @@ def speeches_with_words(corpus: Corpus, terms: Sequence[str], filter_opts: Mappi
     st = corpus.speech_tokens
     st = st.where(predicate(st.columns, filter_opts or {}))
     words = [t.lower() for t in terms if t]  # lemmas are lower case (P10)
+    if isinstance(corpus, PreparedCorpus):  # the stored matrix, sorted by token: at most one cell a word and speech
+        found = corpus.dtm.where(F.col("token").isin(words)).groupBy("document_id").agg(F.collect_set("token").alias("lemma"))
+        index = st.select(*predicates.SPEECH_LIST_COLUMNS)
+        joined = tokens.documents_with_words(found.join(index, "document_id"), words, keep=predicates.SPEECH_LIST_COLUMNS)
+        return codes.decode_speech_index(joined, corpus.code_tables())
     # the words found and the speech columns come from the same row: one scan, no join
     joined = tokens.documents_with_words(st, words, keep=predicates.SPEECH_LIST_COLUMNS)
     return codes.decode_speech_index(joined, corpus.code_tables())
@@ -236,6 +256,9 @@ def word_hits(corpus: Corpus, search: str, n_hits: int = 5) -> DataFrame:
     from ..operators import dtm
 
     words = [dtm.folded(search)]  # lemmas are lower-case
+    if isinstance(corpus, PreparedCorpus):
+        known = dtm.matching_words(corpus.vocab, words) if corpus.grams is None else indexes.matching_words(corpus.grams, corpus.vocab, words)
+        return dtm.top_n_words(known.select("token", "tf"), n_hits)
     matching = F.filter("lemma", lambda x: dtm.word_match_condition(x, words))
     flat = corpus.speech_tokens.select(F.explode(matching).alias("token"))
     tf = flat.groupBy("token").agg(F.count(F.lit(1)).alias("tf"))
