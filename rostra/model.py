@@ -354,7 +354,7 @@ SQL_SPEECH_TOKENS = r"""
 st_words AS (
   SELECT doc_id, lang, source, text, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM documents
 ),
-speech_tokens AS (
+speech_tokens AS MATERIALIZED (
   SELECT
     doc_id AS document_id,
     printf('prot-%d--%s--%06d_%03d', 1970 + doc_id % 50, lang, doc_id // 10, doc_id % 10 + 1) AS document_name,
@@ -390,7 +390,7 @@ flat_tokens AS (
 )"""
 
 SQL_DTM = r"""
-dtm AS (
+dtm AS MATERIALIZED (
   SELECT document_id, token, CAST(count(*) AS BIGINT) AS n
   FROM (SELECT document_id, unnest(lemma) AS token FROM speech_tokens)
   GROUP BY document_id, token
