@@ -7,7 +7,7 @@ of their paths (owner after owner) are the depth-first order of the tree; each b
 emitted once, at the running sum of the sizes before it. Every node carries its place in
 the tree's sequence (`at`), the position ids of its place in the conversation (from
 `position`), and the intervals of the sequence that it may attend to: its ancestors' and its
-own branch up to itself. Units are code points of the formatted text.
+own branch up to itself; intervals that touch are one. Units are code points of the formatted text.
 
 A turn is <|im_start|>role, newline, text, <|im_end|>, newline. Control strings of this and
 other templates inside texts get a backslash after their first sign, and those that already
@@ -28,7 +28,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -120,15 +120,24 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     here = F.col("at") + F.col("position") - F.col("start")
     spans = F.transform(F.coalesce("above", F.array().cast("array<struct<from_depth:int,at:bigint,size:bigint>>")),
                         lambda x: F.struct(x["at"].alias("lo"), (x["at"] + x["size"]).alias("hi")))
+    whole = F.concat(spans, F.array(F.struct(F.col("at").alias("lo"), (here + F.col("n")).alias("hi"))))
     nodes = own.select(F.lower(F.hex("tree")).alias("tree"), "owner", "depth", here.alias("at"), "position", "n", "turn",
-                       "loss_from", "loss_to",
-                       F.concat(spans, F.array(F.struct(F.col("at").alias("lo"), (here + F.col("n")).alias("hi")))).alias("attend"))
+                       "loss_from", "loss_to", _joined(whole).alias("attend"))
     members = runs.groupBy("cid").agg(
         F.first(F.lower(F.hex("tree"))).alias("tree"),
         F.sort_array(F.collect_list(F.struct("from_depth", "owner", F.col("nodes").cast("int").alias("nodes")))).alias("runs"))
     return nodes, members.select(F.when(F.col("cid") != NO_ID, F.col("cid")).alias("conv_id"), "cid", "tree", "runs")
 
 
+def _joined(spans: Column) -> Column:
+    """Intervals (lo, hi) in order, those that touch as one."""
+    def add(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["lo"].alias("lo"), x["hi"].alias("hi"))))
+        return F.when((F.size(done) > 0) & (last["hi"] == x["lo"]), longer).otherwise(F.concat(done, F.array(x)))
+    return F.aggregate(spans, F.array().cast("array<struct<lo:bigint,hi:bigint>>"), add)
+
+
 def places(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """Per conversation its tree and runs, and of its own branch (zeros and nulls if it owns no
     node): nodes, start in the tree's sequence and in the conversation, sums of the nodes'
