@@ -8,8 +8,8 @@ plain counts; blocks and the file with notices and full licence texts, by damped
 (1 + log n), as long texts repeat their common words. Document frequencies of the templates'
 words are counted over all files, other words weigh as unseen ones. A file that as a whole
 matches a full text has that licence; else the best candidate at or above the threshold
-names the file's. A licence file is one named so, or one of whose words at least half are in
-matching candidates; the best match of the licence files of a directory is the directory's licence. A
+names the file's. A licence file is one named so, or one that as a whole matches a full text (a
+short text about some licence is none); the best match of the licence files of a directory is the directory's licence. A
 file without a licence of its own takes that of its nearest ancestor directory that has
 one, found by joining directories (not files) with their ancestors.
 
@@ -125,7 +125,7 @@ def frequencies(files: DataFrame, text_col: str, *templates: Mapping[str, list[s
 
 
 class Matcher:
-    """Unit TF-IDF vectors of the templates, a column each; `damped` takes 1 + log n for counts."""
+    """Sparse unit TF-IDF vectors of the templates, by word; `damped` takes 1 + log n for counts."""
 
     def __init__(self, total: int, found: Mapping[str, int], templates: Mapping[str, list[str]] = TEMPLATES, damped: bool = False):
         self.idf = {w: math.log((1 + total) / (1 + n)) + 1 for w, n in found.items()}
@@ -134,10 +134,10 @@ class Matcher:
         self.names = [name for name in sorted(templates) for _ in templates[name]]
         vectors = [self._vector(Counter(words(x))) for name in sorted(templates) for x in templates[name]]
         self.row = {w: i for i, w in enumerate(dict.fromkeys(w for v in vectors for w in v))}
-        self.unit = np.zeros((len(self.row), len(vectors)))
-        for k, v in enumerate(vectors):
-            norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
-            self.unit[[self.row[w] for w in v], k] = [x / norm for x in v.values()]
+        norms = [math.sqrt(sum(x * x for x in v.values())) or 1.0 for v in vectors]
+        cells = sorted((self.row[w], k, x / norms[k]) for k, v in enumerate(vectors) for w, x in v.items())
+        self.start = np.searchsorted([r for r, _, _ in cells], np.arange(len(self.row) + 1))
+        self.template, self.value = np.array([k for _, k, _ in cells], np.int64), np.array([x for _, _, x in cells])
 
     def _vector(self, counts: Mapping[str, int]) -> dict[str, float]:
         if self.damped:
@@ -153,8 +153,11 @@ class Matcher:
         if not known or inside + (len(counts) - len(known)) * self.unseen ** 2 > most:  # others weigh this at least
             return None, 0.0
         norm = inside + sum(x * x for x in self._vector({w: n for w, n in counts.items() if w not in known}).values())
-        x = np.array(list(known.values()))
-        dots = np.round(x @ self.unit[[self.row[w] for w in known]] / math.sqrt(norm), 12)
+        row = np.array([self.row[w] for w in known])
+        size = self.start[row + 1] - self.start[row]
+        at = np.arange(int(size.sum())) + np.repeat(self.start[row] - (np.cumsum(size) - size), size)
+        sums = np.bincount(self.template[at], self.value[at] * np.repeat(list(known.values()), size), len(self.names))
+        dots = np.round(sums / math.sqrt(norm), 12)
         best = int(dots.argmax())
         return (self.names[best], round(float(dots[best]), 9)) if dots[best] > 0 else (None, 0.0)
 
@@ -193,12 +196,12 @@ def header_blocks(lines: list[str], hinted: bool = True) -> tuple[list[tuple[int
 
 
 class Scanner:
-    """Own licence of a text, its cosine, and the share of the text's words in matching candidates."""
+    """Own licence of a text, its cosine, and whether it is as a whole a full licence text."""
 
     def __init__(self, line: Matcher, block: Matcher, full: Matcher, threshold: float):
         self.line, self.block, self.full, self.threshold = line, block, full, threshold
 
-    def __call__(self, text: str) -> tuple[str | None, float, float]:
+    def __call__(self, text: str) -> tuple[str | None, float, bool]:
         low = text.lower()
         flat = low.replace("\n", " ")
         hinted = any(x in flat for x in _STEMS)
@@ -215,7 +218,7 @@ class Scanner:
                 whole = counts
         is_full = self.full.counted(whole, self.threshold)
         if is_full[1] >= self.threshold:
-            return (*is_full, 1.0)
+            return (*is_full, True)
         if len(paragraphs) > 1:
             found.append((*self.block.counted(whole, self.threshold), 0, len(lines)))
         found += [(*self.block.counted(_count("\n".join(lines[lo:hi])), self.threshold), lo, hi) for lo, hi in other]
@@ -223,23 +226,22 @@ class Scanner:
             found += [(*self.line(x), i, i + 1) for i, x in enumerate(lines) if _SAYS.search(x)]
         found = [x for x in found if x[0] and x[1] >= self.threshold]
         if not found:
-            return None, 0.0, 0.0
+            return None, 0.0, False
         name, cos, _, _ = min(found, key=lambda x: (-x[1], x[0]))
-        inside = {i for _, _, lo, hi in found for i in range(lo, hi)}
-        return name, cos, sum(len(lines[i].split()) for i in inside) / max(len(low.split()), 1)
+        return name, cos, False
 
 
 def headers(files: DataFrame, scanner: Scanner, id_col: str, path_col: str, text_col: str) -> DataFrame:
-    """Per row: id, path, own licence with its cosine, the share of words in matching candidates."""
+    """Per row: id, path, own licence with its cosine, whether the file is a full licence text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [scanner(t) for t in texts(b.column(2))]
             cols = list(zip(*got)) if got else [()] * 3
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.string()),
-                                              pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())],
-                                             names=["id", "path", "own", "cosine", "share"])
+                                              pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())],
+                                             names=["id", "path", "own", "cosine", "is_text"])
     return (files.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.col(text_col).alias("text"))
-            .mapInArrow(run, "id long, path string, own string, cosine double, share double"))
+            .mapInArrow(run, "id long, path string, own string, cosine double, is_text boolean"))
 
 
 def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text",
@@ -253,7 +255,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     found = headers(files, scanner, id_col, path_col, text_col)
     found = materialise(found.withColumn("dir", F.regexp_replace(F.regexp_replace("path", "[^/]*$", ""), "/+$", "")))
     name = F.regexp_extract("path", "[^/]*$", 0)
-    licence_files = found.where(F.col("own").isNotNull() & (name.rlike(_NAMED) | (F.col("share") >= 0.5)))
+    licence_files = found.where(F.col("own").isNotNull() & (name.rlike(_NAMED) | F.col("is_text")))
     by_dir = licence_files.groupBy("dir").agg(F.max("cosine").alias("top"))
     by_dir = (licence_files.join(by_dir, "dir").where("cosine = top").groupBy("dir")
               .agg(F.min(F.struct("path", "own")).alias("least")).select("dir", F.col("least.own").alias("dir_license")))

@@ -255,12 +255,30 @@ def test_chat_places_against_brute_force(spark):
             assert g["own_at"] is None and g["attended"] is None
             continue
         at = [start[c] + position[k] - position[mine[0]] for k in mine]
-        above = [start[o] for o in dict.fromkeys(p)]
+        whole = {o: (start[o], start[o] + sum(n for n, x in zip(sizes[c], p) if x == o)) for o in dict.fromkeys(p) if o != c}
+        joined: list = []
+        for k, a in zip(mine, at):  # each node's ancestors and its own branch up to it, touching ones as one
+            spans: list = []
+            for lo, hi in [*whole.values(), (start[c], a + sizes[c][k])]:
+                if spans and spans[-1][1] == lo:
+                    spans[-1] = (spans[-1][0], hi)
+                else:
+                    spans.append((lo, hi))
+            joined += spans
         assert (g["own_at"], g["own_position"], g["sum_at"], g["sum_position"]) == (start[c], position[mine[0]], sum(at), sum(position[k] for k in mine))
-        assert (g["n_intervals"], g["sum_lo"]) == (len(mine) * len(above), len(mine) * sum(above))
+        assert (g["n_intervals"], g["sum_lo"]) == (len(joined), sum(lo for lo, _ in joined))
         assert g["attended"] == sum(position[k] + sizes[c][k] for k in mine)
 
 
+def test_chat_chain_has_one_interval_a_node(spark):
+    """Conversations each a turn longer than the last: their branches touch."""
+    rows = [(c, k, "user", f"turn {k}") for c in range(30) for k in range(c + 1)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    nodes, _ = chat_format.prefix_tree(frame)
+    got = nodes.collect()
+    assert len(got) == 30 and all(len(r["attend"]) == 1 and r["attend"][0]["lo"] == 0 for r in got)
+
+
 def test_escape_round_trip():
     for t in ["<s>", "<\\s>", "<\\\\s>", "[INST]x[\\INST]", "<|a|>", "<<SYS>> <</SYS>>", "<<s>", "\\<s>", "<|<s>|>"]:
         e = chat_format.escape(t)
@@ -279,6 +297,13 @@ def test_license_scan(spark):
     assert license_scan.scan(frame.limit(0)).count() == 0
 
 
+def test_a_text_about_a_licence_is_no_licence_file(spark):
+    rows = [(1, "s/en/1.txt", "Some notes.\nlicensed under the GPL 3"), (2, "s/en/2.txt", "an unrelated text of some words"), (3, "s/de/LICENSE", "Released under the MIT License."),
+            (4, "s/de/x/4.txt", None), (5, "s/fr/text", license_scan.full_texts()["ISC"][0]), (6, "s/fr/6.txt", "words")]
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got[2] == (None, None) and got[4] == ("MIT", "inherited") and got[6] == ("ISC", "inherited")
+
+
 def test_license_scan_header_blocks_and_full_texts(spark):
     full = {k: v[0] for k, v in license_scan.full_texts().items()}
     mine = "Copyright (c) 2019, A. Person\nAll rights reserved.\n\n"
