@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import temporal_key
-from ..session import stored, with_scalars
+from ..session import BROADCAST_ROW_LIMIT, stored, with_scalars
 from .predicates import predicate
 
 COUNT_COLUMNS = ("n_tokens", "n_raw_tokens", "tokens")
@@ -321,9 +321,9 @@ def top_n_words(tf: DataFrame, n: int) -> DataFrame:
 
 
 def slice_by_n_top(dtm: DataFrame, n_top: int) -> DataFrame:
-    """Restrict to the n most frequent tokens (n rows, broadcast by construction)."""
+    """Restrict to the n most frequent tokens; broadcast if n is within the bound for that."""
     top = top_n_words(term_frequency(dtm), n_top).select("token")
-    return dtm.join(F.broadcast(top), "token", "left_semi")
+    return dtm.join(F.broadcast(top) if n_top <= BROADCAST_ROW_LIMIT else top, "token", "left_semi")
 
 
 def slice_by_tf(dtm: DataFrame, threshold: int, keeps: Sequence[str] = ()) -> DataFrame:
