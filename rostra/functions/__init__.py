@@ -66,10 +66,10 @@ def join_paragraphs(paragraphs: Column) -> Column:
 def format_protocol_id(name: Column) -> Column:
     """Protocol id -> readable label.
 
-    prot-1966-höst-fk--38_044  -> 'Första kammaren 1966:38 044'  (six '-' parts)
-    prot-1958-a-ak--17-01_001  -> 'Andra kammaren 1958:17 01 001' (seven parts)
-    prot-2004--113_075         -> '2004:113 075'
-    prot-200405--113_075       -> '2004/05:113 075'
+    prot-1951-vår-ak--7_012   -> 'Andra kammaren 1951:7 012'     (six '-' parts)
+    prot-1933-b-fk--4-02_009  -> 'Första kammaren 1933:4 02 009' (seven parts)
+    prot-1987--21_003         -> '1987:21 003'
+    prot-199091--56_118       -> '1990/91:56 118'
     Names with too few parts come back unchanged.
     """
     parts = F.split(name, "-")
