@@ -274,7 +274,7 @@ def prepare_corpus(corpus: Corpus, folder: str, with_indexes: bool = True) -> No
     """Tokenise once and store the speech rows (with token arrays, partitioned by year),
     the DTM and the vocabulary with term frequencies as parquet (S06). The DTM is built
     from the stored token arrays (no second tokenisation). `with_indexes` also stores
-    postings, the vocabulary's n-grams and the trend cube (`operators.indexes`)."""
+    postings, the vocabulary's n-grams, the trend cube and the speeches' keys (`operators.indexes`)."""
     base = folder.rstrip("/")
     parts = int(corpus.spark.conf.get("spark.sql.shuffle.partitions"))
     # range partitioning on (year, document_id): each task writes one or two year folders,
@@ -296,6 +296,7 @@ def prepare_corpus(corpus: Corpus, folder: str, with_indexes: bool = True) -> No
         indexes.store_postings(stored, f"{base}/postings")
         indexes.store_grams(corpus.spark.read.parquet(f"{base}/vocab"), f"{base}/grams")
         indexes.store_trend_cube(stored_dtm, stored, f"{base}/cube")
+        indexes.store_keys(stored, f"{base}/keys")
 
 
 def read_prepared_tokens(corpus: Corpus, base: str) -> DataFrame:
@@ -345,6 +346,10 @@ class PreparedCorpus(Corpus):
     def cube(self) -> DataFrame | None:
         return self._index("cube")
 
+    @cached_property
+    def keys(self) -> DataFrame | None:
+        return self._index("keys")
+
 
 # ---------------------------------------------------------------------------------
 # The same model as SQL (DuckDB dialect). Concatenate the CTEs a query needs.

@@ -10,6 +10,9 @@ counts with running sums along the years.
   requires some runs; the tokens that have them all are verified against the pattern.
 * Trend cube (E03, A01, A03): token x pivots x year with the count and the running sum along the
   years of one (token, pivots), so that any span of years is a difference of two sums.
+* Keys (J14, J03): speech ids, document names and document ids with the document and its year, sorted by
+  key in small pages with a Bloom filter for each row group; a few keys read a few pages, and the speeches then
+  few years' folders.
 """
 
 from __future__ import annotations
@@ -267,3 +270,43 @@ def span_counts(cube: DataFrame, terms: Sequence[str], spans: Sequence[tuple[int
     each = rows.withColumn("s", F.explode(asked)).groupBy("token", *keys, "s").agg((upto(F.col("s.last")) - upto(F.col("s.first") - 1)).alias("n"))
     return (each.groupBy("token", *pivots, F.col("s.first").alias("first"), F.col("s.last").alias("last")).agg(F.sum("n").alias("n"))
             .where("n > 0"))
+
+
+# Keys of speeches ---------------------------------------------------------------------------------------
+
+PAGE_ROWS = 256
+
+
+def speech_keys(index: DataFrame) -> DataFrame:
+    """(key, document_id, year): a row for each way to name a speech."""
+    names = F.array(F.col("document_id").cast("string"), "document_name", "speech_id")
+    return index.select(F.explode(F.array_distinct(names)).alias("key"), "document_id", "year").where(F.col("key").isNotNull())
+
+
+def store_keys(index: DataFrame, path: str, page_rows: int = PAGE_ROWS) -> None:
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pages = {"parquet.page.row.count.limit": str(page_rows), "parquet.bloom.filter.enabled#key": "true"}
+    (speech_keys(index).repartitionByRange(parts, "key").sortWithinPartitions("key", "document_id")
+     .write.mode("overwrite").options(**DELTA, **pages).parquet(path))
+
+
+def find_keys(stored: DataFrame, keys: Sequence[int | str]) -> DataFrame:
+    """(key, document_id, year) of request keys; the condition reaches the pages."""
+    return stored.where(F.col("key").isin([str(k) for k in keys]))
+
+
+def speeches_by_keys(speeches: DataFrame, stored: DataFrame, keys: Sequence[int | str], limit: int = 10_000) -> DataFrame:
+    """The speeches that keys name, with `key`. The keys' documents (at most a few a key) come to the driver and go back as
+    a condition on year and document id, so that neither side is shuffled; more than `limit` keys raise an error."""
+    keys = list(dict.fromkeys(str(k) for k in keys))
+    if len(keys) > limit:
+        raise ValueError(f"at most {limit} keys, got {len(keys)}")
+    found = find_keys(stored, keys).collect() if keys else []
+    by_id: dict[int, list[str]] = {}
+    for r in found:
+        by_id.setdefault(r["document_id"], []).append(r["key"])
+    years = sorted({r["year"] for r in found})
+    hit = speeches.where(F.col("year").isin(years) & F.col("document_id").isin(sorted(by_id)))
+    names = F.create_map(*[x for i, k in by_id.items() for x in (F.lit(i).cast("long"), F.array(*map(F.lit, sorted(k))))]) if by_id \
+        else F.lit(None).cast("map<bigint, array<string>>")
+    return hit.withColumn("key", F.explode(F.element_at(names, F.col("document_id").cast("long"))))

@@ -122,6 +122,26 @@ def test_runs_lose_no_word(spark):
         assert got == {r["token"] for r in D.matching_words(vocab, [p]).collect()}, p
 
 
+def test_keys_read_few_pages_and_shuffle_nothing(spark, both, tmp_path):
+    index = spark.range(30_000).select(F.col("id").alias("document_id"), (F.col("id") % 50 + 1970).alias("year"),
+                                       F.format_string("prot-%05d", "id").alias("document_name"), F.format_string("i-%d", F.col("id") * 7).alias("speech_id"))
+    IX.store_keys(index, str(tmp_path / "keys"), page_rows=32)
+    stored = spark.read.parquet(str(tmp_path / "keys"))
+    found = IX.find_keys(stored, ["i-700", "prot-00123", 77, "none"])
+    assert sorted((r["key"], r["document_id"]) for r in found.collect()) == [("77", 77), ("i-700", 100), ("prot-00123", 123)]
+    assert "Exchange" not in plan(found) and "PushedFilters: [In(key" in plan(found)
+    leaf = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert leaf.metrics().apply("numOutputRows").value() < 900  # of 90,000
+    raw, prep = both
+    some = [r["speech_id"] for r in raw.speech_index.select("speech_id").limit(3).collect()]
+    got = IX.speeches_by_keys(prep.speech_tokens, prep.keys, [*some, "nokey"])
+    assert "Exchange" not in plan(got) and re.search(r"PartitionFilters: \[[^\]]*year", plan(got))
+    assert sorted(r["key"] for r in got.select("key").collect()) == sorted(some)
+    assert IX.speeches_by_keys(prep.speech_tokens, prep.keys, []).count() == 0
+    with pytest.raises(ValueError, match="at most"):
+        IX.speeches_by_keys(prep.speech_tokens, prep.keys, range(5), limit=4)
+
+
 def test_folders_without_indexes(spark, tmp_path):
     raw = Corpus(spark, SMALL)
     prepare_corpus(raw, str(tmp_path), with_indexes=False)
