@@ -34,8 +34,10 @@ def test_speech_filters_reach_the_scan(spark, prepared):
 
 def test_word_trends_read_only_needed_columns(spark, prepared):
     plan = _plan(spark, "E03_word_trends_by_party")
-    assert "ReadSchema: struct<party_id:bigint,lemma:array<string>>" in plan  # year is the folder
-    assert "In(party_id, [5,6,7])" in plan
+    # the stored counts, sorted by token: no token array, and only the asked tokens' row groups
+    assert "lemma:array" not in plan and "word:array" not in plan
+    assert "ReadSchema: struct<token:string,party_id:bigint,year:bigint,n:bigint>" in plan
+    assert "In(party_id, [5,6,7])" in plan and "In(token, [de,the])" in plan
 
 
 def test_kwic_cut_off_needs_no_sort(spark, prepared):
@@ -48,11 +50,10 @@ def test_kwic_cut_off_needs_no_sort(spark, prepared):
 
 def test_co_occurrence_has_no_self_join(spark, prepared):
     plan = _plan(spark, "J12_co_occurrence")
-    assert "MapInArrow" in plan
+    assert "FlatMapGroupsInArrow" in plan
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
-    # tokens by speech (planned for short and long speeches, run once), the dealing of long
-    # speeches, the sums
-    assert plan.count("Exchange hashpartitioning") <= 4
+    # documents to lists, documents to blocks, blocks' shares; pairs are not shuffled or aggregated
+    assert plan.count("Exchange hashpartitioning") <= 3 and "HashAggregate" not in plan
 
 
 def test_top_terms_limit_before_shuffle(spark, prepared):
