@@ -13,8 +13,8 @@ short text about some licence is none); the best match of the licence files of a
 file without a licence of its own takes that of its nearest ancestor directory that has
 one, found by joining directories (not files) with their ancestors.
 
-Scans are narrow; shuffled are directories, and file rows without text once to meet their
-directory (Spark splits a directory with many files).
+Scans are narrow; shuffled are directories, and, if very many of them have a licence, file rows without
+text once to meet their directory (Spark splits a directory with many files).
 
 Defined results: null and empty texts have no own licence but inherit; a null path lies in
 the root directory; rows that repeat a path are judged one by one; equal cosines go to the licence
@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded_broadcast
 from .common import materialise, texts
 
 THRESHOLD = 0.6
@@ -268,7 +269,9 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
             .agg(F.max(F.struct("depth", "above", "dir_license")).alias("near"))
             .select("dir", F.col("near.above").alias("from_dir"), F.col("near.dir_license").alias("dir_license")))
     own = F.col("own").isNotNull()
-    return found.join(near, "dir", "left").select(
+    # directories with a licence reach the files by broadcast if few enough (checked), so that a large directory's files stay
+    # where they are; else Spark splits a directory with many files
+    return found.join(bounded_broadcast(materialise(near)), "dir", "left").select(
         F.col("id").alias(id_col), "path", F.coalesce("own", "dir_license").alias("license"),
         F.when(own, F.round("cosine", 6)).alias("cosine"),
         F.when(own, F.lit("own")).when(F.col("dir_license").isNotNull(), F.lit("inherited")).alias("origin"),
