@@ -20,13 +20,15 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["E01_kwic", "E02_ngrams", "E03_word_trends", "E03_word_trends_by_party", "E04_speeches_with_words",
             "E05_word_hits", "E06_speeches", "J12_co_occurrence_top100", "M04_ppmi_top100", "M04_llr_top100",
-            "J12_co_occurrence", "M04_ppmi", "M04_llr"]
+            "J12_co_occurrence"]
+# Registered forms that aren't run here: five runs of each would take minutes (13.8 million pairs at sf0.1).
+LEFT_OUT = ["M04_ppmi", "M04_llr"]
 
 
 def top100_queries() -> dict:
     """J12 and M04 over the speeches' 100 most frequent lemmas, the same work as the first
     round's J12_co_occurrence, M04_ppmi and M04_llr. The registered queries, which take the whole
-    vocabulary of conversations, run beside them."""
+    vocabulary of conversations, are J12_co_occurrence here and those of LEFT_OUT."""
     from rostra.operators import dtm, stats
     from rostra.plans import catalog
 
@@ -130,6 +132,7 @@ def main() -> None:
         "prepare_sec": round(prepare_sec, 3),
         "jvm_warmup_sec": round(warm_sec, 3) if warm_sec is not None else None,
         "rows_out": rows,
+        "left_out": LEFT_OUT,
         "shuffle_bytes": per_query_shuffle,
         "prepare_shuffle_bytes": shuffle.get("prepare_corpus", 0),
         "cpus": cpus,
