@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from rostra.operators import pair_tiles as PT
@@ -68,3 +70,25 @@ def test_a_vocabulary_cuts_in_place(spark):
     vocab = spark.createDataFrame([(t,) for t in sorted(keep)] * 2, "token string")
     rows = S.co_occurrence_from_tokens(frame, vocab).collect()
     assert {(r["w1"], r["w2"]): r["n"] for r in rows} == plain([[t for t in d if t in keep] for d in docs])
+
+
+def test_wide_rows_stay_in_the_shuffle(spark, frame):
+    """Rows of many tokens aren't written to files, whose reader decodes thousands of them at once."""
+    plan = PT.pair_sums(frame)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line or "Scan parquet" in line]
+    assert scans and all("codes" not in line and "owned" not in line for line in scans)
+
+
+def test_rows_are_narrow(spark):
+    """Heavy tokens go by number, a code takes two bytes and a count one; wider values keep theirs."""
+    toks = [[f"t{i % 50}" for i in range(k, k + 40)] for k in range(400)]
+    batch = pa.RecordBatch.from_pydict({"toks": toks, "ns": pa.nulls(400, pa.list_(pa.float64()))})
+    heavy = pa.array([f"t{i}" for i in range(48)])
+    rows = list(PT._dealt(batch, heavy, 1, np.ones(1, np.int64), 0, 64, True))
+    got = PT._unpacked(PT._table(PT._ROWS, rows), 0)
+    assert len(rows) == 1 and sorted(got[0].to_pylist()) == ["t48", "t49"]
+    assert sum(len(x) for x in rows[0][2:]) < 5 * len(got[1])
+    for ns in ([1000.0, 0.5, -2.0], [1.0, 255.0, 256.0]):
+        wide = pa.RecordBatch.from_pydict({"toks": [["a", "b", "c"]], "ns": pa.array([ns], pa.list_(pa.float64()))})
+        (row,) = PT._dealt(wide, pa.array([], pa.string()), 1, np.ones(1, np.int64), 0, 64, True)
+        assert sorted(PT._unpacked(PT._table(PT._ROWS, [row]), 0)[2]) == sorted(ns)
