@@ -150,3 +150,65 @@ def test_folders_without_indexes(spark, tmp_path):
     assert rows(jobs.word_trends(c, ["the"], {"gender_id": [1]})) == rows(jobs.word_trends(raw, ["the"], {"gender_id": [1]}))
     assert rows(jobs.kwic(c, "of the")) == rows(jobs.kwic(raw, "of the"))
     assert rows(jobs.word_hits(c, "*ver*")) == rows(jobs.word_hits(raw, "*ver*"))
+
+
+# One shuffle a part, parts on demand -----------------------------------------------------------------
+
+def shuffles(df):
+    """Shuffles by ranges and by hash."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.count("Exchange rangepartitioning"), plan.count("Exchange hashpartitioning")
+
+
+def small_speeches(spark, ids=(1, 2, 3, None), lemma=None):
+    words = [["The", "the", "of"], ["of", "The", "THE", "x"], [], ["the"]]
+    data = [(i, 1970 + k % 2, k % 2, w, lemma[k] if lemma else [t.lower() for t in w], len(w)) for k, (i, w) in enumerate(zip(ids, words))]
+    return spark.createDataFrame(data, "document_id long, year long, gender_id long, word array<string>, lemma array<string>, n_raw_tokens long")
+
+
+def plain_postings(rows):
+    out = {}
+    for r in rows:
+        for attr in ("word", "lemma"):
+            for pos, t in enumerate(r[attr]):
+                out.setdefault((attr, t.lower(), t, r["year"], r["document_id"]), []).append(pos)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("ids", [(1, 2, 3, None), (1, 1, 2, 2)])
+@pytest.mark.parametrize("lemma", [None, [["the", "the", "o"], ["of", "The", "the", "y"], [], ["a"]]])
+def test_postings_are_shuffled_once(spark, ids, lemma):
+    speeches = small_speeches(spark, ids, lemma)
+    df = IX.postings(speeches)
+    got = {(r["attr"], r["folded"], r["token"], r["year"], r["document_id"]): r["positions"] for r in df.collect()}
+    assert got == plain_postings(speeches.collect())
+    assert shuffles(df) == (1, 0)
+
+
+def test_cube_is_shuffled_once(spark):
+    speeches = small_speeches(spark, (1, 2, 3, 4))
+    dtm = speeches.selectExpr("document_id", "explode(lemma) AS token").groupBy("document_id", "token").count().withColumnRenamed("count", "n")
+    new, old = IX.trend_cube(None, speeches, ["gender_id"]), IX.trend_cube(dtm, speeches, ["gender_id"])
+    assert rows(new.select(old.columns)) == rows(old) and shuffles(new) == (1, 0)
+    assert IX.distinct_ids(speeches)
+    assert not IX.distinct_ids(small_speeches(spark)) and not IX.distinct_ids(small_speeches(spark, (1, 1, 2, 3)))
+
+
+def test_counts_of_rows(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "a", None]), (1, ["a"]), (None, ["c"]), (2, []), (3, None)], "document_id long, lemma array<string>")
+    got = sorted(map(str, IX.row_counts(df, "lemma", ["document_id"]).collect()))
+    assert got == sorted(["Row(document_id=1, token='a', n=2)", "Row(document_id=1, token='b', n=1)", "Row(document_id=1, token=None, n=1)",
+                          "Row(document_id=1, token='a', n=1)", "Row(document_id=None, token='c', n=1)"])
+
+
+def test_a_query_stores_the_parts_that_it_reads(spark, tmp_path, monkeypatch):
+    from rostra.plans import catalog_indexes as CI
+
+    monkeypatch.setattr(CI, "scratch_path", lambda s, name: str(tmp_path / name))
+    monkeypatch.setattr(CI, "_STORED", {})
+    found = lambda: sorted(p.name for p in tmp_path.glob("prepared-*/*"))
+    c = CI.prepared(spark, SMALL, "vocab")
+    assert found() == ["vocab"] and c.cube is None
+    assert rows(c.vocab) == rows(Corpus(spark, SMALL).vocab)
+    CI.prepared(spark, SMALL, "vocab", "dtm")
+    assert found() == ["dtm", "vocab"]
