@@ -106,3 +106,15 @@ def test_compress_vocabulary_and_extend(spark):
     assert sorted(r[0] for r in D.extend_index(idx, other).collect()) == ["x", "y", "z"]
     with pytest.raises(ValueError):
         D.extend_index(idx, other, ignore_if_exists=False)
+
+
+def test_cells_of_own_ids_are_not_shuffled(spark):
+    """Counted within a row; ids that repeat or are null are still added up."""
+    rows = [(1, ["a", "b", "a"]), (2, ["b", None]), (3, []), (4, None)]
+    schema = "document_id long, lemma array<string>"
+    own = D.dtm_from_token_arrays(spark.createDataFrame(rows, schema))
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    want = {(1, "a", 2), (1, "b", 1), (2, "b", 1), (2, None, 1)}
+    assert {tuple(r) for r in own.collect()} == want and own.count() == len(want)
+    again = D.dtm_from_token_arrays(spark.createDataFrame([*rows, (1, ["a"]), (None, ["c"]), (None, ["c"])], schema))
+    assert {tuple(r) for r in again.collect()} == want - {(1, "a", 2)} | {(1, "a", 3), (None, "c", 2)}
