@@ -106,3 +106,15 @@ def test_top_n_of_ties_and_few_tokens(spark):
     frame = spark.createDataFrame([(t, 2) for t in "abcdefgh"], "token string, n long").repartition(3)
     assert [r["token"] for r in TT.top_n_exact(frame, 3, 2).collect()] == ["a", "b", "c"]
     assert TT.top_n_exact(frame, 100, 1).count() == 8
+
+
+def test_documents_of_the_id_stream_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from rostra.plans import catalog_files as CF
+
+    monkeypatch.setattr(CF, "_run_dir", lambda s, name: str(tmp_path / name))
+    texts = spark.range(0, 40, 1, 4).selectExpr("id AS doc_id", "concat('Tom tom w', id % 5) AS text")
+    texts.write.parquet(str(tmp_path / "in/documents.parquet"))
+    got = {r["token"]: (r["tf"], r["n_ids"], r["n_tokens_of_id"]) for r in CF.q_a17_ids(spark, str(tmp_path / "in")).collect()}
+    assert got == {"tom": (80, 1, 1)} | {f"w{k}": (8, 1, 1) for k in range(5)}
+    for k in range(3):
+        assert len(list((tmp_path / f"a17/in/b{k}").glob("*.parquet"))) > 1
