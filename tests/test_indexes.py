@@ -201,6 +201,18 @@ def test_counts_of_rows(spark):
                           "Row(document_id=1, token='a', n=1)", "Row(document_id=None, token='c', n=1)"])
 
 
+def test_ngrams_are_stored_by_the_tasks_that_cut_them(spark, tmp_path):
+    vocab = spark.range(0, 70, 1, 7).selectExpr("concat('word', id) AS token", "id AS tf")
+    IX.store_grams(vocab, str(tmp_path / "grams"))
+    got = spark.read.parquet(str(tmp_path / "grams"))
+    assert rows(got) == rows(IX.vocabulary_grams(vocab))
+    files = list((tmp_path / "grams").glob("*.parquet"))
+    assert len(files) == 7  # the vocabulary's parts, not those of a shuffle
+    for f in files:
+        keys = [(r["gram"], r["token"]) for r in spark.read.parquet(str(f)).coalesce(1).collect()]
+        assert keys == sorted(keys)
+
+
 def test_a_query_stores_the_parts_that_it_reads(spark, tmp_path, monkeypatch):
     from rostra.plans import catalog_indexes as CI
 
