@@ -201,6 +201,13 @@ def test_counts_of_rows(spark):
                           "Row(document_id=1, token='a', n=1)", "Row(document_id=None, token='c', n=1)"])
 
 
+def test_rows_of_one_key_are_counted_together(spark):
+    df = spark.createDataFrame([(1, None, ["a", "b", "a"]), (1, None, ["a", None]), (None, "x", ["c"]), (None, "x", ["c", "a"]), (1, "x", ["a"]), (2, "x", [])],
+                               "k long, s string, lemma array<string>").coalesce(1)
+    got = IX.row_counts(df, "lemma", ["k", "s"], together=True)
+    assert rows(got) == rows(df.selectExpr("k", "s", "explode(lemma) AS token").groupBy("k", "s", "token").agg(F.count(F.lit(1)).alias("n")))
+
+
 def test_ngrams_are_stored_by_the_tasks_that_cut_them(spark, tmp_path):
     vocab = spark.range(0, 70, 1, 7).selectExpr("concat('word', id) AS token", "id AS tf")
     IX.store_grams(vocab, str(tmp_path / "grams"))
