@@ -28,6 +28,14 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_translation_is_the_plain_join(spark, dtm):
+    vocab = spark.createDataFrame([("the", 0), ("å", 1), ("", 2), ("w5", 3), ("w5", 4), (None, 5), ("absent", 6)], "token string, token_id long")
+    got = D.translate_to_vocab(dtm, vocab)
+    assert got.columns == ["token", "document_id", "n", "token_id"]
+    assert _rows(got) == _rows(dtm.join(vocab, "token", "inner"))
+    assert "MapInArrow" in _plan(got)  # no cell goes into the shuffle by itself
+
+
 def test_held_cells_are_the_semi_join(spark, dtm, other):
     got = D.zero_out_by_others_zeros(dtm, other)
     assert got.columns == ["document_id", "token", "n"]
@@ -49,3 +57,4 @@ def test_steps_of_any_size(dtm, other, step, monkeypatch):
 def test_empty_sides(spark, dtm):
     none = spark.createDataFrame([], CELLS)
     assert D.zero_out_by_others_zeros(dtm, none).count() == D.zero_out_by_others_zeros(none, dtm).count() == 0
+    assert D.translate_to_vocab(none, dtm.selectExpr("token", "n AS token_id")).count() == 0
