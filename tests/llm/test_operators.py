@@ -373,6 +373,40 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_embeddings_split_within_tasks(spark, monkeypatch):
+    """Each level was two joins of all rows and a written table; now only nodes beyond `gather` are split so."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((900, 12))
+    x = np.concatenate([base, base[:200] + rng.standard_normal((200, 12)) * 0.02])
+    frame = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.98
+    np.fill_diagonal(link, False)
+    written = []
+    monkeypatch.setattr(embedding_dedup, "materialise", lambda df, own=embedding_dedup.materialise: written.append(df.columns) or own(df))
+    monkeypatch.setattr(embedding_dedup, "MOST_AHEAD", 3)  # projections end before the leaves do
+    tables = {}
+    for gather in (10**6, 200):
+        written.clear()
+        got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(frame, leaf=60, gather=gather).collect()}
+        have = np.array([got[i] for i in range(len(x))])
+        assert (have <= link.sum(1)).all() and have.sum() >= 0.97 * link.sum()
+        tables[gather] = len(written)
+    assert tables[10**6] <= 10 and tables[10**6] < tables[200]
+
+
+def test_embeddings_near_pairs():
+    """Single precision only picks: pairs are those of double precision, for some at the threshold itself, too."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((300, 8))
+    x = embedding_dedup._unit(np.concatenate([base, base + rng.standard_normal((300, 8)) * 0.07, base[:40]]))
+    exact = x @ x.T
+    want = {(a, b) for a, b in zip(*np.nonzero(exact >= 0.98)) if a < b and abs(exact[a, b] - 0.98) > 1e-12}
+    for step in (7, 256, 10**4):
+        a, b = embedding_dedup._near(x, 0.98, step)
+        assert {(i, j) for i, j in zip(a, b) if abs(exact[i, j] - 0.98) > 1e-12} == want and len(a) == len(set(zip(a, b)))
+
+
 def _pipeline_fixture():
     """Documents and labels: toxic, exact, near and passage cases among clean ones."""
     rng = np.random.default_rng(6)
