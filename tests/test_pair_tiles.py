@@ -92,3 +92,29 @@ def test_rows_are_narrow(spark):
         wide = pa.RecordBatch.from_pydict({"toks": [["a", "b", "c"]], "ns": pa.array([ns], pa.list_(pa.float64()))})
         (row,) = PT._dealt(wide, pa.array([], pa.string()), 1, np.ones(1, np.int64), 0, 64, True)
         assert sorted(PT._unpacked(PT._table(PT._ROWS, [row]), 0)[2]) == sorted(ns)
+
+
+@pytest.mark.parametrize("kw", [{}, {"limit": 20, "least": 2, "list_pairs": 5000, "block_pairs": 3000}])
+def test_margins_travel_with_the_names(spark, frame, kw):
+    """Row sums were taken from stored pairs and joined to them: a table of all pairs, beyond a million tokens two shuffles of them."""
+    pairs = plain(documents())
+    rows, total = Counter(), sum(pairs.values())
+    for (a, _), n in pairs.items():
+        rows[a] += n
+    got = PT.pair_sums(frame, side=16, with_margins=True, **kw)
+    have = {(r["w1"], r["w2"]): (r["n"], r["zr_i"], r["zr_j"], r["z"]) for r in got.collect()}
+    assert have == {(a, b): (n, rows[a], rows[b], total) for (a, b), n in pairs.items()}
+
+
+def test_significance_stores_and_joins_no_pairs(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, d) for i, d in enumerate(documents())], "document_id long, lemma array<string>")
+    old = sorted(tuple(r) for r in S.significance(S.co_occurrence_from_tokens(frame), "ppmi").collect())
+    monkeypatch.setattr(S, "stored", None)  # nothing of the pairs is stored
+    weights = S.significance(S.co_occurrence_from_tokens(frame, with_margins=True), "ppmi")
+    new = sorted(tuple(r) for r in weights.collect())
+    assert [r[:2] for r in old] == [r[:2] for r in new] and np.allclose([r[2] for r in old], [r[2] for r in new], rtol=1e-12)
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "HashAggregate" not in plan
+    empty = frame.limit(0)
+    assert S.co_occurrence_from_tokens(empty, with_margins=True).columns == ["w1", "w2", "n", "zr_i", "zr_j", "z"]
+    assert S.co_occurrence_from_tokens(empty, with_margins=True).count() == 0
