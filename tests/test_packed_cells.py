@@ -1,4 +1,6 @@
 """Cells packed for the joins of J11 and J16, against the plain joins; rows are made here."""
+import random
+
 import pytest
 
 from rostra.operators import dtm as D
@@ -58,3 +60,25 @@ def test_empty_sides(spark, dtm):
     none = spark.createDataFrame([], CELLS)
     assert D.zero_out_by_others_zeros(dtm, none).count() == D.zero_out_by_others_zeros(none, dtm).count() == 0
     assert D.translate_to_vocab(none, dtm.selectExpr("token", "n AS token_id")).count() == 0
+
+
+def test_pairs_get_their_ids_packed(spark):
+    """M07's pairs were shuffled three times as rows: for the distinct ones, for their order and for the join."""
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 2, None]), f"a{rng.randrange(20)}", rng.choice(["", "é", "\U0001F600", "x", "y"]), float(k)) for k in range(400)]
+    rows += [(1, None, "x", 0.0), (1, "a1", None, 0.0), (3, "only", "x", 1.0)]
+    frame = spark.createDataFrame(rows, "g long, w1 string, w2 string, n double").repartition(5)
+    lists = P.distinct_lists(frame, step_bytes=500)
+    got = lists.collect()
+    whole = [r for r in rows if r[1] is not None and r[2] is not None]
+    assert {r["w1"]: r["w2"] for r in got} == {a: sorted({r[2] for r in whole if r[1] == a}, key=str.encode) for a in {r[1] for r in whole}}
+    assert len(got) == len({r[1] for r in whole})
+    firsts = D.dense_ids(lists.selectExpr("w1", "size(w2) AS n"), ["w1"], id_col="first", width="n").select("w1", "first")
+    mapping = lists.join(firsts, "w1").selectExpr("w1", "first", "posexplode(w2) AS (at, w2)").selectExpr("w1", "w2", "first + at AS pair_id")
+    order = sorted({(r[1], r[2]) for r in whole}, key=lambda p: (p[0].encode(), p[1].encode()))
+    assert {(r["w1"], r["w2"]): r["pair_id"] for r in mapping.collect()} == {p: i for i, p in enumerate(order)}
+    joined = P.cells_with_ids(frame, mapping.where("pair_id % 3 > 0"), ["w1", "w2"], "pair_id", step_bytes=500)
+    want = [(r[1], r[2], r[0], r[3], order.index((r[1], r[2]))) for r in whole]
+    assert joined.columns == ["w1", "w2", "g", "n", "pair_id"]
+    assert sorted((tuple(r) for r in joined.collect()), key=repr) == sorted([r for r in want if r[4] % 3], key=repr)
+    assert P.distinct_lists(frame.limit(0)).count() == 0
