@@ -19,6 +19,25 @@ def cells(spark):
     return spark.createDataFrame(rows, "document_id long, token string, n long")
 
 
+def test_matrix_cells_are_not_shuffled_to_their_words(spark, scratch, monkeypatch):
+    """A vocabulary beyond Spark's own limit of 10 MB sent each cell through a shuffle, to be written and to be read."""
+    dtm = cells(spark)
+    vocab = D.dense_ids(dtm.select("token").distinct(), ["token"], id_col="token_id")
+    want = sorted((d, t, float(n)) for d, t, n in dtm.collect())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for limit, join in ((10**6, "BroadcastHashJoin"), (3, "MapInArrow")):
+            monkeypatch.setattr(files, "_BROADCAST_WORDS", limit)
+            files.store_matrix(dtm, vocab, scratch, "w", shards=2)
+            got, _ = files.load_matrix(spark, scratch, "w", rows_per_partition=20)
+            assert sorted(tuple(r) for r in got.collect()) == want and got.columns == ["document_id", "token", "n"]
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert join in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_matrix_round_trip(spark, scratch):
     dtm = cells(spark)
     vocab = D.dense_ids(dtm.select("token").distinct(), ["token"], id_col="token_id")
