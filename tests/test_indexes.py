@@ -185,6 +185,17 @@ def test_postings_are_shuffled_once(spark, ids, lemma):
     assert shuffles(df) == (1, 0)
 
 
+@pytest.mark.parametrize("lemma", [None, [["the", "the", "o"], ["of", "The", "the", "y"], [], ["a"]]])
+def test_postings_of_distinct_ids_need_no_aggregate(spark, lemma):
+    """Each form's positions went through an aggregate, which sorted them all, for the few lemmas of several forms."""
+    speeches = small_speeches(spark, (1, 2, 3, 4), lemma)
+    df = IX.postings(speeches)
+    got = df.collect()
+    assert {(r["attr"], r["folded"], r["token"], r["year"], r["document_id"]): r["positions"] for r in got} == plain_postings(speeches.collect())
+    assert len(got) == len(plain_postings(speeches.collect()))
+    assert shuffles(df) == (1, 0) and "Aggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cube_is_shuffled_once(spark):
     speeches = small_speeches(spark, (1, 2, 3, 4))
     dtm = speeches.selectExpr("document_id", "explode(lemma) AS token").groupBy("document_id", "token").count().withColumnRenamed("count", "n")
